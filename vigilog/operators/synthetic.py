@@ -1,0 +1,214 @@
+"""Template-expanded log lines.
+
+Every choice is a fixed function of the row id, the place it is made for and a seed,
+so a line is the same under any partitioning and after any retry, and generating
+needs no shuffle and no state.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigilog import fixed_templates as words
+from vigilog import fixed_values as fixed
+from vigilog.functions.fields import asset_type
+
+PRIME = 2147483647
+ROUNDS = (12345, 67891)
+SEED = 42
+BASE_TIME = "2025-06-30 00:00:00"
+NAME = re.compile(r"\{(\w+)\}")
+LINE_SLOTS = ["family", "template", "prefix", "host", "time", "timeformat"]
+
+
+# ---------------------------------------------------------------- repeatable choices
+
+def slot_constant(name: str, seed: int) -> int:
+    """A number for the place a choice is made for, from the letters of its name."""
+    number = 0
+    for letter in name:
+        number = (number * 131 + ord(letter)) % 1000003
+    return number * 104729 + seed * 7919
+
+
+def drawn(row_id: Column, slot: str, seed: int) -> Column:
+    """A number in [0, 2^31) for a row and a slot: two rounds of squaring modulo a prime."""
+    number = (row_id % PRIME * 48271 + slot_constant(slot, seed)) % PRIME
+    for step in ROUNDS:
+        number = (number * number + step) % PRIME
+    return number
+
+
+def draw(slot: str) -> Column:
+    return F.col(f"_draw_{slot}")
+
+
+def with_draws(df: DataFrame, row_id: Column, slots: Sequence[str], seed: int) -> DataFrame:
+    """One column per slot, computed once and read by the line expression."""
+    return df.withColumns({f"_draw_{s}": drawn(row_id, s, seed) for s in slots})
+
+
+def pick(number: Column, options: Sequence[str]) -> Column:
+    choice = (number % len(options) + 1).cast("int")
+    return F.element_at(F.array(*[F.lit(o) for o in options]), choice)
+
+
+def between(number: Column, low: int, high: int) -> Column:
+    return number % (high - low + 1) + low
+
+
+def address(number: Column) -> Column:
+    six = F.concat(F.lit("2001:db8::"), F.lower(F.hex(between(F.shiftright(number, 7), 1, 9999))))
+    four = F.concat(
+        pick(F.shiftright(number, 7), words.IP_RANGES),
+        between(F.shiftright(number, 10), 1, 254).cast("string"),
+        F.lit("."),
+        between(F.shiftright(number, 18), 1, 254).cast("string"),
+    )
+    return F.when(number % 100 < words.IPV6_SHARE, six).otherwise(four)
+
+
+def hex_digits(number: Column) -> Column:
+    return F.md5(number.cast("string").cast("binary"))
+
+
+# ---------------------------------------------------------------- templates
+
+def names_in(template: str) -> list[str]:
+    """The names of a template in order of first use; each has its own draw."""
+    return list(dict.fromkeys(NAME.findall(template)))
+
+
+def pieces_of(template: str) -> list[tuple[str, str]]:
+    """("text", literal) and ("name", name) pieces of a template in order."""
+    out = []
+    for i, piece in enumerate(NAME.split(template)):
+        if piece:
+            out.append(("name" if i % 2 else "text", piece))
+    return out
+
+
+def name_slots(templates: Mapping) -> list[str]:
+    longest = max(len(names_in(t)) for group in templates.values() for texts, _ in group.values() for t in texts)
+    return [f"name{i}" for i in range(longest)]
+
+
+def filled_value(number: Column, name: str, fill: object) -> Column:
+    if name in ("ip", "src", "dst"):
+        return address(number)
+    if name == "sid":
+        second = between(F.shiftright(number, 8), 1000, 9999)
+        return F.concat(
+            F.lit("S-1-5-21-"), between(number, 100000, 999999).cast("string"), F.lit("-"), second.cast("string")
+        )
+    if name == "mac":
+        return F.concat_ws(":", *[F.substring(hex_digits(number), 2 * i + 1, 2) for i in range(6)])
+    if isinstance(fill, tuple):
+        return between(number, *fill).cast("string")
+    if isinstance(fill, str):
+        kind, n = fill.split(":")
+        digits = F.substring(hex_digits(number), 1, int(n))
+        return F.upper(digits) if kind == "HEX" else digits
+    return pick(number, fill)
+
+
+def filled_template(template: str, fills: Mapping, special: Mapping[str, Column]) -> Column:
+    place = {name: i for i, name in enumerate(names_in(template))}
+    parts = []
+    for kind, piece in pieces_of(template):
+        if kind == "text":
+            parts.append(F.lit(piece))
+        elif piece in special:
+            parts.append(special[piece])
+        else:
+            parts.append(filled_value(draw(f"name{place[piece]}"), piece, fills.get(piece)))
+    return F.concat(*parts)
+
+
+def filled_line(label: Column, templates: Mapping, common: Mapping, special: Mapping[str, Column]) -> Column:
+    """A template of the label's class with every name filled; only the chosen one is worked out."""
+    by_class = F
+    for class_id, group in templates.items():
+        by_family = F
+        for f, (texts, own) in enumerate(group.values()):
+            by_text = F
+            for t, text in enumerate(texts):
+                filled = filled_template(text, {**common, **own}, special)
+                by_text = by_text.when(draw("template") % len(texts) == t, filled)
+            by_family = by_family.when(draw("family") % len(group) == f, by_text)
+        by_class = by_class.when(label == class_id, by_family)
+    return by_class
+
+
+def evaluated_lazily(line: Column) -> Column:
+    """The same value, kept out of generated code.
+
+    All templates together exceed what one generated method may hold; inside a
+    lambda each row walks to its own template only.
+    """
+    return F.transform(F.array(F.lit(0)), lambda _: line)[0]
+
+
+# ---------------------------------------------------------------- lines
+
+def line_stamp(base_time: str) -> Column:
+    """A time within the last month before ``base_time`` in one of the known formats."""
+    back = between(draw("time"), 0, words.DAYS_BACK * 86400 - 1)
+    moment = F.lit(base_time).cast("timestamp_ntz") - F.make_dt_interval(secs=back.cast("decimal(18,6)"))
+    out = F
+    for i, time_format in enumerate(words.TIME_FORMATS):
+        out = out.when(draw("timeformat") % len(words.TIME_FORMATS) == i, F.date_format(moment, time_format))
+    return out
+
+
+def synthetic_rows(ids: DataFrame, id_col: str, label: Column, seed: int = SEED, base_time: str = BASE_TIME) -> DataFrame:
+    """``ID, Asset, Log, Label, Source``: one generated line per id, of the class ``label``.
+
+    Most lines start with a time stamp and a host.
+    """
+    slots = LINE_SLOTS + name_slots(words.LINE_TEMPLATES)
+    keyed = ids.select(F.col(id_col).alias("_id"), label.cast("int").alias("Label"))
+    drawn_rows = with_draws(keyed, F.col("_id"), slots, seed)
+    prefix = F.concat(line_stamp(base_time), F.lit(" "), pick(draw("host"), words.HOSTNAMES), F.lit(" "))
+    head = F.when(draw("prefix") % 100 < words.PREFIX_SHARE, prefix).otherwise("")
+    body = filled_line(F.col("Label"), words.LINE_TEMPLATES, words.COMMON_FILLS, {})
+    lines = drawn_rows.select("_id", "Label", evaluated_lazily(F.concat(head, body)).alias("Log"))
+    return lines.select(
+        F.col("_id").cast("string").alias("ID"),
+        asset_type(F.col("Log")).alias("Asset"),
+        "Log",
+        "Label",
+        F.lit(fixed.SYNTHETIC_SOURCE).alias("Source"),
+    )
+
+
+def tagger_rows(ids: DataFrame, id_col: str, label: Column, seed: int = SEED) -> DataFrame:
+    """``line_id, label, line``: short success (1) and failure (2) lines for the token tagger."""
+    own = words.TAGGER_FILLS
+    slots = ["family", "template", "time", "address", *name_slots(words.TAGGER_TEMPLATES)]
+    keyed = ids.select(F.col(id_col).alias("line_id"), label.cast("int").alias("label"))
+    first_day = F.lit(f"{own['year']}-01-01 00:00:00").cast("timestamp_ntz")
+    moment = first_day + F.make_dt_interval(secs=between(draw("time"), 0, 364 * 86400).cast("decimal(18,6)"))
+    last = between(F.shiftright(draw("address"), 8), 1, 254).cast("string")
+    special = {
+        "time": F.substring(moment.cast("string"), 1, 19),
+        "ip": F.concat(pick(draw("address"), own["ip_ranges"]), last),
+    }
+    line = filled_line(F.col("label"), words.TAGGER_TEMPLATES, own, special)
+    drawn_rows = with_draws(keyed, F.col("line_id"), slots, seed)
+    return drawn_rows.select("line_id", "label", evaluated_lazily(line).alias("line"))
+
+
+def class_by_position(position: Column, success: int, failed: int) -> Column:
+    """Class of a row by its place: successes first, then failures, then the rest."""
+    return F.when(position < success, 1).when(position < success + failed, 2).otherwise(0)
+
+
+def generated_dataset(spark: SparkSession, total: int, seed: int = SEED, base_time: str = BASE_TIME) -> DataFrame:
+    """``total`` generated rows, a third per class, the remainder without login."""
+    third = total // 3
+    return synthetic_rows(spark.range(total), "id", class_by_position(F.col("id"), third, third), seed, base_time)

@@ -30,6 +30,7 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 BANK_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
+DECIMALS = 12
 AMBIGUOUS = "Ambiguous event"
 NON_LOGIN = "Non-login event"
 
@@ -98,6 +99,11 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.where(blank, 0.0, matrix / np.where(norms == 0, 1.0, norms))
 
 
+def _cosines(rows: np.ndarray, unit_matrix: np.ndarray) -> np.ndarray:
+    """Cosines with every matrix row, rounded so that equal ones compare equal on any machine."""
+    return np.round(_unit_rows(rows) @ unit_matrix.T, DECIMALS)
+
+
 def _vector_rows(column: pa.Array, dim: int) -> np.ndarray:
     """Matrix from a list column; missing vectors or vectors of another size give zeros."""
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -172,7 +178,7 @@ def _nearest_with_whole_bank(targets: DataFrame, bank: DataFrame, column: str, e
         bank_ids, bank_matrix = shared.value
         for batch in batches:
             vectors, rows = _batch_vectors(batch, column, encoder, dim)
-            similarity = _unit_rows(vectors) @ bank_matrix.T
+            similarity = _cosines(vectors, bank_matrix)
             best = similarity.argmax(axis=1)
             top = similarity[np.arange(len(best)), best]
             if rows is not None:
@@ -214,7 +220,7 @@ def _nearest_by_blocks(
             vectors, rows = _vector_rows(values, dim), None
         else:
             vectors, rows = _distinct_rows(values, encoder, dim)
-        similarity = _unit_rows(vectors) @ matrix.T
+        similarity = _cosines(vectors, matrix)
         best = similarity.argmax(axis=1)
         top = similarity[np.arange(len(best)), best]
         if rows is not None:
@@ -312,7 +318,7 @@ def similarity_to_vectors(
         prototype_matrix = shared.value
         for batch in batches:
             vectors, rows = _batch_vectors(batch, column, encoder, dim)
-            similarity = _unit_rows(vectors) @ prototype_matrix.T
+            similarity = _cosines(vectors, prototype_matrix)
             if rows is not None:
                 similarity = similarity[rows]
             offsets = np.arange(0, similarity.size + 1, similarity.shape[1], dtype=np.int32)

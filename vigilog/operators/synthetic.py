@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ SEED = 42
 BASE_TIME = "2025-06-30 00:00:00"
 NAME = re.compile(r"\{(\w+)\}")
 LINE_SLOTS = ["family", "template", "prefix", "host", "time", "timeformat"]
+ADDRESS_NAMES = ["ip", "src", "dst"]
 
 
 # ---------------------------------------------------------------- repeatable choices
@@ -47,9 +49,10 @@ def draw(slot: str) -> Column:
     return F.col(f"_draw_{slot}")
 
 
-def with_draws(df: DataFrame, row_id: Column, slots: Sequence[str], seed: int) -> DataFrame:
-    """One column per slot, computed once and read by the line expression."""
-    return df.withColumns({f"_draw_{s}": drawn(row_id, s, seed) for s in slots})
+def with_draws(df: DataFrame, row_id: Column, slots: Sequence[str], names: Sequence[str], seed: int) -> DataFrame:
+    """One column per slot and one array for the names of the template."""
+    columns = {f"_draw_{s}": drawn(row_id, s, seed) for s in slots}
+    return df.withColumns({**columns, "_draws": F.array(*[drawn(row_id, n, seed) for n in names])})
 
 
 def pick(number: Column, options: Sequence[str]) -> Column:
@@ -97,60 +100,93 @@ def name_slots(templates: Mapping) -> list[str]:
     return [f"name{i}" for i in range(longest)]
 
 
-def filled_value(number: Column, name: str, fill: object) -> Column:
-    if name in ("ip", "src", "dst"):
-        return address(number)
-    if name == "sid":
-        second = between(F.shiftright(number, 8), 1000, 9999)
-        return F.concat(
-            F.lit("S-1-5-21-"), between(number, 100000, 999999).cast("string"), F.lit("-"), second.cast("string")
-        )
-    if name == "mac":
-        return F.concat_ws(":", *[F.substring(hex_digits(number), 2 * i + 1, 2) for i in range(6)])
-    if isinstance(fill, tuple):
-        return between(number, *fill).cast("string")
-    if isinstance(fill, str):
-        kind, n = fill.split(":")
-        digits = F.substring(hex_digits(number), 1, int(n))
-        return F.upper(digits) if kind == "HEX" else digits
-    return pick(number, fill)
-
-
-def filled_template(template: str, fills: Mapping, special: Mapping[str, Column]) -> Column:
-    place = {name: i for i, name in enumerate(names_in(template))}
-    parts = []
-    for kind, piece in pieces_of(template):
-        if kind == "text":
-            parts.append(F.lit(piece))
-        elif piece in special:
-            parts.append(special[piece])
-        else:
-            parts.append(filled_value(draw(f"name{place[piece]}"), piece, fills.get(piece)))
-    return F.concat(*parts)
-
-
-def filled_line(label: Column, templates: Mapping, common: Mapping, special: Mapping[str, Column]) -> Column:
-    """A template of the label's class with every name filled; only the chosen one is worked out."""
-    by_class = F
+PIECES = pa.list_(
+    pa.struct(
+        [
+            ("kind", pa.string()), ("text", pa.string()), ("place", pa.int32()),
+            ("low", pa.int64()), ("high", pa.int64()), ("options", pa.list_(pa.string())),
+        ]
+    )
+)
+
+
+def _piece(kind: str, piece: str, place: Mapping[str, int], fills: Mapping) -> dict:
+    row = {"kind": "text", "text": piece, "place": 0, "low": 0, "high": 0, "options": None}
+    if kind == "text":
+        return row
+    row["place"] = place[piece]
+    fill = fills.get(piece)
+    if piece in ADDRESS_NAMES:
+        row["kind"] = "address"
+    elif fill is None:
+        row["kind"] = piece
+    elif isinstance(fill, tuple):
+        row.update(kind="number", low=fill[0], high=fill[1])
+    elif isinstance(fill, str):
+        row.update(kind=fill.split(":")[0], high=int(fill.split(":")[1]))
+    else:
+        row.update(kind="list", options=list(fill))
+    return row
+
+
+def template_table(spark: SparkSession, templates: Mapping, common: Mapping) -> DataFrame:
+    """``_label, _family, _template, _families, _templates, _pieces``: one row per fixed template."""
+    rows = []
     for class_id, group in templates.items():
-        by_family = F
         for f, (texts, own) in enumerate(group.values()):
-            by_text = F
             for t, text in enumerate(texts):
-                filled = filled_template(text, {**common, **own}, special)
-                by_text = by_text.when(draw("template") % len(texts) == t, filled)
-            by_family = by_family.when(draw("family") % len(group) == f, by_text)
-        by_class = by_class.when(label == class_id, by_family)
-    return by_class
+                place = {name: i for i, name in enumerate(names_in(text))}
+                pieces = [_piece(kind, piece, place, {**common, **own}) for kind, piece in pieces_of(text)]
+                rows.append({"_label": class_id, "_family": f, "_template": t, "_pieces": pieces})
+    types = pa.schema([("_label", pa.int32()), ("_family", pa.int64()), ("_template", pa.int64()), ("_pieces", PIECES)])
+    return spark.createDataFrame(pa.Table.from_pylist(rows, types))
+
 
+def counts_by_key(pairs: Mapping[int, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
-def evaluated_lazily(line: Column) -> Column:
-    """The same value, kept out of generated code.
 
-    All templates together exceed what one generated method may hold; inside a
-    lambda each row walks to its own template only.
+def with_template(df: DataFrame, label: Column, templates: Mapping, common: Mapping) -> DataFrame:
+    """Adds ``_pieces`` of the drawn template: first the family, then one of its texts.
+
+    The template table is a fixed list of well under a hundred rows and is broadcast.
     """
-    return F.transform(F.array(F.lit(0)), lambda _: line)[0]
+    families = counts_by_key({c: len(group) for c, group in templates.items()})
+    texts = counts_by_key({c * 100 + f: len(t) for c, g in templates.items() for f, (t, _) in enumerate(g.values())})
+    family = draw("family") % F.element_at(families, label)
+    chosen = df.withColumns({"_label": label, "_family": family}).withColumn(
+        "_template", draw("template") % F.element_at(texts, (F.col("_label") * 100 + F.col("_family")).cast("int"))
+    )
+    table = template_table(df.sparkSession, templates, common)
+    return chosen.join(F.broadcast(table), ["_label", "_family", "_template"])
+
+
+def filled(special: Mapping[str, Column]) -> Column:
+    """The drawn template with every name filled."""
+
+    def fill(piece: Column) -> Column:
+        number, kind = F.col("_draws")[piece["place"]], piece["kind"]
+        sid = F.concat(
+            F.lit("S-1-5-21-"), between(number, 100000, 999999).cast("string"), F.lit("-"),
+            between(F.shiftright(number, 8), 1000, 9999).cast("string"),
+        )
+        mac = F.array_join(F.regexp_extract_all(F.substring(hex_digits(number), 1, 12), F.lit(".."), F.lit(0)), ":")
+        value = (
+            F.when(kind == "text", piece["text"])
+            .when(kind == "list", F.element_at(piece["options"], (number % F.size(piece["options"]) + 1).cast("int")))
+            .when(kind == "number", (number % (piece["high"] - piece["low"] + 1) + piece["low"]).cast("string"))
+            .when(kind == "address", special.get("ip", address(number)))
+            .when(kind == "hex", F.substring(hex_digits(number), F.lit(1), piece["high"].cast("int")))
+            .when(kind == "HEX", F.upper(F.substring(hex_digits(number), F.lit(1), piece["high"].cast("int"))))
+            .when(kind == "sid", sid)
+            .when(kind == "mac", mac)
+        )
+        for name, column in special.items():
+            if name not in ADDRESS_NAMES:
+                value = value.when(kind == name, column)
+        return value
+
+    return F.array_join(F.transform("_pieces", fill), "")
 
 
 # ---------------------------------------------------------------- lines
@@ -170,13 +206,12 @@ def synthetic_rows(ids: DataFrame, id_col: str, label: Column, seed: int = SEED,
 
     Most lines start with a time stamp and a host.
     """
-    slots = LINE_SLOTS + name_slots(words.LINE_TEMPLATES)
     keyed = ids.select(F.col(id_col).alias("_id"), label.cast("int").alias("Label"))
-    drawn_rows = with_draws(keyed, F.col("_id"), slots, seed)
+    rows = with_draws(keyed, F.col("_id"), LINE_SLOTS, name_slots(words.LINE_TEMPLATES), seed)
+    rows = with_template(rows, F.col("Label"), words.LINE_TEMPLATES, words.COMMON_FILLS)
     prefix = F.concat(line_stamp(base_time), F.lit(" "), pick(draw("host"), words.HOSTNAMES), F.lit(" "))
     head = F.when(draw("prefix") % 100 < words.PREFIX_SHARE, prefix).otherwise("")
-    body = filled_line(F.col("Label"), words.LINE_TEMPLATES, words.COMMON_FILLS, {})
-    lines = drawn_rows.select("_id", "Label", evaluated_lazily(F.concat(head, body)).alias("Log"))
+    lines = rows.select("_id", "Label", F.concat(head, filled({})).alias("Log"))
     return lines.select(
         F.col("_id").cast("string").alias("ID"),
         asset_type(F.col("Log")).alias("Asset"),
@@ -189,8 +224,10 @@ def synthetic_rows(ids: DataFrame, id_col: str, label: Column, seed: int = SEED,
 def tagger_rows(ids: DataFrame, id_col: str, label: Column, seed: int = SEED) -> DataFrame:
     """``line_id, label, line``: short success (1) and failure (2) lines for the token tagger."""
     own = words.TAGGER_FILLS
-    slots = ["family", "template", "time", "address", *name_slots(words.TAGGER_TEMPLATES)]
     keyed = ids.select(F.col(id_col).alias("line_id"), label.cast("int").alias("label"))
+    slots = ["family", "template", "time", "address"]
+    rows = with_draws(keyed, F.col("line_id"), slots, name_slots(words.TAGGER_TEMPLATES), seed)
+    rows = with_template(rows, F.col("label"), words.TAGGER_TEMPLATES, {k: v for k, v in own.items() if isinstance(v, list)})
     first_day = F.lit(f"{own['year']}-01-01 00:00:00").cast("timestamp_ntz")
     moment = first_day + F.make_dt_interval(secs=between(draw("time"), 0, 364 * 86400).cast("decimal(18,6)"))
     last = between(F.shiftright(draw("address"), 8), 1, 254).cast("string")
@@ -198,9 +235,7 @@ def tagger_rows(ids: DataFrame, id_col: str, label: Column, seed: int = SEED) ->
         "time": F.substring(moment.cast("string"), 1, 19),
         "ip": F.concat(pick(draw("address"), own["ip_ranges"]), last),
     }
-    line = filled_line(F.col("label"), words.TAGGER_TEMPLATES, own, special)
-    drawn_rows = with_draws(keyed, F.col("line_id"), slots, seed)
-    return drawn_rows.select("line_id", "label", evaluated_lazily(line).alias("line"))
+    return rows.select("line_id", "label", filled(special).alias("line"))
 
 
 def class_by_position(position: Column, success: int, failed: int) -> Column:

@@ -30,11 +30,10 @@ CATEGORIZED = f"categorized AS (SELECT *, {category('line')} AS event_category F
 SIZE = queries.ENCODER_SIZE
 
 oracle("failed_login_alert", AUTH_LINES, CATEGORIZED, f"""
-  SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS window_start,
-    time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 7 DAY AS window_end,
-    {search_field('src_ip')} AS src_ip, {search_field('user')} AS user, count(*) AS failures
-  FROM categorized WHERE event_category = 'authentication_failure'
-  GROUP BY ALL HAVING count(*) > 5 AND src_ip IS NOT NULL AND user IS NOT NULL""")
+  SELECT start AS window_start, start + INTERVAL 7 DAY AS window_end, src_ip, user_name AS user, count(*) AS failures
+  FROM (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, {search_field('src_ip')} AS src_ip,
+      {search_field('user')} AS user_name FROM categorized WHERE event_category = 'authentication_failure')
+  WHERE src_ip IS NOT NULL AND user_name IS NOT NULL GROUP BY start, src_ip, user_name HAVING count(*) > 5""")
 oracle("security_summary", AUTH_LINES, CATEGORIZED, "SELECT event_category, count(*) AS events FROM categorized GROUP BY 1")
 oracle("hourly_activity", AUTH_LINES, CATEGORIZED,
        "SELECT date_trunc('hour', ts) AS hour, event_category, count(*) AS events FROM categorized GROUP BY ALL")
@@ -211,7 +210,7 @@ oracle(
   psize AS (SELECT ord, category, label, sqrt(sum(w * w)) AS size FROM protos GROUP BY ALL),
   vsize AS (SELECT norm, sqrt(sum(n * n)) AS size FROM v GROUP BY norm),
   dots AS (SELECT v.norm, p.ord, sum(v.n * p.w) AS dot FROM v JOIN protos p USING (slot) GROUP BY ALL),
-  sims AS (SELECT t.norm, p.ord, p.category, p.label, coalesce(d.dot / (p.size * s.size), 0) AS sim
+  sims AS (SELECT t.norm, p.ord, p.category, p.label, round(coalesce(d.dot / (p.size * s.size), 0), 12) AS sim
     FROM texts t CROSS JOIN psize p LEFT JOIN vsize s ON s.norm = t.norm LEFT JOIN dots d ON d.norm = t.norm AND d.ord = p.ord),
   wide AS (SELECT norm, max(sim) AS best, arg_min(category, (-round(sim, 12), ord)) AS category, arg_min(label, (-round(sim, 12), ord)) AS label,
       max(sim) FILTER (WHERE ord < 2) AS inside, max(sim) FILTER (WHERE ord = 2) AS outside,
@@ -332,7 +331,7 @@ oracle("class_quota", CORRECTIONS, EVENT_QUOTAS, 'SELECT "Label"::INTEGER AS "La
 oracle("quota_sample", CORRECTIONS, quota_tables("(SELECT count(*) FROM documents)"), AUTH_LINES, CATEGORIZED, f"""
   placed AS (SELECT line_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || line_id), line_id) AS place FROM (
     SELECT line_id, CASE event_category WHEN 'authentication_success' THEN 1 WHEN 'authentication_failure' THEN 2 ELSE 0 END AS label FROM categorized))""", """
-  SELECT line_id, label::INTEGER AS "Label" FROM placed JOIN quotas ON label = "Label" WHERE place <= quota""")
+  SELECT line_id, p.label::INTEGER AS "Label" FROM placed p JOIN quotas u ON p.label = u."Label" WHERE place <= quota""")
 oracle("synthetic_logs", GENERATED, """
   SELECT id AS line_id, line, asset AS "Asset", label AS "Label", 'synthetic' AS "Source" FROM generated""")
 oracle("tagger_logs", TAGGER, "SELECT line_id, label::INTEGER AS label, line FROM tagger_lines")
@@ -384,8 +383,8 @@ oracle("bio_spans", TAGGER, TAGS, span_table("found", "tags"), "SELECT line_id,
 oracle("last_entities", AUTH_LINES, tag_table("tags", "auth_lines"), span_table("found", "tags"), """
   SELECT line_id, type, arg_max(value, ord) AS value FROM found GROUP BY line_id, type""")
 oracle("span_tokens", AUTH_LINES, offset_table("spans", "auth_lines"), """
-  SELECT line_id, string_agg(token, ' ' ORDER BY pos) AS inside FROM spans JOIN (SELECT line_id, strpos(line, ':') - 3 AS at FROM auth_lines) USING (line_id)
-  WHERE start_at >= at AND end_at <= at + 8 GROUP BY line_id""")
+  SELECT line_id, string_agg(token, ' ' ORDER BY pos) AS inside FROM spans JOIN (SELECT line_id, strpos(line, ':') - 3 AS place FROM auth_lines) USING (line_id)
+  WHERE start_at >= place AND end_at <= place + 8 GROUP BY line_id""")
 oracle("tag_index", TAGGER, TAGS, "SELECT tag, row_number() OVER (ORDER BY tag) AS idx FROM (SELECT DISTINCT tag FROM tags)")
 oracle("decoded_tags", TAGGER, TAGS, "SELECT tag, tag AS decoded, count(*) AS tokens FROM tags GROUP BY tag")
 oracle("encoded_batches", AUTH_LINES, token_table("tokens", "auth_lines"), vocabulary_table("vocabulary", "tokens"), """

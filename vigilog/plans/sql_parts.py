@@ -268,9 +268,9 @@ def tag_table(name: str, lines: str) -> str:
         whole = q("(?i)" + pattern)
         group = 1 if tag in TAG_LEADS else 0
         lead = f"length(regexp_extract(match, {q(TAG_LEADS[tag])}))" if group else "0"
-        spans.append(f"""SELECT line_id, {order} AS ord, {q(tag)} AS tag, at + {lead} AS s, at + {lead} + length(part) AS e FROM (
+        spans.append(f"""SELECT line_id, {order} AS ord, {q(tag)} AS tag, place + {lead} AS s, place + {lead} + length(part) AS e FROM (
   SELECT line_id, matches[k] AS match, parts[k] AS part,
-    list_sum([length(x) for x in gaps[1:k]]) + coalesce(list_sum([length(x) for x in matches[1:k-1]]), 0) AS at
+    list_sum([length(x) for x in gaps[1:k]]) + coalesce(list_sum([length(x) for x in matches[1:k-1]]), 0) AS place
   FROM (SELECT line_id, regexp_extract_all(line, {whole}) AS matches, regexp_extract_all(line, {whole}, {group}) AS parts,
       string_split_regex(line, {whole}) AS gaps, unnest(range(1, len(regexp_extract_all(line, {whole})) + 1)) AS k
     FROM {lines}))""")

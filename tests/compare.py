@@ -49,9 +49,14 @@ def sql_rows(con, sql: str) -> tuple[list[str], list[tuple]]:
     return [d[0] for d in cursor.description], cursor.fetchall()
 
 
+SPENT = {}
+
+
 def difference(spark, con, function, sql: str | None, folder: str) -> tuple[str, int]:
     """('' when equal, else what differs; number of rows)."""
+    start = time.time()
     names, rows = spark_rows(function(spark, folder))
+    SPENT["spark"] = time.time() - start
     if sql is None:
         return "", len(rows)
     sql_names, expected = sql_rows(con, sql)
@@ -84,7 +89,7 @@ def main() -> int:
             problem, n = f"{type(error).__name__}: {str(error)[:600]}", -1
         bad += bool(problem)
         kind = "rows-only" if name not in sqls else "ok" if not problem else "DIFF"
-        print(f"{kind:9} {name:28} {n:8} {time.time() - start:6.2f}s {problem[:900]}", flush=True)
+        print(f"{kind:9} {name:28} {n:8} {time.time() - start:6.2f}s (spark {SPENT.get('spark', 0):5.2f}s) {problem[:900]}", flush=True)
     print("bad:", bad)
     return bad
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigilog import fixed_values as fixed
+REGEX_SIGNS = re.compile(r"[\\^$.|?*+()\[\]]")
 
 
 def escape_braces(pattern: str) -> str:
@@ -19,25 +20,24 @@ def any_of(patterns: Sequence[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def dictionary_hit(line: Column, patterns: Sequence[str]) -> Column:
-    """Whether any dictionary pattern of a category is found (one alternation)."""
-    return line.rlike(any_of([escape_braces(p) for p in patterns]))
+def dictionary_hit(line: Column, pattern: str) -> Column:
+    """Whether a dictionary pattern is found; one without regex signs is a plain substring test."""
+    if REGEX_SIGNS.search(pattern):
+        return line.rlike(escape_braces(pattern))
+    return line.contains(pattern)
 
 
 def dictionary_hits(line: Column, patterns: Sequence[str]) -> Column:
     """Ordinals (from 0) of the dictionary patterns found in the line."""
-    flags = [F.when(line.rlike(escape_braces(p)), F.lit(i)) for i, p in enumerate(patterns)]
-    listed = F.array_compact(F.array(*flags))
-    none = F.array().cast("array<int>")
-    return F.when(dictionary_hit(line, patterns), listed).otherwise(none)
+    flags = [F.when(dictionary_hit(line, p), F.lit(i)) for i, p in enumerate(patterns)]
+    return F.array_compact(F.array(*flags))
 
 
-def dictionary_label(line: Column, patterns: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """Category whose patterns hit; failures win over successes."""
-    patterns = fixed.EVENT_PATTERNS if patterns is None else patterns
+def dictionary_label(hits: Mapping[str, Column]) -> Column:
+    """Category with hits; failures win over successes."""
     out = F
-    for category in sorted(patterns, key=lambda c: not c.endswith("failure")):
-        out = out.when(dictionary_hit(line, patterns[category]), F.lit(category))
+    for category in sorted(hits, key=lambda c: not c.endswith("failure")):
+        out = out.when(F.size(hits[category]) > 0, F.lit(category))
     return out.otherwise(F.lit("none"))
 
 

@@ -13,18 +13,30 @@ from vigilog.functions.tokens import bigrams
 LONG_WORD = rf"[{fixed.WORD_CLASS}]{{2,}}"
 
 
-def token_breakdown(line: Column, example: Column) -> list[Column]:
-    """Shared and one-sided normalised words and the shared phrases, as arrays."""
-    mine = F.array_distinct(split_words(normalize_text(line)))
-    theirs = F.array_distinct(split_words(normalize_text(example)))
-    common = F.array_sort(F.array_intersect(mine, theirs))
-    phrases = F.filter(bigrams(split_words(line)), lambda b: F.contains(example, b))
-    return [
-        common.alias("common_tokens"),
-        F.array_sort(F.array_except(mine, theirs)).alias("unique_to_log"),
-        F.array_sort(F.array_except(theirs, mine)).alias("unique_to_example"),
-        F.concat(common, phrases).alias("important_phrases"),
-    ]
+def token_breakdown(pairs: DataFrame, line: str, example: str) -> DataFrame:
+    """Adds the shared and one-sided normalised words and the shared phrases, as arrays.
+
+    The word sets are worked out once, in a projection of their own.
+    """
+    texts = pairs.withColumns({"_line": normalize_text(F.col(line)), "_example": normalize_text(F.col(example))})
+    sets = texts.withColumns(
+        {
+            "_mine": F.array_distinct(split_words(F.col("_line"), squeezed=True)),
+            "_theirs": F.array_distinct(split_words(F.col("_example"), squeezed=True)),
+            "_words": split_words(F.col(line)),
+        }
+    )
+    phrases = F.filter(bigrams(F.col("_words")), lambda b: F.contains(F.col(example), b))
+    found = sets.withColumns(
+        {
+            "common_tokens": F.array_sort(F.array_intersect("_mine", "_theirs")),
+            "unique_to_log": F.array_sort(F.array_except("_mine", "_theirs")),
+            "unique_to_example": F.array_sort(F.array_except("_theirs", "_mine")),
+            "_phrases": phrases,
+        }
+    )
+    joined = F.concat("common_tokens", "_phrases")
+    return found.withColumn("important_phrases", joined).drop("_line", "_example", "_mine", "_theirs", "_words", "_phrases")
 
 
 def tfidf_similarity(pairs: DataFrame, key: list[str], first: str, second: str, out: str = "lexical") -> DataFrame:

@@ -23,10 +23,10 @@ def collapse_spaces(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"[{fixed.WHITESPACE_CLASS}]+", " "))
 
 
-def split_words(text: Column) -> Column:
+def split_words(text: Column, squeezed: bool = False) -> Column:
     """Whitespace-separated words; blank text gives an empty array."""
-    squeezed = collapse_spaces(text)
-    return F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, " ", -1))
+    words = F.split(text if squeezed else collapse_spaces(text), " ", -1)
+    return F.filter(words, lambda w: w != "")
 
 
 def is_filled(text: Column) -> Column:

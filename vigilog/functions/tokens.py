@@ -141,7 +141,8 @@ def entity_spans(tagged: Column) -> Column:
         outside = F.struct(
             F.lit("").alias("type"), F.array().cast("array<string>").alias("tokens"), closed(acc).alias("done")
         )
-        return F.when(begins, opened).when(continues, longer).otherwise(outside)
+        idle = (t["tag"] == "O") & (acc["type"] == "")
+        return F.when(idle, acc).when(begins, opened).when(continues, longer).otherwise(outside)
 
     spans = F.aggregate(tagged, empty, step, closed)
     return F.transform(

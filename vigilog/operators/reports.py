@@ -232,11 +232,10 @@ def peak_hour(lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- patterns
 
 def dictionary_labels(lines: DataFrame, patterns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Which dictionary patterns hit each line, per category, and the label."""
+    """Adds which dictionary patterns hit each line, per category, and the label."""
     patterns = fixed.EVENT_PATTERNS if patterns is None else patterns
-    line = F.col("line")
-    hits = [dictionary_hits(line, p).alias(f"{category}_hits") for category, p in patterns.items()]
-    return lines.select("line_id", *hits, dictionary_label(line, patterns).alias("label"))
+    found = lines.withColumns({f"{c}_hits": dictionary_hits(F.col("line"), p) for c, p in patterns.items()})
+    return found.withColumn("label", dictionary_label({c: F.col(f"{c}_hits") for c in patterns}))
 
 
 def security_pattern_matches(lines: DataFrame, patterns: Sequence[tuple[str, str, float, list[str]]] | None = None) -> DataFrame:

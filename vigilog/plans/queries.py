@@ -242,7 +242,7 @@ def peak_hour(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def event_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    found = reports.dictionary_labels(generated(spark, folder))
+    found = reports.dictionary_labels(generated(spark, folder).select("line_id", "line")).drop("line")
     return found.withColumns({f"{c}_hits": F.array_join(F.col(f"{c}_hits").cast("array<string>"), "|") for c in fixed.EVENT_PATTERNS})
 
 
@@ -394,8 +394,7 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def token_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    parts = similarity.token_breakdown(F.col("first"), F.col("second"))
-    found = pairs(spark, folder).select("conv_id", "turn", *parts)
+    found = similarity.token_breakdown(pairs(spark, folder), "first", "second").drop("first", "second")
     return found.withColumns({c: joined(c) for c in found.columns[2:]})
 
 

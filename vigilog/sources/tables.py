@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from vigilog.functions.text import is_filled, strip
 
 LINE_BITS = 24
+MOST_SPREAD = 32
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame, most: int = MOST_SPREAD) -> DataFrame:
+    """A table in fewer file splits than cores, dealt out over the cores.
+
+    One small file is one split, and regexes over it would keep one core busy. A
+    table with enough splits is left alone, so large inputs are never shuffled here.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def auth_line(event_id: Column, ts_text: Column, user_id: Column, event_type: Column) -> Column:

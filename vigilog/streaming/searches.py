@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from vigilog.functions.fields import search_fields
-from vigilog.functions.patterns import dictionary_label
+from vigilog.functions.fields import search_field
+from vigilog.operators.reports import dictionary_labels
 from vigilog.operators.searches import failed_login_counts, with_event_category
 
 WATERMARK = "1 hour"
@@ -52,10 +52,8 @@ def _bounds() -> list[Column]:
 
 def classified_stream(lines: DataFrame) -> DataFrame:
     """Every line with its category, dictionary label and search fields; keeps no state."""
-    line = F.col("line")
-    return with_event_category(lines).withColumn("label", dictionary_label(line)).withColumns(
-        {name: column for name, column in zip(("user", "src_ip", "action"), search_fields(line))}
-    )
+    found = dictionary_labels(with_event_category(lines))
+    return found.withColumns({name: search_field(F.col("line"), name) for name in ("user", "src_ip", "action")})
 
 
 def feedback_stream(records: DataFrame, watermark: str | None = None) -> DataFrame:

@@ -192,6 +192,11 @@ def _nearest_with_whole_bank(targets: DataFrame, bank: DataFrame, column: str, e
     return targets.mapInArrow(score, StructType(targets.schema.fields + added))
 
 
+def copies(n: int) -> Column:
+    """The numbers 0 to n - 1, one row each."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+
 def _nearest_by_blocks(
     targets: DataFrame, bank: DataFrame, column: str, encoder: Encoder | None, dim: int, id_col: str, bank_rows: int
 ) -> DataFrame:
@@ -206,10 +211,10 @@ def _nearest_by_blocks(
     chunks = max(1, -(-target_rows // (BLOCK_ROWS * 4)))
     some_targets = targets.select(F.col(id_col).alias("_id"), column).withColumn(
         "_chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks))
-    ).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    ).withColumn("_block", copies(blocks))
     some_bank = bank.select("idx", column).withColumn(
         "_block", F.pmod(F.xxhash64("idx"), F.lit(blocks))
-    ).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("bigint"))
+    ).withColumn("_chunk", copies(chunks))
 
     def best_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -254,8 +259,8 @@ def with_example(scored: DataFrame, bank: DataFrame, max_bank_bytes: int = BANK_
     if size <= max_bank_bytes:
         return scored.join(F.broadcast(names), "most_similar_positive_idx", "left")
     salt = F.pmod(F.xxhash64(*scored.columns[:1]), F.lit(salts))
-    copies = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
-    return scored.withColumn("_salt", salt).join(copies, ["most_similar_positive_idx", "_salt"], "left").drop("_salt")
+    salted = names.withColumn("_salt", copies(salts))
+    return scored.withColumn("_salt", salt).join(salted, ["most_similar_positive_idx", "_salt"], "left").drop("_salt")
 
 
 def similarity_results(lines: DataFrame, bank: DataFrame, encoder: Encoder, max_bank_bytes: int = BANK_BYTES) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +32,11 @@ def local_session(cores: int | str = "*", app: str = "vigilog", **extra: str) ->
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="vigilog-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -41,6 +47,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="vigilog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/vigilog-{name}-{uuid.uuid4().hex[:12]}"

@@ -30,31 +30,37 @@ def numbered(
     them. A row's number is its place in its block plus the rows before the block,
     summed level by level, so no task sees more than one block or one level's list.
     """
-    by, names = list(by), [f"_level{i}" for i in range(len(levels))]
-    blocked = df.withColumns(dict(zip(names, levels)))
-    counts = blocked.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_n"))
+    names = [f"_level{i}" for i in range(len(levels))]
+    # A struct is never null, so rows without a value in ``by`` form a group as well.
+    group = F.struct(*by) if by else F.lit(0)
+    blocked = df.withColumns({"_group": group, **dict(zip(names, levels))})
+    counts = blocked.groupBy("_group", *names).agg(F.count(F.lit(1)).alias("_n"))
     offsets = None
     for depth in range(1, len(names) + 1):
-        outer, level = [*by, *names[: depth - 1]], names[depth - 1]
+        outer, level = ["_group", *names[: depth - 1]], names[depth - 1]
         sums = counts if depth == len(names) else counts.groupBy(*outer, level).agg(F.sum("_n").alias("_n"))
         before = Window.partitionBy(*outer).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
         step = sums.select(*outer, level, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_before{depth}"))
         offsets = step if offsets is None else offsets.join(step, outer)
     total = sum((F.col(f"_before{d}") for d in range(1, len(names) + 1)), F.lit(0))
-    offsets = offsets.select(*by, *names, total.alias("_offset"))
-    in_block = Window.partitionBy(*by, *names).orderBy(*order)
+    offsets = offsets.select("_group", *names, total.alias("_offset"))
+    in_block = Window.partitionBy("_group", *names).orderBy(*order)
     return (
         blocked.withColumn("_in_block", F.row_number().over(in_block))
-        .join(offsets, [*by, *names])
+        .join(offsets, ["_group", *names])
         .withColumn(out, F.col("_offset") + F.col("_in_block"))
-        .drop(*names, "_in_block", "_offset")
+        .drop("_group", *names, "_in_block", "_offset")
     )
 
 
+def id_blocks(ident: Column, *bits: int) -> list[Column]:
+    """Levels that cut a bigint id into blocks of 2^bits; rows without an id come first."""
+    return [F.coalesce(F.shiftright(ident, b), F.lit(-1).cast("bigint")) for b in bits]
+
+
 def numbered_by_id(df: DataFrame, by: Sequence[str], id_col: str, out: str = "line_number") -> DataFrame:
     """Number rows from 1 by a non-negative bigint id that is unique within ``by``."""
-    levels = [F.shiftright(F.col(id_col), 2 * BLOCK_BITS), F.shiftright(F.col(id_col), BLOCK_BITS)]
-    return numbered(df, by, levels, [id_col], out)
+    return numbered(df, by, id_blocks(F.col(id_col), 2 * BLOCK_BITS, BLOCK_BITS), [id_col], out)
 
 
 def shuffle_key(id_col: str | Column, seed: int) -> Column:
@@ -72,7 +78,7 @@ def shuffled_positions(df: DataFrame, id_col: str, seed: int, by: Sequence[str]
     """Each row's place (from 1) in the pseudo-random order, within ``by`` when given."""
     keyed = df.withColumn("_key", shuffle_key(id_col, seed))
     # Hex digits are even: 4,096 blocks of 256 blocks each.
-    levels = [F.substring("_key", 1, 3), F.substring("_key", 1, 5)]
+    levels = [F.coalesce(F.substring("_key", 1, n), F.lit("")) for n in (3, 5)]
     return numbered(keyed, by, levels, ["_key", id_col], out).drop("_key")
 
 

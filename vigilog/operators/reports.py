@@ -122,62 +122,66 @@ def top_scores(scores: DataFrame, column: str, id_col: str, n: int = fixed.TOP_R
 def score_histogram(scores: DataFrame, column: str, bins: int = fixed.HISTOGRAM_BINS) -> DataFrame:
     """Counts in equal-width bins, each closed on the left, the last on both sides.
 
-    The extremes come in as scalar subqueries; the counts are summed per task
+    The extremes come in as one scalar subquery; the counts are summed per task
     first. Empty bins are kept.
     """
-    low, high = _extreme(scores, column, F.min), _extreme(scores, column, F.max)
-    flat = low == high
-    start, stop = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
-    place = F.floor((F.col(column) - start) / (stop - start) * bins)
-    binned = scores.filter(F.col(column).isNotNull()).groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
-    counts = binned.agg(F.count(F.lit(1)).alias("events"))
-    every = _bin_rows(scores, bins, 0)
-    edges = every.select(
+    extremes = _extremes(scores, column)
+    low, high = F.col("_range.low"), F.col("_range.high")
+    # All values equal: the range is opened by a half on either side.
+    start, stop = F.when(low == high, low - 0.5).otherwise(low), F.when(low == high, high + 0.5).otherwise(high)
+    found = scores.filter(F.col(column).isNotNull()).select(column, extremes.alias("_range"))
+    place = F.least(F.floor((F.col(column) - start) / (stop - start) * bins), F.lit(bins - 1))
+    counts = found.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("events"))
+    edges = _bin_rows(scores, bins, 0).withColumn("_range", extremes).select(
         "bin",
         (start + (stop - start) / bins * F.col("bin")).alias("lower"),
         (start + (stop - start) / bins * (F.col("bin") + 1)).alias("upper"),
     )
-    return edges.join(counts, "bin", "left").withColumn("events", F.coalesce("events", F.lit(0))).orderBy("bin")
+    return _with_counts(edges, counts)
 
 
 def equal_width_bins(values: DataFrame, column: str, bins: int = fixed.ATTACK_BINS) -> DataFrame:
     """Counts in equal-width bins closed on the right, the lowest edge widened by 0.1 %.
 
-    Values are counted per distinct value first; the bin of a value is found by
-    comparing it with the bin edges themselves.
+    Values are counted per distinct value first, and the extremes come from those
+    counts. The bin of a value is found by comparing it with the bin edges.
     """
     distinct = values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    low, high = _extreme(values, column, F.min), _extreme(values, column, F.max)
+    extremes = _extremes(distinct, column)
+    low, high = F.col("_range.low"), F.col("_range.high")
     flat = low == high
     # All values equal: the range is opened by 0.1 % of the value on either side.
     pad = F.when(low == 0, 0.001).otherwise(F.abs(low) * 0.001)
     start, stop = F.when(flat, low - pad).otherwise(low), F.when(flat, high + pad).otherwise(high)
     step = (stop - start) / bins
-
-    def upper(i: int) -> Column:
-        return stop if i == bins else start + step * i
-
     place = F.lit(1)
     for i in range(1, bins):
-        place = place + (F.col(column) > upper(i)).cast("int")
-    counts = distinct.groupBy(place.alias("bin")).agg(F.sum("_n").alias("events"))
+        place = place + (F.col(column) > start + step * i).cast("int")
+    placed = distinct.withColumn("_range", extremes)
+    counts = placed.groupBy(place.alias("bin")).agg(F.sum("_n").alias("events"))
     first_edge = F.when(flat, start).otherwise(start - (stop - start) * 0.001)
-    edges = _bin_rows(values, bins, 1).select(
+    edges = _bin_rows(values, bins, 1).withColumn("_range", extremes).select(
         "bin",
         F.when(F.col("bin") == 1, first_edge).otherwise(start + step * (F.col("bin") - 1)).alias("lower"),
         F.when(F.col("bin") == bins, stop).otherwise(start + step * F.col("bin")).alias("upper"),
     )
-    return edges.join(counts, "bin", "left").withColumn("events", F.coalesce("events", F.lit(0))).orderBy("bin")
+    return _with_counts(edges, counts)
 
 
-def _extreme(df: DataFrame, column: str, function) -> Column:
-    return df.agg(function(column)).scalar().cast("double")
+def _extremes(df: DataFrame, column: str) -> Column:
+    """Struct of the smallest and largest value, as a scalar subquery."""
+    both = F.struct(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
+    return df.agg(both).scalar()
 
 
 def _bin_rows(df: DataFrame, bins: int, first: int) -> DataFrame:
     return df.sparkSession.range(first, first + bins, numPartitions=1).select(F.col("id").cast("int").alias("bin"))
 
 
+def _with_counts(edges: DataFrame, counts: DataFrame) -> DataFrame:
+    return edges.join(counts, "bin", "left").withColumn("events", F.coalesce("events", F.lit(0))).orderBy("bin")
+
+
 # ---------------------------------------------------------------- counts
 
 def value_counts(df: DataFrame, *columns: str, limit: int | None = None) -> DataFrame:
@@ -273,7 +277,7 @@ def detect_attacks(
     pattern list is worked through in several such passes.
     """
     patterns = fixed.ATTACK_PATTERNS if patterns is None else patterns
-    wanted = [(c, p) for c in (categories or patterns) if c in patterns for p in patterns[c]]
+    wanted = [(c, p) for c in (patterns if categories is None else categories) if c in patterns for p in patterns[c]]
     result = None
     for at in range(0, max(len(wanted), 1), PATTERNS_PER_PASS):
         part = wanted[at:at + PATTERNS_PER_PASS]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
 from vigilog.functions.tokens import bio_tags, entity_spans, tokenize
-from vigilog.operators.ranking import BLOCK_BITS, numbered, numbered_by_id
+from vigilog.operators.ranking import BLOCK_BITS, id_blocks, numbered, numbered_by_id
 
 PADDING, UNKNOWN, FIRST_WORD = 0, 1, 2
 HEAD_WORDS = 50_000
@@ -45,8 +45,8 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     counts = tokens.groupBy(F.lower("token").alias("word")).agg(
         F.count(F.lit(1)).alias("occurrences"), F.min(seen).alias("first_seen")
     )
-    first_line = F.shiftright(F.col("first_seen"), POSITION_BITS)
-    levels = [-F.col("occurrences"), F.shiftright(first_line, 2 * BLOCK_BITS), F.shiftright(first_line, BLOCK_BITS)]
+    blocks = id_blocks(F.col("first_seen"), POSITION_BITS + 2 * BLOCK_BITS, POSITION_BITS + BLOCK_BITS)
+    levels = [F.coalesce(-F.col("occurrences"), F.lit(0)), *blocks]
     placed = numbered(counts, [], levels, ["first_seen"], "_place")
     return placed.select("word", (F.col("_place") + (FIRST_WORD - 1)).cast("bigint").alias("idx"), "occurrences")
 

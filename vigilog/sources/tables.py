@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.functions.text import is_filled, strip
@@ -25,52 +25,44 @@ def spread(df: DataFrame, most: int = MOST_SPREAD) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
-def auth_line(event_id: Column, ts_text: Column, user_id: Column, event_type: Column) -> Column:
-    """A log line for an event: sshd, postgres, apache2 or kernel by event type."""
-    user = F.concat(F.lit("user"), user_id)
-    ip = F.concat(F.lit("10.0."), user_id % 4, F.lit("."), user_id % 250 + 1)
-    pid = event_id % 60000 + 1000
-    error = F.when(
-        event_id % 3 == 0,
-        F.concat(F.lit("sshd["), pid, F.lit("]: ERROR authentication failed; failed login for user="), user,
-                 F.lit(" from "), ip),
-    ).otherwise(
-        F.concat(F.lit("sshd["), pid, F.lit("]: Failed password login for user="), user, F.lit(" from "), ip,
-                 F.lit(" port 22 ssh2"))
-    )
-    signup = F.concat(F.lit("sshd["), pid, F.lit("]: Successful login INFO for user="), user, F.lit(" from "), ip,
-                      F.lit(" port 22 ssh2"))
-    purchase = F.concat(F.lit("postgres["), pid, F.lit("]: LOG:  connection authorized: user="), user,
-                        F.lit(" database=prod session_id=s"), event_id)
-    click = F.concat(F.lit("apache2["), pid, F.lit("]: "), ip, F.lit(" GET /index.html"),
-                     F.when(event_id % 11 == 0, " union select").otherwise(""),
-                     F.when(event_id % 13 == 0, " <script>").otherwise(""))
-    body = (
-        F.when(event_type == "error", error)
-        .when(event_type == "signup", signup)
-        .when(event_type == "purchase", purchase)
-        .when(event_type == "click", click)
-        .otherwise(F.lit("kernel: WARN eth0 state change on web-prod-01"))
-    )
-    return F.concat(F.substring(ts_text, 1, 19), F.lit(" host-"), event_id % 7, F.lit(" "), body)
+AUTH_LINE = """
+  concat(substring(cast(ts AS string), 1, 19), ' host-', event_id % 7, ' ', CASE
+    WHEN event_type = 'error' AND event_id % 3 = 0 THEN concat(
+      'sshd[', event_id % 60000 + 1000, ']: ERROR authentication failed; failed login for user=user', user_id,
+      ' from 10.0.', user_id % 4, '.', user_id % 250 + 1)
+    WHEN event_type = 'error' THEN concat(
+      'sshd[', event_id % 60000 + 1000, ']: Failed password login for user=user', user_id,
+      ' from 10.0.', user_id % 4, '.', user_id % 250 + 1, ' port 22 ssh2')
+    WHEN event_type = 'signup' THEN concat(
+      'sshd[', event_id % 60000 + 1000, ']: Successful login INFO for user=user', user_id,
+      ' from 10.0.', user_id % 4, '.', user_id % 250 + 1, ' port 22 ssh2')
+    WHEN event_type = 'purchase' THEN concat(
+      'postgres[', event_id % 60000 + 1000, ']: LOG:  connection authorized: user=user', user_id,
+      ' database=prod session_id=s', event_id)
+    WHEN event_type = 'click' THEN concat(
+      'apache2[', event_id % 60000 + 1000, ']: 10.0.', user_id % 4, '.', user_id % 250 + 1, ' GET /index.html',
+      CASE WHEN event_id % 11 = 0 THEN ' union select' ELSE '' END,
+      CASE WHEN event_id % 13 = 0 THEN ' <script>' ELSE '' END)
+    ELSE 'kernel: WARN eth0 state change on web-prod-01' END)
+"""
 
 
 def auth_lines(events: DataFrame) -> DataFrame:
     """``line_id, ts, user_id, event_type, source, line`` from the events table.
 
-    Only the four columns used are read. ``ts`` stays a time without zone, so no
-    result depends on the session time zone. The line comes out of a one-element
+    A line is written by sshd, postgres, apache2 or the kernel, by event type. Only
+    the four columns used are read. ``ts`` stays a time without zone, so no result
+    depends on the session time zone. The line comes out of a one-element
     ``explode``: filters on it then read it like a stored column, where otherwise
     each of them would build the text again.
     """
-    line = auth_line(F.col("event_id"), F.col("ts").cast("string"), F.col("user_id"), F.col("event_type"))
-    return events.select(
-        F.col("event_id").alias("line_id"),
+    return events.selectExpr(
+        "event_id AS line_id",
         "ts",
         "user_id",
         "event_type",
-        F.concat(F.lit("host-"), F.col("event_id") % 7).alias("source"),
-        F.explode(F.array(line)).alias("line"),
+        "concat('host-', event_id % 7) AS source",
+        f"explode(array({AUTH_LINE})) AS line",
     )
 
 

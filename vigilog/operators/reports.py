@@ -129,10 +129,10 @@ def score_histogram(scores: DataFrame, column: str, bins: int = fixed.HISTOGRAM_
     low, high = F.col("_range.low"), F.col("_range.high")
     # All values equal: the range is opened by a half on either side.
     start, stop = F.when(low == high, low - 0.5).otherwise(low), F.when(low == high, high + 0.5).otherwise(high)
-    found = scores.filter(F.col(column).isNotNull()).select(column, extremes.alias("_range"))
+    found = scores.filter(F.col(column).isNotNull()).select(column, extremes)
     place = F.least(F.floor((F.col(column) - start) / (stop - start) * bins), F.lit(bins - 1))
     counts = found.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("events"))
-    edges = _bin_rows(scores, bins, 0).withColumn("_range", extremes).select(
+    edges = _bin_rows(scores, bins, 0).select("bin", extremes).select(
         "bin",
         (start + (stop - start) / bins * F.col("bin")).alias("lower"),
         (start + (stop - start) / bins * (F.col("bin") + 1)).alias("upper"),
@@ -157,10 +157,10 @@ def equal_width_bins(values: DataFrame, column: str, bins: int = fixed.ATTACK_BI
     place = F.lit(1)
     for i in range(1, bins):
         place = place + (F.col(column) > start + step * i).cast("int")
-    placed = distinct.withColumn("_range", extremes)
+    placed = distinct.select(column, "_n", extremes)
     counts = placed.groupBy(place.alias("bin")).agg(F.sum("_n").alias("events"))
     first_edge = F.when(flat, start).otherwise(start - (stop - start) * 0.001)
-    edges = _bin_rows(values, bins, 1).withColumn("_range", extremes).select(
+    edges = _bin_rows(values, bins, 1).select("bin", extremes).select(
         "bin",
         F.when(F.col("bin") == 1, first_edge).otherwise(start + step * (F.col("bin") - 1)).alias("lower"),
         F.when(F.col("bin") == bins, stop).otherwise(start + step * F.col("bin")).alias("upper"),
@@ -169,9 +169,13 @@ def equal_width_bins(values: DataFrame, column: str, bins: int = fixed.ATTACK_BI
 
 
 def _extremes(df: DataFrame, column: str) -> Column:
-    """Struct of the smallest and largest value, as a scalar subquery."""
+    """``_range``: struct of the smallest and largest value, as a scalar subquery.
+
+    The one-element ``explode`` keeps the optimizer from copying the subquery into
+    every expression that reads the range.
+    """
     both = F.struct(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
-    return df.agg(both).scalar()
+    return F.explode(F.array(df.agg(both).scalar())).alias("_range")
 
 
 def _bin_rows(df: DataFrame, bins: int, first: int) -> DataFrame:

@@ -258,7 +258,7 @@ def with_example(scored: DataFrame, bank: DataFrame, max_bank_bytes: int = BANK_
     names = bank.select(F.col("idx").alias("most_similar_positive_idx"), *columns)
     if size <= max_bank_bytes:
         return scored.join(F.broadcast(names), "most_similar_positive_idx", "left")
-    salt = F.pmod(F.xxhash64(*scored.columns[:1]), F.lit(salts))
+    salt = F.pmod(F.xxhash64(*scored.columns), F.lit(salts))
     salted = names.withColumn("_salt", copies(salts))
     return scored.withColumn("_salt", salt).join(salted, ["most_similar_positive_idx", "_salt"], "left").drop("_salt")
 

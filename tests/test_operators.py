@@ -255,6 +255,12 @@ def test_vocabulary_order_and_encoding(spark, lines):
     for head in (0, 2, 50_000):
         found = vocabulary.encoded_lines(vocabulary.encode_tokens(rows, words, head)).collect()
         assert {r["line_id"]: r["ids"] for r in found} == {0: [2, 3, 3], 1: [4, 2, 5], 2: [6]}
+    more = lines(["b a a", "c B d", "e", "", "zzz"])
+    for max_bytes in (10**6, 0):
+        found = vocabulary.encode_lines(more, words, max_bytes).collect()
+        assert {r["line_id"]: (r["ids"], r["length"]) for r in found} == {
+            0: ([2, 3, 3], 3), 1: ([4, 2, 5], 3), 2: ([6], 1), 4: ([vocabulary.UNKNOWN], 1)
+        }
     other = vocabulary.encode_tokens(vocabulary.token_rows(lines(["zzz a"])), words, 1).collect()
     assert {r["token"]: r["idx"] for r in other} == {"zzz": vocabulary.UNKNOWN, "a": 3}
     padded = vocabulary.padded_batches(vocabulary.encoded_lines(vocabulary.encode_tokens(rows, words)), 2).collect()

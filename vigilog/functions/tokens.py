@@ -52,29 +52,30 @@ def compile_tags(patterns: Sequence[tuple[str, str]]) -> list[tuple[str, re.Patt
     return [(tag, re.compile(p, re.IGNORECASE)) for tag, p in patterns]
 
 
-def tagged_tokens(text: str, patterns: Sequence[tuple[str, re.Pattern]]) -> list[tuple[int, int, str, str]]:
-    """(start, end, token, tag) per token; later patterns overwrite earlier ones."""
-    found = [m.span() for m in _PYTHON_TOKEN.finditer(text)]
-    starts = [s for s, _ in found]
-    ends = [e for _, e in found]
-    tags = ["O"] * len(found)
+def tags_of(text: str, starts: list[int], ends: list[int], patterns: Sequence[tuple[str, re.Pattern]]) -> list[str]:
+    """A tag per token; later patterns overwrite earlier ones."""
+    tags = ["O"] * len(starts)
     for tag, start, end in tag_spans(text, patterns):
         first = bisect.bisect_left(starts, start)
         last = bisect.bisect_right(ends, end)
-        for i in range(first, last):
-            tags[i] = ("B-" if i == first else "I-") + tag
-    return [(s, e, text[s:e], t) for (s, e), t in zip(found, tags)]
+        if first < last:
+            tags[first:last] = ["B-" + tag] + ["I-" + tag] * (last - first - 1)
+    return tags
 
 
 def _token_lists(texts: pa.Array, patterns: list[tuple[str, re.Pattern]], with_tags: bool) -> pa.Array:
     offsets, pos, start, end, token, tag = [0], [], [], [], [], []
     for text in texts.to_pylist():
-        rows = tagged_tokens(text, patterns) if text else []
-        pos.extend(range(len(rows)))
-        start.extend(r[0] for r in rows)
-        end.extend(r[1] for r in rows)
-        token.extend(r[2] for r in rows)
-        tag.extend(r[3] for r in rows)
+        if text:
+            found = _PYTHON_TOKEN.findall(text)
+            starts = [m.start() for m in _PYTHON_TOKEN.finditer(text)]
+            ends = [s + len(t) for s, t in zip(starts, found)]
+            pos.extend(range(len(found)))
+            start.extend(starts)
+            end.extend(ends)
+            token.extend(found)
+            if with_tags:
+                tag.extend(tags_of(text, starts, ends, patterns))
         offsets.append(len(pos))
     columns = {
         "pos": pa.array(pos, pa.int32()),

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from vigilog.operators.ranking import BLOCK_BITS, id_blocks, numbered, numbered_
 PADDING, UNKNOWN, FIRST_WORD = 0, 1, 2
 HEAD_WORDS = 50_000
 HEAD_WORD_CHARS = 64
+VOCABULARY_BYTES = 64 * 1024 * 1024
 POSITION_BITS = 20
 
 
@@ -104,6 +108,34 @@ def encoded_lines(encoded: DataFrame) -> DataFrame:
     )
 
 
+def encode_lines(lines: DataFrame, words: DataFrame, max_bytes: int = VOCABULARY_BYTES) -> DataFrame:
+    """``line_id, ids, length`` of the lines that hold a token.
+
+    ``words`` is best a stored table. When its size was checked to be small, every
+    task holds it and encodes its own lines, with no shuffle; otherwise the tokens
+    are joined with it.
+    """
+    size = words.agg(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()[0]
+    if size > max_bytes:
+        return encoded_lines(encode_tokens(token_rows(lines), words))
+    table = words.select("word", "idx").toArrow()
+    numbers = dict(zip(table.column("word").to_pylist(), table.column("idx").to_pylist()))
+    shared = lines.sparkSession.sparkContext.broadcast(numbers)
+
+    @F.arrow_udf("array<bigint>")
+    def encode(tokens: pa.Array) -> pa.Array:
+        coded = tokens.flatten().dictionary_encode()
+        known = np.array([shared.value.get(w, UNKNOWN) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        places = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(known[places] if len(places) else places.astype(np.int64)))
+
+    tokens = F.transform(tokenize(F.col("line")), F.lower)
+    encoded = lines.select("line_id", encode(tokens).alias("ids"))
+    return encoded.select("line_id", "ids", F.size("ids").alias("length")).filter("length > 0")
+
+
 def padded_batches(lines: DataFrame, batch_size: int = 16) -> DataFrame:
     """Adds ``batch`` and pads ``ids`` to the longest line of the batch.
 

@@ -58,6 +58,13 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings")
 
 
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A side table written once to the shared folder, as banks and vocabularies are kept."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def joined(column: str) -> Column:
     return F.array_join(column, "|").alias(column)
 
@@ -325,6 +332,7 @@ def nearest_example(spark: SparkSession, folder: str) -> DataFrame:
     bank = all_vectors.groupBy("label").agg(
         F.min("vec_id").alias("idx"), F.min_by("embedding", "vec_id").alias("embedding")
     )
+    bank = stored(spark, bank, "bank")
     scored = scoring.nearest_example(all_vectors.select("vec_id", "embedding"), bank, "embedding", id_col="vec_id")
     named = scoring.with_example(scored.drop("embedding"), bank.select("idx", "label"))
     return named.withColumns(rounded("max_similarity_score"))
@@ -334,7 +342,8 @@ def example_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The first line of each event type as a bank of known examples."""
     lines = logs(spark, folder)
     first = lines.groupBy("event_type").agg(F.min("line_id").alias("idx"), F.min_by("line", "line_id").alias("example"))
-    return first.select("idx", "example", fields.event_category(F.col("example")).alias("label"))
+    bank = first.select("idx", "example", fields.event_category(F.col("example")).alias("label"))
+    return stored(spark, bank, "examples")
 
 
 @query
@@ -687,9 +696,9 @@ def decoded_tags(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def encoded_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as padded word indices, in batches of 16 lines."""
-    rows = vocabulary.token_rows(logs(spark, folder))
-    encoded = vocabulary.encode_tokens(rows, vocabulary.vocabulary(rows))
-    padded = vocabulary.padded_batches(vocabulary.encoded_lines(encoded))
+    lines = logs(spark, folder)
+    words = stored(spark, vocabulary.vocabulary(vocabulary.token_rows(lines)), "vocabulary")
+    padded = vocabulary.padded_batches(vocabulary.encode_lines(lines, words))
     return padded.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
 
 

@@ -68,14 +68,21 @@ def security_summary(lines: DataFrame) -> DataFrame:
 
 def hourly_activity(lines: DataFrame) -> DataFrame:
     """Events per hour and category, in time order; empty hours are left out."""
-    hour = F.date_trunc("hour", "ts").alias("hour")
-    counted = with_event_category(lines).groupBy(hour, "event_category").agg(F.count(F.lit(1)).alias("events"))
-    return counted.orderBy("hour", "event_category")
+    counted = with_event_category(lines).groupBy(_hour(), "event_category").agg(F.count(F.lit(1)).alias("events"))
+    return _by_hour(counted, "event_category")
 
 
 def activity_by_hour(lines: DataFrame) -> DataFrame:
-    hour = F.date_trunc("hour", "ts").alias("hour")
-    return lines.groupBy(hour).agg(F.count(F.lit(1)).alias("events")).orderBy("hour")
+    return _by_hour(lines.groupBy(_hour()).agg(F.count(F.lit(1)).alias("events")))
+
+
+def _hour() -> Column:
+    """Hour windows keep the type of ``ts``, so times without zone stay independent of the session's."""
+    return F.window("ts", "1 hour").alias("window")
+
+
+def _by_hour(counted: DataFrame, *columns: str) -> DataFrame:
+    return counted.select(F.col("window.start").alias("hour"), *columns, "events").orderBy("hour", *columns)
 
 
 def top_users(lines: DataFrame, n: int = 10) -> DataFrame:

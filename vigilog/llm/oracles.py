@@ -48,3 +48,21 @@ SELECT page_id, strlen(html) AS payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM k
 """
+
+
+def _shingle_sets(table: str, key: str, words: int) -> str:
+    """Distinct shingles of ``words`` lower-cased words; a shorter text is one shingle."""
+    return f"""
+      SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {words} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' ')) END) AS g
+      FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})"""
+
+
+ORACLES["op3_containment"] = f"""
+WITH d AS ({_shingle_sets("documents", "doc_id", 5)}), i AS ({_shingle_sets("benchmark", "item_id", 5)}),
+ n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared
+FROM d JOIN i USING (g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles
+"""

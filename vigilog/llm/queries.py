@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilog.llm import blob_ledger, warc_chunks
+from vigilog.llm import blob_ledger, containment, piece_transducer, warc_chunks
 from vigilog.llm.common import table
 
+#: The SentencePiece model, a parameter of its operator.
+MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -18,6 +22,12 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op3_containment(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return containment.containment_report(documents, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 @query
 def op7_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return blob_ledger.secret_report(table(spark, folder, "documents").select("doc_id", "text"))
@@ -26,3 +36,8 @@ def op7_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return warc_chunks.archive_report(spark, table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op10_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_transducer.encoded(table(spark, folder, "documents").select("doc_id", "text"), MODEL_FILE)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilog.llm import blob_ledger, containment, piece_transducer, warc_chunks
+from vigilog.llm import blob_ledger, containment, kneser_ney, piece_transducer, subword_classifier, warc_chunks
 from vigilog.llm.common import table
 
 #: The SentencePiece model, a parameter of its operator.
@@ -28,6 +28,18 @@ def op3_containment(spark: SparkSession, folder: str) -> DataFrame:
     return containment.containment_report(documents, table(spark, folder, "benchmark").select("item_id", "text"))
 
 
+@query
+def op4_subword_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return subword_classifier.quality_report(documents, table(spark, folder, "labels").select("doc_id", "quality"))
+
+
+@query
+def op5_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return kneser_ney.toxicity_report(documents, table(spark, folder, "labels").select("doc_id", "toxic"))
+
+
 @query
 def op7_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return blob_ledger.secret_report(table(spark, folder, "documents").select("doc_id", "text"))

@@ -90,9 +90,17 @@ class Shared:
 
 
 class Ratio:
-    """Log-likelihood ratios of grams and words, toxic over ordinary."""
+    """Log-likelihood ratios of grams and words, toxic over ordinary.
 
-    def __init__(self, words: dict[int, Counter]):
+    ``seen`` has the grams of either class; others have the ratio in ``unseen`` of what comes before
+    their last character, as the shared part of both probabilities is the same.
+    """
+
+    def __init__(self, seen: dict[str, float], unseen: dict[str, float]):
+        self.seen, self.unseen = seen, unseen
+
+    @classmethod
+    def fitted(cls, words: dict[int, Counter]) -> "Ratio":
         counts: dict[int, Counter] = {}
         for label, own in words.items():
             counts[label] = Counter()
@@ -107,12 +115,13 @@ class Ratio:
                 total[label][g[:-1]] += n
                 freed[label][g[:-1]] += min(n, CLASS_DISCOUNT)
         rest = lambda label, before: freed[label][before] / total[label][before] if before in total[label] else 1.0
-        self.unseen = {b: math.log(rest(1, b) / rest(0, b)) for b in set(total[0]) | set(total[1])}
-        self.seen = {}
+        unseen = {b: math.log(rest(1, b) / rest(0, b)) for b in set(total[0]) | set(total[1])}
+        seen = {}
         for g in set(counts[0]) | set(counts[1]):
             before, lower = g[:-1], shared.probability(g[1:])
             p = [rest(label, before) * lower + (max(counts[label].get(g, 0) - CLASS_DISCOUNT, 0.0) / total[label][before] if before in total[label] else 0.0) for label in (0, 1)]
-            self.seen[g] = math.log(p[1] / p[0])
+            seen[g] = math.log(p[1] / p[0])
+        return cls(seen, unseen)
 
     def word(self, word: str) -> float:
         total = 0.0
@@ -128,11 +137,15 @@ class Scorer:
     def __init__(self, ratio: Ratio | None, margin: float = 0.0, slope: float = 0.0, shift: float = 0.0):
         self.ratio, self.margin, self.slope, self.shift, self.words = ratio, margin, slope, shift, {}
 
-    def __getstate__(self):
-        return self.ratio, self.margin, self.slope, self.shift
+    def state(self) -> tuple:
+        """Plain data that a scorer can be made from again."""
+        grams = (self.ratio.seen, self.ratio.unseen) if self.ratio else None
+        return grams, self.margin, self.slope, self.shift
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+    @classmethod
+    def of(cls, state: tuple) -> "Scorer":
+        grams, *rest = state
+        return cls(Ratio(*grams) if grams else None, *rest)
 
     def differences(self, words: list[bytes]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
@@ -187,7 +200,7 @@ def fit(rows: list[tuple[int, int, str]]) -> Scorer:
             words[label].update(t.encode().lower().split())
         words[label] = Counter({w.decode(): n for w, n in words[label].items()})
         curve += [(label, t) for t in (texts[cut:] or texts)]
-    scorer = Scorer(Ratio(words))
+    scorer = Scorer(Ratio.fitted(words))
     ordinary = [scorer.differences(t.encode().lower().split()) for label, t in curve if label == 0]
     ordinary = np.concatenate([np.zeros(1), *ordinary])
     scorer.margin = max(0.0, float(np.quantile(ordinary, 1 - MARGIN_SHARE)))
@@ -202,7 +215,7 @@ def train(documents: DataFrame, labels: DataFrame) -> bytes:
 
     def run(parts):
         got = [(r["rank"], r["label"], r["text"]) for batch in parts for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got).state())], pa.binary())], names=["model"])
 
     return rows.select("rank", "label", "text").repartition(1).mapInArrow(run, "model binary").first()["model"]
 
@@ -212,7 +225,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(parts):
-        scorer = pickle.loads(model.value)
+        scorer = Scorer.of(pickle.loads(model.value))
         for batch in parts:
             found = [scorer.document(t) for t in byte_texts(batch.column("text"))]
             n, value, score = zip(*found) if found else ((), (), ())

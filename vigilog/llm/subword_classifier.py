@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,11 @@ def repetitions(words: list[bytes]) -> int:
     return sum(map(bytes.__eq__, words, words[1:]))
 
 
-class Embeddings:
-    """What the training gives: a number for each row, the layer's shift."""
+class Embeddings(NamedTuple):
+    """What the training gives: a number for each row (or None), the layer's shift."""
 
-    def __init__(self, rows: np.ndarray | None, shift: float):
-        self.rows, self.shift = rows, shift
+    rows: np.ndarray | None
+    shift: float
 
 
 class WordShares(dict):
@@ -144,7 +145,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> by
 
     def run(parts):
         got = [(r["rank"], r["label"], r["text"]) for batch in parts for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(fit(got)))], pa.binary())], names=["model"])
 
     return rows.select("rank", "label", "text").repartition(1).mapInArrow(run, "model binary").first()["model"]
 
@@ -154,7 +155,7 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(parts):
-        trained = pickle.loads(model.value)
+        trained = Embeddings(*pickle.loads(model.value))
         shares = WordShares(trained.rows)
         for batch in parts:
             found = [score(trained, shares, t) for t in byte_texts(batch.column("text"))]

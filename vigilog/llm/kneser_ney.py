@@ -9,8 +9,9 @@ tells nothing, while new endings of a known stem count.
 
 A word's evidence is the difference of its two log-likelihoods, as far as it goes beyond a
 margin that MARGIN_SHARE of the words of ordinary documents pass: most words differ by chance, and
-their sum would drown the few that matter in a long text. A document's value is the sum of its words'
-evidence divided by their number. A logistic curve over the logarithm of the value, fitted like the margin on
+their sum would drown the few that matter in a long text. A document's value is the sum of its distinct words'
+evidence divided by their number; the models too count a word once a document, so that a line
+repeated in one document is no more than one sign. A logistic curve over the logarithm of the value, fitted like the margin on
 documents of the sample that the counts have not seen, makes it a probability.
 
 The models are fitted on a bounded sample (SAMPLE documents a class); all documents are scored whole.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from vigilog.llm import labelled
 from vigilog.llm.common import byte_texts, held_out
 
-ORDER = 6
+ORDER = 8
 DISCOUNT = 0.75
 #: Taken off every count of a class's own, so that what a class has shown a few times by chance counts as shared.
 CLASS_DISCOUNT = 2.0
@@ -165,7 +166,7 @@ class Scorer:
         words = text.lower().split()
         if self.ratio is None:
             return len(words), 0.0, 0.0
-        value = float(np.maximum(self.differences(words) - self.margin, 0.0).mean()) if words else 0.0
+        value = float(np.maximum(self.differences(list(set(words))) - self.margin, 0.0).mean()) if words else 0.0
         z = self.slope * math.log(value + LEAST_VALUE) + self.shift
         return len(words), value, 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
@@ -197,11 +198,11 @@ def fit(rows: list[tuple[int, int, str]]) -> Scorer:
         cut = max(1, round(len(texts) * (1 - CURVE_SHARE)))
         words[label] = Counter()
         for t in texts[:cut]:
-            words[label].update(t.encode().lower().split())
+            words[label].update(set(t.encode().lower().split()))
         words[label] = Counter({w.decode(): n for w, n in words[label].items()})
         curve += [(label, t) for t in (texts[cut:] or texts)]
     scorer = Scorer(Ratio.fitted(words))
-    ordinary = [scorer.differences(t.encode().lower().split()) for label, t in curve if label == 0]
+    ordinary = [scorer.differences(list(set(t.encode().lower().split()))) for label, t in curve if label == 0]
     ordinary = np.concatenate([np.zeros(1), *ordinary])
     scorer.margin = max(0.0, float(np.quantile(ordinary, 1 - MARGIN_SHARE)))
     x = np.log([scorer.document(t.encode())[1] + LEAST_VALUE for _, t in curve])

@@ -30,6 +30,8 @@ back, but that U+2581 in a text comes back as a blank, as in the reference imple
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +42,13 @@ from vigilog.llm.common import byte_texts
 
 MARK = "▁"
 NEVER = float("inf")
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 KEPT_PAIRS = 1_000_000
-BATCH_BYTES = 4 << 20
+LONGEST_KEPT = 64
+#: Texts are encoded together up to so many characters.
+TOGETHER = 4 << 20
+#: Ends of paths that are no piece: the start of a word, a character in bytes, no path at all.
+START, BYTES, NONE = -1, -2, -3
 ENCODED = "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, ids array<int>, round_trip boolean"
 #: A word: marks and what follows up to the next mark. Other parts never share a piece.
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -78,8 +84,8 @@ class Transducer:
                 del self.arcs[text]
             else:
                 self.left[text], self.right[text] = edges
-        #: The states between two ends of pieces: every beginning of a piece, with the id of the piece or -1.
-        self.states = {text[:n]: -1 for text in self.arcs for n in range(1, len(text))} | self.arcs
+        #: The states on the way back from the end of a piece: every ending of one, with the id of the piece or -1.
+        self.tails = {text[n:]: -1 for text in self.arcs for n in range(1, len(text))} | self.arcs
         self.text_of = {i: text for text, i in self.arcs.items()}
         self.words: dict[str, bytes] = {}
         self.allowed: dict[int, bool] = {}
@@ -130,68 +136,84 @@ class Transducer:
             n -= size
         return ids
 
-    def path(self, word: str) -> list[int]:
-        """The ids along the path of least weight through a word."""
-        marks = len(word) - len(word.lstrip(MARK))
-        if marks > 1:
-            if marks == len(word):
-                return self._marks(marks)
-            ids = self.path(word[marks - 1:])
-            alone = ids[0] == self.runs[1]  # else the last mark went into a piece with what follows
-            return self._marks(marks) + ids[1:] if alone else self._marks(marks - 1) + ids
-        whole = self.arcs.get(word)
-        if whole is not None:
-            return [whole]
-        n, states, allowed = len(word), self.states, self.allowed
-        start, after_bytes = -1, -2
-        last: list[int | None] = [None] * (n + 1)  # the arc that the path of weight 0 up to here ends with
-        back = [0] * (n + 1)
-        last[0] = start
-        for begin in range(n):
-            before = last[begin]
-            if before is None:
+    def paths(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word with the ids along its path of least weight; words in sorted order are fastest.
+
+        What is known of a beginning holds for all words that share it, so only what follows
+        the part shared with the word before is searched.
+        """
+        tails, allowed, surfaces = self.tails, self.allowed, self.bytes
+        last: list[int] = [START]  # the arc that the path of weight 0 up to a place ends with
+        back: list[int] = [0]
+        previous = ""
+        for word in words:
+            if word[:2] == MARK * 2:
+                yield word, self._marked(word)
                 continue
-            for end in range(begin + 1, n + 1):
-                piece = states.get(word[begin:end])
-                if piece is None:
-                    if end == begin + 1:  # byte fallback
-                        last[end], back[end] = after_bytes, begin
+            n, end = len(word), 0
+            for x, y in zip(previous, word):
+                if x != y:
                     break
-                if piece < 0 or last[end] is not None:
-                    continue
-                if before >= 0:
-                    fits = allowed.get(before << 32 | piece)
-                    if not (self.may_follow(before, piece) if fits is None else fits):
-                        continue
-                last[end], back[end] = piece, begin
-        if last[n] is None:
-            raise ValueError(f"no path through {word!r}")
-        ids: list[int] = []
-        end = n
-        while end:
-            begin = back[end]
-            if last[end] == after_bytes:
-                ids.extend(self.bytes[b] for b in reversed(word[begin:end].encode()))
-            else:
-                ids.append(last[end])
-            end = begin
-        return ids[::-1]
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text."""
-        if not text:
-            return np.empty(0, np.int32)
-        words, out = self.words, []
-        for word in WORD.findall(MARK + text.replace(" ", MARK)):
-            packed = words.get(word)
-            if packed is None:
-                packed = np.array(self.path(word), np.int32).tobytes()
-                if len(word) <= 64:
-                    if len(words) >= KEPT_WORDS:
-                        words.clear()
-                    words[word] = packed
-            out.append(packed)
-        return np.frombuffer(b"".join(out), np.int32)
+                end += 1
+            previous = word
+            del last[end + 1:], back[end + 1:]
+            while end < n:
+                end += 1
+                found, begin = NONE, end - 1
+                while begin >= 0:
+                    piece = tails.get(word[begin:end])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        before = last[begin]
+                        if before >= 0:
+                            fits = allowed.get(before << 32 | piece)
+                            if self.may_follow(before, piece) if fits is None else fits:
+                                found = piece
+                                break
+                        elif before != NONE:
+                            found = piece
+                            break
+                    begin -= 1
+                if found == NONE and word[end - 1] not in self.arcs:
+                    found, begin = BYTES, end - 1
+                last.append(found)
+                back.append(begin)
+            if last[n] == NONE:
+                raise ValueError(f"no path through {word!r}")
+            ids = []
+            while n:
+                begin = back[n]
+                if last[n] >= 0:
+                    ids.append(last[n])
+                else:
+                    ids.extend(surfaces[b] for b in reversed(word[begin:n].encode()))
+                n = begin
+            ids.reverse()
+            yield word, ids
+
+    def _marked(self, word: str) -> list[int]:
+        """The path of a word with several marks before it."""
+        marks = len(word) - len(word.lstrip(MARK))
+        if marks == len(word):
+            return self._marks(marks)
+        [(_, ids)] = self.paths([word[marks - 1:]])
+        alone = ids[0] == self.runs[1]  # else the last mark went into a piece with what follows
+        return self._marks(marks) + ids[1:] if alone else self._marks(marks - 1) + ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        known = self.words
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        fresh = set().union(*split).difference(known) if split else set()
+        for word, ids in self.paths(sorted(fresh)):
+            known[word] = array("i", ids).tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        for word in [w for w in fresh if len(w) > LONGEST_KEPT]:
+            del known[word]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The UTF-8 of the text; the blank that the normaliser put before it is taken away."""
@@ -238,19 +260,21 @@ def encoded(documents: DataFrame, model_file: str) -> DataFrame:
             columns = [pa.array(docs, pa.int64()), *(pa.array(c, pa.int64()) for c in counts), lists, pa.array(same, pa.bool_())]
             return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
+        def encoded_batch(docs, raws):
+            ids = machine.encode([r.decode() for r in raws])
+            return batch_of(docs, ids, [machine.decode(x.tolist()) == r for x, r in zip(ids, raws)])
+
         for batch in parts:
-            docs, ids, same, size = [], [], [], 0
+            docs, raws, size = [], [], 0
             for doc, raw in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
-                found = machine.encode(raw.decode())
                 docs.append(doc)
-                ids.append(found)
-                same.append(machine.decode(found.tolist()) == raw)
-                size += len(found) * 4
-                if size >= BATCH_BYTES:
-                    yield batch_of(docs, ids, same)
-                    docs, ids, same, size = [], [], [], 0
+                raws.append(raw)
+                size += len(raw)
+                if size >= TOGETHER:
+                    yield encoded_batch(docs, raws)
+                    docs, raws, size = [], [], 0
             if docs:
-                yield batch_of(docs, ids, same)
+                yield encoded_batch(docs, raws)
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ENCODED)
 

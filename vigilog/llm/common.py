@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,26 @@ class WordHash(dict):
         return value
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser that spreads every bit of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_hashes64(words: list[bytes], cache: WordHash, size: int) -> np.ndarray:
+    """64-bit hashes of every run of ``size`` words, in order; fewer words are one shingle, none are none."""
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
+    one = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
+    width = min(n, size)
+    total = np.full(n - width + 1, width, np.uint64)
+    for i in range(width):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + one[i:n - width + 1 + i]
+    return mixed(total)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, stored
+from vigilog.llm.common import WordHash, byte_texts, shingle_hashes64, stored
 
 WORDS = 5
 THRESHOLD = (80, 100)
@@ -49,24 +49,9 @@ def shingles(words: list[bytes], size: int = WORDS) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads every bit of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
 def shingle_hashes(words: list[bytes], cache: WordHash, size: int = WORDS) -> np.ndarray:
-    """32-bit hashes of the shingles, in order, from the hashes of their words."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint32)
-    one = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-    width = min(n, size)
-    total = np.zeros(n - width + 1, np.uint64)
-    for i in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + one[i:n - width + 1 + i]
-    return (mixed(total) >> np.uint64(32)).astype(np.uint32)
+    """32-bit hashes of the shingles, in order."""
+    return (shingle_hashes64(words, cache, size) >> np.uint64(32)).astype(np.uint32)
 
 
 def size_class(n: int) -> int:

@@ -66,3 +66,15 @@ SELECT doc_id, item_id, item_shingles, count(*) AS shared
 FROM d JOIN i USING (g) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles
 """
+
+ORACLES["op2_hamming_join"] = f"""
+WITH RECURSIVE s AS MATERIALIZED ({_shingle_sets("documents", "doc_id", 2)}),
+ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+ links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+ least AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a),
+ final AS (SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+           FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id))
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM final
+"""

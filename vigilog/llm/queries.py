@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilog.llm import blob_ledger, containment, kneser_ney, piece_transducer, robust_outliers, subword_classifier, warc_chunks
+from vigilog.llm import blob_ledger, containment, hamming_join, kneser_ney, piece_transducer, robust_outliers, subword_classifier, warc_chunks
 from vigilog.llm.common import table
 
 #: The SentencePiece model, a parameter of its operator.
@@ -27,6 +27,11 @@ def op1_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return robust_outliers.outlier_report(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
 
 
+@query
+def op2_hamming_join(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), 2)
+
+
 @query
 def op3_containment(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")

@@ -78,3 +78,16 @@ WITH RECURSIVE s AS MATERIALIZED ({_shingle_sets("documents", "doc_id", 2)}),
            FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id))
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM final
 """
+
+ORACLES["op6_suffix_trees"] = """
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ r AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS run
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM w WHERE len(w) >= 50)),
+ m AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY run) AS least FROM r) WHERE least < doc_id),
+ g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM m),
+ x AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(len(gone), 0)::bigint AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w
+         ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN x USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilog.llm import blob_ledger, containment, hamming_join, kneser_ney, piece_transducer, robust_outliers, subword_classifier, warc_chunks
+from vigilog.llm import blob_ledger, containment, hamming_join, kneser_ney, piece_transducer, robust_outliers, subword_classifier, suffix_trees, warc_chunks
 from vigilog.llm.common import table
 
 #: The SentencePiece model, a parameter of its operator.
@@ -50,6 +50,11 @@ def op5_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.toxicity_report(documents, table(spark, folder, "labels").select("doc_id", "toxic"))
 
 
+@query
+def op6_suffix_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_trees.cut_texts(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op7_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return blob_ledger.secret_report(table(spark, folder, "documents").select("doc_id", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilog.llm import blob_ledger, containment, hamming_join, kneser_ney, piece_transducer, robust_outliers, subword_classifier, suffix_trees, warc_chunks
+from vigilog.llm import blob_ledger, containment, hamming_join, kneser_ney, piece_transducer, pitman_yor, robust_outliers, subword_classifier, suffix_trees, warc_chunks
 from vigilog.llm.common import table
 
 #: The SentencePiece model, a parameter of its operator.
@@ -60,6 +60,11 @@ def op7_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return blob_ledger.secret_report(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op8_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score_report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op9_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return warc_chunks.archive_report(spark, table(spark, folder, "pages").select("page_id", "url", "html"))

@@ -236,6 +236,19 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCORES)
 
 
+def ordinary_documents(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` whose texts score under ``least``, with all columns, in one pass over them."""
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
+
+    def run(parts):
+        scorer = Scorer.of(pickle.loads(model.value))
+        for batch in parts:
+            keep = [scorer.document(t)[2] < least for t in byte_texts(batch.column("text"))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
     scored = toxicity(documents, labels)
     return scored.select(

@@ -50,6 +50,22 @@ def copies(prose, seed):
     return rows
 
 
+def test_many_copies_that_are_not_linked(docs, prose):
+    """Edited copies of one text: most pairs stay a little under the threshold, some chains pass it."""
+    r = random.Random(9)
+    base, rows = prose(150, 77), []
+    for k in range(90):
+        words = rows[-1][1].split() if rows and k % 3 == 0 else list(base)
+        for at in r.sample(range(len(words)), r.choice([3, 12, 13, 14, 20])):
+            words[at] = f"{words[at]}{k}x{at}"
+        rows.append((k, " ".join(words)))
+    frame = docs(rows)
+    found = [tuple(x) for x in hj.near_duplicates(frame, 2).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    expected = brute(rows, 2)
+    assert 5 < len({x[2] for x in expected}) < 85
+    assert sorted(found) == sorted(expected)
+
+
 @pytest.mark.parametrize("size, seed", [(2, 1), (2, 2), (5, 3)])
 def test_equals_all_pairs(docs, prose, size, seed):
     rows = copies(prose, seed)

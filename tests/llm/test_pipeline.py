@@ -1,0 +1,32 @@
+import corpus_pipeline as pipeline
+import pytest
+from helpers_llm import SMALL, docs  # noqa: F401
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        after = pipeline.stored(stage(spark, docs, SMALL), "stage")
+        assert after.dtypes == docs.dtypes
+        left = {r["doc_id"] for r in after.select("doc_id").collect()}
+        assert left <= ids and len(left) > len(ids) / 2
+        if name == "secret_scans":
+            assert left == ids
+            assert not after.filter("text rlike 'AKIA[A-Z0-9]{16}'").count()
+        ids, docs = left, after
+    final = pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert {r["doc_id"] for r in final.collect()} == ids
+    assert {r["doc_id"] for r in pipeline.run(spark, SMALL).collect()} == ids
+
+
+@pytest.mark.parametrize("k", range(len(pipeline.STAGES)))
+def test_edges_of_each_stage(spark, docs, k):
+    rows = [(1, None), (2, ""), (None, "a b c"), (3, "same text here"), (3, "same text here"), (4, "long " * 20_000)]
+    frame = docs(rows).drop("kept")
+    after = pipeline.STAGES[k][1](spark, frame, SMALL)
+    assert after.count() == len(rows)
+    if k < 4:
+        assert after.columns == frame.columns
+    none = frame.limit(0)
+    assert pipeline.STAGES[k][1](spark, none, SMALL).collect() == []

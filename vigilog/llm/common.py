@@ -46,6 +46,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows that Spark hands to Python at once; texts can be long, so far fewer than Spark's own 10,000.
+BATCH_ROWS = 500
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand rows with texts to Python in small Arrow batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 of every text; null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

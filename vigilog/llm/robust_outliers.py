@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import SPACES, byte_texts, stored
+from vigilog.llm.common import SPACES, byte_texts, in_small_batches, stored
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -114,7 +114,7 @@ def facts(documents: DataFrame) -> DataFrame:
             )
 
     chosen = documents.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("source").cast("string"), "text")
-    return chosen.mapInArrow(run, FACTS)
+    return in_small_batches(chosen).mapInArrow(run, FACTS)
 
 
 # ---------------------------------------------------------------- groups
@@ -244,7 +244,7 @@ def starts(vectors: DataFrame) -> DataFrame:
                     rows.append((row["grp"], start, row["n"], *_packed(mu, shape * np.outer(scale, scale))))
             yield pd.DataFrame(rows, columns=["grp", "start", "n", "mu", "inverse", "logdet"])
 
-    return found.mapInPandas(run, ESTIMATE)
+    return few(found).mapInPandas(run, ESTIMATE)
 
 
 def concentrate(vectors: DataFrame, estimates: DataFrame, share: float = SUBSET) -> DataFrame:
@@ -253,18 +253,27 @@ def concentrate(vectors: DataFrame, estimates: DataFrame, share: float = SUBSET)
     place = F.floor(64 * F.log2(1 + distance())).cast("int")
     bins = vectors.join(estimates, "grp").select("grp", "start", place.alias("place"), *X).groupBy("grp", "start", "place").agg(*_sums())
 
-    def step(key, rows):
-        rows = rows.sort_values("place")
-        counts = rows["n"].to_numpy()
-        total = int(counts.sum())
-        upto = int(np.searchsorted(np.cumsum(counts), math.ceil(share * total))) + 1
-        n = int(counts[:upto].sum())
-        sums, products = (np.array(rows[c].tolist(), float)[:upto].sum(axis=0) for c in ("sums", "products"))
-        return pd.DataFrame([(*key, total, *estimate(n, sums, products, consistency(n / total)))],
-                            columns=["grp", "start", "n", "mu", "inverse", "logdet"])
-
     # A group's bins are bounded: no distance needs more than some thousands.
-    return bins.groupBy("grp", "start").applyInPandas(step, ESTIMATE)
+    together = bins.groupBy("grp", "start").agg(F.array_sort(F.collect_list(F.struct("place", "n", "sums", "products"))).alias("bins"))
+
+    def run(parts):
+        for batch in parts:
+            rows = []
+            for grp, start, found in zip(batch["grp"], batch["start"], batch["bins"]):
+                counts = np.array([b["n"] for b in found])
+                total = int(counts.sum())
+                upto = int(np.searchsorted(np.cumsum(counts), math.ceil(share * total))) + 1
+                n = int(counts[:upto].sum())
+                sums, products = (np.array([b[c] for b in found[:upto]], float).sum(axis=0) for c in ("sums", "products"))
+                rows.append((grp, start, total, *estimate(n, sums, products, consistency(n / total))))
+            yield pd.DataFrame(rows, columns=["grp", "start", "n", "mu", "inverse", "logdet"])
+
+    return few(together).mapInPandas(run, ESTIMATE)
+
+
+def few(groups: DataFrame) -> DataFrame:
+    """A row for each group in no more partitions than there are cores, so that no Python worker is started for an empty one."""
+    return groups.coalesce(max(1, groups.sparkSession.sparkContext.defaultParallelism))
 
 
 def reweighted(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -279,7 +288,7 @@ def reweighted(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
                     for r in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=["grp", "start", "n", "mu", "inverse", "logdet"])
 
-    return sums.mapInPandas(run, ESTIMATE)
+    return few(sums).mapInPandas(run, ESTIMATE)
 
 
 def covariance_estimates(vectors: DataFrame, share: float = SUBSET) -> DataFrame:

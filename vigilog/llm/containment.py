@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, shingle_hashes64, stored
+from vigilog.llm.common import WordHash, byte_texts, in_small_batches, shingle_hashes64, stored
 
 WORDS = 5
 THRESHOLD = (80, 100)
@@ -167,7 +167,7 @@ def contained_items(documents: DataFrame, items: DataFrame, block: int = BLOCK)
     ``documents(doc_id, text)``, ``items(item_id, text)``.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text")
+    texts = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), "text")
     found = [texts.mapInArrow(_search(ItemIndex(part)), RESULT) for part in item_blocks(items, block)]
     if not found:
         return spark.createDataFrame([], RESULT)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import byte_texts
+from vigilog.llm.common import byte_texts, in_small_batches
 
 MARK = "▁"
 NEVER = float("inf")
@@ -276,7 +276,7 @@ def encoded(documents: DataFrame, model_file: str) -> DataFrame:
             if docs:
                 yield encoded_batch(docs, raws)
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ENCODED)
+    return in_small_batches(documents).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ENCODED)
 
 
 def decoded(rows: DataFrame, model_file: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, mixed, stored
+from vigilog.llm.common import WordHash, byte_texts, in_small_batches, mixed, stored
 
 WINDOW = 50
 ANCHOR = 8
@@ -150,7 +150,7 @@ def _identified(documents: DataFrame) -> DataFrame:
     """``doc_id, id, whole, text``: an id for every row, and a hash of the whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.col("doc_id").cast("bigint")
-    return documents.select(
+    return in_small_batches(documents).select(
         doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("whole"), text.alias("text")
     )
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.llm import labelled
-from vigilog.llm.common import byte_texts, held_out
+from vigilog.llm.common import byte_texts, held_out, in_small_batches
 
 ORDER = 8
 DISCOUNT = 0.75
@@ -218,12 +218,13 @@ def train(documents: DataFrame, labels: DataFrame) -> bytes:
         got = [(r["rank"], r["label"], r["text"]) for batch in parts for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got).state())], pa.binary())], names=["model"])
 
-    return rows.select("rank", "label", "text").repartition(1).mapInArrow(run, "model binary").first()["model"]
+    found = rows.select("rank", "label", "text").repartition(1).mapInArrow(run, "model binary").first()
+    return found["model"] if found else pickle.dumps(fit([]).state())  # an empty sample has no task
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_words, value, score`` for ``documents(doc_id, text)`` and ``labels(doc_id, toxic)``."""
-    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
+    model = documents.sparkSession.sparkContext.broadcast(train(in_small_batches(documents), labels))
 
     def run(parts):
         scorer = Scorer.of(pickle.loads(model.value))
@@ -238,7 +239,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def ordinary_documents(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``documents`` whose texts score under ``least``, with all columns, in one pass over them."""
-    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
+    model = documents.sparkSession.sparkContext.broadcast(train(in_small_batches(documents), labels))
 
     def run(parts):
         scorer = Scorer.of(pickle.loads(model.value))

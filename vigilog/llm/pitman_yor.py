@@ -7,8 +7,8 @@ behind the other's class, times that of the token in its class:
 * each class is a context restaurant whose customers are the classes that follow it in the
   training texts; all context restaurants share one parent, whose customers are their tables, and the
   parent's base is uniform;
-* each rare class is a restaurant of its tokens, with a uniform base over all token types, an unknown one
-  among them.
+* each rare class is a restaurant of its tokens, with a uniform base over the types seen in the class and
+  an unknown one.
 
 Seating is sampled by Gibbs sweeps. In a sweep all customers of a dish leave their restaurant
 and are seated again one by one, by the Chinese restaurant process, given the tables of the other dishes
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, held_out, mixed, stored
+from vigilog.llm.common import WordHash, byte_texts, held_out, in_small_batches, mixed, stored
 
 FOLDS = 10
 FREQUENT = 1000
@@ -138,7 +138,7 @@ def encoded(documents: DataFrame, block: int = BLOCK) -> DataFrame:
         if each:
             yield row()
 
-    chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", FOLDS).alias("held"), "text")
+    chosen = in_small_batches(documents).select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", FOLDS).alias("held"), "text")
     return chosen.mapInArrow(run, ENCODED)
 
 
@@ -266,15 +266,19 @@ def _predictive(customers: np.ndarray, tables: np.ndarray, kind: tuple[float, fl
 class RareRestaurants:
     """The restaurants of the rare classes, known by their numbers of customers and, for each sweep, of tables."""
 
-    def __init__(self, classes: Classes, types: int):
-        self.classes, self.base = classes, RARE / (types + 1.0)
+    def __init__(self, classes: Classes):
+        self.classes = classes
         self.customers = np.zeros(len(classes))
-        self.tables: list[np.ndarray] = []
+        self.tables: list[np.ndarray] = []  # at first every word seen has one table
+
+    @property
+    def base(self) -> np.ndarray:
+        return 1.0 / (self.tables[0] + 1.0)
 
     def opened(self, words: np.ndarray, counts: np.ndarray, sweep: int) -> np.ndarray:
         discount, strength = TOKENS
-        rest = self.tables[sweep][self.classes.of(words)]
-        return seat(counts, (strength + discount * rest) * self.base, discount, words, sweep)
+        kind = self.classes.of(words)
+        return seat(counts, ((strength + discount * self.tables[sweep]) * self.base)[kind], discount, words, sweep)
 
     def probability(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Averaged over the sweeps behind the burn-in; 1 for a frequent word."""
@@ -283,15 +287,14 @@ class RareRestaurants:
         total = np.zeros(len(words))
         for sweep in range(BURN_IN, SWEEPS):
             own = counts - discount * self.opened(words, counts, sweep)
-            rest = self.tables[sweep + 1][kind]
-            total += (own + (strength + discount * rest) * self.base) / (strength + self.customers[kind])
+            shared = (strength + discount * self.tables[sweep + 1]) * self.base
+            total += (own + shared[kind]) / (strength + self.customers[kind])
         return np.where(kind < len(self.classes.words), 1.0, total / (SWEEPS - BURN_IN))
 
 
-def rare_sweeps(counts: DataFrame, classes: Classes, types: int) -> RareRestaurants:
+def rare_sweeps(counts: DataFrame, classes: Classes) -> RareRestaurants:
     """Tables of the rare classes in every sweep over ``counts(word, c)``."""
-    rooms = RareRestaurants(classes, types)
-    # First every word has one table.
+    rooms = RareRestaurants(classes)
     for sweep in range(-1, SWEEPS):
 
         def run(parts, sweep=sweep):
@@ -327,7 +330,7 @@ def scores(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     classes = Classes([end, *(r["word"] for r in top.select("word").collect())])
 
     following = spark.sparkContext.broadcast(np.log10(context_sweeps(stored(followers(blocks, classes), "followers"), len(classes))))
-    rooms = rare_sweeps(counts, classes, types)
+    rooms = rare_sweeps(counts, classes)
     base = trained + 0.1 * (types + 1)
 
     def resolve(parts):

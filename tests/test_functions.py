@@ -201,6 +201,6 @@ def test_common_subsequence_equals_brute_force(a, b):
 
 def test_tfidf_of_two_texts(spark):
     pairs = spark.createDataFrame([(1, "login failed", "login failed"), (2, "a b", "c d"), (3, "login ok", "login no")], "k int, a string, b string")
-    found = {r["k"]: r["lexical"] for r in similarity.tfidf_similarity(pairs, ["k"], "a", "b").collect()}
+    found = {r["k"]: r["lexical"] for r in similarity.tfidf_similarity(pairs, "a", "b").collect()}
     weight = 1 + __import__("math").log(1.5)
     assert found[1] == pytest.approx(1) and found[2] == 0 and found[3] == pytest.approx(1 / (1 + weight * weight))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
-from vigilog.operators import corrections, ranking, reports, scoring, searches, synthetic, training, vocabulary
+from vigilog.operators import corrections, ranking, reports, scoring, searches, training, vocabulary
 from vigilog.sources.tables import turn_pairs
 
 
@@ -71,12 +71,18 @@ def brute_force(targets, bank):
     return np.round(unit[0] @ unit[1].T, 12)
 
 
-@pytest.mark.parametrize("partitions, max_bytes", [(1, 10**6), (2, 10**6), (8, 10**6), (3, 10)])
-def test_nearest_example(spark, monkeypatch, partitions, max_bytes):
-    monkeypatch.setattr(scoring, "BLOCK_ROWS", 7)
+@pytest.fixture
+def folder(tmp_path):
+    """New folder names, as the cluster's shared folder gives them."""
+    names = iter(range(1000))
+    return lambda: str(tmp_path / f"bank{next(names)}")
+
+
+@pytest.mark.parametrize("partitions, block_rows", [(1, 10**6), (2, 7), (8, 1), (3, 40)])
+def test_nearest_example(spark, folder, partitions, block_rows):
     targets, bank = random_vectors(spark, 60, 1, "line_id"), random_vectors(spark, 40, 2, "idx")
     expected = brute_force(targets, bank)
-    found = scoring.nearest_example(targets.repartition(partitions), bank, "vec", max_bank_bytes=max_bytes)
+    found = scoring.nearest_example(targets.repartition(partitions), bank.repartition(partitions), "vec", folder(), block_rows=block_rows)
     rows = found.collect()
     assert len(rows) == 60
     for r in rows:
@@ -84,11 +90,33 @@ def test_nearest_example(spark, monkeypatch, partitions, max_bytes):
         assert r["max_similarity_score"] == pytest.approx(expected[r["line_id"]].max())
 
 
-@pytest.mark.parametrize("max_bytes", [10**6, 10])
-def test_similarity_results_over_texts(spark, lines, max_bytes):
+def test_target_ids_and_the_number_of_blocks_change_nothing(spark, folder, monkeypatch):
+    """Ids that are null, repeated or texts; ties; a bank of one row and one of many blocks."""
+    targets = spark.createDataFrame([(None, [1.0, 0.0]), ("x", [0.0, 1.0]), ("x", [1.0, 1.0]), ("y", None)], "line_id string, vec array<double>")
+    bank = spark.createDataFrame([(9, [2.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (7, [0.0, 3.0]), (None, [0.0, 1.0])], "idx bigint, vec array<double>")
+    expected = [(None, 1.0, 4), ("x", 0.707106781187, 4), ("x", 1.0, 7), ("y", 0.0, 4)]
+    for block_rows in (100, 1):
+        for run in (100, 1):
+            monkeypatch.setattr(scoring, "TARGET_ROWS", run)
+            found = scoring.nearest_example(targets, bank.repartition(3), "vec", folder(), block_rows=block_rows).collect()
+            assert sorted((r[0], r[2], r[3]) for r in found if r[0]) == expected[1:]
+            assert [(r[0], r[2], r[3]) for r in found if not r[0]] == expected[:1]
+    one = scoring.nearest_example(targets, bank.filter("idx = 7"), "vec", folder()).collect()
+    assert sorted(r[2] for r in one) == [0.0, 0.0, 0.707106781187, 1.0]
+
+
+def test_vectors_of_another_size_are_refused(spark, folder):
+    targets = spark.createDataFrame([(1, [1.0, 0.0])], "line_id bigint, vec array<double>")
+    for vectors in ([[1.0, 0.0, 0.0]], [[1.0, 0.0], [1.0]]):
+        bank = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "idx bigint, vec array<double>").coalesce(1)
+        with pytest.raises(Exception, match="size|numbers"):
+            scoring.nearest_example(targets, bank, "vec", folder()).collect()
+
+
+def test_similarity_results_over_texts(spark, lines, folder):
     bank = spark.createDataFrame([(3, "Failed password for x", "Failed login"), (5, "session opened", "Successful login")], "idx bigint, example string, label string")
     log = lines(["Failed password for y port 22"] * 30 + ["session opened 12"] * 5 + ["", None])
-    found = scoring.similarity_results(log, bank, scoring.hashed_words(256), max_bank_bytes=max_bytes).collect()
+    found = scoring.similarity_results(log, bank, scoring.hashed_words(256), folder()).collect()
     assert len(found) == 37
     by_label = {}
     for r in found:
@@ -96,9 +124,9 @@ def test_similarity_results_over_texts(spark, lines, max_bytes):
     assert by_label == {"Failed login": 30, "Successful login": 5}
 
 
-def test_empty_bank_scores_zero(spark, lines):
+def test_empty_bank_scores_zero(spark, lines, folder):
     bank = spark.createDataFrame([], "idx bigint, line string")
-    row = scoring.nearest_example(lines(["a"]), bank, "line", encoder=scoring.hashed_words(8)).first()
+    row = scoring.nearest_example(lines(["a"]), bank, "line", folder(), encoder=scoring.hashed_words(8)).first()
     assert row["max_similarity_score"] == 0.0 and row["most_similar_positive_idx"] is None
 
 
@@ -217,12 +245,15 @@ def test_class_ids_accept_display_labels(spark):
 
 def test_enhanced_dataset_honours_the_quotas(spark):
     rows = corrections.with_defaults(correction_rows(spark))
-    built = training.enhanced_dataset(spark, rows, 300, factor=2)
+    pool = spark.range(600).select(F.col("id"), F.concat(F.lit("line "), "id").alias("Log"), (F.col("id") % 3).cast("int").alias("Label"))
+    built = training.enhanced_dataset(rows, pool, "id", F.lit(300), factor=2)
     facts = training.dataset_metadata(built, 2, "t").first()
     assert facts["total_logs"] == 300 and facts["correction_logs"] == 48 and facts["corrections_used"] == 24
     assert facts["successful_logins"] == facts["failed_logins"] == facts["non_login_events"] == 100
     assert training.used_ids(built).count() == 24
-    assert training.enhanced_dataset(spark, rows, 90, include_corrections=False).count() == 90
+    assert training.enhanced_dataset(rows, pool, "id", F.lit(90), include_corrections=False).count() == 90
+    few = training.enhanced_dataset(rows, pool.filter("Label <> 1 OR id < 9"), "id", F.lit(300), factor=2)
+    assert few.filter("Label = 1 AND Source = 'labelled_line'").count() == 3  # all there are
 
 
 def test_quota_of_a_crowded_class_stays_one(spark):
@@ -231,14 +262,6 @@ def test_quota_of_a_crowded_class_stays_one(spark):
     assert found == {1: 1, 2: 1, 0: 1}
 
 
-def test_generated_lines_do_not_depend_on_partitions(spark):
-    built = synthetic.generated_dataset(spark, 900)
-    assert [(r["Label"], r["count"]) for r in built.groupBy("Label").count().orderBy("Label").collect()] == [(0, 300), (1, 300), (2, 300)]
-    label = synthetic.class_by_position(F.col("id"), 300, 300)
-    again = synthetic.synthetic_rows(spark.range(0, 900, 1, 3).repartition(5), "id", label)
-    assert built.exceptAll(again).count() == 0 and built.filter("Log is null or Log rlike '[{][a-z]+[}]'").count() == 0
-
-
 def test_boost(spark):
     rows = spark.range(3)
     assert training.boosted(rows, 4).count() == 12 and training.boosted(rows, 0).count() == 0
@@ -256,17 +279,56 @@ def test_vocabulary_order_and_encoding(spark, lines):
         found = vocabulary.encoded_lines(vocabulary.encode_tokens(rows, words, head)).collect()
         assert {r["line_id"]: r["ids"] for r in found} == {0: [2, 3, 3], 1: [4, 2, 5], 2: [6]}
     more = lines(["b a a", "c B d", "e", "", "zzz"])
-    for max_bytes in (10**6, 0):
-        found = vocabulary.encode_lines(more, words, max_bytes).collect()
-        assert {r["line_id"]: (r["ids"], r["length"]) for r in found} == {
-            0: ([2, 3, 3], 3), 1: ([4, 2, 5], 3), 2: ([6], 1), 4: ([vocabulary.UNKNOWN], 1)
-        }
+    found = vocabulary.encode_lines(more, words).collect()
+    assert {r["line_id"]: (r["ids"], r["length"]) for r in found} == {
+        0: ([2, 3, 3], 3), 1: ([4, 2, 5], 3), 2: ([6], 1), 4: ([vocabulary.UNKNOWN], 1)
+    }
+    same_id = spark.createDataFrame([(1, "a b"), (1, "a"), (1, "a"), (None, "b")], "line_id bigint, line string")
+    twice = words.unionAll(words.withColumn("idx", F.col("idx") + 100))
+    rows_found = sorted(str((r["line_id"], r["ids"])) for r in vocabulary.encode_lines(same_id, twice).collect())
+    assert rows_found == ["(1, [3, 2])", "(1, [3])", "(1, [3])", "(None, [2])"]
     other = vocabulary.encode_tokens(vocabulary.token_rows(lines(["zzz a"])), words, 1).collect()
     assert {r["token"]: r["idx"] for r in other} == {"zzz": vocabulary.UNKNOWN, "a": 3}
-    padded = vocabulary.padded_batches(vocabulary.encoded_lines(vocabulary.encode_tokens(rows, words)), 2).collect()
+    padded = vocabulary.padded(vocabulary.encode_lines(vocabulary.with_batches(log, 2), words)).collect()
     assert {r["line_id"]: (r["batch"], r["ids"], r["length"]) for r in padded} == {0: (0, [2, 3, 3], 3), 1: (0, [4, 2, 5], 3), 2: (1, [6], 1)}
 
 
 def test_tag_numbers_leave_padding_free():
     numbers = vocabulary.tag_numbers()
     assert min(numbers.values()) == 1 and len(numbers) == 13 and list(numbers) == sorted(numbers)
+
+
+def test_first_seen_order_of_large_ids(spark):
+    """Ids beyond any packed position: equal counts come in the order of first appearance."""
+    ids = [1 << 19, (1 << 20) + 1, 1, (1 << 61) + 5]
+    rows = spark.createDataFrame([(i, f"word{i}") for i in ids], "line_id bigint, line string")
+    words = vocabulary.vocabulary(vocabulary.token_rows(rows)).orderBy("idx").collect()
+    assert [r["word"] for r in words] == [f"word{i}" for i in sorted(ids)]
+    entities = spark.createDataFrame([(i, "IP", 0, f"10.0.0.{k}") for k, i in enumerate(ids)], "line_id bigint, type string, ord int, entity string")
+    top = reports.top_entities(entities).orderBy("rank").collect()
+    assert [r["entity"] for r in top] == ["10.0.0.2", "10.0.0.0", "10.0.0.1", "10.0.0.3"]
+
+
+def test_python_functions_run_once(spark, lines, folder):
+    """A filter on the result of a Python function would make Spark run it twice."""
+    log = lines(["user bob from 10.0.0.1", "", "x"])
+    tagged = vocabulary.tagged_lines(log)
+    pair = spark.createDataFrame([("a b", "a c")], "first string, second string")
+    encoder = scoring.hashed_words(8)
+    for df, nodes in (
+        (tagged, 1), (vocabulary.span_rows(tagged), 1), (vocabulary.tag_index(tagged), 1),
+        (vocabulary.encode_lines(vocabulary.with_batches(log), vocabulary.vocabulary(vocabulary.token_rows(log))), 0),
+        (scoring.enhanced_similarity(pair, "first", "second", encoder), 2),  # encoder and string ratio
+    ):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("ArrowEvalPython" in x or "MapInArrow" in x for x in plan.splitlines()) == nodes
+
+
+def test_records_with_one_short_id_are_told_apart(spark):
+    rows = corrections.with_defaults(correction_rows(spark)).withColumn("record_id", F.lit("same"))
+    text_of = rows.select("log_text").first()["log_text"]
+    one = spark.createDataFrame([("same", text_of)], "record_id string, log_text string")
+    picked = corrections.selected(rows, one).count()
+    assert picked == rows.filter(F.col("log_text") == text_of).count() < rows.count()
+    assert corrections.remaining(rows, one).count() == rows.count() - picked
+    assert corrections.mark_used(rows, one, "t").filter("training_timestamp = 't'").count() == picked

@@ -252,7 +252,8 @@ UNKNOWN_WORD = "<UNK>"
 
 CORRECTION_CLASS_IDS = {"successful_login": 1, "failed_login": 2, "other_login": 0, "not_login": 0}
 CORRECTION_SOURCE = "user_correction"
-SYNTHETIC_SOURCE = "synthetic"
+#: Our own name for rows that fill a set up.
+FILLER_SOURCE = "labelled_line"
 CORRECTION_BOOST = 3
 CLASS_NAMES_BY_ID = {1: "successful_logins", 2: "failed_logins", 0: "non_login_events"}
 

@@ -39,33 +39,38 @@ def token_breakdown(pairs: DataFrame, line: str, example: str) -> DataFrame:
     return found.withColumn("important_phrases", joined).drop("_line", "_example", "_mine", "_theirs", "_words", "_phrases")
 
 
-def tfidf_similarity(pairs: DataFrame, key: list[str], first: str, second: str, out: str = "lexical") -> DataFrame:
+def _counts(words: Column) -> Column:
+    """Array of (term, n) of a sorted array of words, each term once."""
+    terms = F.array_distinct(words)
+    first = F.transform(terms, lambda t: F.array_position(words, t))
+    ends = F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array((F.size(words) + 1).cast("bigint")))
+    sizes = F.zip_with(F.slice(ends, 1, F.size(terms)), first, lambda e, f: e - f)
+    return F.zip_with(terms, sizes, lambda t, n: F.struct(t.alias("term"), n.alias("n")))
+
+
+def tfidf_similarity(pairs: DataFrame, first: str, second: str, out: str = "lexical") -> DataFrame:
     """Cosine of the two texts' TF-IDF vectors, fitted on just those two texts.
 
-    A shared term weighs 1, a one-sided term ``ln(3/2) + 1``. Terms are counted per
-    (pair, term) with partial aggregation, so long texts cost no quadratic work.
+    A shared term weighs 1, a one-sided term ``ln(3/2) + 1``. All of it is worked out within the row, from
+    maps of the terms' counts, so nothing is shuffled.
     """
 
-    def terms(column: str, side: int) -> Column:
-        words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(LONG_WORD), F.lit(0))
-        return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(side).alias("side")))
+    def words(column: str) -> Column:
+        return F.array_sort(F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(LONG_WORD), F.lit(0)))
 
-    counted = (
-        pairs.select(*key, F.explode(F.concat(terms(first, 1), terms(second, 2))).alias("t"))
-        .groupBy(*key, F.col("t.term").alias("term"))
-        .agg(F.count_if(F.col("t.side") == 1).alias("n1"), F.count_if(F.col("t.side") == 2).alias("n2"))
-    )
-    weight = F.when((F.col("n1") > 0) & (F.col("n2") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1.0)
-    w1, w2 = F.col("n1") * weight, F.col("n2") * weight
-    sums = counted.groupBy(*key).agg(
-        F.sum(w1 * w2).alias("dot"), F.sum(w1 * w1).alias("norm1"), F.sum(w2 * w2).alias("norm2")
-    )
-    guarded = F.when(
-        (F.col("norm1") > 0) & (F.col("norm2") > 0), F.col("dot") / F.sqrt(F.col("norm1") * F.col("norm2"))
-    ).otherwise(F.lit(0.0))
-    return pairs.join(sums.select(*key, guarded.alias(out)), key, "left").withColumn(
-        out, F.coalesce(F.col(out), F.lit(0.0))
-    )
+    counted = pairs.withColumns({"_a": words(first), "_b": words(second)}).withColumns({
+        "_a": F.map_from_entries(_counts(F.col("_a"))), "_b": F.map_from_entries(_counts(F.col("_b")))})
+    alone = F.log(F.lit(1.5)) + 1.0
+
+    def norm(own: str, other: str) -> Column:
+        weights = F.transform(F.map_entries(own), lambda e: e["value"] * F.when(F.map_contains_key(F.col(other), e["key"]), 1.0).otherwise(alone))
+        return F.aggregate(weights, F.lit(0.0), lambda t, w: t + w * w)
+
+    shared = F.transform(F.map_entries("_a"), lambda e: e["value"] * F.coalesce(F.try_element_at(F.col("_b"), e["key"]), F.lit(0)))
+    dot = F.aggregate(shared, F.lit(0.0), lambda t, w: t + w)
+    summed = counted.withColumns({"_dot": dot, "_n1": norm("_a", "_b"), "_n2": norm("_b", "_a")})
+    cosine = F.when((F.col("_n1") > 0) & (F.col("_n2") > 0), F.col("_dot") / F.sqrt(F.col("_n1") * F.col("_n2"))).otherwise(F.lit(0.0))
+    return summed.withColumn(out, cosine).drop("_a", "_b", "_dot", "_n1", "_n2")
 
 
 def common_subsequence(a: str, b: str) -> int:

@@ -130,7 +130,7 @@ def entity_spans(tagged: Column) -> Column:
         return F.when(acc["type"] != "", F.array_append(acc["done"], span)).otherwise(acc["done"])
 
     def step(acc: Column, t: Column) -> Column:
-        kind = F.substring(t["tag"], 3, 100)
+        kind = F.substring(t["tag"], F.lit(3), F.length(t["tag"]))
         begins = t["tag"].startswith("B-")
         continues = t["tag"].startswith("I-") & (acc["type"] == kind)
         opened = F.struct(kind.alias("type"), F.array(t["token"]).alias("tokens"), closed(acc).alias("done"))

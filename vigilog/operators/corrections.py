@@ -94,9 +94,15 @@ def correction_types(corrections: DataFrame) -> DataFrame:
     return corrections.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("corrections"))
 
 
+def _keys(ids: DataFrame) -> list[str]:
+    """What tells records apart: the id, which is short, and the text where the chosen records carry it."""
+    return [c for c in ("record_id", "log_text") if c in ids.columns]
+
+
 def mark_used(corrections: DataFrame, ids: DataFrame, timestamp: str, session: str | None = None) -> DataFrame:
-    """The corrections with the given ``record_id`` values marked as used."""
-    chosen = ids.select("record_id").distinct().withColumn("_chosen", F.lit(True))
+    """The corrections in ``ids(record_id[, log_text])`` marked as used."""
+    keys = _keys(ids)
+    chosen = ids.select(*keys).distinct().withColumn("_chosen", F.lit(True))
     hit = F.coalesce("_chosen", F.lit(False))
     changes = {
         "used_for_training": hit | F.coalesce("used_for_training", F.lit(False)),
@@ -104,12 +110,12 @@ def mark_used(corrections: DataFrame, ids: DataFrame, timestamp: str, session: s
     }
     if session is not None:
         changes["dataset_generation_session"] = F.when(hit, F.lit(session))
-    return corrections.join(chosen, "record_id", "left").withColumns(changes).drop("_chosen")
+    return corrections.join(chosen, keys, "left").withColumns(changes).drop("_chosen")
 
 
 def selected(corrections: DataFrame, ids: DataFrame) -> DataFrame:
-    return corrections.join(ids.select("record_id"), "record_id", "left_semi")
+    return corrections.join(ids.select(*_keys(ids)), _keys(ids), "left_semi")
 
 
 def remaining(corrections: DataFrame, ids: DataFrame) -> DataFrame:
-    return corrections.join(ids.select("record_id"), "record_id", "left_anti")
+    return corrections.join(ids.select(*_keys(ids)), _keys(ids), "left_anti")

@@ -14,7 +14,6 @@ from vigilog.functions.patterns import any_of, attack_hits, dictionary_hits, dic
 from vigilog.functions.text import unicode_regex
 from vigilog.operators.ranking import first_rows_per
 
-POSITION_BITS = 20
 PATTERNS_PER_PASS = 200
 
 
@@ -215,7 +214,7 @@ def unique_entities(entities: DataFrame, approximate: bool = False) -> DataFrame
 
 def top_entities(entities: DataFrame, n: int = 10) -> DataFrame:
     """Most frequent entities per type; equal counts in order of first appearance."""
-    seen = F.shiftleft(F.col("line_id"), POSITION_BITS) + F.col("ord")
+    seen = F.struct("line_id", "ord")
     counts = entities.groupBy("type", "entity").agg(F.count(F.lit(1)).alias("events"), F.min(seen).alias("first_seen"))
     return first_rows_per(counts, ["type"], [F.desc("events"), "first_seen"], n, out="rank").drop("first_seen")
 

@@ -1,10 +1,9 @@
 """Nearest known example and prototype similarity.
 
-Lines are scored in one narrow pass: an Arrow batch is normalised upstream, its
-distinct texts are encoded once, and one matrix product compares them with a small
-matrix that every task holds. Nothing is shuffled, so repeated or hot lines cost
-nothing. The matrix is only sent to the tasks after its size was checked; a larger
-example bank is compared block by block.
+Lines are scored in one narrow pass: the distinct texts of a run of lines are encoded once, and
+matrix products compare them with the known examples. Nothing is shuffled, so repeated or hot
+lines cost nothing. The examples are encoded by Spark, stored in blocks in the shared folder, and every task
+reads them block by block, keeping the best so far: one path, whatever their number.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,9 @@ from vigilog.functions.vectors import NEAR_ZERO, first_argmax, softmax
 
 Encoder = Callable[[list[str]], np.ndarray]
 
-BANK_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
+TARGET_ROWS = 20_000
+LAST = (1 << 63) - 1
 DECIMALS = 12
 AMBIGUOUS = "Ambiguous event"
 NON_LOGIN = "Non-login event"
@@ -109,7 +111,7 @@ def _vector_rows(column: pa.Array, dim: int) -> np.ndarray:
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), dim))
     right = lengths == dim
-    if right.any():
+    if dim and right.any():
         kept = column.filter(pa.array(right))
         out[right] = pc.list_flatten(kept).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     return out
@@ -131,139 +133,114 @@ def _batch_vectors(batch: pa.RecordBatch, column: str, encoder: Encoder | None,
 
 # ---------------------------------------------------------------- nearest example
 
+BLOCK_SCHEMA = "ids array<bigint>, dim int, vectors binary"
+
+
+def stored_blocks(bank: DataFrame, column: str, encoder: Encoder | None, path: str, block_rows: int = BLOCK_ROWS) -> str:
+    """Writes ``bank(idx, column)`` as blocks of unit vectors; examples of different sizes are refused."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, block_rows):
+                batch = whole.slice(at, block_rows)
+                values = batch.column(1)
+                if encoder is None:
+                    sizes = pc.unique(pc.list_value_length(values).drop_null()).to_pylist()
+                    if len(sizes) > 1:
+                        raise ValueError(f"example vectors of different sizes: {sizes}")
+                    matrix = _vector_rows(values, sizes[0] if sizes else 0)
+                else:
+                    texts = [t or "" for t in values.to_pylist()]
+                    matrix = _encode_safely(encoder, texts, encoder(["x"]).shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([matrix.shape[1]], pa.int32()),
+                     pa.array([_unit_rows(matrix).tobytes()], pa.binary())], names=["ids", "dim", "vectors"])
+
+    bank.select(F.col("idx").cast("bigint").alias("idx"), column).mapInArrow(run, BLOCK_SCHEMA).write.parquet(path)
+    return path
+
+
+def _read_blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The blocks of a stored bank, one at a time; an example without an index comes behind all others."""
+    system, base = pyarrow.fs.FileSystem.from_uri(path)
+    for file in sorted(f.path for f in system.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")):
+        for batch in pq.ParquetFile(system.open_input_file(file)).iter_batches(1):
+            ids = np.array([LAST if i is None else i for i in batch.column("ids")[0].as_py()], np.int64)
+            if len(ids):
+                yield ids, np.frombuffer(batch.column("vectors")[0].as_py()).reshape(len(ids), batch.column("dim")[0].as_py())
+
+
+def _best(vectors: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Highest cosine of each row with any example, and the lowest index that has it."""
+    top, found = np.full(len(vectors), -np.inf), np.full(len(vectors), LAST)
+    for ids, matrix in _read_blocks(path):
+        if not vectors.shape[1]:  # no row has a vector
+            vectors = np.zeros((len(vectors), matrix.shape[1]))
+        if matrix.shape[1] != vectors.shape[1]:
+            raise ValueError(f"example vectors have {matrix.shape[1]} numbers, others {vectors.shape[1]}")
+        order = np.argsort(ids, kind="stable")
+        similarity = _cosines(vectors, matrix[order])
+        place = similarity.argmax(axis=1)
+        score, index = similarity[np.arange(len(place)), place], ids[order][place]
+        better = (score > top) | ((score == top) & (index < found))
+        top, found = np.where(better, score, top), np.where(better, index, found)
+    return np.where(np.isinf(top), 0.0, top), found
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about ``rows`` rows, so that the bank is read seldom."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def nearest_example(
-    targets: DataFrame,
-    bank: DataFrame,
-    column: str,
-    *,
-    encoder: Encoder | None = None,
-    id_col: str = "line_id",
-    max_bank_bytes: int = BANK_BYTES,
+    targets: DataFrame, bank: DataFrame, column: str, path: str, *, encoder: Encoder | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Adds ``max_similarity_score`` and ``most_similar_positive_idx`` to the targets.
 
     ``bank`` has ``idx`` (bigint) and the same ``column`` as the targets: texts when
-    an encoder is given, else vectors. The lowest ``idx`` wins among equals.
+    an encoder is given, else vectors. It is stored in blocks in the new folder ``path``, which all
+    executors must reach. The lowest ``idx`` wins among equals; without examples the score is 0.
     """
-    size = bank.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max(F.size(column) if encoder is None else F.length(column)).alias("widest"),
-        F.sum((F.size(column) * 8 if encoder is None else F.length(column) * 4).cast("bigint")).alias("bytes"),
-    ).first()
-    if not size["rows"]:
-        return targets.withColumn("max_similarity_score", F.lit(0.0)).withColumn(
-            "most_similar_positive_idx", F.lit(None).cast("bigint")
-        )
-    dim = size["widest"] if encoder is None else encoder(["x"]).shape[1]
-    if size["bytes"] + size["rows"] * dim * 8 <= max_bank_bytes:
-        return _nearest_with_whole_bank(targets, bank, column, encoder, dim)
-    return _nearest_by_blocks(targets, bank, column, encoder, dim, id_col, size["rows"])
-
-
-def _bank_matrix(bank: pa.Table, column: str, encoder: Encoder | None, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    ordered = bank.sort_by("idx").combine_chunks()
-    values = ordered.column(column).combine_chunks()
-    if encoder is None:
-        matrix = _vector_rows(values, dim)
-    else:
-        matrix = _encode_safely(encoder, [t or "" for t in values.to_pylist()], dim)
-    return ordered.column("idx").to_numpy(), _unit_rows(matrix)
-
-
-def _nearest_with_whole_bank(targets: DataFrame, bank: DataFrame, column: str, encoder: Encoder | None, dim: int) -> DataFrame:
-    ids, matrix = _bank_matrix(bank.select("idx", column).toArrow(), column, encoder, dim)
-    shared = targets.sparkSession.sparkContext.broadcast((ids, matrix))
+    stored_blocks(bank, column, encoder, path, block_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bank_ids, bank_matrix = shared.value
-        for batch in batches:
-            vectors, rows = _batch_vectors(batch, column, encoder, dim)
-            similarity = _cosines(vectors, bank_matrix)
-            best = similarity.argmax(axis=1)
-            top = similarity[np.arange(len(best)), best]
-            if rows is not None:
-                best, top = best[rows], top[rows]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(top, pa.float64()), pa.array(bank_ids[best], pa.int64())],
-                names=[*batch.schema.names, "max_similarity_score", "most_similar_positive_idx"],
-            )
+        for table in _runs(batches, TARGET_ROWS):
+            values = table.column(column).combine_chunks()
+            if encoder is None:
+                sizes = pc.unique(pc.list_value_length(values).drop_null()).to_pylist()
+                if len(sizes) > 1:
+                    raise ValueError(f"vectors of different sizes: {sizes}")
+                top, found = _best(_vector_rows(values, sizes[0] if sizes else 0), path)
+            else:
+                vectors, rows = _distinct_rows(values, encoder, encoder(["x"]).shape[1])
+                top, found = (x[rows] for x in _best(vectors, path))
+            index = pa.array(found, pa.int64(), mask=found == LAST)
+            out = table.append_column("max_similarity_score", pa.array(top, pa.float64())).append_column("most_similar_positive_idx", index)
+            yield from out.to_batches()
 
     added = [StructField("max_similarity_score", DoubleType()), StructField("most_similar_positive_idx", LongType())]
     return targets.mapInArrow(score, StructType(targets.schema.fields + added))
 
 
-def copies(n: int) -> Column:
-    """The numbers 0 to n - 1, one row each."""
-    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-
-
-def _nearest_by_blocks(
-    targets: DataFrame, bank: DataFrame, column: str, encoder: Encoder | None, dim: int, id_col: str, bank_rows: int
-) -> DataFrame:
-    """The same result for a bank of any size.
-
-    Targets and bank are cut into chunks by hash; every (target chunk, bank block)
-    pair is one matrix product that returns one row per target, and the block
-    results are merged per target. Target ids must be unique.
-    """
-    blocks = max(1, -(-bank_rows // BLOCK_ROWS))
-    target_rows = targets.count()
-    chunks = max(1, -(-target_rows // (BLOCK_ROWS * 4)))
-    some_targets = targets.select(F.col(id_col).alias("_id"), column).withColumn(
-        "_chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks))
-    ).withColumn("_block", copies(blocks))
-    some_bank = bank.select("idx", column).withColumn(
-        "_block", F.pmod(F.xxhash64("idx"), F.lit(blocks))
-    ).withColumn("_chunk", copies(chunks))
-
-    def best_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"_id": pa.array([], pa.int64()), "_score": pa.array([], pa.float64()), "_idx": pa.array([], pa.int64())})
-        ids, matrix = _bank_matrix(right, column, encoder, dim)
-        values = left.column(column).combine_chunks()
-        if encoder is None:
-            vectors, rows = _vector_rows(values, dim), None
-        else:
-            vectors, rows = _distinct_rows(values, encoder, dim)
-        similarity = _cosines(vectors, matrix)
-        best = similarity.argmax(axis=1)
-        top = similarity[np.arange(len(best)), best]
-        if rows is not None:
-            best, top = best[rows], top[rows]
-        return pa.table({"_id": left.column("_id"), "_score": pa.array(top), "_idx": pa.array(ids[best], pa.int64())})
-
-    partial = (
-        some_targets.groupBy("_chunk", "_block")
-        .cogroup(some_bank.groupBy("_chunk", "_block"))
-        .applyInArrow(best_in_block, "_id bigint, _score double, _idx bigint")
-    )
-    merged = partial.groupBy("_id").agg(F.max(F.struct("_score", (-F.col("_idx")).alias("_neg"))).alias("_best"))
-    found = merged.select(
-        F.col("_id").alias(id_col),
-        F.col("_best._score").alias("max_similarity_score"),
-        (-F.col("_best._neg")).alias("most_similar_positive_idx"),
-    )
-    return targets.join(found, id_col)
-
-
-def with_example(scored: DataFrame, bank: DataFrame, max_bank_bytes: int = BANK_BYTES, salts: int = 32) -> DataFrame:
+def with_example(scored: DataFrame, bank: DataFrame) -> DataFrame:
     """Adds the bank's text and label of the matched example.
 
-    A small bank is broadcast after its size was checked; with a larger one the
-    lines are spread over salted copies, as many lines may match one example.
+    The bank has one row for an index here, so a hot example is a join that Spark can split.
     """
     columns = [c for c in ("example", "label") if c in bank.columns]
-    text_bytes = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) * 4 for c in columns), F.lit(16))
-    size = bank.agg(F.coalesce(F.sum(text_bytes.cast("bigint")), F.lit(0))).first()[0]
-    names = bank.select(F.col("idx").alias("most_similar_positive_idx"), *columns)
-    if size <= max_bank_bytes:
-        return scored.join(F.broadcast(names), "most_similar_positive_idx", "left")
-    salt = F.pmod(F.xxhash64(*scored.columns), F.lit(salts))
-    salted = names.withColumn("_salt", copies(salts))
-    return scored.withColumn("_salt", salt).join(salted, ["most_similar_positive_idx", "_salt"], "left").drop("_salt")
+    names = bank.groupBy(F.col("idx").cast("bigint").alias("most_similar_positive_idx")).agg(F.min(F.struct(*columns)).alias("_e"))
+    return scored.join(names.select("most_similar_positive_idx", "_e.*"), "most_similar_positive_idx", "left")
 
 
-def similarity_results(lines: DataFrame, bank: DataFrame, encoder: Encoder, max_bank_bytes: int = BANK_BYTES) -> DataFrame:
+def similarity_results(lines: DataFrame, bank: DataFrame, encoder: Encoder, path: str) -> DataFrame:
     """The similarity analysis of log lines against known examples.
 
     ``bank``: ``idx, example, label``. The label of the matched example is the
@@ -271,8 +248,8 @@ def similarity_results(lines: DataFrame, bank: DataFrame, encoder: Encoder, max_
     """
     prepared = lines.withColumn("normalized_log", normalize_text(F.col("line")))
     texts = bank.withColumn("normalized_log", normalize_text(F.col("example")))
-    scored = nearest_example(prepared, texts, "normalized_log", encoder=encoder, max_bank_bytes=max_bank_bytes)
-    named = with_example(scored, bank, max_bank_bytes)
+    scored = nearest_example(prepared, texts, "normalized_log", path, encoder=encoder)
+    named = with_example(scored, bank)
     label = F.coalesce(F.col("label"), F.lit("Failed login")) if "label" in bank.columns else F.lit("Failed login")
     return named.select(
         "line_id",
@@ -333,17 +310,13 @@ def similarity_to_vectors(
     return df.mapInArrow(score, StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))]))
 
 
-def collected_prototypes(prototypes: DataFrame, max_bytes: int = BANK_BYTES) -> tuple[list, list[list[float]]]:
-    """Prototype table (category, vec) as ordered lists; there is one row per category.
+def collected_prototypes(prototypes: DataFrame) -> tuple[list, list[list[float]]]:
+    """Prototype table (category, vec) as ordered lists.
 
-    Refused when the table is larger than ``max_bytes``: a category list of that
-    size is an example bank, which ``nearest_example`` handles at any size.
+    Categories are settings: the later expressions hold a term for each of them. A list that grows with the data is
+    an example bank, for ``nearest_example``.
     """
-    ordered = prototypes.orderBy("category")
-    size = prototypes.agg(F.coalesce(F.sum((F.size("vec") * 8).cast("bigint")), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise ValueError(f"{size} bytes of prototypes: use nearest_example, which works block by block")
-    rows = ordered.collect()
+    rows = prototypes.orderBy("category").collect()
     return [r["category"] for r in rows], [list(r["vec"]) for r in rows]
 
 
@@ -467,9 +440,9 @@ def semantic_similarity(pairs: DataFrame, first: str, second: str, encoder: Enco
     return pairs.mapInArrow(score, StructType([*pairs.schema.fields, StructField(out, DoubleType())]))
 
 
-def enhanced_similarity(pairs: DataFrame, key: list[str], first: str, second: str, encoder: Encoder) -> DataFrame:
+def enhanced_similarity(pairs: DataFrame, first: str, second: str, encoder: Encoder) -> DataFrame:
     """Adds ``semantic``, ``lexical``, ``string`` and ``combined`` similarity of two texts."""
-    scored = semantic_similarity(pairs, first, second, encoder)
-    scored = scored.withColumn("string", string_ratio(F.col(first), F.col(second)))
-    both = tfidf_similarity(scored, key, first, second)
+    both = tfidf_similarity(pairs, first, second)
+    both = semantic_similarity(both, first, second, encoder)
+    both = both.withColumn("string", string_ratio(F.col(first), F.col(second)))
     return both.withColumn("combined", combined_similarity(F.col("semantic"), F.col("lexical"), F.col("string")))

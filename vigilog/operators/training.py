@@ -1,10 +1,10 @@
-"""Training sets from corrections, labelled lines and generated lines."""
+"""Training sets from corrections and labelled lines."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
@@ -12,7 +12,6 @@ from vigilog.functions.fields import asset_type
 from vigilog.functions.text import label_slug
 from vigilog.operators.corrections import unused
 from vigilog.operators.ranking import first_rows_per, sample_per_group, shuffled
-from vigilog.operators.synthetic import BASE_TIME, SEED, class_by_position, synthetic_rows
 
 COLUMNS = ["ID", "Asset", "Log", "Label", "Source"]
 SHUFFLE_SEED = 42
@@ -73,25 +72,27 @@ def fill_quotas(pool: DataFrame, quotas: DataFrame, id_col: str, seed: int = SHU
 
 
 def enhanced_dataset(
-    spark: SparkSession,
     corrections: DataFrame,
-    total: int,
+    pool: DataFrame,
+    id_col: str,
+    total: Column,
     factor: int = fixed.CORRECTION_BOOST,
     include_corrections: bool = True,
-    seed: int = SEED,
-    base_time: str = BASE_TIME,
+    seed: int = SHUFFLE_SEED,
 ) -> DataFrame:
-    """Unused corrections, boosted, filled up with generated rows to the class quotas.
+    """Unused corrections, boosted, filled up with labelled lines to the class quotas.
 
-    Only the three quotas reach the driver; the generated rows come from a range.
+    ``pool``: ``id_col, Log, Label``. A class with fewer lines than its quota gives all it has.
     """
     rows = training_rows(unused(corrections))
     if not include_corrections:
         rows = rows.filter(F.lit(False))
-    quota = {r["Label"]: r["quota"] for r in class_quotas(rows, F.lit(total), factor).collect()}
-    label = class_by_position(F.col("id"), quota[1], quota[2])
-    generated = synthetic_rows(spark.range(sum(quota.values())), "id", label, seed, base_time)
-    return generated.unionByName(boosted(rows, factor).select(*COLUMNS))
+    picked = fill_quotas(pool, class_quotas(rows, total, factor), id_col, seed)
+    filler = picked.select(
+        F.col(id_col).cast("string").alias("ID"), asset_type(F.col("Log")).alias("Asset"), "Log", "Label",
+        F.lit(fixed.FILLER_SOURCE).alias("Source"),
+    )
+    return filler.unionByName(boosted(rows, factor).select(*COLUMNS))
 
 
 def dataset_metadata(dataset: DataFrame, factor: int, generated_at: str) -> DataFrame:
@@ -99,7 +100,7 @@ def dataset_metadata(dataset: DataFrame, factor: int, generated_at: str) -> Data
     real = F.col("Source") == fixed.CORRECTION_SOURCE
     counts = dataset.agg(
         F.count(F.lit(1)).alias("total_logs"),
-        F.count_if(~real).alias("synthetic_logs"),
+        F.count_if(~real).alias("filler_logs"),
         F.count_if(real).alias("correction_logs"),
         *[F.count_if(F.col("Label") == c).alias(name) for c, name in fixed.CLASS_NAMES_BY_ID.items()],
         *[F.count_if(real & (F.col("Label") == c)).alias(f"corrections_{name}") for c, name in fixed.CLASS_NAMES_BY_ID.items()],

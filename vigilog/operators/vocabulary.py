@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +14,6 @@ from vigilog.operators.ranking import BLOCK_BITS, id_blocks, numbered, numbered_
 PADDING, UNKNOWN, FIRST_WORD = 0, 1, 2
 HEAD_WORDS = 50_000
 HEAD_WORD_CHARS = 64
-VOCABULARY_BYTES = 64 * 1024 * 1024
-POSITION_BITS = 20
 
 
 def token_rows(lines: DataFrame) -> DataFrame:
@@ -29,7 +24,12 @@ def token_rows(lines: DataFrame) -> DataFrame:
 def tagged_lines(lines: DataFrame, patterns: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``line_id, tagged``: the weakly labelled corpus; lines without tokens are left out."""
     tagged = bio_tags(F.col("line"), tuple(patterns or fixed.TAG_PATTERNS))
-    return lines.select("line_id", tagged.alias("tagged")).filter(F.size("tagged") > 0)
+    return _with_tokens(lines).select("line_id", tagged.alias("tagged"))
+
+
+def _with_tokens(lines: DataFrame) -> DataFrame:
+    """Lines that hold a token: anything but white space is one. A filter on tokens would make them twice."""
+    return lines.filter(F.col("line").rlike(f"[^{fixed.WHITESPACE_CLASS}]"))
 
 
 def span_rows(tagged: DataFrame) -> DataFrame:
@@ -45,11 +45,10 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     once would otherwise meet in one task. There are fewer than sqrt(2n) different
     counts among n tokens, so the list of counts is short.
     """
-    seen = F.shiftleft(F.col("line_id"), POSITION_BITS) + F.col("pos")
     counts = tokens.groupBy(F.lower("token").alias("word")).agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min(seen).alias("first_seen")
+        F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("line_id", "pos")).alias("first_seen")
     )
-    blocks = id_blocks(F.col("first_seen"), POSITION_BITS + 2 * BLOCK_BITS, POSITION_BITS + BLOCK_BITS)
+    blocks = id_blocks(F.col("first_seen.line_id"), 2 * BLOCK_BITS, BLOCK_BITS)
     levels = [F.coalesce(-F.col("occurrences"), F.lit(0)), *blocks]
     placed = numbered(counts, [], levels, ["first_seen"], "_place")
     return placed.select("word", (F.col("_place") + (FIRST_WORD - 1)).cast("bigint").alias("idx"), "occurrences")
@@ -100,50 +99,33 @@ def encode_tokens(tokens: DataFrame, words: DataFrame, head_words: int = HEAD_WO
     return found.withColumn("idx", F.coalesce("_near", "_far", F.lit(UNKNOWN)).cast("bigint")).drop("_word", "_key", "_near", "_far")
 
 
-def encoded_lines(encoded: DataFrame) -> DataFrame:
-    """``line_id, ids, length``: word indices of each line in token order."""
+def encoded_lines(encoded: DataFrame, keys: Sequence[str] = ("line_id",)) -> DataFrame:
+    """The keys with ``ids, length``: word indices of each line in token order."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "idx")))
-    return encoded.groupBy("line_id").agg(F.transform(ordered, lambda s: s["idx"]).alias("ids")).withColumn(
-        "length", F.size("ids")
-    )
+    return encoded.groupBy(*keys).agg(F.transform(ordered, lambda s: s["idx"]).alias("ids")).withColumn("length", F.size("ids"))
 
 
-def encode_lines(lines: DataFrame, words: DataFrame, max_bytes: int = VOCABULARY_BYTES) -> DataFrame:
-    """``line_id, ids, length`` of the lines that hold a token.
+def encode_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """The lines that hold a token, with ``ids, length`` in place of ``line``.
 
-    ``words`` is best a stored table. When its size was checked to be small, every
-    task holds it and encodes its own lines, with no shuffle; otherwise the tokens
-    are joined with it.
-    """
-    size = words.agg(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()[0]
-    if size > max_bytes:
-        return encoded_lines(encode_tokens(token_rows(lines), words))
-    table = words.select("word", "idx").toArrow()
-    numbers = dict(zip(table.column("word").to_pylist(), table.column("idx").to_pylist()))
-    shared = lines.sparkSession.sparkContext.broadcast(numbers)
-
-    @F.arrow_udf("array<bigint>")
-    def encode(tokens: pa.Array) -> pa.Array:
-        coded = tokens.flatten().dictionary_encode()
-        known = np.array([shared.value.get(w, UNKNOWN) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-        places = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(known[places] if len(places) else places.astype(np.int64)))
-
-    tokens = F.transform(tokenize(F.col("line")), F.lower)
-    encoded = lines.select("line_id", encode(tokens).alias("ids"))
-    return encoded.select("line_id", "ids", F.size("ids").alias("length")).filter("length > 0")
-
-
-def padded_batches(lines: DataFrame, batch_size: int = 16) -> DataFrame:
-    """Adds ``batch`` and pads ``ids`` to the longest line of the batch.
-
-    Batches are runs of lines in id order; a batch is a few rows, so the longest
-    length comes from a window over the batch.
+    ``words`` is best a stored table; of a word that comes twice the smallest index counts. Lines with the same id stay
+    lines of their own.
     """
-    placed = numbered_by_id(lines, [], "line_id", "_place")
-    batched = placed.withColumn("batch", F.floor((F.col("_place") - 1) / batch_size)).drop("_place")
+    keys = [c for c in lines.columns if c != "line"]
+    copy = F.row_number().over(Window.partitionBy("line_id").orderBy("line"))
+    tokens = lines.withColumn("_copy", copy).select(*keys, "_copy", F.posexplode(tokenize(F.col("line"))).alias("pos", "token"))
+    distinct = words.groupBy("word").agg(F.min("idx").alias("idx"))
+    return encoded_lines(encode_tokens(tokens, distinct), [*keys, "_copy"]).drop("_copy")
+
+
+def with_batches(lines: DataFrame, batch_size: int = 16) -> DataFrame:
+    """The lines that hold a token with ``batch``: runs of ``batch_size`` lines in id order."""
+    placed = numbered_by_id(_with_tokens(lines), [], "line_id", "_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / batch_size)).drop("_place")
+
+
+def padded(encoded: DataFrame) -> DataFrame:
+    """``ids`` filled up to the longest line of their ``batch``, which is a few rows."""
     longest = F.max("length").over(Window.partitionBy("batch"))
     fill = F.array_repeat(F.lit(PADDING).cast("bigint"), longest - F.col("length"))
-    return batched.select("line_id", "batch", "length", F.concat("ids", fill).alias("ids"))
+    return encoded.select("line_id", "batch", "length", F.concat("ids", fill).alias("ids"))

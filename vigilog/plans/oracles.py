@@ -10,8 +10,8 @@ from vigilog import fixed_values as fixed
 from vigilog.operators import scoring, training
 from vigilog.plans import queries
 from vigilog.plans.sql_parts import (
-    AUTH_LINES, CHOSEN, CORRECTIONS, DOC_LINES, GENERATED, MEANS, PAGE_LINES, SIMS, SPACE, TAGGER, TURN_PAIRS,
-    asset, case, category, contains_case, first_match, generated_lines, gsub, hashed_vectors, normalize,
+    AUTH_LINES, CHOSEN, CORRECTIONS, DOC_LINES, MEANS, PAGE_LINES, SIMS, SPACE, TURN_PAIRS,
+    asset, case, category, contains_case, first_match, gsub, hashed_vectors, normalize,
     offset_table, preprocess, q, rule_case, search_field, span_table, split_words, tag_table, token_table,
     vocabulary_table,
 )
@@ -62,18 +62,18 @@ oracle("normalize_text", AUTH_LINES, f"SELECT line_id, {normalize('line')} AS no
 oracle("normalize_documents", f"SELECT doc_id, {normalize('text')} AS normalized_log FROM documents")
 oracle("preprocess_text", AUTH_LINES, f"SELECT line_id, {preprocess('line')} AS normalized_log FROM auth_lines")
 FIELDS = ", ".join(f"{first_match('line', p, 0)} AS {n}" for n, p in fixed.LINE_FIELDS.items())
-oracle("log_fields", GENERATED, f"SELECT id AS line_id, {FIELDS} FROM generated")
+oracle("log_fields", AUTH_LINES, f"SELECT line_id, {FIELDS} FROM auth_lines")
 oracle("search_filter", """
   SELECT doc_id, source, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview
   FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e|copyright')""")
-oracle("rule_labels", GENERATED, f"""
+oracle("rule_labels", AUTH_LINES, f"""
   SELECT line_id, text, {rule_case('text', fixed.SSH_RULES, 'Other')} AS ssh_label,
     {rule_case('text', fixed.LINUX_RULES, 'Other')} AS linux_label
-  FROM (SELECT id AS line_id, asset || ' ' || line || ' ' || label AS text FROM generated)""")
+  FROM (SELECT line_id, event_type || ' ' || line || ' ' || user_id AS text FROM auth_lines)""")
 oracle("row_text", """
   SELECT event_id, user_id || ' ' || event_type || ' ' ||
     coalesce(CASE WHEN event_type <> 'view' THEN value::VARCHAR END, 'nan') AS text FROM events""")
-oracle("asset_type", GENERATED, "SELECT id AS line_id, asset FROM generated")
+oracle("asset_type", AUTH_LINES, f"SELECT line_id, {asset('line')} AS asset FROM auth_lines")
 FORMAT = contains_case("line", fixed.LOG_FORMATS, "generic")
 oracle("format_sniff", AUTH_LINES, f"""
   SELECT source, {FORMAT} AS suspected_format FROM (SELECT source, arg_min(line, line_id) AS line FROM auth_lines GROUP BY source)""")
@@ -113,7 +113,7 @@ oracle("entity_unique", AUTH_LINES, entity_table("auth_lines"), "SELECT type, co
 oracle("entity_top10", AUTH_LINES, entity_table("auth_lines"), """
   SELECT * FROM (
     SELECT type, entity, count(*) AS events,
-      row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, min(line_id * 1048576 + ord))::INTEGER AS rank
+      row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, min({'l': line_id, 'o': ord}))::INTEGER AS rank
     FROM entities GROUP BY type, entity) WHERE rank <= 10""")
 HOURS = f"hours AS (SELECT unnest(regexp_extract_all(line, {q(fixed.CLOCK_HOUR)}, 1))::INTEGER AS hour FROM auth_lines)"
 oracle("events_by_hour", AUTH_LINES, HOURS, """
@@ -129,10 +129,10 @@ HITS = {}
 for kind, patterns in fixed.EVENT_PATTERNS.items():
     flags = ", ".join(f"CASE WHEN regexp_matches(line, {q(escaped(p))}) THEN '{i}' END" for i, p in enumerate(patterns))
     HITS[kind] = f"array_to_string(list_filter([{flags}], lambda x: x IS NOT NULL), '|')"
-oracle("event_patterns", GENERATED, f"""
+oracle("event_patterns", AUTH_LINES, f"""
   SELECT *, CASE WHEN authentication_failure_hits <> '' THEN 'authentication_failure'
     WHEN authentication_success_hits <> '' THEN 'authentication_success' ELSE 'none' END AS label
-  FROM (SELECT id AS line_id, {', '.join(f'{v} AS {k}_hits' for k, v in HITS.items())} FROM generated)""")
+  FROM (SELECT line_id, {', '.join(f'{v} AS {k}_hits' for k, v in HITS.items())} FROM auth_lines)""")
 oracle("security_patterns", AUTH_LINES, " UNION ALL ".join(
     f"""SELECT {q(name)} AS name, {q(pattern)} AS pattern, {confidence}::DOUBLE AS confidence, {q(','.join(names))} AS fields,
   count(*) AS lines, min(line_id) AS first_line_id FROM auth_lines WHERE regexp_matches(line, {q('(?i)' + pattern)})"""
@@ -174,26 +174,41 @@ oracle("prototype_scores", SIMS, "SELECT vec_id, label, category, score FROM sco
 oracle("softmax_scores", SIMS, """
   SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY category) - 1)::INTEGER AS pos,
     round(exp(3 * sim) / sum(exp(3 * sim)) OVER (PARTITION BY vec_id), 6) AS probability FROM sims""")
-oracle("nearest_example", """bank AS (SELECT label, min(vec_id) AS idx, arg_min(embedding, vec_id)::DOUBLE[] AS vec FROM embeddings GROUP BY label)""", """
-  SELECT vec_id, round(max(sim), 6) AS max_similarity_score, arg_max(idx, sim) AS most_similar_positive_idx, arg_max(label, sim) AS label
-  FROM (SELECT e.vec_id, b.idx, b.label, list_cosine_similarity(e.embedding::DOUBLE[], b.vec) AS sim FROM embeddings e, bank b ORDER BY b.idx)
+oracle("nearest_example", """bank AS (SELECT label, vec_id AS idx, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 20 <> 0)""", """
+  SELECT vec_id, round(max(sim), 6) AS max_similarity_score, arg_min(idx, (-sim, idx)) AS most_similar_positive_idx, arg_min(label, (-sim, idx)) AS label
+  FROM (SELECT e.vec_id, b.idx, b.label, round(list_cosine_similarity(e.embedding::DOUBLE[], b.vec), 12) AS sim FROM embeddings e, bank b WHERE e.vec_id % 20 = 0)
   GROUP BY vec_id""")
-oracle(
-    "nearest_line_example", AUTH_LINES,
-    f"""bank AS (SELECT min(line_id) AS idx, arg_min(line, line_id) AS example FROM auth_lines GROUP BY event_type),
-  texts AS (SELECT DISTINCT {normalize('line')} AS norm FROM auth_lines),
-  bank_texts AS (SELECT idx, example, {normalize('example')} AS norm FROM bank)""",
-    hashed_vectors("v", "texts", "norm", SIZE),
-    """lengths AS (SELECT norm, sqrt(sum(n * n)) AS size FROM v GROUP BY norm),
-  sims AS (SELECT t.norm, b.idx, b.example, coalesce(d.dot, 0) / (lt.size * lb.size) AS sim
-    FROM texts t CROSS JOIN bank_texts b JOIN lengths lt ON lt.norm = t.norm JOIN lengths lb ON lb.norm = b.norm
-    LEFT JOIN (SELECT a.norm, c.idx, sum(a.n * w.n) AS dot FROM v a JOIN bank_texts c ON true JOIN v w ON w.norm = c.norm AND w.slot = a.slot
-      GROUP BY ALL) d ON d.norm = t.norm AND d.idx = b.idx),
-  best AS (SELECT norm, round(max(sim), 6) AS score, arg_min(idx, (-round(sim, 12), idx)) AS idx, arg_min(example, (-round(sim, 12), idx)) AS example
-    FROM sims GROUP BY norm)""",
-    f"""SELECT line_id, b.norm AS normalized_log, score AS max_similarity_score, b.idx AS most_similar_positive_idx,
-    example AS most_similar_positive_example, {category('example')} AS prediction
-  FROM (SELECT line_id, {normalize('line')} AS norm FROM auth_lines) l JOIN best b USING (norm)""")
+
+
+def nearest_lines(bank: str, targets: str) -> tuple[str, ...]:
+    """CTEs ending in ``matched``: the nearest example of every target line."""
+    return (
+        AUTH_LINES,
+        f"""bank AS ({bank}), targets AS (SELECT line_id, {normalize('line')} AS norm FROM auth_lines WHERE {targets}),
+  texts AS (SELECT DISTINCT norm FROM targets),
+  bank_texts AS (SELECT idx, example, {normalize('example')} AS norm FROM bank),
+  every AS (SELECT norm FROM texts UNION SELECT norm FROM bank_texts)""",
+        hashed_vectors("v", "every", "norm", SIZE),
+        """lengths AS (SELECT norm, sqrt(sum(n * n)) AS size FROM v GROUP BY norm),
+  dots AS (SELECT a.norm, c.idx, sum(a.n * w.n) AS dot FROM texts t JOIN v a ON a.norm = t.norm JOIN v w ON w.slot = a.slot
+    JOIN bank_texts c ON c.norm = w.norm GROUP BY ALL),
+  sims AS (SELECT t.norm, b.idx, b.example, round(coalesce(d.dot / (lt.size * lb.size), 0), 12) AS sim
+    FROM texts t CROSS JOIN bank_texts b LEFT JOIN lengths lt ON lt.norm = t.norm LEFT JOIN lengths lb ON lb.norm = b.norm
+    LEFT JOIN dots d ON d.norm = t.norm AND d.idx = b.idx),
+  best AS (SELECT norm, round(max(sim), 6) AS score, arg_min(idx, (-sim, idx)) AS idx, arg_min(example, (-sim, idx)) AS example
+    FROM sims GROUP BY norm),
+  matched AS (SELECT line_id, b.norm, score, b.idx, example FROM targets JOIN best b USING (norm))""",
+    )
+
+
+FIRST_LINES = nearest_lines("SELECT min(line_id) AS idx, arg_min(line, line_id) AS example FROM auth_lines GROUP BY event_type", "true")
+KNOWN_LINES = nearest_lines(f"""SELECT min(line_id) AS idx, arg_min(line, line_id) AS example FROM (
+  SELECT line_id, line, {normalize('line')} AS norm FROM auth_lines WHERE line_id % 20 <> 0) GROUP BY norm""", "line_id % 20 = 0")
+MATCHED = f"""SELECT line_id, norm AS normalized_log, score AS max_similarity_score, idx AS most_similar_positive_idx,
+    example AS most_similar_positive_example, {category('example')} AS prediction FROM matched"""
+oracle("nearest_line_example", *FIRST_LINES, MATCHED)
+oracle("nearest_known_line", *KNOWN_LINES, MATCHED)
+LINE_SCORES = f"scores AS (SELECT line_id, {category('example')} AS prediction, score FROM matched)"
 
 PHRASES = ", ".join(
     f"({i}, {q(c)}, {q(fixed.SCORING_OPTIONS['category_labels'][c])}, {q(p)})"
@@ -233,25 +248,25 @@ oracle(
     CASE WHEN login THEN explanation ELSE 'Semantically not login-related' END AS explanation
   FROM (SELECT line_id, {preprocess('line')} AS norm FROM auth_lines) l JOIN final USING (norm)""")
 
-oracle("score_metrics", SIMS, """
+oracle("score_metrics", *FIRST_LINES, LINE_SCORES, """
   SELECT count(*) AS total_lines, count(*) FILTER (WHERE score >= 0.6) AS above_threshold, round(avg(score), 6) AS mean_score,
     max(score) AS max_score FROM scores""")
-oracle("score_summary", SIMS, """
+oracle("score_summary", *FIRST_LINES, LINE_SCORES, """
   SELECT count(*) AS total_lines, round(avg(score), 6) AS mean_score, max(score) AS max_score, min(score) AS min_score,
     round(stddev_samp(score), 6) AS std_score, count(*) FILTER (WHERE score >= 0.8) AS high,
     count(*) FILTER (WHERE score >= 0.6 AND score < 0.8) AS medium, count(*) FILTER (WHERE score < 0.6) AS low FROM scores""")
-oracle("analysis_summary", SIMS, """
+oracle("analysis_summary", *FIRST_LINES, LINE_SCORES, """
   SELECT 'has_results' AS status, (SELECT count(*) FROM events) AS total_log_lines, count(*) AS analysis_entries,
     round(avg(score), 6) AS mean_confidence, max(score) AS max_confidence, min(score) AS min_confidence FROM scores""")
-oracle("score_histogram", SIMS, """
+oracle("score_histogram", *FIRST_LINES, LINE_SCORES, """
   limits AS (SELECT min(score) AS a, max(score) AS b FROM scores),
   binned AS (SELECT least(floor((score - a) / (b - a) * 50), 49)::INTEGER AS bin, count(*) AS events FROM scores, limits GROUP BY 1)""", """
   SELECT i::INTEGER AS bin, round(a + (b - a) / 50 * i, 6) AS lower, round(a + (b - a) / 50 * (i + 1), 6) AS upper,
     coalesce(events, 0) AS events FROM limits, range(50) AS r(i) LEFT JOIN binned ON bin = i""")
-oracle("score_bands", SIMS, """
-  SELECT vec_id, score, CASE WHEN score >= 0.8 THEN 'High' WHEN score >= 0.6 THEN 'Medium' ELSE 'Low' END AS band FROM scores""")
-oracle("scores_above_threshold", SIMS, "SELECT vec_id, label, category, score FROM scores WHERE score >= 0.6")
-oracle("top_scores", SIMS, "SELECT vec_id, label, category, score FROM scores ORDER BY score DESC, vec_id LIMIT 20")
+oracle("score_bands", *FIRST_LINES, LINE_SCORES, """
+  SELECT line_id, score, CASE WHEN score >= 0.8 THEN 'High' WHEN score >= 0.6 THEN 'Medium' ELSE 'Low' END AS band FROM scores""")
+oracle("scores_above_threshold", *FIRST_LINES, LINE_SCORES, "SELECT line_id, prediction, score FROM scores WHERE score >= 0.6")
+oracle("top_scores", *FIRST_LINES, LINE_SCORES, "SELECT line_id, prediction, score FROM scores ORDER BY score DESC, line_id LIMIT 20")
 
 # ---------------------------------------------------------------- text pairs
 
@@ -300,7 +315,7 @@ oracle("unused_corrections", CORRECTIONS, "SELECT doc_id, record_id, log_text FR
 oracle("used_corrections", CORRECTIONS, "SELECT doc_id, record_id FROM corrections WHERE used_for_training")
 oracle("filtered_counts", CORRECTIONS, """
   SELECT count(*) FILTER (WHERE NOT used_for_training AND regexp_matches(log_text, '(?i)licen[cs]e|@')) AS shown, count(*) AS total FROM corrections""")
-PICKED = "record_id IN (SELECT record_id FROM chosen)"
+PICKED = "(record_id, log_text) IN (SELECT (record_id, log_text) FROM chosen)"
 oracle("mark_used", CORRECTIONS, CHOSEN, f"""
   SELECT doc_id, record_id, used_for_training OR {PICKED} AS used_for_training, CASE WHEN {PICKED} THEN '2025-07-01 00:00:00' END AS training_timestamp,
     CASE WHEN {PICKED} THEN '20250701_000000' END AS dataset_generation_session FROM corrections""")
@@ -332,34 +347,32 @@ oracle("quota_sample", CORRECTIONS, quota_tables("(SELECT count(*) FROM document
   placed AS (SELECT line_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || line_id), line_id) AS place FROM (
     SELECT line_id, CASE event_category WHEN 'authentication_success' THEN 1 WHEN 'authentication_failure' THEN 2 ELSE 0 END AS label FROM categorized))""", """
   SELECT line_id, p.label::INTEGER AS "Label" FROM placed p JOIN quotas u ON p.label = u."Label" WHERE place <= quota""")
-oracle("synthetic_logs", GENERATED, """
-  SELECT id AS line_id, line, asset AS "Asset", label AS "Label", 'synthetic' AS "Source" FROM generated""")
-oracle("tagger_logs", TAGGER, "SELECT line_id, label::INTEGER AS label, line FROM tagger_lines")
-ENHANCED = ", ".join([CORRECTIONS, EVENT_QUOTAS, generated_lines(
-    "made", "SELECT unnest(range(0, (SELECT (q1 + q2 + q0)::BIGINT FROM shares))) AS id",
-    "CASE WHEN id < (SELECT q1 FROM shares) THEN 1 WHEN id < (SELECT q1 + q2 FROM shares) THEN 2 ELSE 0 END"), f"""
-  enhanced AS (SELECT id::VARCHAR AS "ID", asset AS "Asset", line AS "Log", label AS "Label", 'synthetic' AS "Source" FROM made UNION ALL
+POOL = f"""pool AS (SELECT line_id, line, label, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || line_id), line_id) AS place FROM (
+    SELECT line_id, line, CASE event_category WHEN 'authentication_success' THEN 1 WHEN 'authentication_failure' THEN 2 ELSE 0 END AS label FROM categorized))"""
+ENHANCED = ", ".join([CORRECTIONS, EVENT_QUOTAS, AUTH_LINES, CATEGORIZED, POOL, f"""
+  enhanced AS (SELECT line_id::VARCHAR AS "ID", {asset('line')} AS "Asset", line AS "Log", p.label AS "Label", 'labelled_line' AS "Source"
+    FROM pool p JOIN quotas u ON p.label = u."Label" WHERE place <= quota UNION ALL
     SELECT record_id, {asset('log_text')}, log_text, class_id, 'user_correction' FROM corrections, range({BOOST}) WHERE NOT used_for_training)"""])
 oracle("enhanced_dataset", ENHANCED, "SELECT * FROM enhanced")
 NAMES = fixed.CLASS_NAMES_BY_ID
 oracle("dataset_metadata", ENHANCED, f"""
-  SELECT '2025-07-01 00:00:00' AS generation_timestamp, count(*) AS total_logs, count(*) FILTER (WHERE "Source" = 'synthetic') AS synthetic_logs,
-    count(*) FILTER (WHERE "Source" <> 'synthetic') AS correction_logs,
+  SELECT '2025-07-01 00:00:00' AS generation_timestamp, count(*) AS total_logs, count(*) FILTER (WHERE "Source" = 'labelled_line') AS filler_logs,
+    count(*) FILTER (WHERE "Source" = 'user_correction') AS correction_logs,
     {', '.join(f'count(*) FILTER (WHERE "Label" = {c}) AS {n}' for c, n in NAMES.items())},
-    {', '.join(f'''count(*) FILTER (WHERE "Label" = {c} AND "Source" <> 'synthetic') AS corrections_{n}''' for c, n in NAMES.items())},
-    count(*) FILTER (WHERE "Source" <> 'synthetic') // {BOOST} AS corrections_used, {BOOST} AS correction_boost_factor FROM enhanced""")
+    {', '.join(f'''count(*) FILTER (WHERE "Label" = {c} AND "Source" = 'user_correction') AS corrections_{n}''' for c, n in NAMES.items())},
+    count(*) FILTER (WHERE "Source" = 'user_correction') // {BOOST} AS corrections_used, {BOOST} AS correction_boost_factor FROM enhanced""")
 oracle("saved_dataset", ENHANCED, """
-  SELECT place, "Label", "Source", count(*) AS rows FROM enhanced, (VALUES ('by_class'), ('combined')) AS p(place) GROUP BY ALL""")
+  SELECT place, "ID", "Asset", md5("Log") AS log_md5, "Label"::INTEGER AS "Label", "Source" FROM enhanced, (VALUES ('by_class'), ('combined')) AS p(place)""")
 LABELLED = """labelled AS (SELECT *, CASE event_category WHEN 'authentication_success' THEN 'Success_login'
     WHEN 'authentication_failure' THEN 'Failed_login' ELSE 'Other' END AS label FROM categorized)"""
 oracle("label_counts", AUTH_LINES, CATEGORIZED, LABELLED, "SELECT label, count(*) AS rows FROM labelled GROUP BY label")
-oracle("asset_counts", GENERATED, 'SELECT asset AS "Asset", count(*) AS rows FROM generated GROUP BY 1 ORDER BY rows DESC, 1 LIMIT 10')
+oracle("asset_counts", AUTH_LINES, f"""SELECT {asset('line')} AS "Asset", count(*) AS rows FROM auth_lines GROUP BY 1 ORDER BY rows DESC, 1 LIMIT 10""")
 oracle("distinct_counts", "SELECT DISTINCT count(*) AS rows FROM events GROUP BY user_id")
 oracle("labelled_samples", AUTH_LINES, CATEGORIZED, """
   SELECT source, line_id, line AS text, CASE event_category WHEN 'authentication_failure' THEN 'Failed_login' ELSE 'Other' END AS label
   FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line_id) AS rank FROM categorized) WHERE rank <= 100""")
-oracle("union_labelled", AUTH_LINES, CATEGORIZED, LABELLED, GENERATED, """
-  SELECT line AS text, label, NULL::VARCHAR AS asset FROM labelled UNION ALL SELECT line, NULL, asset FROM generated""")
+oracle("union_labelled", AUTH_LINES, CATEGORIZED, LABELLED, DOC_LINES, f"""
+  SELECT line AS text, label, NULL::VARCHAR AS asset FROM labelled UNION ALL SELECT line, NULL, {asset('line')} FROM doc_lines""")
 oracle("first_lines", AUTH_LINES, "SELECT line_id, line FROM auth_lines ORDER BY line_id LIMIT 1000")
 oracle("line_preview", AUTH_LINES, """
   SELECT row_number() OVER (ORDER BY line_id) || ': ' || line AS preview FROM (SELECT line_id, line FROM auth_lines ORDER BY line_id LIMIT 5)""")
@@ -377,16 +390,16 @@ oracle("token_offsets", AUTH_LINES, offset_table("spans", "auth_lines"), """
   SELECT line_id, pos::INTEGER AS pos, start_at::INTEGER AS start_at, end_at::INTEGER AS end_at, token FROM spans""")
 for name, lines, cte in (("document_vocabulary", "doc_lines", DOC_LINES), ("line_vocabulary", "auth_lines", AUTH_LINES)):
     oracle(name, cte, token_table("tokens", lines), vocabulary_table("vocabulary", "tokens"), "SELECT word, idx, occurrences FROM vocabulary")
-TAGS = tag_table("tags", "tagger_lines")
-oracle("bio_tags", TAGGER, TAGS, "SELECT line_id, pos::INTEGER AS pos, token, tag FROM tags")
-oracle("bio_spans", TAGGER, TAGS, span_table("found", "tags"), "SELECT line_id, ord::INTEGER AS ord, type, value FROM found")
+TAGS = tag_table("tags", "auth_lines")
+oracle("bio_tags", AUTH_LINES, TAGS, "SELECT line_id, pos::INTEGER AS pos, token, tag FROM tags")
+oracle("bio_spans", AUTH_LINES, TAGS, span_table("found", "tags"), "SELECT line_id, ord::INTEGER AS ord, type, value FROM found")
 oracle("last_entities", AUTH_LINES, tag_table("tags", "auth_lines"), span_table("found", "tags"), """
   SELECT line_id, type, arg_max(value, ord) AS value FROM found GROUP BY line_id, type""")
 oracle("span_tokens", AUTH_LINES, offset_table("spans", "auth_lines"), """
   SELECT line_id, string_agg(token, ' ' ORDER BY pos) AS inside FROM spans JOIN (SELECT line_id, strpos(line, ':') - 3 AS place FROM auth_lines) USING (line_id)
   WHERE start_at >= place AND end_at <= place + 8 GROUP BY line_id""")
-oracle("tag_index", TAGGER, TAGS, "SELECT tag, row_number() OVER (ORDER BY tag) AS idx FROM (SELECT DISTINCT tag FROM tags)")
-oracle("decoded_tags", TAGGER, TAGS, "SELECT tag, tag AS decoded, count(*) AS tokens FROM tags GROUP BY tag")
+oracle("tag_index", AUTH_LINES, TAGS, "SELECT tag, row_number() OVER (ORDER BY tag) AS idx FROM (SELECT DISTINCT tag FROM tags)")
+oracle("decoded_tags", AUTH_LINES, TAGS, "SELECT tag, tag AS decoded, count(*) AS tokens FROM tags GROUP BY tag")
 oracle("encoded_batches", AUTH_LINES, token_table("tokens", "auth_lines"), vocabulary_table("vocabulary", "tokens"), """
   encoded AS (SELECT line_id, string_agg(idx::VARCHAR, ' ' ORDER BY pos) AS ids, count(*) AS length FROM tokens JOIN vocabulary ON word = lower(token) GROUP BY line_id),
   batched AS (SELECT *, (row_number() OVER (ORDER BY line_id) - 1) // 16 AS batch FROM encoded),
@@ -404,27 +417,25 @@ oracle("feedback_append", CORRECTIONS, """
   SELECT substr(md5(log_text || timestamp), 1, 12) AS record_id, false AS used_for_training,
     sum(CASE WHEN corrected_label IS NULL THEN 1 ELSE 2 END)::BIGINT AS rows FROM corrections GROUP BY ALL""")
 oracle("snapshot_stats", CORRECTIONS, CHOSEN, STATS.format(used=f"used_for_training OR {PICKED}"))
-oracle("tagged_file_counts", TAGGER, TAGS, "SELECT tag, count(*) AS tokens FROM tags GROUP BY tag")
+oracle("tagged_file_counts", AUTH_LINES, TAGS, "SELECT tag, count(*) AS tokens FROM tags GROUP BY tag")
 
 
-def closed_windows(bucket: str, width: str, keys: str, having: str = "true", where: str = "true", measure: str = "events") -> str:
-    """Windows the watermark has passed: an hour behind the newest event."""
+def windows(bucket: str, width: str, keys: str, having: str = "true", where: str = "true", measure: str = "events") -> str:
     return f"""
   SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(start + INTERVAL {width}, '%Y-%m-%d %H:%M:%S') AS window_end, {keys}, count(*) AS {measure}
-  FROM (SELECT {bucket} AS start, * FROM categorized WHERE {where})
-  WHERE start + INTERVAL {width} <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY start, {keys} HAVING {having}"""
+  FROM (SELECT {bucket} AS start, * FROM categorized WHERE {where}) GROUP BY start, {keys} HAVING {having}"""
 
 
 FOUND = f"""found AS (SELECT *, {search_field('src_ip')} AS src_ip, {search_field('user')} AS user FROM categorized)"""
-oracle("stream_alert", AUTH_LINES, CATEGORIZED, FOUND, closed_windows(
+oracle("stream_alert", AUTH_LINES, CATEGORIZED, FOUND, windows(
     "time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01')", "7 DAY", "src_ip, user", "count(*) > 5",
     "event_category = 'authentication_failure' AND src_ip IS NOT NULL AND user IS NOT NULL", "failures").replace("FROM categorized", "FROM found"))
-oracle("stream_hourly", AUTH_LINES, CATEGORIZED, closed_windows("date_trunc('hour', ts)", "1 HOUR", "event_category"))
-oracle("stream_daily_summary", AUTH_LINES, CATEGORIZED, closed_windows(
+oracle("stream_hourly", AUTH_LINES, CATEGORIZED, windows("date_trunc('hour', ts)", "1 HOUR", "event_category"))
+oracle("stream_daily_summary", AUTH_LINES, CATEGORIZED, windows(
     "time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01 09:00:00')", "1 DAY", "event_category"))
 oracle("stream_classified", AUTH_LINES, CATEGORIZED, f"""
   SELECT line_id, event_category, CASE WHEN {HITS['authentication_failure']} <> '' THEN 'authentication_failure'
       WHEN {HITS['authentication_success']} <> '' THEN 'authentication_success' ELSE 'none' END AS label,
     {search_field('user')} AS user, {search_field('src_ip')} AS src_ip, {search_field('action')} AS action FROM categorized""")
 oracle("stream_feedback", AUTH_LINES, CATEGORIZED, """
-  SELECT DISTINCT substr(md5(line), 1, 12) AS record_id, event_category AS label FROM categorized""")
+  SELECT DISTINCT substr(md5(line), 1, 12) AS record_id, line AS log_text, event_category AS label FROM categorized""")

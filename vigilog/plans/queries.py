@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
 from vigilog.functions import fields, similarity, text, tokens, vectors
-from vigilog.operators import corrections, ranking, reports, scoring, searches, synthetic, training, vocabulary
+from vigilog.operators import corrections, ranking, reports, scoring, searches, training, vocabulary
 from vigilog.session import scratch_path
 from vigilog.sources import banks, files
 from vigilog.sources.tables import auth_lines, derived_corrections, document_lines, table, turn_pairs
@@ -38,13 +38,6 @@ def document_log(spark: SparkSession, folder: str) -> DataFrame:
     return document_lines(table(spark, folder, "documents"))
 
 
-def generated(spark: SparkSession, folder: str) -> DataFrame:
-    """One generated line per event: ``line_id, line, asset, label``."""
-    ids = table(spark, folder, "events").select("event_id")
-    rows = synthetic.synthetic_rows(ids, "event_id", F.element_at(F.array(F.lit(1), F.lit(2), F.lit(0)), (F.col("event_id") % 3 + 1).cast("int")))
-    return rows.select(F.col("ID").cast("bigint").alias("line_id"), F.col("Log").alias("line"), "Asset", "Label", "Source")
-
-
 def records(spark: SparkSession, folder: str) -> DataFrame:
     raw = derived_corrections(table(spark, folder, "labels"), table(spark, folder, "documents"))
     return corrections.with_defaults(raw)
@@ -148,7 +141,7 @@ def preprocess_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def log_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return generated(spark, folder).select("line_id", *fields.log_fields(F.col("line")))
+    return logs(spark, folder).select("line_id", *fields.log_fields(F.col("line")))
 
 
 @query
@@ -159,8 +152,8 @@ def search_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rule_labels(spark: SparkSession, folder: str) -> DataFrame:
-    rows = generated(spark, folder).drop("Source")
-    labelled = rows.select("line_id", text.row_text(["Asset", "line", "Label"]).alias("text"))
+    rows = logs(spark, folder)
+    labelled = rows.select("line_id", text.row_text(["event_type", "line", "user_id"]).alias("text"))
     return labelled.select(
         "*", fields.ssh_label(F.col("text")).alias("ssh_label"), fields.linux_label(F.col("text")).alias("linux_label")
     )
@@ -176,7 +169,7 @@ def row_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def asset_type(spark: SparkSession, folder: str) -> DataFrame:
-    return generated(spark, folder).select("line_id", fields.asset_type(F.col("line")).alias("asset"))
+    return logs(spark, folder).select("line_id", fields.asset_type(F.col("line")).alias("asset"))
 
 
 @query
@@ -249,7 +242,7 @@ def peak_hour(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def event_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    found = reports.dictionary_labels(generated(spark, folder).select("line_id", "line")).drop("line")
+    found = reports.dictionary_labels(logs(spark, folder).select("line_id", "line")).drop("line")
     return found.withColumns({f"{c}_hits": F.array_join(F.col(f"{c}_hits").cast("array<string>"), "|") for c in fixed.EVENT_PATTERNS})
 
 
@@ -294,6 +287,12 @@ def label_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, list]:
     return scored.select("vec_id", "label", "sims"), categories
 
 
+def rounded_line_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity of every log line to its nearest example, for the score reports."""
+    found = line_scores(spark, folder)
+    return found.select("line_id", "prediction", F.round("max_similarity_score", 6).alias("score"))
+
+
 def best_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored, categories = label_scores(spark, folder)
     best = F.element_at(F.array(*[F.lit(c) for c in categories]), vectors.first_argmax(F.col("sims")))
@@ -327,13 +326,11 @@ def softmax_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def nearest_example(spark: SparkSession, folder: str) -> DataFrame:
-    """Targets are all vectors; the bank holds the first vector of each label."""
-    all_vectors = embeddings(spark, folder)
-    bank = all_vectors.groupBy("label").agg(
-        F.min("vec_id").alias("idx"), F.min_by("embedding", "vec_id").alias("embedding")
-    )
-    bank = stored(spark, bank, "bank")
-    scored = scoring.nearest_example(all_vectors.select("vec_id", "embedding"), bank, "embedding", id_col="vec_id")
+    """Targets are the vectors whose id is divisible by 20, the bank holds all others."""
+    every = embeddings(spark, folder)
+    bank = every.filter(F.col("vec_id") % 20 != 0).select(F.col("vec_id").alias("idx"), "label", "embedding")
+    targets = every.filter(F.col("vec_id") % 20 == 0).select("vec_id", "embedding")
+    scored = scoring.nearest_example(targets, bank, "embedding", scratch_path(spark, "bank"))
     named = scoring.with_example(scored.drop("embedding"), bank.select("idx", "label"))
     return named.withColumns(rounded("max_similarity_score"))
 
@@ -346,10 +343,25 @@ def example_lines(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, bank, "examples")
 
 
+def line_scores(spark: SparkSession, folder: str) -> DataFrame:
+    encoder = scoring.hashed_words(ENCODER_SIZE)
+    return scoring.similarity_results(logs(spark, folder), example_lines(spark, folder), encoder, scratch_path(spark, "bank"))
+
+
 @query
 def nearest_line_example(spark: SparkSession, folder: str) -> DataFrame:
-    encoder = scoring.hashed_words(ENCODER_SIZE)
-    found = scoring.similarity_results(logs(spark, folder), example_lines(spark, folder), encoder)
+    return line_scores(spark, folder).withColumns(rounded("max_similarity_score")).drop("model", "original_log_line")
+
+
+@query
+def nearest_known_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose id is divisible by 20 against every distinct normalised text of the other lines."""
+    lines = logs(spark, folder)
+    others = lines.filter(F.col("line_id") % 20 != 0).withColumn("norm", text.normalize_text(F.col("line")))
+    bank = others.groupBy("norm").agg(F.min("line_id").alias("idx"), F.min_by("line", "line_id").alias("example"))
+    bank = bank.select("idx", "example", fields.event_category(F.col("example")).alias("label"))
+    found = scoring.similarity_results(
+        lines.filter(F.col("line_id") % 20 == 0), bank, scoring.hashed_words(ENCODER_SIZE), scratch_path(spark, "bank"))
     return found.withColumns(rounded("max_similarity_score")).drop("model", "original_log_line")
 
 
@@ -361,38 +373,38 @@ def analyze_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.score_metrics(best_scores(spark, folder), "score").withColumns(rounded("mean_score"))
+    return reports.score_metrics(rounded_line_scores(spark, folder), "score").withColumns(rounded("mean_score"))
 
 
 @query
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.score_summary(best_scores(spark, folder), "score").withColumns(rounded("mean_score", "std_score"))
+    return reports.score_summary(rounded_line_scores(spark, folder), "score").withColumns(rounded("mean_score", "std_score"))
 
 
 @query
 def analysis_summary(spark: SparkSession, folder: str) -> DataFrame:
     lines = logs(spark, folder).agg(F.count(F.lit(1))).scalar()
-    return reports.analysis_summary(best_scores(spark, folder), "score", lines).withColumns(rounded("mean_confidence"))
+    return reports.analysis_summary(rounded_line_scores(spark, folder), "score", lines).withColumns(rounded("mean_confidence"))
 
 
 @query
 def score_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.score_histogram(best_scores(spark, folder), "score").withColumns(rounded("lower", "upper"))
+    return reports.score_histogram(rounded_line_scores(spark, folder), "score").withColumns(rounded("lower", "upper"))
 
 
 @query
 def score_bands(spark: SparkSession, folder: str) -> DataFrame:
-    return best_scores(spark, folder).select("vec_id", "score", reports.score_band(F.col("score")).alias("band"))
+    return rounded_line_scores(spark, folder).select("line_id", "score", reports.score_band(F.col("score")).alias("band"))
 
 
 @query
 def scores_above_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.at_least(best_scores(spark, folder), "score")
+    return reports.at_least(rounded_line_scores(spark, folder), "score")
 
 
 @query
 def top_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.top_scores(best_scores(spark, folder), "score", "vec_id")
+    return reports.top_scores(rounded_line_scores(spark, folder), "score", "line_id")
 
 
 # ---------------------------------------------------------------- text pairs
@@ -421,7 +433,7 @@ def highlight(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tfidf_pair(spark: SparkSession, folder: str) -> DataFrame:
-    found = similarity.tfidf_similarity(pairs(spark, folder), ["conv_id", "turn"], "first", "second")
+    found = similarity.tfidf_similarity(pairs(spark, folder), "first", "second")
     return found.select("conv_id", "turn", F.round("lexical", 6).alias("lexical"))
 
 
@@ -433,7 +445,7 @@ def string_ratio(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def enhanced_similarity(spark: SparkSession, folder: str) -> DataFrame:
     encoder = scoring.hashed_words(ENCODER_SIZE)
-    return scoring.enhanced_similarity(pairs(spark, folder), ["conv_id", "turn"], "first", "second", encoder).drop("first", "second")
+    return scoring.enhanced_similarity(pairs(spark, folder), "first", "second", encoder).drop("first", "second")
 
 
 # ---------------------------------------------------------------- corrections
@@ -477,7 +489,7 @@ def filtered_counts(spark: SparkSession, folder: str) -> DataFrame:
 def chosen_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Record ids an analyst picks: unused corrections to a failed login."""
     unused = corrections.unused(records(spark, folder))
-    return unused.filter(text.label_slug(F.col("user_correction.label")) == "failed_login").select("record_id")
+    return unused.filter(text.label_slug(F.col("user_correction.label")) == "failed_login").select("record_id", "log_text")
 
 
 @query
@@ -498,10 +510,6 @@ def remaining_corrections(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- training sets
 
-def dataset_size(spark: SparkSession, folder: str) -> int:
-    return table(spark, folder, "events").count()
-
-
 @query
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
     return training.training_rows(records(spark, folder)).select(*training.COLUMNS)
@@ -531,37 +539,37 @@ def quota_sample(spark: SparkSession, folder: str) -> DataFrame:
     return training.fill_quotas(pool, training.class_quotas(rows, total), "line_id").select("line_id", "Label")
 
 
-@query
-def synthetic_logs(spark: SparkSession, folder: str) -> DataFrame:
-    return generated(spark, folder)
-
-
-@query
-def tagger_logs(spark: SparkSession, folder: str) -> DataFrame:
-    return synthetic.tagger_rows(table(spark, folder, "events"), "event_id", F.col("event_id") % 2 + 1)
+def filled_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosted corrections and labelled log lines up to the class quotas of a set as large as the events table."""
+    total = table(spark, folder, "events").agg(F.count(F.lit(1))).scalar()
+    category = fields.event_category(F.col("line"))
+    label = F.when(category == searches.SUCCESS, 1).when(category == searches.FAILURE, 2).otherwise(0)
+    pool = logs(spark, folder).select("line_id", F.col("line").alias("Log"), label.alias("Label"))
+    return training.enhanced_dataset(records(spark, folder), pool, "line_id", total)
 
 
 @query
 def enhanced_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    return training.enhanced_dataset(spark, records(spark, folder), dataset_size(spark, folder))
+    return filled_dataset(spark, folder)
 
 
 @query
 def dataset_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    built = training.enhanced_dataset(spark, records(spark, folder), dataset_size(spark, folder))
-    return training.dataset_metadata(built, fixed.CORRECTION_BOOST, "2025-07-01 00:00:00")
+    return training.dataset_metadata(filled_dataset(spark, folder), fixed.CORRECTION_BOOST, "2025-07-01 00:00:00")
 
 
 @query
 def saved_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    """The enhanced set written as files and read back, per class and source."""
-    built = training.enhanced_dataset(spark, records(spark, folder), dataset_size(spark, folder))
+    """The enhanced set written as files and read back, row by row."""
+    built = filled_dataset(spark, folder)
     facts = training.dataset_metadata(built, fixed.CORRECTION_BOOST, "2025-07-01 00:00:00")
     places = training.save_dataset(built, facts, scratch_path(spark, "dataset"))
     read = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-    by_class = read.csv(places["by_class"]).select(F.lit("by_class").alias("place"), F.col("Label").cast("int"), "Source")
-    combined = read.csv(places["combined"]).select(F.lit("combined").alias("place"), F.col("Label").cast("int"), "Source")
-    return by_class.unionByName(combined).groupBy("place", "Label", "Source").agg(F.count(F.lit(1)).alias("rows"))
+    parts = [
+        read.csv(places[name]).select(F.lit(name).alias("place"), "ID", "Asset", F.md5(F.col("Log").cast("binary")).alias("log_md5"), F.col("Label").cast("int"), "Source")
+        for name in ("by_class", "combined")
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def labelled_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -577,7 +585,8 @@ def label_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def asset_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.value_counts(generated(spark, folder), "Asset", limit=10)
+    lines = logs(spark, folder).withColumn("Asset", fields.asset_type(F.col("line")))
+    return reports.value_counts(lines, "Asset", limit=10)
 
 
 @query
@@ -595,8 +604,8 @@ def labelled_samples(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def union_labelled(spark: SparkSession, folder: str) -> DataFrame:
     mine = labelled_lines(spark, folder).select(F.col("line").alias("text"), "label")
-    made = generated(spark, folder).select(F.col("line").alias("text"), F.col("Asset").alias("asset"))
-    return training.union_all([mine, made])
+    others = document_log(spark, folder).select(F.col("line").alias("text"), fields.asset_type(F.col("line")).alias("asset"))
+    return training.union_all([mine, others])
 
 
 @query
@@ -648,7 +657,7 @@ def line_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tagger_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return vocabulary.tagged_lines(tagger_logs(spark, folder))
+    return vocabulary.tagged_lines(logs(spark, folder))
 
 
 @query
@@ -698,8 +707,8 @@ def encoded_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as padded word indices, in batches of 16 lines."""
     lines = logs(spark, folder)
     words = stored(spark, vocabulary.vocabulary(vocabulary.token_rows(lines)), "vocabulary")
-    padded = vocabulary.padded_batches(vocabulary.encode_lines(lines, words))
-    return padded.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
+    encoded = vocabulary.encode_lines(vocabulary.with_batches(lines.select("line_id", "line")), words)
+    return vocabulary.padded(encoded).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
 
 
 # ---------------------------------------------------------------- files and streams
@@ -784,20 +793,27 @@ def plain_bounds(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")})
 
 
+def complete(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """The last version of a stream's complete result: every window, the newest ones included."""
+    path = scratch_path(spark, name)
+    streams.start_to_versions(stream, path, f"{path}-checkpoint").awaitTermination()
+    return streams.last_version(spark, path, stream.schema)
+
+
 @query
 def stream_alert(spark: SparkSession, folder: str) -> DataFrame:
     alerts = streams.alert_stream(log_stream(spark, folder), window=ALERT_WINDOW, slide=ALERT_WINDOW)
-    return plain_bounds(streamed(spark, alerts, "alerts"))
+    return plain_bounds(complete(spark, alerts, "alerts"))
 
 
 @query
 def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
-    return plain_bounds(streamed(spark, streams.hourly_stream(log_stream(spark, folder)), "hourly"))
+    return plain_bounds(complete(spark, streams.hourly_stream(log_stream(spark, folder)), "hourly"))
 
 
 @query
 def stream_daily_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return plain_bounds(streamed(spark, streams.daily_summary_stream(log_stream(spark, folder)), "daily"))
+    return plain_bounds(complete(spark, streams.daily_summary_stream(log_stream(spark, folder)), "daily"))
 
 
 @query
@@ -816,4 +832,4 @@ def stream_feedback(spark: SparkSession, folder: str) -> DataFrame:
         text.record_id(F.col("line"), F.lit("")).alias("record_id"),
     )
     stored = streamed(spark, streams.feedback_stream(given, "1 hour"), "feedback")
-    return stored.select("record_id", F.col("user_correction.label").alias("label"))
+    return stored.select("record_id", "log_text", F.col("user_correction.label").alias("label"))

@@ -1,14 +1,12 @@
 """Building blocks of the reference SQL (DuckDB dialect).
 
-Patterns, word lists and templates come from the fixed values; everything else is
+Patterns and word lists come from the fixed values; everything else is
 written out independently of the Spark expressions.
 """
 
 from __future__ import annotations
 
-from vigilog import fixed_templates as words
 from vigilog import fixed_values as fixed
-from vigilog.operators import synthetic
 
 SPACE = f"[{fixed.WHITESPACE_CLASS}]"
 
@@ -137,106 +135,10 @@ corrections AS (
   FROM raw_corrections)"""
 
 CHOSEN = """chosen AS (
-  SELECT DISTINCT record_id FROM corrections
+  SELECT DISTINCT record_id, log_text FROM corrections
   WHERE NOT used_for_training AND lower(replace(corrected_label, ' ', '_')) = 'failed_login')"""
 
 
-# ---------------------------------------------------------------- generated lines
-
-def drawn(row_id: str, slot: str, seed: int = synthetic.SEED) -> str:
-    p = synthetic.PRIME
-    number = f"(({row_id} % {p}) * 48271 + {synthetic.slot_constant(slot, seed)}) % {p}"
-    for step in synthetic.ROUNDS:
-        number = f"(({number}) * ({number}) + {step}) % {p}"
-    return f"({number})"
-
-
-def between(number: str, low: int, high: int) -> str:
-    return f"({number} % {high - low + 1} + {low})"
-
-
-def pick(number: str, options) -> str:
-    return f"list_extract({listed(options)}, {number} % {len(options)} + 1)"
-
-
-def value_sql(number: str, name: str, fill) -> str:
-    if name in ("ip", "src", "dst"):
-        six = f"'2001:db8::' || lower(to_hex({between(f'({number} >> 7)', 1, 9999)}))"
-        four = (
-            f"{pick(f'({number} >> 7)', words.IP_RANGES)} || {between(f'({number} >> 10)', 1, 254)} || '.' || "
-            f"{between(f'({number} >> 18)', 1, 254)}"
-        )
-        return f"CASE WHEN {number} % 100 < {words.IPV6_SHARE} THEN {six} ELSE {four} END"
-    if name == "sid":
-        return f"'S-1-5-21-' || {between(number, 100000, 999999)} || '-' || {between(f'({number} >> 8)', 1000, 9999)}"
-    if name == "mac":
-        return " || ':' || ".join(f"substr(md5({number}::VARCHAR), {2 * i + 1}, 2)" for i in range(6))
-    if isinstance(fill, tuple):
-        return f"{between(number, *fill)}::VARCHAR"
-    if isinstance(fill, str):
-        kind, n = fill.split(":")
-        digits = f"substr(md5({number}::VARCHAR), 1, {n})"
-        return f"upper({digits})" if kind == "HEX" else digits
-    return pick(number, fill)
-
-
-def template_sql(template: str, fills, special) -> str:
-    place = {name: i for i, name in enumerate(synthetic.names_in(template))}
-    parts = []
-    for kind, piece in synthetic.pieces_of(template):
-        if kind == "text":
-            parts.append(q(piece))
-        elif piece in special:
-            parts.append(f"({special[piece]})")
-        else:
-            parts.append(f"({value_sql(f'name{place[piece]}', piece, fills.get(piece))})")
-    return " || ".join(parts)
-
-
-def line_sql(templates, common, special) -> str:
-    rules = []
-    for class_id, group in templates.items():
-        for f, (texts, own) in enumerate(group.values()):
-            for t, text in enumerate(texts):
-                where = f"label = {class_id} AND family % {len(group)} = {f} AND template % {len(texts)} = {t}"
-                rules.append((where, template_sql(text, {**common, **own}, special)))
-    return case(rules, "NULL")
-
-
-def generated_lines(name: str, ids_sql: str, label_sql: str) -> str:
-    """CTEs ending in ``name(id, label, line, asset)`` for ids from ``ids_sql(id)``."""
-    slots = synthetic.LINE_SLOTS + synthetic.name_slots(words.LINE_TEMPLATES)
-    draws = ", ".join(f"{drawn('id', s)} AS {s}" for s in slots)
-    moment = f"(TIMESTAMP {q(synthetic.BASE_TIME)} - to_seconds({between('time', 0, words.DAYS_BACK * 86400 - 1)}))"
-    formats = ["%b %d %H:%M:%S", "%Y-%m-%dT%H:%M:%S.%fZ", "%Y/%m/%d %H:%M:%S", "[%d/%b/%Y:%H:%M:%S +0000]", "%Y-%m-%d %H:%M:%S"]
-    stamp = case([(f"timeformat % 5 = {i}", f"strftime({moment}, {q(f)})") for i, f in enumerate(formats)], "''")
-    prefix = f"CASE WHEN prefix % 100 < {words.PREFIX_SHARE} THEN {stamp} || ' ' || {pick('host', words.HOSTNAMES)} || ' ' ELSE '' END"
-    body = line_sql(words.LINE_TEMPLATES, words.COMMON_FILLS, {})
-    return f"""{name}_draws AS (SELECT id, {label_sql} AS label, {draws} FROM ({ids_sql})),
-{name}_lines AS (SELECT id, label, ({prefix}) || ({body}) AS line FROM {name}_draws),
-{name} AS (SELECT id, label, line, {asset('line')} AS asset FROM {name}_lines)"""
-
-
-
-
-GENERATED = generated_lines("generated", "SELECT event_id AS id FROM events", "list_extract([1, 2, 0], id % 3 + 1)")
-
-
-def tagger_lines() -> str:
-    own = words.TAGGER_FILLS
-    slots = ["family", "template", "time", "address", *synthetic.name_slots(words.TAGGER_TEMPLATES)]
-    draws = ", ".join(f"{drawn('event_id', s)} AS {s}" for s in slots)
-    special = {
-        "time": f"strftime(TIMESTAMP '{own['year']}-01-01 00:00:00' + to_seconds({between('time', 0, 364 * 86400)}), '%Y-%m-%d %H:%M:%S')",
-        "ip": f"{pick('address', own['ip_ranges'])} || {between('(address >> 8)', 1, 254)}",
-    }
-    body = line_sql(words.TAGGER_TEMPLATES, own, special)
-    return f"""tagger_draws AS (SELECT event_id AS line_id, event_id % 2 + 1 AS label, {draws} FROM events),
-tagger_lines AS (SELECT line_id, label, {body} AS line FROM tagger_draws)"""
-
-
-TAGGER = tagger_lines()
-
 # ---------------------------------------------------------------- tokens and tags
 
 TOKEN = rf"[{fixed.WORD_CLASS}]+|[^{fixed.WORD_CLASS}{fixed.WHITESPACE_CLASS}]"
@@ -295,7 +197,7 @@ def span_table(name: str, tags: str) -> str:
 
 def vocabulary_table(name: str, tokens: str) -> str:
     return f"""{name} AS (SELECT word, row_number() OVER (ORDER BY occurrences DESC, seen) + 1 AS idx, occurrences FROM (
-  SELECT lower(token) AS word, count(*) AS occurrences, min(line_id * 1048576 + pos) AS seen FROM {tokens} GROUP BY 1))"""
+  SELECT lower(token) AS word, count(*) AS occurrences, min({{'l': line_id, 'p': pos}}) AS seen FROM {tokens} GROUP BY 1))"""
 
 
 # ---------------------------------------------------------------- vectors

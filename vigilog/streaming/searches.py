@@ -1,9 +1,9 @@
 """The scheduled searches and the feedback store as Structured Streaming jobs.
 
 A scheduled search looks back over a fixed time and runs periodically; as a stream
-that is a window over event time. A window's result appears once the watermark has
+that is a window over event time. Appended to files, a window's result appears once the watermark has
 passed its end, so the newest windows stay open until later lines arrive, and lines
-older than the watermark are dropped.
+older than the watermark are dropped. Written as versions, every version holds all windows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vigilog.functions.fields import search_field
 from vigilog.operators.reports import dictionary_labels
@@ -57,10 +57,13 @@ def classified_stream(lines: DataFrame) -> DataFrame:
 
 
 def feedback_stream(records: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Feedback records for the store; with a watermark on ``ts`` repeated ids are dropped."""
+    """Feedback records for the store; with a watermark on ``ts`` repeated records are dropped.
+
+    The short id is no proof that records are equal, so the text counts as well.
+    """
     if watermark is None:
         return records
-    return event_time(records, watermark).dropDuplicatesWithinWatermark(["record_id"])
+    return event_time(records, watermark).dropDuplicatesWithinWatermark(["record_id", "log_text"])
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: StructType, max_files: int = 100) -> DataFrame:
@@ -95,3 +98,10 @@ def start_to_versions(stream: DataFrame, path: str, checkpoint: str) -> Streamin
         .foreachBatch(write)
         .start()
     )
+
+
+def last_version(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest of the versions that ``start_to_versions`` wrote."""
+    versions = spark.read.schema(StructType([*schema.fields, StructField("version", LongType())])).parquet(path)
+    newest = versions.agg(F.max("version")).scalar()
+    return versions.filter(F.col("version") == newest).drop("version")

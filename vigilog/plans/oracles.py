@@ -1,8 +1,4 @@
-"""Reference SQL (DuckDB) for the registered queries.
-
-``string_ratio`` and ``enhanced_similarity`` have none: SQL has no longest common
-subsequence. They are tested against brute force instead.
-"""
+"""Reference SQL (DuckDB) for the registered queries."""
 
 from __future__ import annotations
 
@@ -11,8 +7,8 @@ from vigilog.operators import scoring, training
 from vigilog.plans import queries
 from vigilog.plans.sql_parts import (
     AUTH_LINES, CHOSEN, CORRECTIONS, DOC_LINES, MEANS, PAGE_LINES, SIMS, SPACE, TURN_PAIRS,
-    asset, case, category, contains_case, first_match, gsub, hashed_vectors, normalize,
-    offset_table, preprocess, q, rule_case, search_field, span_table, split_words, tag_table, token_table,
+    asset, case, category, common_subsequences, contains_case, first_match, gsub, hashed_vectors, normalize,
+    offset_table, preprocess, q, rule_case, search_field, span_table, split_words, squeeze, tag_table, token_table,
     vocabulary_table,
 )
 
@@ -293,6 +289,26 @@ oracle("tfidf_pair", TURN_PAIRS, f"""
   SELECT conv_id, turn, coalesce(round(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa * bb) END, 6), 0) AS lexical
   FROM turn_pairs LEFT JOIN sums USING (conv_id, turn)""")
 
+RATIO = "CASE WHEN length(first) + length(second) = 0 THEN 1.0 ELSE 2.0 * coalesce(lcs, 0) / (length(first) + length(second)) END"
+LCS = common_subsequences("common", "turn_pairs")
+ORACLES["string_ratio"] = f"""WITH RECURSIVE {TURN_PAIRS}, {LCS}
+  SELECT conv_id, turn, round({RATIO}, 6) AS ratio FROM turn_pairs LEFT JOIN common USING (first, second)"""
+LEXICAL = ORACLES["tfidf_pair"].removeprefix(f"WITH {TURN_PAIRS}, ").replace(
+    "coalesce(round(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa * bb) END, 6), 0)", "coalesce(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa * bb) END, 0)")
+ORACLES["enhanced_similarity"] = f"""WITH RECURSIVE {TURN_PAIRS}, {LCS},
+  lexical AS (WITH {LEXICAL}),
+  squeezed AS (SELECT DISTINCT t, {squeeze('t')} AS norm FROM (SELECT first AS t FROM turn_pairs UNION ALL SELECT second FROM turn_pairs)),
+  {hashed_vectors("v", "(SELECT DISTINCT norm FROM squeezed)", "norm", SIZE)},
+  sizes AS (SELECT norm, sqrt(sum(n * n)) AS size FROM v GROUP BY norm),
+  dots AS (SELECT conv_id, turn, sum(x.n * y.n) AS dot FROM turn_pairs JOIN squeezed a ON a.t = first JOIN squeezed b ON b.t = second
+    JOIN v x ON x.norm = a.norm JOIN v y ON y.norm = b.norm AND y.slot = x.slot GROUP BY ALL),
+  semantic AS (SELECT conv_id, turn, coalesce(dot / (x.size * y.size), 0) AS semantic FROM turn_pairs JOIN squeezed a ON a.t = first
+    JOIN squeezed b ON b.t = second LEFT JOIN sizes x ON x.norm = a.norm LEFT JOIN sizes y ON y.norm = b.norm LEFT JOIN dots USING (conv_id, turn)),
+  every AS (SELECT conv_id, turn, semantic, lexical, {RATIO} AS string FROM turn_pairs LEFT JOIN common USING (first, second)
+    JOIN semantic USING (conv_id, turn) JOIN lexical USING (conv_id, turn))
+  SELECT conv_id, turn, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(string, 6) AS string,
+    round(semantic * 0.5::DOUBLE + lexical * 0.3::DOUBLE + string * 0.2::DOUBLE, 6) AS combined FROM every"""
+
 # ---------------------------------------------------------------- corrections
 
 oracle("correction_records", CORRECTIONS, "SELECT doc_id, record_id, timestamp, used_for_training FROM corrections")
@@ -408,13 +424,25 @@ oracle("encoded_batches", AUTH_LINES, token_table("tokens", "auth_lines"), vocab
 
 # ---------------------------------------------------------------- files and streams
 
-oracle("text_round_trip", AUTH_LINES, "SELECT line FROM auth_lines")
+oracle("text_round_trip", AUTH_LINES, "SELECT line, 0::BIGINT AS odd FROM auth_lines")
+oracle("broken_cells_csv", "SELECT doc_id AS line_id, md5(source || ' ' || text) AS text FROM documents")
+oracle("example_bank_file", AUTH_LINES, f"""
+  SELECT line_id::INTEGER AS "ID", {asset('line')} AS "Asset", line AS "Log", {normalize('line')} AS normalized_log FROM auth_lines""")
+ORACLES["pattern_file_labels"] = ORACLES["event_patterns"]
+oracle("pattern_table", """
+  SELECT lang AS category, (generate_subscripts(sources, 1) - 1)::INTEGER AS ord, unnest(sources) AS pattern
+  FROM (SELECT lang, list_sort(list(DISTINCT source)) AS sources FROM documents GROUP BY lang)""")
+oracle("first_lines_file", AUTH_LINES, """
+  SELECT row_number() OVER (ORDER BY line_id) AS line_number, line FROM (SELECT line_id, line FROM auth_lines ORDER BY line_id LIMIT 1000)""")
+oracle("file_admission", AUTH_LINES, f"""
+  SELECT DISTINCT source, extension, reason FROM auth_lines, (VALUES ('txt', NULL), ('orc',
+    {q('Unsupported file type: orc. Supported types: ' + ', '.join(fixed.ALLOWED_EXTENSIONS))})) AS k(extension, reason)""")
 oracle("csv_round_trip", DOC_LINES, f"""
   SELECT line FROM doc_lines WHERE line NOT IN ({', '.join(q(c) for c in fixed.MISSING_CELLS)})""")
 oracle("structured_csv_text", AUTH_LINES, "SELECT line_id, event_type || ' ' || line AS text FROM auth_lines")
-oracle("json_round_trip", CORRECTIONS, display("corrections WHERE NOT used_for_training"))
+oracle("json_round_trip", CORRECTIONS, display("corrections WHERE NOT used_for_training").replace("SELECT record_id,", "SELECT record_id, md5(log_text) AS full_log_text,"))
 oracle("feedback_append", CORRECTIONS, """
-  SELECT substr(md5(log_text || timestamp), 1, 12) AS record_id, false AS used_for_training,
+  SELECT substr(md5(log_text || timestamp), 1, 12) AS record_id, md5(log_text) AS text_md5, false AS used_for_training,
     sum(CASE WHEN corrected_label IS NULL THEN 1 ELSE 2 END)::BIGINT AS rows FROM corrections GROUP BY ALL""")
 oracle("snapshot_stats", CORRECTIONS, CHOSEN, STATS.format(used=f"used_for_training OR {PICKED}"))
 oracle("tagged_file_counts", AUTH_LINES, TAGS, "SELECT tag, count(*) AS tokens FROM tags GROUP BY tag")

@@ -439,13 +439,14 @@ def tfidf_pair(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def string_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs(spark, folder).select("conv_id", "turn", similarity.string_ratio(F.col("first"), F.col("second")).alias("ratio"))
+    return pairs(spark, folder).select("conv_id", "turn", F.round(similarity.string_ratio(F.col("first"), F.col("second")), 6).alias("ratio"))
 
 
 @query
 def enhanced_similarity(spark: SparkSession, folder: str) -> DataFrame:
     encoder = scoring.hashed_words(ENCODER_SIZE)
-    return scoring.enhanced_similarity(pairs(spark, folder), "first", "second", encoder).drop("first", "second")
+    found = scoring.enhanced_similarity(pairs(spark, folder), "first", "second", encoder).drop("first", "second")
+    return found.withColumns(rounded("semantic", "lexical", "string", "combined"))
 
 
 # ---------------------------------------------------------------- corrections
@@ -717,7 +718,11 @@ def encoded_batches(spark: SparkSession, folder: str) -> DataFrame:
 def text_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "text")
     files.write_lines(logs(spark, folder), path)
-    return files.text_lines(spark, path).select("line")
+    found = files.text_lines(spark, path)
+    # Numbers run from 1 in each of the files, whose names Spark makes up.
+    whole = found.groupBy("source").agg(F.max("line_number").alias("last"), F.countDistinct("line_number").alias("numbers"), F.min("line_number").alias("first"))
+    odd = whole.filter("first <> 1 OR last <> numbers").agg(F.count(F.lit(1)).alias("odd"))
+    return found.select("line").crossJoin(F.broadcast(odd))
 
 
 @query
@@ -738,11 +743,70 @@ def structured_csv_text(spark: SparkSession, folder: str) -> DataFrame:
     return files.structured_csv(spark, path)
 
 
+@query
+def broken_cells_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents, line breaks and all, as cells of a structured CSV."""
+    path = scratch_path(spark, "cells")
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("LineId"), "source", F.col("text").alias("Content"), F.lit("t").alias("EventTemplate"))
+    files.write_csv(rows, path)
+    return files.structured_csv(spark, path).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query
+def example_bank_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Log lines written as a bank of examples and read with their normalised texts."""
+    path = scratch_path(spark, "bank")
+    rows = logs(spark, folder).select(
+        F.col("line_id").cast("int").alias("ID"), fields.asset_type(F.col("line")).alias("Asset"), F.col("line").alias("Log"))
+    files.write_csv(rows, path)
+    return banks.example_bank(spark, path)
+
+
+@query
+def pattern_file_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The dictionary patterns written as a JSON object, read as a table and looked for in all lines."""
+    path = scratch_path(spark, "patterns")
+    columns = [F.array(*[F.lit(p) for p in patterns]).alias(c) for c, patterns in fixed.EVENT_PATTERNS.items()]
+    files.write_json(spark.range(1).select(*columns), path)
+    patterns = banks.patterns_by_category(banks.pattern_dictionary(spark, path))
+    found = reports.dictionary_labels(logs(spark, folder).select("line_id", "line"), patterns).drop("line")
+    return found.withColumns({f"{c}_hits": F.array_join(F.col(f"{c}_hits").cast("array<string>"), "|") for c in patterns})
+
+
+@query
+def pattern_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources of every language written as a dictionary file and read back as rows."""
+    path = scratch_path(spark, "dictionary")
+    kinds = table(spark, folder, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    one = kinds.agg(F.map_from_entries(F.collect_list(F.struct("lang", "sources"))).alias("m")).select(F.to_json("m").alias("line"))
+    files.write_lines(one, path)
+    return banks.pattern_dictionary(spark, path)
+
+
+@query
+def first_lines_file(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "head")
+    files.write_first_lines(logs(spark, folder), path)
+    return files.text_lines(spark, path).select("line_number", "line")
+
+
+@query
+def file_admission(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every source as text and as ORC files: which folders hold files that are admitted, and why not."""
+    path = scratch_path(spark, "admission")
+    lines = logs(spark, folder).select("source", "line")
+    lines.write.partitionBy("source").text(f"{path}/text")
+    lines.write.partitionBy("source").orc(f"{path}/orc")
+    found = files.admission(files.file_listing(spark, path), fixed.MAX_FILE_BYTES)
+    return found.select(F.regexp_extract("path", "source=([^/]+)", 1).alias("source"), "extension", "reason").distinct()
+
+
 @query
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "json")
     files.write_json(corrections.unused(records(spark, folder)).drop("doc_id"), path)
-    return corrections.display_table(corrections.load_corrections(spark, path)).drop("full_log_text")
+    found = corrections.display_table(corrections.load_corrections(spark, path))
+    return found.withColumn("full_log_text", F.md5(F.col("full_log_text").cast("binary")))
 
 
 @query
@@ -754,7 +818,7 @@ def feedback_append(spark: SparkSession, folder: str) -> DataFrame:
     corrections.append_feedback(stored, path)
     corrections.append_feedback(stored.filter(F.col("user_correction.label").isNotNull()), path)
     read = corrections.load_corrections(spark, path)
-    return read.groupBy("record_id", "used_for_training").agg(F.count(F.lit(1)).alias("rows"))
+    return read.groupBy("record_id", "used_for_training", F.md5(F.col("log_text").cast("binary")).alias("text_md5")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query

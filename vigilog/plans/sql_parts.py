@@ -222,3 +222,22 @@ def hashed_vectors(name: str, texts: str, column: str, size: int) -> str:
     return f"""{name} AS (SELECT {column}, slot, count(*)::DOUBLE AS n FROM (
   SELECT {column}, ('0x' || substr(md5(word), 1, 8))::BIGINT % {size} AS slot
   FROM (SELECT {column}, unnest(string_split({column}, ' ')) AS word FROM {texts}) WHERE word <> '') GROUP BY ALL)"""
+
+
+def common_subsequences(name: str, pairs: str) -> str:
+    """CTEs ending in ``name(first, second, lcs)``: one recursion step per character of the first text.
+
+    The next row of the table is the running maximum of the last one and of its left neighbours plus one where the
+    characters are equal. Only the last row is kept.
+    """
+    return f"""{name}_texts AS MATERIALIZED (SELECT row_number() OVER () AS k, first, second
+  FROM (SELECT DISTINCT first, second FROM {pairs} WHERE length(first) > 0 AND length(second) > 0)),
+{name}_cells AS MATERIALIZED (SELECT k, unnest(range(1, length(second) + 1)) AS j, unnest(string_split(second, '')) AS ch FROM {name}_texts),
+{name}_rows(i, k, j, v) USING KEY (k, j) AS (
+  SELECT 0, k, j, 0 FROM {name}_cells
+  UNION
+  SELECT i, k, j, max(best) OVER (PARTITION BY k ORDER BY j) AS v FROM (
+    SELECT r.i + 1 AS i, r.k, r.j, greatest(r.v, CASE WHEN c.ch = t.first[r.i + 1]
+        THEN coalesce(lag(r.v) OVER (PARTITION BY r.k ORDER BY r.j), 0) + 1 ELSE 0 END) AS best
+    FROM {name}_rows r JOIN {name}_cells c ON c.k = r.k AND c.j = r.j JOIN {name}_texts t ON t.k = r.k WHERE r.i < length(t.first))),
+{name} AS (SELECT first, second, max(v) AS lcs FROM {name}_rows JOIN {name}_texts USING (k) GROUP BY first, second)"""

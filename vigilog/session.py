@@ -24,7 +24,7 @@ SETTINGS = {
 def local_session(cores: int | str = "*", app: str = "vigilog", **extra: str) -> SparkSession:
     """A local session for tests and measurements; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    settings = {**SETTINGS, "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", **extra}
+    settings = {**SETTINGS, "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", **extra}
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -26,8 +26,11 @@ def file_listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def admission(listing: DataFrame, max_bytes: int | None = fixed.MAX_FILE_BYTES) -> DataFrame:
-    """The listing with ``reason``: null for admitted files, else why a file is refused."""
+def admission(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """The listing with ``reason``: null for admitted files, else why a file is refused.
+
+    Sizes are only looked at when a limit is given, such as ``MAX_FILE_BYTES``.
+    """
     known = F.col("extension").isin(fixed.ALLOWED_EXTENSIONS)
     refused = F.when(
         ~known,
@@ -127,8 +130,11 @@ def csv_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "a
 
 
 def structured_csv(spark: SparkSession, path: str | Sequence[str], drop: Sequence[str] = ("LineId", "EventId", "EventTemplate")) -> DataFrame:
-    """``line_id, text``: a structured log CSV with its cells joined to one text."""
-    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    """``line_id, text``: a structured log CSV with its cells joined to one text.
+
+    Cells may hold line breaks, so a file is read by one task.
+    """
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     kept = [c for c in rows.columns if c not in drop]
     return rows.select(F.col("LineId").cast("bigint").alias("line_id"), row_text(kept).alias("text"))
 

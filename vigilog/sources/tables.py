@@ -16,11 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, most: int = MOST_SPREAD) -> DataFrame:
-    """A table in fewer file splits than cores, dealt out over the cores.
+    """In a local session, a table in fewer file splits than cores is dealt out over the cores.
 
-    One small file is one split, and regexes over it would keep one core busy. A
-    table with enough splits is left alone, so large inputs are never shuffled here.
+    One small file is one split, and regexes over it would keep one core busy. On a
+    cluster a table is read as it is.
     """
+    if not df.sparkSession.sparkContext.master.startswith("local["):
+        return df
     wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 

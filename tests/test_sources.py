@@ -47,6 +47,23 @@ def test_csv_lines(spark, tmp_path):
     assert sorted(r["line"] for r in files.csv_lines(spark, str(tmp_path / "one.csv")).collect()) == ["alpha", "beta"]
 
 
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('ID,Log\n1,alpha\n2,"be,ta"\n')
+    (tmp_path / "b.csv").write_text("Time,Host,Message\nt1,h1,gamma\nt2,h2,delta\n")
+    (tmp_path / "c.csv").write_text('ID,Log\n3,"ep\nsilon"\n')
+    (tmp_path / "d.csv").write_text("only\na, b, c\n")
+    found = sorted((r["source"][-5:], r["line"]) for r in files.csv_lines(spark, str(tmp_path)).collect())
+    assert found == [
+        ("a.csv", "alpha"), ("a.csv", "be,ta"), ("b.csv", "delta"), ("b.csv", "gamma"), ("c.csv", "ep\nsilon"), ("d.csv", "a, b, c"), ("d.csv", "only"),
+    ]
+
+
+def test_structured_cells_may_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('LineId,Level,Content,EventId\n1,INFO,"two\nlines",E1\n2,WARN,one,E2\n')
+    found = {r["line_id"]: r["text"] for r in files.structured_csv(spark, str(tmp_path / "s.csv")).collect()}
+    assert found == {1: "INFO two\nlines", 2: "WARN one"}
+
+
 def test_broken_csv_is_read_as_text(spark, tmp_path):
     (tmp_path / "broken.csv").write_text("first line\na, b, c\nlast\n")
     found = sorted(r["line"] for r in files.csv_lines(spark, str(tmp_path)).collect())

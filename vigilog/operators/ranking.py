@@ -59,8 +59,11 @@ def id_blocks(ident: Column, *bits: int) -> list[Column]:
 
 
 def numbered_by_id(df: DataFrame, by: Sequence[str], id_col: str, out: str = "line_number") -> DataFrame:
-    """Number rows from 1 by a non-negative bigint id that is unique within ``by``."""
-    return numbered(df, by, id_blocks(F.col(id_col), 2 * BLOCK_BITS, BLOCK_BITS), [id_col], out)
+    """Number rows from 1 by a non-negative bigint id that is unique within ``by``.
+
+    Three levels of 16 bits: no list of blocks, and no block, has more than 65,536 rows, however the ids are spread.
+    """
+    return numbered(df, by, id_blocks(F.col(id_col), 3 * BLOCK_BITS, 2 * BLOCK_BITS, BLOCK_BITS), [id_col], out)
 
 
 def shuffle_key(id_col: str | Column, seed: int) -> Column:

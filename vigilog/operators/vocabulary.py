@@ -48,7 +48,7 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     counts = tokens.groupBy(F.lower("token").alias("word")).agg(
         F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("line_id", "pos")).alias("first_seen")
     )
-    blocks = id_blocks(F.col("first_seen.line_id"), 2 * BLOCK_BITS, BLOCK_BITS)
+    blocks = id_blocks(F.col("first_seen.line_id"), 3 * BLOCK_BITS, 2 * BLOCK_BITS, BLOCK_BITS)
     levels = [F.coalesce(-F.col("occurrences"), F.lit(0)), *blocks]
     placed = numbered(counts, [], levels, ["first_seen"], "_place")
     return placed.select("word", (F.col("_place") + (FIRST_WORD - 1)).cast("bigint").alias("idx"), "occurrences")

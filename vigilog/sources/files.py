@@ -104,13 +104,33 @@ def text_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
     return lines.filter(is_filled(F.col("raw"))).select("source", strip(F.col("raw")).alias("line"))
 
 
+def _files_by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """First line -> files that begin with it. The driver lists the files of any scan, so it can hold their names."""
+    first = _raw_lines(spark, path).filter(F.col("_start") == 0).groupBy("source").agg(F.min_by("raw", "_at").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in first.orderBy("source").toLocalIterator():
+        found.setdefault(row["header"], []).append(row["source"])
+    return found
+
+
 def csv_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto", multi_line: bool = True) -> DataFrame:
-    """``source, line``: the last column of CSV files that share one header.
+    """``source, line``: the last column of CSV files, each by its own header.
 
-    A file with a row wider than the header is no proper CSV and is read as text
+    A file with a row wider than its header is no proper CSV and is read as text
     instead. Quoted line breaks need ``multi_line``, which reads each file in one
-    task; admitted files are at most 100 MB. Without such breaks pass False.
+    task. Without such breaks pass False. Files are read together as far as they share a header.
     """
+    groups = _files_by_header(spark, path)
+    if not groups:
+        return text_lines(spark, path, encoding, number=False)
+    parts = [_last_column(spark, files, encoding, multi_line) for files in groups.values()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _last_column(spark: SparkSession, path: list[str], encoding: str, multi_line: bool) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     header = reader.csv(path).schema
     if not header.fields:

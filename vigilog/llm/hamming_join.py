@@ -14,12 +14,16 @@ know who is connected:
 1. texts with equal sets are one class, found by a hash of the set;
 2. every class is compared with the least and the greatest class of each key it is in;
    that gives at most two comparisons for a row of the index, however large a group of copies;
-3. components of these links are formed; then all pairs of a key that lie in different
-   components are compared: members of smaller components of the key with all others. Where a
-   key has one component only, nothing is left to do.
+3. components of these links are formed. Only keys with several components are looked at again, and of their
+   classes only those that have a class of another component near them, by the lowest bits of their signatures;
+4. of the classes left, a pair is compared if it lies in different components and passes the prefix filter: of a link's two
+   sets, the rarest ninth of the smaller one and the rarest fifth of the larger one share a shingle,
+   rarity being counted over the classes left. Many copies that differ too much from each other
+   to be linked, each in shingles of its own, are so told apart without looking at their pairs.
 
-So two connected texts end in one component just as if all pairs had been compared. Keys are
-grouped with sums made in every task; joins on keys have one row for a key on one side.
+So two connected texts end in one component just as if all pairs that meet had been compared. Keys and shingles are
+grouped with sums made in every task; where a large component meets others in a key, the others are
+joined with it, never the component with itself.
 
 Defined cases: null texts and texts without words have no shingles and are linked with nothing;
 fewer words than a shingle has are one shingle; repeated rows are one class; rows without id
@@ -31,20 +35,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, shingle_hashes64, stored
+from vigilog.llm.common import WordHash, byte_texts, in_small_batches, shingle_hashes64, stored
 from vigilog.llm.components import components
-from vigilog.llm.containment import shingles
 
 CHUNKS, WIDTH, ERRORS = 14, 7, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures of linked texts differ in more symbols than this with a probability under 1e-10.
 MOST_DIFFERENT = 50
+#: The same for the lowest bits of the symbols.
+MOST_BITS = 32
 BLOCK = 1 << 14
 MULTIPLIERS = np.random.default_rng(2).integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
-SIGNED = "doc_id bigint, n bigint, whole binary, signature binary"
+SIGNED = "doc_id bigint, n bigint, whole binary, signature binary, bits1 bigint, bits2 bigint"
+SETS = "whole binary, grams array<bigint>"
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -57,29 +63,40 @@ def signature(hashes: np.ndarray) -> bytes:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
+def lowest_bits(sign: bytes) -> tuple[int, int]:
+    """The lowest bits of the symbols as two numbers."""
+    packed = np.packbits(np.frombuffer(sign, np.uint8) & 1, bitorder="little").tobytes().ljust(16, b"\0")
+    return tuple(np.frombuffer(packed, np.int64).tolist())
+
+
+def distinct_shingles(text: bytes, size: int, cache: WordHash) -> np.ndarray:
+    return np.unique(shingle_hashes64(text.lower().split(), cache, size))
+
+
 def signed(documents: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, whole, signature``: number of shingles, hash of the set, signature; the latter are null without shingles."""
+    """``doc_id, n, whole, signature, bits1, bits2``: number of shingles, hash of the set, signature; null without shingles."""
 
     def run(parts):
         cache = WordHash()
         for batch in parts:
             rows = []
             for text in byte_texts(batch.column("text")):
-                distinct = np.unique(shingle_hashes64(text.lower().split(), cache, size))
+                distinct = distinct_shingles(text, size, cache)
                 if len(distinct):
-                    rows.append((len(distinct), xxhash.xxh3_128_digest(distinct.tobytes()), signature(distinct)))
+                    sign = signature(distinct)
+                    rows.append((len(distinct), xxhash.xxh3_128_digest(distinct.tobytes()), sign, *lowest_bits(sign)))
                 else:
-                    rows.append((0, None, None))
-            n, whole, sign = zip(*rows) if rows else ((), (), ())
+                    rows.append((0, None, None, None, None))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(sign, pa.binary())],
-                names=["doc_id", "n", "whole", "signature"],
+                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[x.split()[0] for x in SIGNED.split(", ")]
             )
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SIGNED)
+    return in_small_batches(documents).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SIGNED)
 
 
-def index_keys(sign: str):
+def index_keys(sign: str) -> Column:
     """An array of keys: for each chunk and each way to leave out a symbol, a hash of the others."""
     keys = []
     for c in range(CHUNKS):
@@ -107,54 +124,110 @@ def similar_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(sizes).select("whole_a", "whole_b", "s_a", "s_b").mapInArrow(run, "whole_a binary, whole_b binary").distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, size: int) -> DataFrame:
-    """The ``pairs(whole_a, whole_b)`` whose full sets have a Jaccard similarity of 0.8 or more."""
-    wanted = pairs.select(F.explode(F.array("whole_a", "whole_b")).alias("whole")).distinct()
+def full_sets(wanted: DataFrame, classes: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """SETS of the ``wanted(whole)``: the hashes of all shingles.
+
+    A text is looked up by the least id of its class; ids may be repeated, so it must have the set that is asked for.
+    """
     holders = wanted.join(classes.select("whole", "rep"), "whole").withColumn("key", _key("rep"))
     texts = documents.select(_key("doc_id").alias("key"), "text").join(holders, "key").select("whole", "text")
-    texts = stored(_own(texts, size), "texts")
-    side = lambda x: texts.select(F.col("whole").alias(f"whole_{x}"), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a"), "whole_a").join(side("b"), "whole_b")
 
     def run(parts):
-        last, left = None, frozenset()
+        cache = WordHash()
         for batch in parts:
-            keep = []
-            for key, a, b in zip(batch.column("whole_a").to_pylist(), byte_texts(batch.column("text_a")), byte_texts(batch.column("text_b"))):
-                if key != last:
-                    last, left = key, set(shingles(a.lower().split(), size))
-                right = set(shingles(b.lower().split(), size))
-                shared = len(left & right)
-                keep.append(100 * shared >= 80 * (len(left) + len(right) - shared))
-            yield batch.select(["whole_a", "whole_b"]).filter(pa.array(keep, pa.bool_()))
+            rows = []
+            for whole, text in zip(batch.column("whole").to_pylist(), byte_texts(batch.column("text"))):
+                distinct = distinct_shingles(text, size, cache)
+                if xxhash.xxh3_128_digest(distinct.tobytes()) == whole:
+                    rows.append((whole, distinct.view(np.int64)))
+            if rows:
+                whole, grams = zip(*rows)
+                offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(grams)))
+                yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary()), lists], names=["whole", "grams"])
 
-    return both.select("whole_a", "whole_b", "text_a", "text_b").mapInArrow(run, "whole_a binary, whole_b binary")
+    return texts.mapInArrow(run, SETS).dropDuplicates(["whole"])
 
 
-def _own(texts: DataFrame, size: int) -> DataFrame:
-    """One text for each ``whole``; ids may be repeated, so the text must have the set that is asked for."""
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs(whole_a, whole_b)`` whose full sets have a Jaccard similarity of 0.8 or more."""
+    side = lambda x: sets.select(F.col("whole").alias(f"whole_{x}"), F.col("grams").alias(f"grams_{x}"))
+    both = pairs.join(side("a"), "whole_a").join(side("b"), "whole_b")
 
     def run(parts):
-        cache = WordHash()
         for batch in parts:
             keep = []
-            for whole, text in zip(batch.column("whole").to_pylist(), byte_texts(batch.column("text"))):
-                keep.append(whole == xxhash.xxh3_128_digest(np.unique(shingle_hashes64(text.lower().split(), cache, size)).tobytes()))
-            yield batch.select(["whole", "text"]).filter(pa.array(keep, pa.bool_()))
+            for a, b in zip(batch.column("grams_a"), batch.column("grams_b")):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * shared >= 80 * (len(a) + len(b) - shared))
+            yield batch.select(["whole_a", "whole_b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("whole_a", "whole_b", "grams_a", "grams_b").mapInArrow(run, "whole_a binary, whole_b binary")
+
+
+def in_mixed_groups(rows: DataFrame, group: str) -> DataFrame:
+    """Those ``rows(group, root, ...)`` whose group has several roots, with ``main``, the root of most rows of the group."""
+    sizes = rows.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n_root"))
+    main = sizes.groupBy(group).agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.count(F.lit(1)).alias("n_roots"))
+    return rows.join(main.filter("n_roots > 1").select(group, "main"), group)
+
+
+def _sizes_fit(x: str, y: str) -> Column:
+    return (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * 80) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * 80)
 
-    return texts.select("whole", "text").mapInArrow(run, "whole binary, text string").dropDuplicates(["whole"])
 
+def still_open(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``short`` of classes that share a key with a class of another component that is near them.
 
-def _key(name: str):
+    ``met(key, short)``; ``nodes(short, root, n, bits1, bits2)``.
+    """
+    mixed = stored(in_mixed_groups(met.select("key", "short").join(nodes, "short"), "key"), "mixed")
+    bits = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1"))) + F.bit_count(F.col("x.bits2").bitwiseXOR(F.col("y.bits2")))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit("x", "y") & (bits <= MOST_BITS)
+    other, main = mixed.filter("root <> main"), mixed.filter("root = main")
+    found = other.alias("x").join(mixed.alias("y"), near, "left_semi").select("short")
+    return found.unionAll(main.alias("x").join(other.alias("y"), near, "left_semi").select("short")).distinct()
+
+
+def pairs_left(sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different components that pass the prefix filter, of ``sets(short, root, n, grams)``."""
+    rows = sets.select("short", F.explode("grams").alias("gram"))
+    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = rows.join(counts, "gram").groupBy("short").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("shared"))
+    # A link of sets with n <= m shingles shares at least 8/9 of n, and at least 4/5 of m.
+    alone = F.col("n") - F.size("shared")
+    smaller, larger = (F.col("n") - F.ceil(F.col("n") * part) + 1 - alone for part in (F.lit(8.0) / 9 - 1e-12, F.lit(0.8) - 1e-12))
+    first = lambda m: F.slice("shared", 1, F.greatest(m, F.lit(0)).cast("int"))
+    ready = sets.select("short", "root", "n").join(shared, "short").select("short", "root", "n", alone.alias("alone"), first(smaller).alias("few"), first(larger).alias("more"))
+    ready = stored(ready, "prefixes")
+    each = ready.select("short", "root", "n", "alone", F.posexplode("more").alias("at", "p"), F.size("few").alias("few"))
+    rest = (F.col("n") - F.col("alone") - F.col("at")).alias("rest")  # shingles from this one on, in the order of rarity
+    each = each.select("short", "root", "n", F.col("p.gram").alias("gram"), (F.col("at") < F.col("few")).alias("leads"), rest)
+    mixed = stored(in_mixed_groups(each, "gram"), "mixed")
+    leading = mixed.filter("leads")
+    # Behind the first shared shingle both sets must have enough left to share four ninths of their sizes' sum.
+    enough = F.least("x.rest", "y.rest") * 9 >= (F.col("x.n") + F.col("y.n")) * 4
+    fits = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) & _sizes_fit("x", "y") & enough
+    one = leading.filter("root <> main").alias("x").join(mixed.alias("y"), fits)
+    two = leading.filter("root = main").alias("x").join(mixed.filter("root <> main").alias("y"), fits)
+    return one.select("x.short", F.col("y.short").alias("b")).unionAll(two.select("x.short", F.col("y.short").alias("b"))).select(
+        F.least("short", "b").alias("a"), F.greatest("short", "b").alias("b")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("whole_a", "whole_b")).alias("whole")).distinct()
+
+
+def _key(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("p"), F.col(name).cast("string")), F.lit(""))
 
 
 def near_duplicates(documents: DataFrame, size: int) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for ``documents(doc_id, text)`` and shingles of ``size`` words."""
     rows = stored(signed(documents, size), "signed")
-    classes = rows.filter("whole IS NOT NULL").groupBy("whole").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")
-    )
+    first = [F.first(x).alias(x) for x in ("n", "signature", "bits1", "bits2")]
+    classes = rows.filter("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("rep"), *first)
     classes = stored(classes.withColumn("short", F.xxhash64("whole")), "classes")
 
     index = classes.select("short", F.explode(index_keys("signature")).alias("key"))
@@ -162,23 +235,21 @@ def near_duplicates(documents: DataFrame, size: int) -> DataFrame:
     met = stored(index.join(shared, "key").select("key", "short", "low", "high"), "met")
 
     star = met.select("short", F.explode(F.array("low", "high")).alias("b")).filter("short <> b")
-    star = stored(star.select(F.least("short", "b").alias("a"), F.greatest("short", "b").alias("b")).distinct(), "star")
-    links = stored(confirmed(stored(similar_enough(star, classes), "near"), classes, documents, size), "confirmed")
-    first = components(links.select(F.col("whole_a").alias("a"), F.col("whole_b").alias("b")))
-
-    # What is left: pairs of a key that lie in different components.
-    root = classes.select("whole", "short").join(first.withColumnRenamed("node", "whole"), "whole", "left")
-    root = stored(root.select("short", F.xxhash64(F.coalesce("root", "whole")).alias("root")), "roots")
-    placed = met.select("key", "short").join(root, "short")
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    mixed_keys = stored(placed.join(main.select("key", "main"), "key"), "mixed")
-    one, other = mixed_keys.alias("x"), mixed_keys.alias("y")
-    rest = one.filter("x.root <> x.main").join(other, "key").filter("x.root <> y.root AND (y.root = y.main OR x.short < y.short)")
-    rest = rest.select(F.least("x.short", "y.short").alias("a"), F.greatest("x.short", "y.short").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = confirmed(stored(similar_enough(rest, classes), "near"), classes, documents, size)
-    whole = stored(links.unionAll(more), "links")
+    star = star.select(F.least("short", "b").alias("a"), F.greatest("short", "b").alias("b")).distinct()
+    near = stored(similar_enough(star, classes), "near")
+    sets = stored(full_sets(_ends(near), classes, documents, size), "sets")
+    links = stored(confirmed(near, sets), "confirmed")
+
+    root = components(links.select(F.col("whole_a").alias("a"), F.col("whole_b").alias("b"))).withColumnRenamed("node", "whole")
+    nodes = classes.select("whole", "short", "n", "bits1", "bits2").join(root, "whole", "left")
+    nodes = stored(nodes.withColumn("root", F.xxhash64(F.coalesce("root", "whole"))).drop("whole"), "nodes")
+    left = stored(classes.select("whole", "short").join(still_open(met, nodes), "short"), "open")
+    missing = stored(left.select("whole").join(sets.select("whole"), "whole", "left_anti"), "missing")
+    if missing.limit(1).count():  # only then all texts are read once more
+        sets = sets.unionAll(stored(full_sets(missing, classes, documents, size), "sets"))
+    left_sets = left.join(nodes, "short").join(sets, "whole").select("short", "root", "n", "grams")
+    rest = stored(similar_enough(pairs_left(left_sets), classes), "near").join(near, ["whole_a", "whole_b"], "left_anti")
+    whole = stored(links.unionAll(confirmed(rest, sets)), "links")
 
     found = components(whole.select(F.col("whole_a").alias("a"), F.col("whole_b").alias("b")))
     of_class = classes.select("whole", "rep").join(found.withColumnRenamed("node", "whole"), "whole", "left")

@@ -272,18 +272,19 @@ def detect_attacks(
     patterns: Mapping[str, Sequence[str]] | None = None,
     categories: Sequence[str] | None = None,
     threshold: float = fixed.ATTACK_THRESHOLD,
+    per_pass: int = PATTERNS_PER_PASS,
 ) -> DataFrame:
     """``line_id, category, pattern, matches, confidence``: one row per line and pattern.
 
     The patterns are literals in one projection, behind one cheap alternation that
-    drops the lines without any hit; no line x pattern join is built. A very long
-    pattern list is worked through in several such passes.
+    drops the lines without any hit; no line x pattern join is built. A list of more than
+    ``per_pass`` patterns is worked through in several such passes, with the same rows.
     """
     patterns = fixed.ATTACK_PATTERNS if patterns is None else patterns
     wanted = [(c, p) for c in (patterns if categories is None else categories) if c in patterns for p in patterns[c]]
     result = None
-    for at in range(0, max(len(wanted), 1), PATTERNS_PER_PASS):
-        part = wanted[at:at + PATTERNS_PER_PASS]
+    for at in range(0, max(len(wanted), 1), per_pass):
+        part = wanted[at:at + per_pass]
         line = F.col("line")
         if part:
             some = lines.filter(line.rlike("(?iU)" + any_of([p for _, p in part])))

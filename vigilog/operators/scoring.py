@@ -275,7 +275,7 @@ def mean_vectors(vectors: DataFrame, category: str, column: str) -> DataFrame:
 def prototype_phrases(options: Mapping | None = None) -> dict[str, list[str]]:
     """Category -> the first phrases of its templates, context term first.
 
-    Every category whose name holds ``login`` is combined with the login terms.
+    The option ``phrases_per_category`` says how many; None takes all. Every category whose name holds ``login`` is combined with the login terms.
     """
     options = scoring_options() if options is None else options
     out = {}

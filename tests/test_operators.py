@@ -256,6 +256,16 @@ def test_enhanced_dataset_honours_the_quotas(spark):
     assert few.filter("Label = 1 AND Source = 'labelled_line'").count() == 3  # all there are
 
 
+def test_quotas_are_filled_as_by_ordering_the_whole_pool(spark):
+    pool = spark.range(90000).select("id", F.when(F.col("id") % 10 == 0, 1).when(F.col("id") % 9999 == 1, 2).otherwise(0).alias("Label")).repartition(5)
+    quotas = spark.createDataFrame([(1, 100), (2, 50), (0, 1)], "Label int, quota bigint")
+    found = training.fill_quotas(pool, quotas, "id")
+    assert set(found.columns) == {"id", "Label"}
+    whole = ranking.sample_per_group(pool.join(quotas, "Label"), "Label", "id", F.col("quota"), training.SHUFFLE_SEED).select("id", "Label")
+    assert found.select("id", "Label").exceptAll(whole).count() == 0
+    assert found.count() == whole.count() == 101 + pool.filter("Label = 2").count()
+
+
 def test_quota_of_a_crowded_class_stays_one(spark):
     rows = training.training_rows(corrections.with_defaults(correction_rows(spark)))
     found = {r["Label"]: r["quota"] for r in training.class_quotas(rows, F.lit(9)).collect()}

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
 from vigilog.functions.fields import asset_type
 from vigilog.functions.text import label_slug
 from vigilog.operators.corrections import unused
-from vigilog.operators.ranking import first_rows_per, sample_per_group, shuffled
+from vigilog.operators.ranking import first_rows_per, sample_per_group, shuffle_key, shuffled
 
 COLUMNS = ["ID", "Asset", "Log", "Label", "Source"]
 SHUFFLE_SEED = 42
@@ -65,10 +65,17 @@ def class_quotas(rows: DataFrame, total: Column, factor: int = fixed.CORRECTION_
 def fill_quotas(pool: DataFrame, quotas: DataFrame, id_col: str, seed: int = SHUFFLE_SEED) -> DataFrame:
     """Pool rows picked in pseudo-random order up to their class's quota.
 
-    The quota table has three rows, so it is broadcast.
+    The order is that of a hash. Rows are counted by class and the first digits of the hash, 65,536 places, which gives
+    the place up to which a class's quota reaches; only rows up to there are put in order, and the pool is not shuffled.
+    The quota table has a row for each class, so it and the table of places are broadcast.
     """
     limited = pool.join(F.broadcast(quotas.select("Label", "quota")), "Label")
-    return sample_per_group(limited, "Label", id_col, F.col("quota"), seed).drop("quota")
+    placed = limited.withColumn("_place", F.substring(shuffle_key(id_col, seed), 1, 4))
+    counts = placed.groupBy("Label", "quota", "_place").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("Label").orderBy("_place")) - F.col("_n")
+    last = counts.withColumn("_before", before).filter("_before < quota").groupBy("Label").agg(F.max("_place").alias("_last"))
+    near = placed.join(F.broadcast(last), "Label").filter("_place <= _last").drop("_place", "_last")
+    return sample_per_group(near, "Label", id_col, F.col("quota"), seed).drop("quota")
 
 
 def enhanced_dataset(

@@ -117,8 +117,9 @@ class Ratio:
                 freed[label][g[:-1]] += min(n, CLASS_DISCOUNT)
         rest = lambda label, before: freed[label][before] / total[label][before] if before in total[label] else 1.0
         unseen = {b: math.log(rest(1, b) / rest(0, b)) for b in set(total[0]) | set(total[1])}
+        unseen = {b: r for b, r in unseen.items() if r}
         seen = {}
-        for g in set(counts[0]) | set(counts[1]):
+        for g in {g for own in counts.values() for g, n in own.items() if n > CLASS_DISCOUNT}:  # others are as if unseen
             before, lower = g[:-1], shared.probability(g[1:])
             p = [rest(label, before) * lower + (max(counts[label].get(g, 0) - CLASS_DISCOUNT, 0.0) / total[label][before] if before in total[label] else 0.0) for label in (0, 1)]
             seen[g] = math.log(p[1] / p[0])

@@ -12,8 +12,8 @@ Pairs that meet are confirmed on their full sets. Not every pair needs to be loo
 know who is connected:
 
 1. texts with equal sets are one class, found by a hash of the set;
-2. every class is compared with the least and the greatest class of each key it is in;
-   that gives at most two comparisons for a row of the index, however large a group of copies;
+2. every class is compared with the least class of each key it is in, and with the greatest where more than SMALL_KEY
+   classes meet; that gives at most two comparisons for a row of the index, however large a group of copies;
 3. components of these links are formed. Only keys with several components are looked at again, and of their
    classes only those that have a class of another component near them, by the lowest bits of their signatures;
 4. of the classes left, a pair is compared if it lies in different components and passes the prefix filter: of a link's two
@@ -47,6 +47,8 @@ SYMBOLS = CHUNKS * WIDTH
 MOST_DIFFERENT = 50
 #: The same for the lowest bits of the symbols.
 MOST_BITS = 32
+#: In a key of so few classes one centre links what can be linked nearly as well as two.
+SMALL_KEY = 4
 BLOCK = 1 << 14
 MULTIPLIERS = np.random.default_rng(2).integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
 SIGNED = "doc_id bigint, n bigint, whole binary, signature binary, bits1 bigint, bits2 bigint"
@@ -231,10 +233,11 @@ def near_duplicates(documents: DataFrame, size: int) -> DataFrame:
     classes = stored(classes.withColumn("short", F.xxhash64("whole")), "classes")
 
     index = classes.select("short", F.explode(index_keys("signature")).alias("key"))
-    shared = index.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low < high")
-    met = stored(index.join(shared, "key").select("key", "short", "low", "high"), "met")
+    shared = index.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high"), F.count(F.lit(1)).alias("n_key"))
+    centres = F.array_distinct(F.array("low", F.when(F.col("n_key") > SMALL_KEY, F.col("high")).otherwise(F.col("low"))))
+    met = stored(index.join(shared.filter("low < high").select("key", centres.alias("centres")), "key").select("key", "short", "centres"), "met")
 
-    star = met.select("short", F.explode(F.array("low", "high")).alias("b")).filter("short <> b")
+    star = met.select("short", F.explode("centres").alias("b")).filter("short <> b")
     star = star.select(F.least("short", "b").alias("a"), F.greatest("short", "b").alias("b")).distinct()
     near = stored(similar_enough(star, classes), "near")
     sets = stored(full_sets(_ends(near), classes, documents, size), "sets")

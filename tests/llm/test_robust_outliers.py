@@ -71,3 +71,26 @@ def test_edge_cases(spark, prose):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
     assert ro.outlier_report(empty).collect() == []
+
+
+def test_one_statistic_past_the_cut_rejects(spark, prose):
+    rows = [(i, " ".join(prose(100, i)) + ".", "en", "s") for i in range(200)]
+    marked = [w + "%" * (i % 5 < 2) for i, w in enumerate(prose(100, 901))]  # about 8 symbols in 100 characters
+    phrase = prose(5, 7, 4000)
+    repeating = prose(34, 902) + phrase + prose(30, 903) + phrase + prose(30, 904) + phrase + prose(1, 905)  # 15 of 110 words repeat
+    rows += [(901, " ".join(marked), "en", "s"), (902, " ".join(repeating) + ".", "en", "s")]
+    found = {r["doc_id"]: r for r in ro.outlier_report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not found[901]["base_failed"] and not found[901]["kept"]
+    assert not found[902]["base_failed"] and not found[902]["kept"]
+    assert sum(found[i]["kept"] for i in range(200)) >= 198
+
+
+def test_lines_that_are_nearly_all_repeated_reject(spark):
+    r = np.random.default_rng(4)
+    points = r.normal(size=(300, ro.P)) * 0.1
+    points[:, [2, 3, 4]] = 0  # no symbols, no repeated words or lines
+    row = ro.covariance_estimates(table(spark, points)).first()
+    point = np.array(row["mu"])
+    point[4] += 0.7 * ro.UNIT  # half of the lines
+    one = spark.createDataFrame([("g", *map(round, point.tolist()), row["mu"], row["inverse"])], "grp string, " + ", ".join(f"{x} int" for x in ro.X) + ", mu array<double>, inverse array<double>")
+    assert one.select(ro.distance()).first()[0] > ro.chi_square_quantile(ro.REJECT, ro.P)

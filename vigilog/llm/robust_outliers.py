@@ -46,13 +46,13 @@ WINDOW = 5
 UNIT = 256
 SUBSET = 0.75
 LEAST_ROWS = 60
-#: A clean row is rejected about once in a million, were the vectors of a group normal.
-REJECT = 1 - 1e-6
+#: A clean row is rejected about once in ten thousand, were the vectors of a group normal.
+REJECT = 1 - 1e-4
 STEPS = 12
 #: The statistics and the least standard deviation of each.
 STATISTICS = {
-    "log_words": 0.3, "log_word_length": 0.12, "symbols": 0.4, "repeated": 0.15, "repeated_lines": 0.2, "capitals": 0.1,
-    "log_line_words": 0.4,
+    "log_words": 0.15, "log_word_length": 0.06, "symbols": 0.2, "repeated": 0.06, "repeated_lines": 0.1, "capitals": 0.05,
+    "log_line_words": 0.2,
 }
 P = len(STATISTICS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]

@@ -95,3 +95,57 @@ def test_predictive_probabilities_sum_to_one(spark):
         new = unknown[classes.of(others) == k]
         assert math.isclose(p[kind == k].sum() + new[0], 1, rel_tol=1e-9)  # the words seen and one that stands for all others
     assert rooms.probability(np.array([5], np.int64), np.array([9]))[0] == 1.0
+
+
+def test_rare_words_are_contexts_of_their_own(docs):
+    """Words that come some times each and are always followed by the same one: only their own pairs tell what follows."""
+    random = np.random.default_rng(5)
+    rows = []
+    for doc in range(600):
+        word, text = int(random.integers(4000)), []
+        for _ in range(40):
+            text.append(f"w{word}")
+            word = (word * 7 + 1) % 4000
+        rows.append((doc, " ".join(text)))
+    held = [r for r in py.scores(docs(rows), 5000).collect() if r["held_out"]]
+    assert -sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) * math.log(10) < 2.5
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_every_pair_is_counted_and_each_context_sums_to_one(spark, docs, prose, buckets):
+    rows = [(i, " ".join(prose(40, i, 30))) for i in range(50)]
+    blocks = py.stored(py.encoded(docs(rows), 300), "blocks")
+    hashes = {t: int(np.array([py.WordHash()[t]], np.uint64).view(np.int64)[0]) for _, text in rows for t in tokens(text)}
+    wanted, of = Counter(), Counter()
+    for doc, text in rows:
+        if learned(doc):
+            words = tokens(text)
+            wanted.update((hashes[a], hashes[b]) for a, b in zip([py.END, *words], words))
+            of.update(hashes[t] for t in words)
+    frequent = [hashes[py.END], *sorted(of)[:3]]
+    classes = py.Classes(frequent)
+    customers = np.zeros(len(classes))
+    customers[classes.of(np.array(frequent, np.int64))] = [of[w] for w in frequent]
+    merged = py.stored(py.merged_pairs(blocks, classes, buckets), "merged")
+    found = Counter()
+    for r in merged.collect():
+        found.update(dict(zip(zip(py.unpack(r["contexts"], np.int64).tolist(), py.unpack(r["words"], np.int64).tolist()), py.unpack(r["n"], np.int64).tolist())))
+    assert found == wanted
+
+    cells = py.stored(py.class_cells(merged, classes), "cells")
+    rare = py.stored(py.rare_customers(merged), "rare")
+    tables = np.zeros(len(classes))
+    for r in cells.groupBy("context").agg({"n": "sum"}).collect():
+        tables[r[0]] = r[1]
+    following = spark.sparkContext.broadcast(np.log10(py.context_sweeps(cells, len(classes))))
+    state = py.stored(py.with_parents(merged, classes, following, py.rare_sweeps(rare, classes), rare), "parents")
+    seated, left = py.word_sweeps(state, classes, customers, tables)
+    sums, share = Counter(), {}
+    packed = {r["bucket"]: r for r in merged.collect()}
+    for r in seated.collect():
+        contexts = py.unpack(packed[r["bucket"]]["contexts"], np.int64)
+        for u, own, rest in zip(contexts.tolist(), py.unpack(r["own"], np.float32).tolist(), py.unpack(r["share"], np.float32).tolist()):
+            sums[u] += own
+            assert abs(share.setdefault(u, rest) - rest) < 1e-6
+    assert all(abs(sums[u] + share[u] - 1) < 1e-4 for u in of)
+    assert all(abs(left[classes.of(np.array([u], np.int64))[0]] - share[u]) < 1e-5 for u in frequent)

@@ -1,25 +1,31 @@
 """Language-model scores of a hierarchical Pitman-Yor model.
 
-A token has a class: the FREQUENT most frequent tokens are classes of their own, all others
-fall into RARE classes by a hash. The probability of a token behind another one is that of its class
-behind the other's class, times that of the token in its class:
+Every word of the training texts is a context with a restaurant of its own, whose customers are the words that follow it. What
+these restaurants share is a parent over words, which knows a context by its class: the FREQUENT most frequent
+tokens are classes of their own, all others fall into RARE classes by a hash. The parent's probability of a token behind another one is
+that of its class behind the other's class, times that of the token in its class:
 
-* each class is a context restaurant whose customers are the classes that follow it in the
-  training texts; all context restaurants share one parent, whose customers are their tables, and the
+* each class is a context restaurant whose customers are the tables of the words' restaurants, by the classes of context and
+  word; all class restaurants share one parent, whose customers are their tables, and the
   parent's base is uniform;
-* each rare class is a restaurant of its tokens, with a uniform base over the types seen in the class and
-  an unknown one.
+* each rare class is a restaurant of its tokens, whose customers are again the tables of the words' restaurants, with a uniform base
+  over the types seen in the class and an unknown one.
 
 Seating is sampled by Gibbs sweeps. In a sweep all customers of a dish leave their restaurant
 and are seated again one by one, by the Chinese restaurant process, given the tables of the other dishes
 and the parent's probabilities as the last sweep left them; dishes and restaurants are seated in parallel. Behind the first
 SINGLY customers of a dish, customers come in groups that grow by an eighth, with one
 opening probability for a group. Random numbers are hashes of dish, sweep and customer, so a task that runs again seats alike.
-The predictive probabilities of the sweeps after BURN_IN are averaged.
+The predictive probabilities of the sweeps after BURN_IN are averaged. The words' restaurants start with a table for each word;
+their sweeps are given the parent of that start, and the parent that scores is sampled from the tables of their last sweep.
+
+The pairs of neighbours in each block are dealt out to buckets, whose number grows with the training texts: by their context, so that a
+restaurant is seated in one task, and those of the FREQUENT contexts by the whole pair, with their numbers of tables
+summed up after every sweep. Pairs are told apart by 64-bit hashes of their words' hashes.
 
 All counts are over all training texts. Texts are encoded in blocks of at most BLOCK tokens; for
 each block and each of its distinct words one row is counted, and resolved by a join, so that no shuffle has a row for every token and
-no task holds the vocabulary. Only tables bounded by (FREQUENT + RARE)^2 reach the driver.
+no task holds the vocabulary or all pairs. Only tables bounded by (FREQUENT + RARE)^2 reach the driver.
 
 Tokens are words, lower-cased from A to Z, and one end for each text; the end is also what comes before a
 text. Words are told apart by 64-bit hashes. Defined cases: a null text is empty and has its end as the only token;
@@ -47,8 +53,10 @@ RARE = 128
 BLOCK = 4_000_000
 SWEEPS, BURN_IN = 4, 2
 SINGLY = 64
-#: Discount and strength of the restaurants of contexts, of the parent and of the rare classes.
-CONTEXT, PARENT, TOKENS = (0.5, 2.0), (0.5, 2.0), (0.75, 1.0)
+#: Training tokens of each further bucket of pairs, and the least number of buckets.
+BUCKET, LEAST_BUCKETS = 2_000_000, 64
+#: Discount and strength of the restaurants of words, of classes, of their parent and of the rare classes.
+WORDS, CONTEXT, PARENT, TOKENS = (0.75, 1.0), (0.5, 2.0), (0.5, 2.0), (0.75, 1.0)
 END = b"\n"  # no word
 ENCODED = "block bigint, ids array<bigint>, sizes array<int>, held array<boolean>, words binary, vocabulary binary, trained binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -178,34 +186,12 @@ class Classes:
         return np.where(self.words[at] == words, at, rare)
 
 
-def followers(blocks: DataFrame, classes: Classes) -> DataFrame:
-    """``context, dish, n``: how often a class follows another in training texts, summed up in every task."""
-    size = len(classes)
-
-    def run(parts):
-        total = np.zeros(size * size, np.int64)
-        for batch in parts:
-            for sizes, held, words, vocabulary in zip(*(batch.column(c).to_pylist() for c in ("sizes", "held", "words", "vocabulary"))):
-                dish = classes.of(np.frombuffer(vocabulary, np.int64))[unpack(words, np.int32)]
-                learned = np.repeat(~np.array(held, bool), sizes)
-                total += np.bincount((_before(dish) * size + dish)[learned], minlength=size * size)
-        found = np.flatnonzero(total)
-        for at in range(0, len(found), 1 << 16):
-            part = found[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((part // size).astype(np.int32)), pa.array((part % size).astype(np.int32)), pa.array(total[part])],
-                names=["context", "dish", "n"])
-
-    each = blocks.select("sizes", "held", "words", "vocabulary").mapInArrow(run, "context int, dish int, n bigint")
-    return each.groupBy("context", "dish").agg(F.sum("n").alias("n"))
-
-
-def _before(dish: np.ndarray) -> np.ndarray:
+def _before(tokens: np.ndarray) -> np.ndarray:
     """What comes before each token of a block; its first token and those behind an end follow an end.
 
-    Every block ends with the end of a text, whose class is that of its last token.
+    Every block ends with the end of a text.
     """
-    return np.concatenate([dish[-1:], dish[:-1]])
+    return np.concatenate([tokens[-1:], tokens[:-1]])
 
 
 def context_sweeps(cells: DataFrame, size: int) -> np.ndarray:
@@ -316,6 +302,249 @@ def rare_sweeps(counts: DataFrame, classes: Classes) -> RareRestaurants:
     return rooms
 
 
+# ---------------------------------------------------------------- restaurants of words
+
+TALLIES = "cells binary, cell_tables binary, rare binary, rare_tables binary"
+MERGED = "bucket int, contexts binary, words binary, n binary, blocks array<bigint>, places array<binary>, " + TALLIES
+SEATED = "bucket int, own binary, share binary, " + TALLIES
+
+
+def block_pairs(words: bytes, vocabulary: np.ndarray, classes: Classes, buckets: int) -> tuple[np.ndarray, ...]:
+    """The distinct pairs of a block by bucket: contexts and words in its vocabulary, buckets, and the pair of each token."""
+    tokens = unpack(words, np.int32).astype(np.int64)
+    size = len(vocabulary)
+    pairs, of = np.unique(_before(tokens) * size + tokens, return_inverse=True)
+    context, word = np.divmod(pairs, size)
+    whole = classes.of(vocabulary)[context] < len(classes.words)
+    bucket = (mixed(np.where(whole, pair_keys(vocabulary[context], vocabulary[word]), vocabulary[context].view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return context[order], word[order], bucket[order], place[of]
+
+
+def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(mixed(contexts.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64))
+
+
+def tallies(contexts: np.ndarray, words: np.ndarray, tables: np.ndarray, classes: Classes) -> tuple[bytes, ...]:
+    """TALLIES: the tables by classes of context and word, and by rare word."""
+    kind = classes.of(words)
+    cells, of = np.unique(classes.of(contexts) * len(classes) + kind, return_inverse=True)
+    rare = kind >= len(classes.words)
+    found, which = np.unique(words[rare], return_inverse=True)
+    sums = (np.bincount(i, w, minlength=len(x)).astype(np.int64) for i, w, x in ((of, tables, cells), (which, tables[rare], found)))
+    return tuple(pack(x) for x in (cells, next(sums), found, next(sums)))
+
+
+def merged_pairs(blocks: DataFrame, classes: Classes, buckets: int) -> DataFrame:
+    """MERGED: a bucket's pairs in training texts, and the place among them of each pair that a block has there.
+
+    A pair that no training text has gets -2 less the place of one with its context, or -1 without any.
+    """
+
+    def deal(parts):
+        for batch in parts:
+            for block, sizes, held, words, vocabulary in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "held", "words", "vocabulary"))):
+                vocabulary = np.frombuffer(vocabulary, np.int64)
+                context, word, bucket, of = block_pairs(words, vocabulary, classes, buckets)
+                n = np.bincount(of[np.repeat(~np.array(held, bool), sizes)], minlength=len(context))
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    values = (int(bucket[i]), block, pack(vocabulary[context[i:j]]), pack(vocabulary[word[i:j]]), pack(n[i:j].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int64(), *[pa.binary()] * 3))],
+                                                     names=["bucket", "block", "contexts", "words", "n"])
+
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("block")
+        contexts, words, n = (np.concatenate([unpack(x, k) for x in found[c]]) for c, k in (("contexts", np.int64), ("words", np.int64), ("n", np.int32)))
+        keys, first, of = np.unique(pair_keys(contexts, words), return_index=True, return_inverse=True)
+        total = np.bincount(of, n, minlength=len(keys)).astype(np.int64)
+        contexts, words = contexts[first], words[first]
+        seen = np.flatnonzero(total)
+        seen = seen[np.argsort(contexts[seen], kind="stable")]  # a context's pairs stand together, which packs well
+        place = np.full(len(keys), -1, np.int32)
+        place[seen] = np.arange(len(seen))
+        if len(seen):
+            near = np.minimum(np.searchsorted(contexts[seen], contexts), len(seen) - 1)
+            place = np.where((place < 0) & (contexts[seen][near] == contexts), -2 - near, place).astype(np.int32)
+        ends = np.cumsum([len(unpack(x, np.int32)) for x in found["n"]])[:-1]
+        contexts, words, total = contexts[seen], words[seen], total[seen]
+        places = [pack(x) for x in np.split(place[of], ends)]
+        row = (int(found["bucket"].iloc[0]), pack(contexts), pack(words), pack(total), list(found["block"]), places,
+               *tallies(contexts, words, np.ones(len(seen), np.int64), classes))
+        return pd.DataFrame([row], columns=[x.split()[0] for x in MERGED.split(", ")])
+
+    dealt = blocks.select("block", "sizes", "held", "words", "vocabulary").mapInArrow(deal, "bucket int, block bigint, contexts binary, words binary, n binary")
+    return dealt.groupBy("bucket").applyInPandas(merge, MERGED)
+
+
+def _unpacked_rows(rows: DataFrame, columns: tuple[str, str], schema: str, size: int = 0) -> DataFrame:
+    """A row for each number in two packed columns; with ``size``, the first one is split by it."""
+
+    def run(parts):
+        for batch in parts:
+            for first, second in zip(*(batch.column(c).to_pylist() for c in columns)):
+                first, second = unpack(first, np.int64), unpack(second, np.int64)
+                keys = [(first // size).astype(np.int32), (first % size).astype(np.int32)] if size else [first]
+                for at in range(0, len(first), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at:at + (1 << 16)]) for x in (*keys, second)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
+def class_cells(rows: DataFrame, classes: Classes) -> DataFrame:
+    """``context, dish, n``: the tables of the words' restaurants by the classes of context and word."""
+    each = _unpacked_rows(rows, ("cells", "cell_tables"), "context int, dish int, n bigint", len(classes))
+    return each.groupBy("context", "dish").agg(F.sum("n").alias("n"))
+
+
+def rare_customers(rows: DataFrame) -> DataFrame:
+    """``word, c``: the tables of the words' restaurants by rare word."""
+    return _unpacked_rows(rows, ("rare", "rare_tables"), "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def resolved(rows: DataFrame, number: str, rooms: RareRestaurants) -> DataFrame:
+    """``rows(word, c, seated, place)`` and ``number``, packed by number with the probabilities of the words in their classes."""
+
+    def run(parts):
+        for batch in parts:
+            word, c, seated, at, place = (batch.column(x).to_numpy() for x in ("word", "c", "seated", number, "place"))
+            p = np.log10(rooms.probability(word, seated)).astype(np.float32)
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.diff(at[order])) + 1
+            out = [(int(at[o[0]]), pack(place[o]), pack(c[o]), pack(p[o])) for o in np.split(order, cuts) if len(o)]
+            if out:
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[number, "place", "c", "p"])
+
+    return rows.select("word", "c", "seated", number, "place").mapInArrow(run, f"{number} bigint, place binary, c binary, p binary")
+
+
+def with_parents(merged: DataFrame, classes: Classes, following, rooms: RareRestaurants, customers: DataFrame) -> DataFrame:
+    """``bucket, contexts, words, n, parent``: with the parent's probability of each pair that comes twice or more."""
+
+    def wanted(words: bytes, n: bytes) -> np.ndarray:
+        words = np.unique(unpack(words, np.int64)[unpack(n, np.int64) > 1])
+        return words[classes.of(words) >= len(classes.words)]
+
+    def ask(parts):
+        for batch in parts:
+            for bucket, words, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "n"))):
+                words = wanted(words, n)
+                for at in range(0, len(words), 1 << 16):
+                    part = words[at:at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), bucket, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32))],
+                                                     names=["word", "bucket", "place"])
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in left.itertuples():
+            contexts, words, n = (unpack(x, np.int64) for x in (r.contexts, r.words, r.n))
+            rare = wanted(r.words, r.n)
+            p = np.zeros(len(rare) + 1)
+            for place, ps in zip(right["place"], right["p"]):
+                p[unpack(place, np.int32)] = unpack(ps, np.float32)
+            contexts, words = contexts[n > 1], words[n > 1]
+            kind = classes.of(words)
+            own = np.where(kind < len(classes.words), 0.0, p[np.searchsorted(rare, words)])
+            rows.append((r.bucket, r.contexts, r.words, r.n, pack((10.0 ** (following.value[classes.of(contexts), kind] + own)).astype(np.float32))))
+        return pd.DataFrame(rows, columns=["bucket", "contexts", "words", "n", "parent"])
+
+    asked = merged.select("bucket", "words", "n").mapInArrow(ask, "word bigint, bucket bigint, place int")
+    found = resolved(asked.join(customers, "word").withColumn("seated", F.col("c")), "bucket", rooms)
+    left = merged.select(F.col("bucket").cast("bigint").alias("bucket"), "contexts", "words", "n")
+    return left.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(answer, "bucket bigint, contexts binary, words binary, n binary, parent binary")
+
+
+class Bucket:
+    """The pairs of a bucket and their seating."""
+
+    def __init__(self, classes: Classes, contexts: bytes, words: bytes, n: bytes, parent: bytes):
+        self.contexts, self.words, self.n = (unpack(x, np.int64) for x in (contexts, words, n))
+        self.kind = classes.of(self.contexts)
+        self.frequent = self.kind < len(classes.words)
+        self.rooms, self.room = np.unique(self.contexts, return_inverse=True)
+        self.several = np.flatnonzero(self.n > 1)
+        self.parent = unpack(parent, np.float32).astype(float)
+        self.keys = pair_keys(self.contexts, self.words)
+
+    def summed(self, values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """For each pair the sum over its context; frequent contexts lie in many buckets, and their sums are given."""
+        own = np.bincount(self.room, values, minlength=len(self.rooms))[self.room]
+        return np.where(self.frequent, frequent[self.kind], own)
+
+    def seated(self, tables: np.ndarray, sweep: int) -> np.ndarray:
+        """The tables of each pair after a sweep, given those of its whole context."""
+        discount, strength = WORDS
+        opened = np.ones(len(self.n), np.int64)
+        at = self.several
+        opened[at] = seat(self.n[at], (strength + discount * tables[at]) * self.parent, discount, self.keys[at], sweep)
+        return opened
+
+
+def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, tables: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """SEATED: what every pair has of its own and its context leaves to the parent, averaged over the sweeps behind the burn-in, and the last tables.
+
+    ``customers`` and ``tables``: those of the frequent contexts, by class, at the start. Also what each frequent context leaves to the parent.
+    """
+    discount, strength = WORDS
+    history = [tables]
+    columns = ("contexts", "words", "n", "parent")
+    for sweep in range(SWEEPS):
+
+        def count(parts, sweep=sweep, tables=history[-1]):
+            total = np.zeros(len(classes), np.int64)
+            for batch in parts:
+                for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                    contexts, words, n = (unpack(x, np.int64) for x in row[:3])
+                    frequent = classes.of(contexts) < len(classes.words)
+                    part = Bucket(classes, pack(contexts[frequent]), pack(words[frequent]), pack(n[frequent]), pack(unpack(row[3], np.float32)[frequent[n > 1]]))
+                    total += np.bincount(part.kind, part.seated(tables[part.kind], sweep), minlength=len(classes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(classes), dtype=np.int32)), pa.array(total)], names=["kind", "n"])
+
+        after = np.zeros(len(classes))
+        for kind, n in state.select(*columns).mapInArrow(count, "kind int, n bigint").groupBy("kind").agg(F.sum("n")).collect():
+            after[kind] = n
+        history.append(after)
+
+    def run(parts):
+        for batch in parts:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns))):
+                part = Bucket(classes, *row)
+                total = strength + part.summed(part.n, customers)
+                opened = np.ones(len(part.n), np.int64)
+                own, share = np.zeros(len(part.n)), np.zeros(len(part.n))
+                for sweep in range(SWEEPS):
+                    opened = part.seated(part.summed(opened, history[sweep]), sweep)
+                    if sweep >= BURN_IN:
+                        own += (part.n - discount * opened) / total
+                        share += (strength + discount * part.summed(opened, history[sweep + 1])) / total
+                sweeps = SWEEPS - BURN_IN
+                values = (bucket, *(pack((x / sweeps).astype(np.float32)) for x in (own, share)), *tallies(part.contexts, part.words, opened, classes))
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), *[pa.binary()] * 6))], names=[x.split()[0] for x in SEATED.split(", ")])
+
+    left = np.mean([(strength + discount * t) / (strength + customers) for t in history[BURN_IN + 1:]], axis=0)
+    return state.select("bucket", *columns).mapInArrow(run, SEATED), left
+
+
+def pair_replies(merged: DataFrame, seated: DataFrame) -> DataFrame:
+    """``block, bucket, own, share``: for the pairs of a block in a bucket, in their order."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r, t in zip(left.itertuples(), right.itertuples()):
+            own, share = unpack(t.own, np.float32), unpack(t.share, np.float32)
+            own, share = (np.append(x, np.float32(y)) for x, y in ((own, 0), (share, 1)))  # the last one: a context never seen
+            for block, place in zip(r.blocks, r.places):
+                at = unpack(place, np.int32)
+                rows.append((block, r.bucket, pack(own[np.where(at < 0, -1, at)]), pack(share[np.where(at < -1, -2 - at, at)])))
+        return pd.DataFrame(rows, columns=["block", "bucket", "own", "share"])
+
+    left = merged.select("bucket", "blocks", "places").groupBy("bucket")
+    return left.cogroup(seated.select("bucket", "own", "share").groupBy("bucket")).applyInPandas(run, "block bigint, bucket int, own binary, share binary")
+
+
 # ---------------------------------------------------------------- scores
 
 def scores(documents: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -327,39 +556,52 @@ def scores(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     trained, types = (x or 0 for x in counts.filter("c > 0").agg(F.sum("c"), F.count(F.lit(1))).first())
     end = int(np.array([WordHash()[END]], np.uint64).view(np.int64)[0])
     top = counts.filter((F.col("c") > 0) & (F.col("word") != end)).orderBy(F.desc("c"), "word").limit(FREQUENT - 1)
-    classes = Classes([end, *(r["word"] for r in top.select("word").collect())])
-
-    following = spark.sparkContext.broadcast(np.log10(context_sweeps(stored(followers(blocks, classes), "followers"), len(classes))))
-    rooms = rare_sweeps(counts, classes)
+    most = {r["word"]: r["c"] for r in top.collect()}
+    most[end] = counts.filter(F.col("word") == end).agg(F.sum("c")).first()[0] or 0
+    classes = Classes(list(most))
+    customers = np.zeros(len(classes))  # a word is as often a context as it comes, and so is the end
+    customers[classes.of(np.array(list(most), np.int64))] = list(most.values())
+
+    def parent(tallied: DataFrame):
+        """The parent's models of classes and of rare words, the rare words' customers, and the tables by class of context."""
+        cells = stored(class_cells(tallied, classes), "cells")
+        tables = np.zeros(len(classes))
+        for kind, n in cells.groupBy("context").agg(F.sum("n")).collect():
+            tables[kind] = n
+        rare = stored(rare_customers(tallied), "rare")
+        following = spark.sparkContext.broadcast(np.log10(context_sweeps(cells, len(classes))))
+        return following, rare_sweeps(rare, classes), rare, tables
+
+    buckets = LEAST_BUCKETS + trained // BUCKET
+    merged = stored(merged_pairs(blocks, classes, buckets), "pairs")
+    following, rooms, rare, tables = parent(merged)
+    state = stored(with_parents(merged, classes, following, rooms, rare), "parents")
+    seated, share_left = word_sweeps(state, classes, customers, tables)
+    seated = stored(seated, "seated")
+    following, rooms, rare, _ = parent(seated)
     base = trained + 0.1 * (types + 1)
 
-    def resolve(parts):
-        """The rows of each batch, packed by block."""
-        for batch in parts:
-            word, c, number, place = (batch.column(x).to_numpy() for x in ("word", "c", "block", "place"))
-            p = np.log10(rooms.probability(word, c)).astype(np.float32)
-            order = np.argsort(number, kind="stable")
-            cuts = np.flatnonzero(np.diff(number[order])) + 1
-            out = [(int(number[o[0]]), pack(place[o]), pack(c[o]), pack(p[o])) for o in np.split(order, cuts) if len(o)]
-            if out:
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["block", "place", "c", "p"])
-
-    known = rows.select("word", "block", "place").join(counts, "word")
-    known = known.mapInArrow(resolve, "block bigint, place binary, c binary, p binary")
+    counts = counts.join(rare.withColumnRenamed("c", "seated"), "word", "left").fillna(0, ["seated"])
+    known = resolved(rows.select("word", "block", "place").join(counts, "word"), "block", rooms)
+    replies = pair_replies(merged, seated).withColumnRenamed("own", "c").withColumnRenamed("share", "p")
+    known = known.withColumn("bucket", F.lit(-1)).unionByName(replies.withColumn("place", F.lit(None).cast("binary")))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: Iterator[pd.DataFrame] = []
         size = sum(len(x) for x in left["vocabulary"]) // 8
         c, p = np.zeros(size, np.int64), np.zeros(size)
-        for place, cs, ps in zip(right["place"], right["c"], right["p"]):
+        words, pairs = right[right["bucket"] < 0], right[right["bucket"] >= 0].sort_values("bucket")
+        for place, cs, ps in zip(words["place"], words["c"], words["p"]):
             at = unpack(place, np.int32)
             c[at], p[at] = unpack(cs, np.int64), unpack(ps, np.float32)
         for _, row in left.iterrows():
-            kind = classes.of(np.frombuffer(row["vocabulary"], np.int64))
+            vocabulary = np.frombuffer(row["vocabulary"], np.int64)
+            kind = classes.of(vocabulary)
+            context, word, _, of = block_pairs(row["words"], vocabulary, classes, buckets)
+            own, share = (np.concatenate([unpack(x, np.float32) for x in pairs[k]]).astype(float) for k in ("c", "p"))
+            share = np.where(kind[context] < len(classes.words), share_left[kind[context]], share)
+            model = np.log10(own + share * 10.0 ** (following.value[kind[context], kind[word]].astype(float) + p[word]))[of]
             tokens, sizes = unpack(row["words"], np.int32), np.asarray(row["sizes"], np.int64)
-            dish = kind[tokens]
-            model = following.value[_before(dish), dish].astype(float) + p[tokens]
             first = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64)[tokens], np.log10((c + 0.1) / base)[tokens], model)]
             found.append(pd.DataFrame({

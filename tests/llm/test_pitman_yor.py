@@ -149,3 +149,21 @@ def test_every_pair_is_counted_and_each_context_sums_to_one(spark, docs, prose,
             assert abs(share.setdefault(u, rest) - rest) < 1e-6
     assert all(abs(sums[u] + share[u] - 1) < 1e-4 for u in of)
     assert all(abs(left[classes.of(np.array([u], np.int64))[0]] - share[u]) < 1e-5 for u in frequent)
+
+
+def test_every_customer_is_a_draw():
+    """Mean and variance of the tables of many customers, with a weight that grows with the tables, against a plain simulation."""
+    random = np.random.default_rng(2)
+    n, opening, discount, growth = 1500, 2.0, 0.5, 0.1
+    found = py.seat(np.full(4000, n), np.full(4000, opening), discount, np.arange(4000, dtype=np.uint64), 1, growth)
+    t = np.ones(4000)
+    for i in range(1, n):
+        weight = opening + growth * t
+        t += random.random(4000) < weight / (weight + i - discount * t)
+    assert abs(found.mean() / t.mean() - 1) < 0.03
+    assert abs(found.var() / t.var() - 1) < 0.15
+    fixed = py.seat(np.full(4000, n), np.full(4000, opening), discount, np.arange(4000, dtype=np.uint64), 1)
+    t = np.ones(4000)
+    for i in range(1, n):
+        t += random.random(4000) < opening / (opening + i - discount * t)
+    assert abs(fixed.var() / t.var() - 1) < 0.15

@@ -13,9 +13,8 @@ that of its class behind the other's class, times that of the token in its class
 
 Seating is sampled by Gibbs sweeps. In a sweep all customers of a dish leave their restaurant
 and are seated again one by one, by the Chinese restaurant process, given the tables of the other dishes
-and the parent's probabilities as the last sweep left them; dishes and restaurants are seated in parallel. Behind the first
-SINGLY customers of a dish, customers come in groups that grow by an eighth, with one
-opening probability for a group. Random numbers are hashes of dish, sweep and customer, so a task that runs again seats alike.
+and the parent's probabilities as the last sweep left them; dishes and restaurants are seated in parallel. Every customer
+is a draw of its own. Random numbers are hashes of dish, sweep and customer, so a task that runs again seats alike.
 The predictive probabilities of the sweeps after BURN_IN are averaged. The words' restaurants start with a table for each word;
 their sweeps are given the parent of that start, and the parent that scores is sampled from the tables of their last sweep.
 
@@ -52,7 +51,6 @@ FREQUENT = 1000
 RARE = 128
 BLOCK = 4_000_000
 SWEEPS, BURN_IN = 4, 2
-SINGLY = 64
 #: Training tokens of each further bucket of pairs, and the least number of buckets.
 BUCKET, LEAST_BUCKETS = 2_000_000, 64
 #: Discount and strength of the restaurants of words, of classes, of their parent and of the rare classes.
@@ -71,23 +69,28 @@ def uniform(keys: np.ndarray, sweep: int, customer: int) -> np.ndarray:
         return (mixed(keys.view(np.uint64) + seed) >> np.uint64(11)).astype(float) * 2.0**-53
 
 
-def seat(counts: np.ndarray, opening: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
+def seat(counts: np.ndarray, opening: np.ndarray, discount: float, keys: np.ndarray, sweep: int, growth: np.ndarray | float = 0.0) -> np.ndarray:
     """Tables of each dish when its customers sit down one after another.
 
-    ``opening``: the weight of a new table, that is (strength + discount x tables of the restaurant) x the parent's probability.
+    ``opening``: the weight of a new table, that is (strength + discount x tables of other dishes) x the parent's probability; it
+    grows by ``growth`` with each table of the dish. The chance of a new table falls until one is opened, so those who might open
+    one are found by geometric leaps at the present chance, and open it with what is left of theirs: a draw for every customer.
     """
     tables = (counts > 0).astype(np.int64)
+    growth = np.broadcast_to(growth, counts.shape)
     at = np.flatnonzero(counts > 1)
-    seated, group = 1, 1
+    seated, step = np.ones(len(at), np.int64), 0
     while len(at):
-        chance = opening[at] / (opening[at] + np.maximum(seated - discount * tables[at], 1e-12))
-        u = uniform(keys[at], sweep, seated)
-        come = np.minimum(group, counts[at] - seated)
-        tables[at] += (u < chance) if group == 1 else np.floor(come * chance + u).astype(np.int64)
-        seated += group
-        if seated >= SINGLY:
-            group = seated // 8
-        at = at[counts[at] > seated]
+        weight = opening[at] + growth[at] * tables[at]
+        rest = weight - discount * tables[at]
+        chance = weight / (seated + rest)
+        leap = np.floor(np.log1p(-uniform(keys[at], sweep, step)) / np.log1p(-chance))
+        seated = seated + np.minimum(leap, counts[at] - seated).astype(np.int64)
+        opens = uniform(keys[at], sweep, step + 1) < weight / (seated + rest) / chance
+        tables[at] += opens & (seated < counts[at])
+        seated += 1
+        more = seated < counts[at]
+        at, seated, step = at[more], seated[more], step + 2
     return tables
 
 
@@ -201,6 +204,7 @@ def context_sweeps(cells: DataFrame, size: int) -> np.ndarray:
     mean = np.zeros((size, size))
     state = cells.groupBy("context").agg(F.collect_list(F.struct("dish", "n")).alias("cells"))  # at most ``size`` cells in a restaurant
     state = stored(state.withColumn("tables", F.size("cells").cast("bigint")), "restaurants")
+    state = state.withColumn("opened", F.transform("cells", lambda c: F.lit(1).cast("bigint")))
     schema = "context int, cells array<struct<dish:int,n:bigint>>, tables bigint, opened array<bigint>"
     dishes = np.arange(size, dtype=np.uint64)
     for sweep in range(SWEEPS):
@@ -208,14 +212,14 @@ def context_sweeps(cells: DataFrame, size: int) -> np.ndarray:
         def run(parts, parent=parent, sweep=sweep):
             for batch in parts:
                 rows = []
-                for context, found, tables in zip(batch["context"], batch["cells"], batch["tables"]):
+                for context, found, tables, before in zip(batch["context"], batch["cells"], batch["tables"], batch["opened"]):
                     dish, n = (np.array([c[k] for c in found], np.int64) for k in ("dish", "n"))
-                    opening = (strength + discount * tables) * parent[dish]
-                    opened = seat(n, opening, discount, (dish + context * size + (1 << 40)), sweep)
+                    opening = (strength + discount * (tables - np.asarray(before, np.int64))) * parent[dish]
+                    opened = seat(n, opening, discount, (dish + context * size + (1 << 40)), sweep, discount * parent[dish])
                     rows.append((context, list(found), int(opened.sum()), opened.tolist()))
                 yield pd.DataFrame(rows, columns=["context", "cells", "tables", "opened"])
 
-        seated = stored(state.select("context", "cells", "tables").mapInPandas(run, schema), "seated")
+        seated = stored(state.select("context", "cells", "tables", "opened").mapInPandas(run, schema), "seated")
         customers = np.zeros(size, np.int64)
         sums = seated.select(F.explode(F.arrays_zip(F.col("cells.dish").alias("dish"), "opened")).alias("c"))
         for dish, n in sums.groupBy("c.dish").agg(F.sum("c.opened")).collect():
@@ -238,7 +242,7 @@ def _parent_tables(customers: np.ndarray, parent: np.ndarray, keys: np.ndarray,
     discount, strength = PARENT
     tables = np.minimum(customers, 1)
     for _ in range(2):  # the first round only finds how many tables there are
-        tables = seat(customers, np.full(len(customers), (strength + discount * tables.sum()) / len(customers)), discount, keys, sweep)
+        tables = seat(customers, (strength + discount * (tables.sum() - tables)) / len(customers), discount, keys, sweep, discount / len(customers))
     return tables
 
 
@@ -261,20 +265,26 @@ class RareRestaurants:
     def base(self) -> np.ndarray:
         return 1.0 / (self.tables[0] + 1.0)
 
-    def opened(self, words: np.ndarray, counts: np.ndarray, sweep: int) -> np.ndarray:
+    def opened(self, words: np.ndarray, counts: np.ndarray, sweeps: int) -> Iterator[np.ndarray]:
+        """The tables of each word after each of the first sweeps."""
         discount, strength = TOKENS
         kind = self.classes.of(words)
-        return seat(counts, ((strength + discount * self.tables[sweep]) * self.base)[kind], discount, words, sweep)
+        own = (counts > 0).astype(np.int64)
+        for sweep in range(sweeps):
+            base = self.base[kind]
+            own = seat(counts, (strength + discount * (self.tables[sweep][kind] - own)) * base, discount, words, sweep, discount * base)
+            yield own
 
     def probability(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Averaged over the sweeps behind the burn-in; 1 for a frequent word."""
         discount, strength = TOKENS
         kind = self.classes.of(words)
+        counts = np.where(kind < len(self.classes.words), 0, counts)
         total = np.zeros(len(words))
-        for sweep in range(BURN_IN, SWEEPS):
-            own = counts - discount * self.opened(words, counts, sweep)
-            shared = (strength + discount * self.tables[sweep + 1]) * self.base
-            total += (own + shared[kind]) / (strength + self.customers[kind])
+        for sweep, opened in enumerate(self.opened(words, counts, SWEEPS)):
+            if sweep >= BURN_IN:
+                shared = (strength + discount * self.tables[sweep + 1]) * self.base
+                total += (counts - discount * opened + shared[kind]) / (strength + self.customers[kind])
         return np.where(kind < len(self.classes.words), 1.0, total / (SWEEPS - BURN_IN))
 
 
@@ -288,7 +298,9 @@ def rare_sweeps(counts: DataFrame, classes: Classes) -> RareRestaurants:
             for batch in parts:
                 words, n = batch.column("word").to_numpy(), batch.column("c").to_numpy()
                 kind = classes.of(words)
-                opened = (n > 0).astype(np.int64) if sweep < 0 else rooms.opened(words, n, sweep)
+                opened = (n > 0).astype(np.int64)
+                for opened in rooms.opened(words, n, sweep + 1):
+                    pass
                 np.add.at(customers, kind, n)
                 np.add.at(tables, kind, opened)
             yield pa.RecordBatch.from_arrays(
@@ -474,12 +486,13 @@ class Bucket:
         own = np.bincount(self.room, values, minlength=len(self.rooms))[self.room]
         return np.where(self.frequent, frequent[self.kind], own)
 
-    def seated(self, tables: np.ndarray, sweep: int) -> np.ndarray:
-        """The tables of each pair after a sweep, given those of its whole context."""
+    def seated(self, tables: np.ndarray, before: np.ndarray, sweep: int) -> np.ndarray:
+        """The tables of each pair after a sweep, given those of its whole context and its own before it."""
         discount, strength = WORDS
         opened = np.ones(len(self.n), np.int64)
         at = self.several
-        opened[at] = seat(self.n[at], (strength + discount * tables[at]) * self.parent, discount, self.keys[at], sweep)
+        opening = (strength + discount * (tables[at] - before[at])) * self.parent
+        opened[at] = seat(self.n[at], opening, discount, self.keys[at], sweep, discount * self.parent)
         return opened
 
 
@@ -491,16 +504,19 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
     discount, strength = WORDS
     history = [tables]
     columns = ("contexts", "words", "n", "parent")
-    for sweep in range(SWEEPS):
+    for _ in range(SWEEPS):
 
-        def count(parts, sweep=sweep, tables=history[-1]):
+        def count(parts, history=list(history)):
             total = np.zeros(len(classes), np.int64)
             for batch in parts:
                 for row in zip(*(batch.column(c).to_pylist() for c in columns)):
                     contexts, words, n = (unpack(x, np.int64) for x in row[:3])
                     frequent = classes.of(contexts) < len(classes.words)
                     part = Bucket(classes, pack(contexts[frequent]), pack(words[frequent]), pack(n[frequent]), pack(unpack(row[3], np.float32)[frequent[n > 1]]))
-                    total += np.bincount(part.kind, part.seated(tables[part.kind], sweep), minlength=len(classes)).astype(np.int64)
+                    opened = np.ones(len(part.n), np.int64)
+                    for s, tables in enumerate(history):
+                        opened = part.seated(tables[part.kind], opened, s)
+                    total += np.bincount(part.kind, opened, minlength=len(classes)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(classes), dtype=np.int32)), pa.array(total)], names=["kind", "n"])
 
         after = np.zeros(len(classes))
@@ -516,7 +532,7 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
                 opened = np.ones(len(part.n), np.int64)
                 own, share = np.zeros(len(part.n)), np.zeros(len(part.n))
                 for sweep in range(SWEEPS):
-                    opened = part.seated(part.summed(opened, history[sweep]), sweep)
+                    opened = part.seated(part.summed(opened, history[sweep]), opened, sweep)
                     if sweep >= BURN_IN:
                         own += (part.n - discount * opened) / total
                         share += (strength + discount * part.summed(opened, history[sweep + 1])) / total

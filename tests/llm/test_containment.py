@@ -90,3 +90,16 @@ def test_recall_at_the_threshold():
             index.classes[k] = [(s, values[j:j + 1], np.array([0])) for j, s in enumerate(seen)]
             missed += (0, 0) not in index.candidates(doc, np.array([0]), np.array([3000]))
         assert missed == 0
+
+
+def test_one_index_at_a_time(spark, docs, prose, monkeypatch):
+    """The result of a block of items is stored before the index of the next one is built."""
+    steps = []
+    index, stored = ct.ItemIndex, ct.stored
+    monkeypatch.setattr(ct, "ItemIndex", lambda part: (steps.append("index"), index(part))[1])
+    monkeypatch.setattr(ct, "stored", lambda df, name: (steps.append("stored"), stored(df, name))[1])
+    texts = [(i, " ".join(prose(40, i))) for i in range(5)]
+    items = spark.createDataFrame(texts, "item_id bigint, text string")
+    found = ct.contained_items(docs(texts), items, block=2).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(5)}
+    assert steps == ["index", "stored"] * 3

@@ -150,7 +150,7 @@ def _search(index: ItemIndex):
 
 
 def item_blocks(items: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The items in lists of at most ``size``; the driver holds one list at a time."""
+    """The items in lists of at most ``size``; the driver holds one list and the next at a time."""
     block = []
     for row in items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).toLocalIterator():
         block.append((row[0], (row[1] or "").encode()))
@@ -168,12 +168,17 @@ def contained_items(documents: DataFrame, items: DataFrame, block: int = BLOCK)
     """
     spark = documents.sparkSession
     texts = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), "text")
-    found = [texts.mapInArrow(_search(ItemIndex(part)), RESULT) for part in item_blocks(items, block)]
-    if not found:
+    done, last = [], None
+    for part in item_blocks(items, block):
+        if last is not None:
+            done.append(stored(texts.mapInArrow(_search(ItemIndex(last)), RESULT), "contained"))  # kept before the next index is built
+        last = part
+    if last is None:
         return spark.createDataFrame([], RESULT)
-    if len(found) == 1:
-        return found[0]
-    done = [stored(f, "contained") for f in found]  # a block's result is kept before the next one is searched
+    found = texts.mapInArrow(_search(ItemIndex(last)), RESULT)
+    if not done:
+        return found
+    done.append(stored(found, "contained"))
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionAll(more)

@@ -94,3 +94,16 @@ def test_lines_that_are_nearly_all_repeated_reject(spark):
     point[4] += 0.7 * ro.UNIT  # half of the lines
     one = spark.createDataFrame([("g", *map(round, point.tolist()), row["mu"], row["inverse"])], "grp string, " + ", ".join(f"{x} int" for x in ro.X) + ", mu array<double>, inverse array<double>")
     assert one.select(ro.distance()).first()[0] > ro.chi_square_quantile(ro.REJECT, ro.P)
+
+
+def test_steps_go_on_until_no_determinant_falls(spark):
+    """From a start far out on a long ridge, where the subset moves a little in each step."""
+    r = np.random.default_rng(6)
+    points = r.normal(size=(2000, ro.P)) * 0.05
+    points[:, 0] = r.exponential(4, 2000)
+    vectors = table(spark, points)
+    mu, inverse, logdet = ro._packed(np.array([30.0 * ro.UNIT] + [0.0] * (ro.P - 1)), np.diag(ro.FLOORS))
+    start = spark.createDataFrame([("g", 0, 2000, mu, inverse, logdet)], ro.ESTIMATE)
+    start = ro.stored(ro.concentrate(vectors, start), "start")
+    last = ro.converged(vectors, start, ro.SUBSET)
+    assert ro.concentrate(vectors, last).first()["logdet"] >= last.first()["logdet"] - 1e-9

@@ -48,7 +48,6 @@ SUBSET = 0.75
 LEAST_ROWS = 60
 #: A clean row is rejected about once in ten thousand, were the vectors of a group normal.
 REJECT = 1 - 1e-4
-STEPS = 12
 #: The statistics and the least standard deviation of each.
 STATISTICS = {
     "log_words": 0.15, "log_word_length": 0.06, "symbols": 0.2, "repeated": 0.06, "repeated_lines": 0.1, "capitals": 0.05,
@@ -291,6 +290,18 @@ def reweighted(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     return few(sums).mapInPandas(run, ESTIMATE)
 
 
+def converged(vectors: DataFrame, now: DataFrame, share: float = SUBSET) -> DataFrame:
+    """Concentration steps until no determinant falls; a group keeps its estimate when a step doesn't lower its determinant."""
+    while True:
+        following = concentrate(vectors, now, share).alias("a").join(now.alias("b"), "grp")
+        falls = F.col("a.logdet") < F.col("b.logdet") - 1e-9
+        columns = ("start", "n", "mu", "inverse", "logdet")
+        now = stored(following.select("grp", *(F.when(falls, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in columns), falls.alias("fell")), "concentrated")
+        fell, now = now.filter("fell").limit(1).count(), now.drop("fell")
+        if not fell:
+            return now
+
+
 def covariance_estimates(vectors: DataFrame, share: float = SUBSET) -> DataFrame:
     """``grp, start, n, mu, inverse, logdet`` of ``vectors(grp, x0, x1, ...)``."""
     now = stored(starts(vectors), "starts")
@@ -298,14 +309,7 @@ def covariance_estimates(vectors: DataFrame, share: float = SUBSET) -> DataFrame
         now = stored(concentrate(vectors, now, share), "concentrated")
     best = now.groupBy("grp").agg(F.min_by(F.struct("start", "n", "mu", "inverse", "logdet"), F.struct("logdet", "start")).alias("b"))
     now = stored(best.select("grp", "b.*"), "best")
-    for _ in range(STEPS):
-        following = stored(concentrate(vectors, now, share), "concentrated")
-        fallen = following.alias("a").join(now.alias("b"), "grp").filter("a.logdet < b.logdet - 1e-9")
-        done = not fallen.limit(1).count()
-        now = following
-        if done:
-            break
-    return stored(reweighted(vectors, now), "reweighted")
+    return stored(reweighted(vectors, converged(vectors, now, share)), "reweighted")
 
 
 def outlier_report(documents: DataFrame, share: float = SUBSET, least: int = LEAST_ROWS) -> DataFrame:

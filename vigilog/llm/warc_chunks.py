@@ -1,6 +1,7 @@
 """WARC archives by way of a table of chunks.
 
-A payload never travels or is parsed as one piece: it becomes rows of record key and
+A payload is never read back or parsed as one piece, though the writer takes it whole, in
+batches of rows, before it cuts it: it becomes rows of record key and
 chunk number, each with at most ``CHUNK`` bytes, the bytes so far and the SHA-1 of the
 payload up to there, so that the last chunk carries the digest of the whole. Writers
 stream such rows into gzipped WARC/1.1 files (a member for each record), readers

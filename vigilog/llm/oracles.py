@@ -91,3 +91,61 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(len(gone), 0)::bigint AS n_re
          ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN x USING (doc_id)
 """
+
+# crc32 bit by bit, over the digits of the id.
+_CRC = """xor(list_reduce(range(0, 8 * strlen(doc_id::varchar)), lambda c, i: xor(
+  xor(c, CASE WHEN i % 8 = 0 THEN ord(substr(doc_id::varchar, i // 8 + 1, 1)) ELSE 0 END) >> 1,
+  3988292384 * (xor(c, CASE WHEN i % 8 = 0 THEN ord(substr(doc_id::varchar, i // 8 + 1, 1)) ELSE 0 END) & 1)), 4294967295::bigint), 4294967295)"""
+
+ORACLES["op11_periodic_runs"] = f"""
+WITH t AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+ p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+ d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+        ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+ k AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+ e AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+ s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+ r AS MATERIALIZED (SELECT doc_id, q, min(i) AS b, count(*) + q AS size FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+ f AS MATERIALIZED (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.b <= r.b AND o.b + o.size >= r.b + r.size)),
+ g AS (SELECT DISTINCT doc_id, unnest(range(b + q, b + size)) AS i FROM f),
+ c AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM k ANTI JOIN g USING (doc_id, i) GROUP BY k.doc_id),
+ l AS (SELECT doc_id, count(*) AS n_runs, string_agg(b || ',' || size || ',' || q || chr(10), '' ORDER BY b, q) AS runs FROM f GROUP BY doc_id),
+ m AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size / q DESC, b, q) = 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, m.b::bigint AS start, m.size::bigint AS length, m.q::bigint AS period,
+       (1000 * m.size // m.q)::bigint AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::bigint AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+       QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::int AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+"""
+
+_CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[TURN ", "[/TURN]"]
+# A backslash is put behind every backslash and behind the first character of every control string.
+_ADDED = " + ".join(["length(text) - length(replace(text, chr(92), ''))", *[f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in _CONTROL]])
+
+ORACLES["op13_chat_events"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(text) + {_ADDED} + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 18 ELSE 6 END)::bigint AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilog.llm import blob_ledger, containment, hamming_join, kneser_ney, piece_transducer, pitman_yor, robust_outliers, subword_classifier, suffix_trees, warc_chunks
+from vigilog.llm import blob_ledger, chat_events, containment, hamming_join, hard_negatives, kneser_ney, periodic_runs, piece_transducer
+from vigilog.llm import pitman_yor, robust_outliers, subword_classifier, suffix_trees, warc_chunks
 from vigilog.llm.common import table
 
 #: The SentencePiece model, a parameter of its operator.
@@ -73,3 +74,18 @@ def op9_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
     return piece_transducer.encoded(table(spark, folder, "documents").select("doc_id", "text"), MODEL_FILE)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_report(periodic_runs.with_planted_runs(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.negative_report(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query
+def op13_chat_events(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_events.format_report(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))

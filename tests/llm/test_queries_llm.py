@@ -17,8 +17,8 @@ def test_equals_sql(spark, name):
     assert rows > 0
 
 
-def test_ten_operators():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+def test_every_operator():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name, label, least", [("op4_subword_classifier", "quality", 0.8), ("op5_kneser_ney", "toxic", 0.9)])

@@ -176,6 +176,8 @@ def _best(vectors: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     for ids, matrix in _read_blocks(path):
         if not vectors.shape[1]:  # no row has a vector
             vectors = np.zeros((len(vectors), matrix.shape[1]))
+        if not matrix.shape[1]:  # no example of the block has one
+            matrix = np.zeros((len(matrix), vectors.shape[1]))
         if matrix.shape[1] != vectors.shape[1]:
             raise ValueError(f"example vectors have {matrix.shape[1]} numbers, others {vectors.shape[1]}")
         order = np.argsort(ids, kind="stable")

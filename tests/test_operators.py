@@ -327,7 +327,7 @@ def test_python_functions_run_once(spark, lines, folder):
     encoder = scoring.hashed_words(8)
     for df, nodes in (
         (tagged, 1), (vocabulary.span_rows(tagged), 1), (vocabulary.tag_index(tagged), 1),
-        (vocabulary.encode_lines(vocabulary.with_batches(log), vocabulary.vocabulary(vocabulary.token_rows(log))), 0),
+        (vocabulary.encode_lines(vocabulary.with_batches(log), vocabulary.vocabulary(vocabulary.token_rows(log))), 1),  # the block dictionary
         (scoring.enhanced_similarity(pair, "first", "second", encoder), 2),  # encoder and string ratio
     ):
         plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -13,7 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilog.session import scratch_path
+
 BLOCK_BITS = 16
+#: Spark's row ids hold the partition above this many bits of row number.
+ROW_BITS = 33
 
 
 def numbered(
@@ -53,6 +57,25 @@ def numbered(
     )
 
 
+def numbered_in_ranges(df: DataFrame, order: Sequence[str | Column], out: str = "row_number", name: str = "ranges") -> DataFrame:
+    """All rows numbered from 1 in ``order``, for results that are stored anyway.
+
+    One exchange: the rows are range-partitioned, sorted and written to the shared folder with their partition and their row in
+    it; the rows before each partition (a number for each, all the driver sees) are added when they are read.
+    Spark picks the ranges from a sample of any sortable key, so ids need no particular spread.
+    """
+    path = scratch_path(df.sparkSession, name)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    kept = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    place = F.shiftright("_row", ROW_BITS)
+    sizes = kept.groupBy(place.alias("_range")).agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    before = [(r["_range"], sum(x["n"] for x in sizes[:i])) for i, r in enumerate(sizes)]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_range bigint, _before bigint"))
+    number = F.col("_before") + F.col("_row").bitwiseAND((1 << ROW_BITS) - 1) + 1
+    return kept.withColumn("_range", place).join(offsets, "_range").withColumn(out, number).drop("_range", "_before", "_row")
+
+
 def id_blocks(ident: Column, *bits: int) -> list[Column]:
     """Levels that cut a bigint id into blocks of 2^bits; rows without an id come first."""
     return [F.coalesce(F.shiftright(ident, b), F.lit(-1).cast("bigint")) for b in bits]

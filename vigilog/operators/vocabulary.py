@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
 from vigilog.functions.tokens import bio_tags, entity_spans, tokenize
-from vigilog.operators.ranking import BLOCK_BITS, id_blocks, numbered, numbered_by_id
+from vigilog.operators import dictionary
+from vigilog.operators.ranking import numbered_in_ranges
+from vigilog.session import scratch_path
 
 PADDING, UNKNOWN, FIRST_WORD = 0, 1, 2
 HEAD_WORDS = 50_000
@@ -40,17 +42,13 @@ def span_rows(tagged: DataFrame) -> DataFrame:
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """``word, idx, occurrences``: lower-cased words by falling count, then first appearance.
 
-    0 and 1 are kept for padding and unknown words. The words are numbered in
-    blocks of equal count and nearby first appearance, as the many words that occur
-    once would otherwise meet in one task. There are fewer than sqrt(2n) different
-    counts among n tokens, so the list of counts is short.
+    0 and 1 are kept for padding and unknown words. The counted words are sorted in ranges, written once, and numbered
+    by the sizes of the ranges: a shuffle for the counts and one for the order.
     """
     counts = tokens.groupBy(F.lower("token").alias("word")).agg(
         F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("line_id", "pos")).alias("first_seen")
     )
-    blocks = id_blocks(F.col("first_seen.line_id"), 3 * BLOCK_BITS, 2 * BLOCK_BITS, BLOCK_BITS)
-    levels = [F.coalesce(-F.col("occurrences"), F.lit(0)), *blocks]
-    placed = numbered(counts, [], levels, ["first_seen"], "_place")
+    placed = numbered_in_ranges(counts, [F.desc("occurrences"), "first_seen", "word"], "_place", "vocabulary")
     return placed.select("word", (F.col("_place") + (FIRST_WORD - 1)).cast("bigint").alias("idx"), "occurrences")
 
 
@@ -108,19 +106,22 @@ def encoded_lines(encoded: DataFrame, keys: Sequence[str] = ("line_id",)) -> Dat
 def encode_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
     """The lines that hold a token, with ``ids, length`` in place of ``line``.
 
-    ``words`` is best a stored table; of a word that comes twice the smallest index counts. Lines with the same id stay
-    lines of their own.
+    ``words`` is written as a block dictionary, from which every task fetches what its lines need; no token is
+    shuffled. Of a word that comes twice the smallest index counts. Lines with the same id stay lines of their own.
     """
-    keys = [c for c in lines.columns if c != "line"]
-    copy = F.row_number().over(Window.partitionBy("line_id").orderBy("line"))
-    tokens = lines.withColumn("_copy", copy).select(*keys, "_copy", F.posexplode(tokenize(F.col("line"))).alias("pos", "token"))
-    distinct = words.groupBy("word").agg(F.min("idx").alias("idx"))
-    return encoded_lines(encode_tokens(tokens, distinct), [*keys, "_copy"]).drop("_copy")
+    path = dictionary.write_dictionary(words, scratch_path(lines.sparkSession, "dictionary"))
+    tokens = F.transform(tokenize(F.col("line")), lambda t: F.lower(t))
+    return dictionary.encode(_with_tokens(lines).withColumn("line", tokens), path, "line", UNKNOWN)
 
 
 def with_batches(lines: DataFrame, batch_size: int = 16) -> DataFrame:
     """The lines that hold a token with ``batch``: runs of ``batch_size`` lines in id order."""
-    placed = numbered_by_id(_with_tokens(lines), [], "line_id", "_place")
+    return in_batches(_with_tokens(lines), batch_size)
+
+
+def in_batches(lines: DataFrame, batch_size: int = 16) -> DataFrame:
+    """All lines with ``batch``: runs of ``batch_size`` lines in id order. The lines are written once."""
+    placed = numbered_in_ranges(lines, ["line_id"], "_place", "batches")
     return placed.withColumn("batch", F.floor((F.col("_place") - 1) / batch_size)).drop("_place")
 
 

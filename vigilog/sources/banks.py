@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.text import normalize_text
 
-BANK_SCHEMA = "ID int, Asset string, Log string"
+BANK_SCHEMA = "ID bigint, Asset string, Log string"
 
 
 def example_bank(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
 from vigilog.functions.text import is_filled, row_text, strip
-from vigilog.operators.ranking import head, numbered_by_id
+from vigilog.operators.ranking import head, numbered_in_ranges
 
 SPLIT = ["source", "_start"]
 
@@ -168,7 +168,7 @@ def preview_lines(lines: DataFrame, id_col: str = "line_id", n: int = fixed.PREV
 
 def export_rows(lines: DataFrame, id_col: str = "line_id") -> DataFrame:
     """``line_number, log_line`` in line order, numbered from 1."""
-    numbered_lines = numbered_by_id(lines.select(id_col, "line"), [], id_col)
+    numbered_lines = numbered_in_ranges(lines.select(id_col, "line"), [id_col], "line_number")
     return numbered_lines.select("line_number", F.col("line").alias("log_line"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.text import is_filled, strip
 
-LINE_BITS = 24
 MOST_SPREAD = 32
 
 
@@ -69,10 +68,13 @@ def auth_lines(events: DataFrame) -> DataFrame:
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
-    """``line_id, source, line``: the non-blank lines of every document, whole."""
+    """``line_id, source, line``: the non-blank lines of every document, whole.
+
+    The id is a struct of the document's id and the line's place, so no number of documents or lines runs into another.
+    """
     lines = documents.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     return lines.filter(is_filled(F.col("raw"))).select(
-        (F.shiftleft(F.col("doc_id"), LINE_BITS) + F.col("pos")).alias("line_id"),
+        F.struct("doc_id", "pos").alias("line_id"),
         "source",
         strip(F.col("raw")).alias("line"),
     )

@@ -30,9 +30,21 @@ oracle("failed_login_alert", AUTH_LINES, CATEGORIZED, f"""
   FROM (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, {search_field('src_ip')} AS src_ip,
       {search_field('user')} AS user_name FROM categorized WHERE event_category = 'authentication_failure')
   WHERE src_ip IS NOT NULL AND user_name IS NOT NULL GROUP BY start, src_ip, user_name HAVING count(*) > 5""")
+SLIDING = f"""slots AS (
+  SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, src_ip, user_name, ts
+  FROM (SELECT ts, {search_field('src_ip')} AS src_ip, {search_field('user')} AS user_name FROM categorized WHERE event_category = 'authentication_failure')
+  WHERE src_ip IS NOT NULL AND user_name IS NOT NULL)"""
+oracle("failed_login_alert_hourly", AUTH_LINES, CATEGORIZED, SLIDING, """
+  SELECT start AS window_start, start + INTERVAL 1 HOUR AS window_end, src_ip, user_name AS user, count(*) AS failures
+  FROM slots GROUP BY start, src_ip, user_name HAVING count(*) > 1""")
+oracle("stream_alert_state", AUTH_LINES, CATEGORIZED, SLIDING, """
+  SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(start + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+    src_ip, user_name AS user, count(*) AS failures
+  FROM slots WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM slots) GROUP BY start, src_ip, user_name""")
 oracle("security_summary", AUTH_LINES, CATEGORIZED, "SELECT event_category, count(*) AS events FROM categorized GROUP BY 1")
 oracle("hourly_activity", AUTH_LINES, CATEGORIZED,
        "SELECT date_trunc('hour', ts) AS hour, event_category, count(*) AS events FROM categorized GROUP BY ALL")
+ORACLES["hourly_totals"] = ORACLES["hourly_activity"]
 oracle("activity_by_hour", AUTH_LINES, "SELECT date_trunc('hour', ts) AS hour, count(*) AS events FROM auth_lines GROUP BY ALL")
 oracle("top_users", AUTH_LINES, f"""
   SELECT user, count(*) AS events FROM (SELECT {search_field('user')} AS user FROM auth_lines) WHERE user IS NOT NULL
@@ -104,7 +116,8 @@ def entity_table(lines: str) -> str:
 
 
 oracle("entities", AUTH_LINES, entity_table("auth_lines"), "SELECT line_id, type, ord::INTEGER AS ord, entity FROM entities")
-oracle("document_entities", DOC_LINES, entity_table("doc_lines"), "SELECT line_id, type, ord::INTEGER AS ord, entity FROM entities")
+oracle("document_entities", DOC_LINES, entity_table("doc_lines"), """
+  SELECT line_id.doc_id AS doc_id, line_id.pos::INTEGER AS pos, type, ord::INTEGER AS ord, entity FROM entities""")
 oracle("entity_unique", AUTH_LINES, entity_table("auth_lines"), "SELECT type, count(DISTINCT entity) AS unique_entities FROM entities GROUP BY type")
 oracle("entity_top10", AUTH_LINES, entity_table("auth_lines"), """
   SELECT * FROM (
@@ -148,6 +161,19 @@ def attack_table(lines: str) -> str:
 
 oracle("attack_hits", AUTH_LINES, attack_table("auth_lines"), "SELECT * FROM attacks")
 oracle("page_attack_hits", PAGE_LINES, attack_table("page_lines"), "SELECT * FROM attacks")
+ORACLES["attack_pattern_table"] = ORACLES["attack_hits"]
+oracle("document_pattern_table", """
+  words AS (SELECT regexp_extract_all(lower(text), '[a-z]{5,}') AS w FROM benchmark)""", """
+  pairs AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || '\\s+' || w[i + 1])) AS pattern FROM words)""", """
+  firsts AS MATERIALIZED (SELECT pattern, split_part(pattern, chr(92), 1) AS first FROM pairs)""", """
+  texts AS MATERIALIZED (SELECT doc_id, text, lower(text) AS lowered FROM documents)""", """
+  SELECT doc_id AS line_id, pattern, len(regexp_extract_all(text, '(?i)' || pattern))::INTEGER AS matches
+  FROM texts, firsts WHERE contains(lowered, first) AND regexp_matches(text, '(?i)' || pattern)""")
+PREFIXED = ", ".join(f"CASE WHEN {k}_hits <> '' THEN '{k}:' || replace({k}_hits, '|', '|{k}:') END" for k in sorted(HITS))
+oracle("dictionary_table_labels", AUTH_LINES, f"""
+  found AS (SELECT line_id, {', '.join(f'{v} AS {k}_hits' for k, v in HITS.items())} FROM auth_lines)""", f"""
+  SELECT line_id, CASE WHEN authentication_failure_hits <> '' THEN 'authentication_failure'
+    WHEN authentication_success_hits <> '' THEN 'authentication_success' ELSE 'none' END AS label, concat_ws('|', {PREFIXED}) AS hits FROM found""")
 oracle("attack_counts", AUTH_LINES, attack_table("auth_lines"), """
   SELECT category, count(*) AS hits FROM attacks GROUP BY category UNION ALL SELECT 'Total', count(*) FROM attacks""")
 oracle("attack_bins", PAGE_LINES, attack_table("page_lines"), """
@@ -204,6 +230,8 @@ MATCHED = f"""SELECT line_id, norm AS normalized_log, score AS max_similarity_sc
     example AS most_similar_positive_example, {category('example')} AS prediction FROM matched"""
 oracle("nearest_line_example", *FIRST_LINES, MATCHED)
 oracle("nearest_known_line", *KNOWN_LINES, MATCHED)
+ORACLES["nearest_example_index"] = ORACLES["nearest_example"]
+ORACLES["nearest_known_line_index"] = ORACLES["nearest_known_line"]
 LINE_SCORES = f"scores AS (SELECT line_id, {category('example')} AS prediction, score FROM matched)"
 
 PHRASES = ", ".join(
@@ -427,7 +455,7 @@ oracle("encoded_batches", AUTH_LINES, token_table("tokens", "auth_lines"), vocab
 oracle("text_round_trip", AUTH_LINES, "SELECT line, 0::BIGINT AS odd FROM auth_lines")
 oracle("broken_cells_csv", "SELECT doc_id AS line_id, md5(source || ' ' || text) AS text FROM documents")
 oracle("example_bank_file", AUTH_LINES, f"""
-  SELECT line_id::INTEGER AS "ID", {asset('line')} AS "Asset", line AS "Log", {normalize('line')} AS normalized_log FROM auth_lines""")
+  SELECT line_id AS "ID", {asset('line')} AS "Asset", line AS "Log", {normalize('line')} AS normalized_log FROM auth_lines""")
 ORACLES["pattern_file_labels"] = ORACLES["event_patterns"]
 oracle("pattern_table", """
   SELECT lang AS category, (generate_subscripts(sources, 1) - 1)::INTEGER AS ord, unnest(sources) AS pattern

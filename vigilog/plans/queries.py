@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
 from vigilog.functions import fields, similarity, text, tokens, vectors
-from vigilog.operators import corrections, ranking, reports, scoring, searches, training, vocabulary
+from vigilog.operators import corrections, example_index, pattern_scan, ranking, reports, scoring, searches, totals, training, vocabulary
 from vigilog.session import scratch_path
 from vigilog.sources import banks, files
 from vigilog.sources.tables import auth_lines, derived_corrections, document_lines, table, turn_pairs
+from vigilog.streaming import alerts
 from vigilog.streaming import searches as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 ENCODER_SIZE = 64
 ALERT_WINDOW = "7 days"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MARKS = ('<span style="background-color: #FFFF00; font-weight: bold;">', "</span>")
 
 
@@ -73,6 +75,12 @@ def failed_login_alert(spark: SparkSession, folder: str) -> DataFrame:
     return searches.failed_login_alert(logs(spark, folder), ALERT_WINDOW)
 
 
+@query
+def failed_login_alert_hourly(spark: SparkSession, folder: str) -> DataFrame:
+    """As scheduled: the last hour, every half hour. The events are sparse, so two failures give an alert."""
+    return searches.failed_login_alert(logs(spark, folder), "1 hour", "30 minutes", 1)
+
+
 @query
 def security_summary(spark: SparkSession, folder: str) -> DataFrame:
     return searches.security_summary(logs(spark, folder))
@@ -217,7 +225,7 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def document_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.entity_rows(document_log(spark, folder))
+    return reports.entity_rows(document_log(spark, folder)).select("line_id.doc_id", "line_id.pos", "type", "ord", "entity")
 
 
 @query
@@ -263,6 +271,40 @@ def page_attack_hits(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("matches", joined("matches")).withColumns(rounded("confidence"))
 
 
+def benchmark_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of neighbouring words of five letters and more in the benchmark, as a table of patterns."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))
+    pairs = table(spark, folder, "benchmark").select("item_id", F.explode(tokens.bigrams(words)).alias("pair"))
+    return pairs.select(F.lit("pairs").alias("category"), F.replace("pair", F.lit(" "), F.lit(r"\s+")).alias("pattern")).distinct()
+
+
+@query
+def attack_pattern_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The attack patterns as a table, looked for in all log lines in one pass."""
+    rows = [(c, p) for c, patterns in fixed.ATTACK_PATTERNS.items() for p in patterns]
+    patterns = spark.createDataFrame(rows, "category string, pattern string")
+    hits = pattern_scan.detect_attacks_from(logs(spark, folder), patterns, scratch_path(spark, "patterns"))
+    return hits.withColumn("matches", joined("matches")).withColumns(rounded("confidence"))
+
+
+@query
+def document_pattern_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Thousands of patterns that come from a table, looked for in all documents in one pass."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("line_id"), F.col("text").alias("line"))
+    hits = pattern_scan.detect_attacks_from(texts, benchmark_pairs(spark, folder), scratch_path(spark, "patterns"))
+    return hits.select("line_id", "pattern", F.size("matches").alias("matches"))
+
+
+@query
+def dictionary_table_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The dictionary patterns as a table: the label of every line and the patterns found."""
+    rows = [(c, i, p) for c, patterns in fixed.EVENT_PATTERNS.items() for i, p in enumerate(patterns)]
+    patterns = spark.createDataFrame(rows, "category string, ord int, pattern string")
+    found = pattern_scan.dictionary_labels_from(logs(spark, folder), patterns, scratch_path(spark, "patterns"))
+    shown = F.transform("hits", lambda h: F.concat(h["category"], F.lit(":"), h["ord"].cast("string")))
+    return found.select("line_id", "label", F.array_join(shown, "|").alias("hits"))
+
+
 @query
 def attack_counts(spark: SparkSession, folder: str) -> DataFrame:
     return reports.attack_counts(reports.detect_attacks(logs(spark, folder)))
@@ -365,6 +407,33 @@ def nearest_known_line(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns(rounded("max_similarity_score")).drop("model", "original_log_line")
 
 
+@query
+def nearest_example_index(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``nearest_example``, by the stored cell index whatever the size of the bank."""
+    every = embeddings(spark, folder)
+    bank = every.filter(F.col("vec_id") % 20 != 0).select(F.col("vec_id").alias("idx"), "label", "embedding")
+    index = example_index.build_index(bank, "embedding", scratch_path(spark, "index"))
+    scored = example_index.search_index(every.filter(F.col("vec_id") % 20 == 0).select("vec_id", "embedding"), index, "embedding")
+    named = scoring.with_example(scored.drop("embedding"), bank.select("idx", "label"))
+    return named.withColumns(rounded("max_similarity_score"))
+
+
+@query
+def nearest_known_line_index(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``nearest_known_line``, by the stored cell index whatever the size of the bank."""
+    lines = logs(spark, folder).withColumn("normalized_log", text.normalize_text(F.col("line"))).select("line_id", "line", "normalized_log")
+    others = lines.filter(F.col("line_id") % 20 != 0)
+    bank = others.groupBy("normalized_log").agg(F.min("line_id").alias("idx"), F.min_by("line", "line_id").alias("example"))
+    bank = bank.select("idx", "example", "normalized_log", fields.event_category(F.col("example")).alias("label"))
+    encoder = scoring.hashed_words(ENCODER_SIZE)
+    index = example_index.build_index(bank, "normalized_log", scratch_path(spark, "index"), encoder)
+    scored = example_index.search_index(lines.filter(F.col("line_id") % 20 == 0).drop("line"), index, "normalized_log", encoder)
+    named = scoring.with_example(scored, bank.select("idx", "example", "label"))
+    return named.select(
+        "line_id", "normalized_log", F.round("max_similarity_score", 6).alias("max_similarity_score"), "most_similar_positive_idx",
+        F.col("example").alias("most_similar_positive_example"), F.col("label").alias("prediction"))
+
+
 @query
 def analyze_logs(spark: SparkSession, folder: str) -> DataFrame:
     found = scoring.analyze_lines(logs(spark, folder), scoring.hashed_words(ENCODER_SIZE))
@@ -707,9 +776,8 @@ def decoded_tags(spark: SparkSession, folder: str) -> DataFrame:
 def encoded_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as padded word indices, in batches of 16 lines."""
     lines = logs(spark, folder)
-    words = stored(spark, vocabulary.vocabulary(vocabulary.token_rows(lines)), "vocabulary")
-    encoded = vocabulary.encode_lines(vocabulary.with_batches(lines.select("line_id", "line")), words)
-    return vocabulary.padded(encoded).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
+    encoded = vocabulary.encode_lines(lines.select("line_id", "line"), vocabulary.vocabulary(vocabulary.token_rows(lines)))
+    return vocabulary.padded(vocabulary.in_batches(encoded)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
 
 
 # ---------------------------------------------------------------- files and streams
@@ -866,8 +934,38 @@ def complete(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_alert(spark: SparkSession, folder: str) -> DataFrame:
-    alerts = streams.alert_stream(log_stream(spark, folder), window=ALERT_WINDOW, slide=ALERT_WINDOW)
-    return plain_bounds(complete(spark, alerts, "alerts"))
+    found = streams.alert_stream(log_stream(spark, folder), window=ALERT_WINDOW, slide=ALERT_WINDOW)
+    return plain_bounds(complete(spark, found, "alerts"))
+
+
+@query
+def stream_alert_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of an hour, every half hour, from a state of half-hour counts; every window that ended before the last watermark."""
+    own = spark.newSession()  # the state store is a setting of the session
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    path = scratch_path(spark, "alerts")
+    found = alerts.alert_state_stream(log_stream(own, folder), limit=0)
+    streams.start_to_files(found, path, f"{path}-checkpoint").awaitTermination()
+    return plain_bounds(spark.read.schema(found.schema).parquet(path))
+
+
+@query
+def hourly_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly activity from log files that arrive in three parts, the first lines last; each run reads new files only."""
+    path = scratch_path(spark, "arrivals")
+    lines = logs(spark, folder)
+
+    def counted(text_lines: DataFrame) -> DataFrame:
+        ts = F.to_timestamp_ntz(F.substring("line", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
+        return text_lines.select(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour"), fields.event_category(F.col("line")).alias("event_category"))
+
+    schema = "hour timestamp_ntz, event_category string, events bigint"
+    for part in (1, 2, 0):
+        files.write_lines(lines.filter(F.col("line_id") % 3 == part), f"{path}/in/part={part}")
+        totals.add_new_files(spark, f"{path}/in", f"{path}/store", lambda names: files.text_lines(spark, names, number=False), counted)
+        if part == 2:
+            totals.compact(spark, f"{path}/store", schema)
+    return totals.totals(spark, f"{path}/store", schema)
 
 
 @query

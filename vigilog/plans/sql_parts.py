@@ -105,7 +105,7 @@ AUTH_LINES = """auth_lines AS (
           '10.0.' || (user_id % 4) || '.' || (1 + user_id % 250) AS ip FROM events))"""
 
 DOC_LINES = f"""doc_lines AS (
-  SELECT doc_id * 16777216 + pos - 1 AS line_id, source, {strip('raw')} AS line
+  SELECT {{'doc_id': doc_id, 'pos': pos - 1}} AS line_id, source, {strip('raw')} AS line
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw,
           generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
   WHERE {strip('raw')} <> '')"""

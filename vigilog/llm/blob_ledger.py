@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import shared_path, stored
+from vigilog.llm.common import free_name, shared_path, stored
 
 OUTER, INNER, OTHER = "\x01", "\x02", "\x03"
 
@@ -161,8 +161,9 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     ledger = shared_path(documents.sparkSession, "ledger")
     found = scan_versions(documents.select(F.col("doc_id").alias("path"), "text"), ledger)
-    hit = found.filter("spans IS NOT NULL").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    text, spans = F.col("text"), F.col("_spans")
+    blob, marks, new_text = (free_name(documents, n) for n in ("_blob", "_spans", "_new"))
+    hit = found.filter("spans IS NOT NULL").select(F.col("blob").alias(blob), F.col("spans").alias(marks)).dropDuplicates([blob])
+    text, spans = F.col("text"), F.col(marks)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("upto"))
 
     def step(state, span):
@@ -176,15 +177,15 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     new = F.aggregate(
         spans, start, step, lambda s: F.concat(s.done, F.substring(text, s.upto.cast("int") + 1, F.length(text)))
     )
-    joined = documents.withColumn("_blob", blob_of("text")).join(hit, "_blob", "left")
-    out = joined.withColumn("_new", F.when(spans.isNotNull(), new).otherwise(text))
+    joined = documents.withColumn(blob, blob_of("text")).join(hit, blob, "left")
+    out = joined.withColumn(new_text, F.when(spans.isNotNull(), new).otherwise(text))
     columns = []
     for name in documents.columns:
         if name == "text":
-            columns.append(F.col("_new").alias("text"))
+            columns.append(F.col(new_text).alias("text"))
         elif name == "n_chars":
             kind = documents.schema["n_chars"].dataType
-            columns.append(F.when(spans.isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars"))
+            columns.append(F.when(spans.isNotNull(), F.length(new_text)).otherwise(F.col("n_chars")).cast(kind).alias("n_chars"))
         else:
             columns.append(F.col(f"`{name}`"))
     return out.select(*columns)

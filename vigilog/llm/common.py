@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -46,14 +47,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Rows that Spark hands to Python at once; texts can be long, so far fewer than Spark's own 10,000.
+#: Rows with texts that a Python pass takes at once; texts can be long, so far fewer than Spark's own 10,000.
 BATCH_ROWS = 500
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session set to hand rows with texts to Python in small Arrow batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+def small(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over batches cut to BATCH_ROWS rows.
+
+    Spark bounds a batch by its bytes (``arrow.maxBytesPerBatch``); the cut bounds what becomes Python objects at once. No setting is changed.
+    """
+    return lambda batches: run(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with marks put behind it until ``df`` has no such column, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

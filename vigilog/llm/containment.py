@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, in_small_batches, shingle_hashes64, stored
+from vigilog.llm.common import WordHash, byte_texts, free_name, shingle_hashes64, small, stored
 
 WORDS = 5
 THRESHOLD = (80, 100)
@@ -167,15 +167,15 @@ def contained_items(documents: DataFrame, items: DataFrame, block: int = BLOCK)
     ``documents(doc_id, text)``, ``items(item_id, text)``.
     """
     spark = documents.sparkSession
-    texts = in_small_batches(documents).select(F.col("doc_id").cast("bigint"), "text")
+    texts = documents.select(F.col("doc_id").cast("bigint"), "text")
     done, last = [], None
     for part in item_blocks(items, block):
         if last is not None:
-            done.append(stored(texts.mapInArrow(_search(ItemIndex(last)), RESULT), "contained"))  # kept before the next index is built
+            done.append(stored(texts.mapInArrow(small(_search(ItemIndex(last))), RESULT), "contained"))  # kept before the next index is built
         last = part
     if last is None:
         return spark.createDataFrame([], RESULT)
-    found = texts.mapInArrow(_search(ItemIndex(last)), RESULT)
+    found = texts.mapInArrow(small(_search(ItemIndex(last))), RESULT)
     if not done:
         return found
     done.append(stored(found, "contained"))
@@ -195,5 +195,6 @@ def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Documents are told apart by ``doc_id``; rows without one are judged as one document.
     """
-    found = stored(contained_items(documents, items).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    hit = free_name(documents, "_hit")
+    found = stored(contained_items(documents, items).select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
+    return documents.join(found, documents["doc_id"].eqNullSafe(found[hit]), "left_anti")

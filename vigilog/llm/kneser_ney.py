@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.llm import labelled
-from vigilog.llm.common import byte_texts, held_out, in_small_batches
+from vigilog.llm.common import byte_texts, held_out, small
 
 ORDER = 8
 DISCOUNT = 0.75
@@ -219,13 +219,13 @@ def train(documents: DataFrame, labels: DataFrame) -> bytes:
         got = [(r["rank"], r["label"], r["text"]) for batch in parts for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got).state())], pa.binary())], names=["model"])
 
-    found = rows.select("rank", "label", "text").repartition(1).mapInArrow(run, "model binary").first()
+    found = rows.select("rank", "label", "text").repartition(1).mapInArrow(small(run), "model binary").first()
     return found["model"] if found else pickle.dumps(fit([]).state())  # an empty sample has no task
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_words, value, score`` for ``documents(doc_id, text)`` and ``labels(doc_id, toxic)``."""
-    model = documents.sparkSession.sparkContext.broadcast(train(in_small_batches(documents), labels))
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(parts):
         scorer = Scorer.of(pickle.loads(model.value))
@@ -235,12 +235,12 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(value, pa.float64()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "value", "score"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCORES)
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(small(run), SCORES)
 
 
 def ordinary_documents(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``documents`` whose texts score under ``least``, with all columns, in one pass over them."""
-    model = documents.sparkSession.sparkContext.broadcast(train(in_small_batches(documents), labels))
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(parts):
         scorer = Scorer.of(pickle.loads(model.value))
@@ -248,7 +248,7 @@ def ordinary_documents(documents: DataFrame, labels: DataFrame, least: float = 0
             keep = [scorer.document(t)[2] < least for t in byte_texts(batch.column("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(small(run), documents.schema)
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ No piece holds a mark behind another character, so the path of a text is the cha
 paths of its words (marks, then other characters). Words come again and again, and their paths
 are kept.
 
-Only merge models with byte fallback and the identity normaliser are taken, as in the given file; the path
-of the file is a parameter. Defined cases: null texts are encoded as empty ones, empty texts have no
+Merge and unigram models with byte fallback and the identity normaliser are taken; the path
+of the file is a parameter. Others are refused. Defined cases: null texts are encoded as empty ones, empty texts have no
 ids; repeated rows give a row each; other columns are not read. Decoding gives the text
 back, but that U+2581 in a text comes back as a blank, as in the reference implementation of the format.
 """
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import byte_texts, in_small_batches
+from vigilog.llm.common import small
 
 MARK = "▁"
 NEVER = float("inf")
@@ -49,21 +49,25 @@ LONGEST_KEPT = 64
 TOGETHER = 4 << 20
 #: Ends of paths that are no piece: the start of a word, a character in bytes, no path at all.
 START, BYTES, NONE = -1, -2, -3
+#: A fixed value of the format: how much more a character without piece weighs than the heaviest piece.
+UNKNOWN = 10.0
 ENCODED = "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, ids array<int>, round_trip boolean"
 #: A word: marks and what follows up to the next mark. Other parts never share a piece.
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-class Transducer:
-    """The compiled model. ``pieces``: (text, score, kind) by id; kinds are normal, byte, other."""
+class Machine:
+    """What both kinds of models share. ``pieces``: (text, score, kind) by id; kinds are normal, byte, other."""
 
     def __init__(self, pieces: list[tuple[str, float, str]]):
         self.arcs: dict[str, int] = {}
-        self.rank: dict[str, float] = {}
+        self.rank: dict[str, float] = {}  # weight of an arc, or the order of its merge
         self.surface: list[bytes] = [b""] * len(pieces)
         byte_ids = {}
         for i, (text, score, kind) in enumerate(pieces):
             if kind == "normal":
+                if MARK in text.lstrip(MARK):
+                    raise ValueError("a piece holds a mark behind another character")
                 self.arcs[text], self.rank[text] = i, -score
                 self.surface[i] = text.replace(MARK, " ").encode()
             elif kind == "byte":
@@ -72,7 +76,75 @@ class Transducer:
         if len(byte_ids) != 256:
             raise ValueError("the model has no byte fallback")
         self.bytes = [byte_ids[b] for b in range(256)]
-        self.longest = max(map(len, self.arcs))
+        self.longest = max(map(len, self.arcs), default=0)
+        self.words: dict[str, bytes] = {}
+        self.inexact: set[str] = set()  # words whose ids do not spell them
+
+    def paths(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word with the ids along its path of least weight."""
+        raise NotImplementedError
+
+    def checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether they decode to it.
+
+        A text's ids are those of its words in a row, and so is what they decode to: each word is decoded once, when its path is found.
+        """
+        split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        known = self.words
+        if len(known) > KEPT_WORDS:
+            known.clear()
+            self.inexact.clear()
+        fresh = set().union(*split).difference(known) if split else set()
+        for word, ids in self.paths(sorted(fresh)):
+            known[word] = array("i", ids).tobytes()
+            if b"".join(map(self.surface.__getitem__, ids)) != word.replace(MARK, " ").encode():
+                self.inexact.add(word)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        same = [MARK not in t and self.inexact.isdisjoint(words) for t, words in zip(texts, split)]
+        for word in [w for w in fresh if len(w) > LONGEST_KEPT]:
+            del known[word]
+        return out, same
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.checked(texts)[0]
+
+    def decode(self, ids: list[int]) -> bytes:
+        """The UTF-8 of the text; the blank that the normaliser put before it is taken away."""
+        return b"".join(map(self.surface.__getitem__, ids))[1:] if len(ids) else b""
+
+
+class Unigram(Machine):
+    """A model whose arcs have weights of their own: the negative scores of the pieces.
+
+    A character that no piece of its own has an arc into its bytes, which weighs UNKNOWN more than any piece.
+    """
+
+    def paths(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        bytes_weight = max(self.rank.values(), default=0.0) + UNKNOWN
+        for word in words:
+            n = len(word)
+            least, back = [0.0] + [NEVER] * n, [(0, BYTES)] * (n + 1)
+            for end in range(1, n + 1):
+                for begin in range(max(0, end - self.longest), end):
+                    piece = self.arcs.get(word[begin:end])
+                    if piece is not None and (total := least[begin] + self.rank[word[begin:end]]) < least[end]:
+                        least[end], back[end] = total, (begin, piece)
+                if word[end - 1] not in self.arcs and (total := least[end - 1] + bytes_weight) < least[end]:
+                    least[end], back[end] = total, (end - 1, BYTES)
+            ids, end = [], n
+            while end:
+                begin, piece = back[end]
+                ids.extend([piece] if piece >= 0 else (self.bytes[b] for b in reversed(word[begin:end].encode())))
+                end = begin
+            ids.reverse()
+            yield word, ids
+
+
+class Transducer(Machine):
+    """A merge model, whose arcs weigh 0 or infinity by the arc before."""
+
+    def __init__(self, pieces: list[tuple[str, float, str]]):
+        super().__init__(pieces)
         self.runs = {len(t): i for t, i in self.arcs.items() if not t.strip(MARK)}
         if 1 not in self.runs or len({self.rank[MARK * n] for n in self.runs if n > 1}) > 1:
             raise ValueError("pieces of marks alone need one score")
@@ -87,7 +159,6 @@ class Transducer:
         #: The states on the way back from the end of a piece: every ending of one, with the id of the piece or -1.
         self.tails = {text[n:]: -1 for text in self.arcs for n in range(1, len(text))} | self.arcs
         self.text_of = {i: text for text, i in self.arcs.items()}
-        self.words: dict[str, bytes] = {}
         self.allowed: dict[int, bool] = {}
 
     def _edges(self, text: str):
@@ -201,27 +272,10 @@ class Transducer:
         alone = ids[0] == self.runs[1]  # else the last mark went into a piece with what follows
         return self._marks(marks) + ids[1:] if alone else self._marks(marks - 1) + ids
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.words
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        fresh = set().union(*split).difference(known) if split else set()
-        for word, ids in self.paths(sorted(fresh)):
-            known[word] = array("i", ids).tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
-        for word in [w for w in fresh if len(w) > LONGEST_KEPT]:
-            del known[word]
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
-        """The UTF-8 of the text; the blank that the normaliser put before it is taken away."""
-        return b"".join(map(self.surface.__getitem__, ids))[1:] if len(ids) else b""
 
 
-def load_pieces(model_file: str) -> list[tuple[str, float, str]]:
-    """The pieces of a model file; refuses models that are normalised or built otherwise."""
+def load_model(model_file: str) -> tuple[type[Machine], list[tuple[str, float, str]]]:
+    """The kind and the pieces of a model file; refuses models that are normalised or built otherwise."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -230,11 +284,16 @@ def load_pieces(model_file: str) -> list[tuple[str, float, str]]:
         model.ParseFromString(file.read())
     rules, trained = model.normalizer_spec, model.trainer_spec
     plain = not rules.precompiled_charsmap and rules.add_dummy_prefix and not rules.remove_extra_whitespaces
-    if not (plain and rules.escape_whitespaces and trained.byte_fallback and trained.model_type == trained.BPE):
-        raise ValueError("only merge models with byte fallback and the identity normaliser are taken")
+    kinds = {trained.BPE: Transducer, trained.UNIGRAM: Unigram}
+    if not (plain and rules.escape_whitespaces and trained.byte_fallback and trained.model_type in kinds):
+        raise ValueError("only merge and unigram models with byte fallback and the identity normaliser are taken")
     loaded = sentencepiece.SentencePieceProcessor(model_file=model_file)
     kind = lambda i: "byte" if loaded.is_byte(i) else "other" if loaded.is_control(i) or loaded.is_unknown(i) or loaded.is_unused(i) else "normal"
-    return [(loaded.id_to_piece(i), loaded.get_score(i), kind(i)) for i in range(loaded.vocab_size())]
+    return kinds[trained.model_type], [(loaded.id_to_piece(i), loaded.get_score(i), kind(i)) for i in range(loaded.vocab_size())]
+
+
+def load_pieces(model_file: str) -> list[tuple[str, float, str]]:
+    return load_model(model_file)[1]
 
 
 def encoded(documents: DataFrame, model_file: str) -> DataFrame:
@@ -243,11 +302,11 @@ def encoded(documents: DataFrame, model_file: str) -> DataFrame:
     ``round_trip`` tells whether the decoded ids are the text. The pieces of the model travel with the
     job (their number is fixed by the model file), so executors need no copy of the file.
     """
-    pieces = load_pieces(model_file)
+    machine_of, pieces = load_model(model_file)
     kinds = {"doc_id": pa.int64(), "n_pieces": pa.int64(), "n_byte_pieces": pa.int64(), "ids": pa.list_(pa.int32()), "round_trip": pa.bool_()}
 
     def run(parts):
-        machine = Transducer(pieces)
+        machine = machine_of(pieces)
         is_byte = np.zeros(len(pieces), bool)
         is_byte[machine.bytes] = True
 
@@ -260,31 +319,27 @@ def encoded(documents: DataFrame, model_file: str) -> DataFrame:
             columns = [pa.array(docs, pa.int64()), *(pa.array(c, pa.int64()) for c in counts), lists, pa.array(same, pa.bool_())]
             return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
-        def encoded_batch(docs, raws):
-            ids = machine.encode([r.decode() for r in raws])
-            return batch_of(docs, ids, [machine.decode(x.tolist()) == r for x, r in zip(ids, raws)])
-
+        docs, texts, size = [], [], 0
         for batch in parts:
-            docs, raws, size = [], [], 0
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 docs.append(doc)
-                raws.append(raw)
-                size += len(raw)
+                texts.append(text or "")
+                size += len(texts[-1])
                 if size >= TOGETHER:
-                    yield encoded_batch(docs, raws)
-                    docs, raws, size = [], [], 0
-            if docs:
-                yield encoded_batch(docs, raws)
+                    yield batch_of(docs, *machine.checked(texts))
+                    docs, texts, size = [], [], 0
+        if docs:
+            yield batch_of(docs, *machine.checked(texts))
 
-    return in_small_batches(documents).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ENCODED)
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(small(run), ENCODED)
 
 
 def decoded(rows: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, text`` for ``rows(doc_id, ids)``; null ids decode to an empty text."""
-    pieces = load_pieces(model_file)
+    machine_of, pieces = load_model(model_file)
 
     def run(parts):
-        machine = Transducer(pieces)
+        machine = machine_of(pieces)
         for batch in parts:
             texts = [machine.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, held_out, in_small_batches, mixed, stored
+from vigilog.llm.common import WordHash, byte_texts, held_out, small, mixed, stored
 
 FOLDS = 10
 FREQUENT = 1000
@@ -149,8 +149,8 @@ def encoded(documents: DataFrame, block: int = BLOCK) -> DataFrame:
         if each:
             yield row()
 
-    chosen = in_small_batches(documents).select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", FOLDS).alias("held"), "text")
-    return chosen.mapInArrow(run, ENCODED)
+    chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", FOLDS).alias("held"), "text")
+    return chosen.mapInArrow(small(run), ENCODED)
 
 
 def placed_words(blocks: DataFrame) -> DataFrame:

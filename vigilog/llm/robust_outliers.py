@@ -21,7 +21,8 @@ Every variance has a floor, as many statistics are equal for most texts of a gro
 symbols, no repeated lines) and the plain determinant would be zero.
 
 Groups with fewer than LEAST_ROWS rows are pooled: those of a language together, and what is
-still too small with all others; where even that is too small, rows pass.
+still too small with all others; where even that is too small, its rows are judged by the estimate over all rows of the
+table, whatever their number, so every row that passes the base rule has a distance.
 
 Defined cases: null text has no words and fails the base rule; null language or source is a value
 of its own; repeated rows count as often as they come; null ids are kept; other columns are not read.
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import SPACES, byte_texts, in_small_batches, stored
+from vigilog.llm.common import SPACES, byte_texts, small, stored
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -56,6 +57,8 @@ STATISTICS = {
 P = len(STATISTICS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 FACTS = "doc_id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, " + ", ".join(f"x{i} int" for i in range(P))
+#: The group of all rows, for pools that are too small.
+EVERY = "every"
 ESTIMATE = "grp string, start int, n bigint, mu array<double>, inverse array<double>, logdet double"
 
 
@@ -113,7 +116,7 @@ def facts(documents: DataFrame) -> DataFrame:
             )
 
     chosen = documents.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("source").cast("string"), "text")
-    return in_small_batches(chosen).mapInArrow(run, FACTS)
+    return chosen.mapInArrow(small(run), FACTS)
 
 
 # ---------------------------------------------------------------- groups
@@ -124,12 +127,12 @@ def _key(*names: str) -> Column:
 
 
 def grouped(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """``rows`` with ``grp``: language and source, or a pool of small groups, or null."""
+    """``rows`` with ``grp``: language and source, or a pool of small groups, or EVERY where that is too small; null if no row of the pair is usable."""
     sizes = rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes.withColumn("pair", _key("lang", "source")).withColumn("one", _key("lang")), "sizes")
     small = sizes.filter(F.col("n") < least).groupBy("one").agg(F.sum("n").alias("small"))
     left = small.filter(F.col("small") < least).agg(F.sum("small")).first()[0] or 0
-    rest = F.when(F.lit(left >= least), F.lit("rest"))
+    rest = F.lit("rest" if left >= least else EVERY)
     chosen = sizes.join(small, "one", "left").select("pair", F.when(F.col("n") >= least, F.concat(F.lit("pair "), "pair"))
                                                      .when(F.col("small") >= least, F.concat(F.lit("language "), "one"))
                                                      .otherwise(rest).alias("grp"))
@@ -313,9 +316,12 @@ def covariance_estimates(vectors: DataFrame, share: float = SUBSET) -> DataFrame
 
 
 def outlier_report(documents: DataFrame, share: float = SUBSET, least: int = LEAST_ROWS) -> DataFrame:
-    """Base statistics, ``base_failed``, ``kept`` and ``distance`` (null without estimate) of each row."""
+    """Base statistics, ``base_failed``, ``kept`` and ``distance`` of each row; null only for rows that fail the base rule where none of their language and source passes."""
     rows = stored(grouped(stored(facts(documents), "facts"), least), "vectors")
-    vectors = rows.filter(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", *X)
+    usable = rows.filter(~F.col("base_failed") & F.col("grp").isNotNull())
+    vectors = usable.select("grp", *X).filter(F.col("grp") != EVERY)
+    if usable.filter(F.col("grp") == EVERY).limit(1).count():
+        vectors = vectors.unionAll(usable.select(F.lit(EVERY).alias("grp"), *X))
     estimates = covariance_estimates(vectors, share).select("grp", "mu", "inverse")
     judged = rows.join(estimates, "grp", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), distance()))
     fine = F.coalesce(F.col("distance") <= chi_square_quantile(REJECT, P), F.lit(True))

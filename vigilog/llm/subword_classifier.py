@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.llm import labelled
-from vigilog.llm.common import byte_texts, held_out, in_small_batches
+from vigilog.llm.common import byte_texts, held_out, small
 
 BUCKETS = 1 << 18
 SIZES = (3, 4)
@@ -147,13 +147,13 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> by
         got = [(r["rank"], r["label"], r["text"]) for batch in parts for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(fit(got)))], pa.binary())], names=["model"])
 
-    found = rows.select("rank", "label", "text").repartition(1).mapInArrow(run, "model binary").first()
+    found = rows.select("rank", "label", "text").repartition(1).mapInArrow(small(run), "model binary").first()
     return found["model"] if found else pickle.dumps(tuple(fit([])))  # an empty sample has no task
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_words, score`` for ``documents(doc_id, text)`` and ``labels(doc_id, quality)``."""
-    model = documents.sparkSession.sparkContext.broadcast(train(in_small_batches(documents), labels))
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(parts):
         trained = Embeddings(*pickle.loads(model.value))
@@ -164,7 +164,7 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(value, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "score"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCORES)
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(small(run), SCORES)
 
 
 def quality_report(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, in_small_batches, mixed, stored
+from vigilog.llm.common import WordHash, byte_texts, small, mixed, stored
 
 WINDOW = 50
 ANCHOR = 8
@@ -150,7 +150,7 @@ def _identified(documents: DataFrame) -> DataFrame:
     """``doc_id, id, whole, text``: an id for every row, and a hash of the whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.col("doc_id").cast("bigint")
-    return in_small_batches(documents).select(
+    return documents.select(
         doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("whole"), text.alias("text")
     )
 
@@ -171,7 +171,7 @@ def anchored(texts: DataFrame) -> DataFrame:
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in zip(flat, (pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("whole"), *arrays], names=["id", "whole", "anchors", "windows"])
 
-    return texts.select("id", "whole", "text").mapInArrow(run, FOUND)
+    return texts.select("id", "whole", "text").mapInArrow(small(run), FOUND)
 
 
 def stretch_table(texts: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def stretch_table(texts: DataFrame) -> DataFrame:
                 for a, begin, end in zip(anchor[begins[keep]].tolist(), begins[keep].tolist(), ends[keep].tolist()):
                     yield a, doc, whole, begin, hashes[begin:end + WINDOW - 1].tobytes()
 
-    return texts.select("id", "whole", "text", "live").mapInArrow(lambda parts: _batches(rows(parts), STRETCH, 2000), STRETCH)
+    return texts.select("id", "whole", "text", "live").mapInArrow(small(lambda parts: _batches(rows(parts), STRETCH, 2000)), STRETCH)
 
 
 def suffix_table(texts: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def suffix_table(texts: DataFrame) -> DataFrame:
                 for at in np.flatnonzero(np.isin(anchor, crowded.values.to_numpy())).tolist():
                     yield int(anchor[at]), int(run[at]), doc, whole, at
 
-    return texts.select("id", "whole", "text", "crowded").mapInArrow(lambda parts: _batches(rows(parts), SUFFIX, 20_000), SUFFIX)
+    return texts.select("id", "whole", "text", "crowded").mapInArrow(small(lambda parts: _batches(rows(parts), SUFFIX, 20_000)), SUFFIX)
 
 
 def marked_in_subtrees(stretches: DataFrame) -> DataFrame:
@@ -277,4 +277,4 @@ def cut_texts(documents: DataFrame, group: int = GROUP) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return joined.select("doc_id", "text", "copy", "ranges").mapInArrow(run, RESULT)
+    return joined.select("doc_id", "text", "copy", "ranges").mapInArrow(small(run), RESULT)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import byte_texts, in_small_batches, shared_path, stored
+from vigilog.llm.common import byte_texts, small, shared_path, stored
 
 CHUNK = 1 << 20
 ROTATE = 64 << 20
@@ -101,8 +101,8 @@ def chunk_table(records: DataFrame, chunk: int = CHUNK, data: bool = True) -> Da
 
         yield from batches(rows(), schema, lambda r: len(r[4] or b""))
 
-    plain = in_small_batches(records).select(F.col("record_id").cast("bigint"), F.col("target").cast("string"), F.col("payload").cast("string"))
-    return plain.mapInArrow(run, CHUNK_ROWS)
+    plain = records.select(F.col("record_id").cast("bigint"), F.col("target").cast("string"), F.col("payload").cast("string"))
+    return plain.mapInArrow(small(run), CHUNK_ROWS)
 
 
 def duplicates(records: DataFrame) -> DataFrame:

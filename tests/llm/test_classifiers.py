@@ -64,7 +64,7 @@ def test_without_labels_of_both_classes(spark, docs, report, label, score):
 
 
 def test_sample_is_bounded_and_never_held_out(spark, docs):
-    frame = docs([(i, f"t {i}") for i in range(300)] + [(5, "again"), (6, "z" * (labelled.MOST_CHARS + 1)), (None, "n")])
+    frame = docs([(i, f"t {i}") for i in range(300)] + [(5, "again"), (6, "z" * 300_000), (None, "n")])
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, 0), (8, None), (None, 1)], "doc_id bigint, y int")
     rows = labelled.sample(frame, labels, "y", {0: 40, 1: 30}).collect()
     assert [sum(r["label"] == y for r in rows) for y in (0, 1)] == [40, 30]
@@ -102,3 +102,48 @@ def test_word_shares_add_up_to_the_average():
     ids = [i for w in words for i in sc.features(w)] + [sc.zlib.crc32(sc.AGAIN) % sc.BUCKETS]
     expected = 1 / (1 + math.exp(-(rows[ids].mean() + 0.3)))
     assert math.isclose(sc.score(model, sc.WordShares(rows), b" ".join(words))[1], expected, rel_tol=1e-9)
+
+
+def test_long_texts_reach_the_trainer_in_pieces(spark, prose):
+    texts = {1: " ".join(prose(3000, 1)), 2: "", 3: "x" * 250, 4: "a b\n" * 90, 5: "é " * 100}
+    rows = spark.createDataFrame([(i, 100 - i, i % 2, t) for i, t in texts.items()], "doc_id bigint, rank bigint, label int, text string")
+    found = labelled.in_pieces(rows, 60).collect()
+    assert [r["rank"] for r in found] == sorted(r["rank"] for r in found)
+    for i, text in texts.items():
+        own = [r["text"] for r in found if r["doc_id"] == i]
+        assert "".join(own) == text and all(len(p) <= 60 for p in own)
+        if i != 3:  # no word is cut
+            assert [w for p in own for w in p.split()] == text.split()
+    known = {}
+    assert sc.counted([b"a b b", b"b c"], known) == sc.counted([b"a b b b c"], known)
+
+
+def test_gradients_equal_differences():
+    r = np.random.default_rng(2)
+    rows, weights, layer, shift = r.normal(size=(5, 3)), r.random(5), r.normal(size=(2, 3)), r.normal(size=2)
+
+    def value():
+        z = layer @ (weights @ rows) + shift
+        return z[1] - np.log(np.exp(z).sum())
+
+    for array, found in zip((layer, shift, rows), sc.gradients(rows, weights, layer, shift, 1)):
+        for place in np.ndindex(array.shape):
+            array[place] += 1e-6
+            high = value()
+            array[place] -= 2e-6
+            low = value()
+            array[place] += 1e-6
+            assert abs((high - low) / 2e-6 - found[place]) < 1e-6
+
+
+def test_training_tells_two_kinds_apart():
+    model = sc.fit([(k, k % 2, {3: 2, 5: 1} if k % 2 else {5: 3}) for k in range(80)] + [(99, 1, {})])
+    value = lambda counts: sum(model.rows[i] * n for i, n in counts.items()) / sum(counts.values()) + model.shift
+    assert value({3: 2, 5: 1}) > 0 > value({5: 3})
+
+
+def test_no_session_setting_is_changed(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    kn.toxicity_report(docs([(1, "a b")]), spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")).collect()
+    assert spark.conf.get(name) == before

@@ -1,6 +1,11 @@
+import re
+
 import corpus_pipeline as pipeline
 import pytest
 from helpers_llm import SMALL, docs  # noqa: F401
+from test_blob_ledger import PATTERNS
+from test_containment import brute as contained
+from test_hamming_join import brute as components_of
 
 
 def test_stages(spark):
@@ -30,3 +35,43 @@ def test_edges_of_each_stage(spark, docs, k):
         assert after.columns == frame.columns
     none = frame.limit(0)
     assert pipeline.STAGES[k][1](spark, none, SMALL).collect() == []
+
+
+def test_stages_equal_plain_python(spark):
+    """What is left of near copies and benchmark passages, and the redacted texts, worked out pair by pair."""
+    frame = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
+    texts = dict(rows)
+    kept = {doc for doc, _, _, own in components_of(rows, 5) if own}
+    assert {r["doc_id"] for r in pipeline.near_duplicates(spark, frame, SMALL).collect()} == kept
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    hit = {doc for doc, *_ in contained(rows, items)}
+    assert {r["doc_id"] for r in pipeline.decontamination(spark, frame, SMALL).collect()} == set(texts) - hit and hit
+    changed = 0
+    for r in pipeline.secrets(spark, frame, SMALL).collect():
+        spans = []
+        for kind, pattern in PATTERNS.items():
+            for m in re.finditer(pattern, texts[r["doc_id"]] or "", re.IGNORECASE | re.ASCII if kind == "assign" else re.ASCII):
+                size = len(m.group(2)) if kind == "assign" else m.end() - m.start()
+                if size >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                    spans.append((m.start(), m.end()))
+        out, upto = "", 0
+        for start, end in sorted(spans):
+            if start >= upto:
+                out += texts[r["doc_id"]][upto:start] + "[SECRET]"
+            upto = max(upto, end)
+        expected = out + (texts[r["doc_id"]] or "")[upto:] if spans else texts[r["doc_id"]]
+        assert r["text"] == expected
+        changed += bool(spans)
+    assert changed
+
+
+@pytest.mark.parametrize("k", range(len(pipeline.STAGES)))
+def test_columns_named_like_those_of_the_stages(spark, k):
+    rows = [(1, "token=abcdefgh is here", "en", "s", "a", "b", "c", "d", "e", 22), (2, None, "en", "s", "a", "b", "c", "d", "e", 0)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, _copy string, _BLOB string, _spans string, _new string, _hit string, n_chars int")
+    after = pipeline.STAGES[k][1](spark, frame, SMALL).collect()
+    assert len(after) == 2
+    if k < 4:
+        first = next(r for r in after if r["doc_id"] == 1)
+        assert (first["_copy"], first["_BLOB"], first["_spans"], first["_new"], first["_hit"]) == ("a", "b", "c", "d", "e")

@@ -76,3 +76,34 @@ def test_a_record_is_a_gzip_member():
     assert [r[0] for r in found if r[8]] == [0, 1, 2]
     with pytest.raises(EOFError):
         list(wc.parsed(io.BytesIO(packed[:-20]), 1000, True))
+
+
+def test_a_large_payload_is_held_by_the_chunk(spark):
+    """Digests over 60 MB in chunks of 1 MB take a few chunks of memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def stream():
+        data = bytes(1 << 20)
+        for k in range(60):
+            yield pa.RecordBatch.from_arrays([pa.array([7]), pa.array([1]), pa.array(["u"]), pa.array([k], pa.int32()), pa.array([data], pa.binary()), pa.array([k == 59])],
+                                             names=["key", "record_id", "target", "chunk_no", "data", "last"])
+
+    tracemalloc.start()
+    rows = 0
+    for _ in wc.digested(stream()):
+        rows += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 60 and peak < 8 << 20
+
+
+def test_no_payload_is_shuffled(spark):
+    frame = spark.createDataFrame([(i, "u", "same" if i % 2 else str(i)) for i in range(50)], "record_id bigint, target string, payload string").repartition(3)
+    path, table = wc.chunk_table(frame, 3)
+    decided = shared_path(spark, "decided")
+    wc.decisions(table, decided)
+    found = spark.read.parquet(decided)
+    assert found.count() == 50 and found.filter("refers_to = 49").count() == 24
+    assert table.filter("last").count() == 50 and table.count() > 50

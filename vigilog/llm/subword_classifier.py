@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -93,18 +94,12 @@ def score(model: Embeddings, shares: WordShares, text: bytes) -> tuple[int, floa
     return len(words), float(1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(rows: list[tuple[int, int, str]], seed: int = 4) -> Embeddings:
-    """Vectors and layer from (rank, label, text) rows, in the order of their ranks."""
-    rows = sorted(rows)
-    share = {label: sum(1 for r in rows if r[1] == label) for label in (0, 1)}
-    if not share[0] or not share[1]:
-        return Embeddings(None, 0.0)
-    random = np.random.default_rng(seed)
-    known: dict[bytes, list[int]] = {}
-    docs = []
-    for _, label, text in rows:
-        words = text.encode().split()
-        counts: dict[int, int] = {}
+def counted(pieces: Iterable[bytes], known: dict[bytes, list[int]]) -> dict[int, int]:
+    """How often a text, given in pieces, has each feature; ``known`` keeps the features of words."""
+    counts: dict[int, int] = {}
+    last: list[bytes] = []
+    for piece in pieces:
+        words = piece.split()
         for w in words:
             ids = known.get(w)
             if ids is None:
@@ -113,8 +108,32 @@ def fit(rows: list[tuple[int, int, str]], seed: int = 4) -> Embeddings:
                 ids = known[w] = features(w)
             for i in ids:
                 counts[i] = counts.get(i, 0) + 1
-        if again := repetitions(words):
-            counts[zlib.crc32(AGAIN) % BUCKETS] = again
+        if again := repetitions(last + words):
+            mark = zlib.crc32(AGAIN) % BUCKETS
+            counts[mark] = counts.get(mark, 0) + again
+        last = words[-1:] or last
+    return counts
+
+
+def gradients(rows: np.ndarray, weights: np.ndarray, layer: np.ndarray, shift: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the label's log-probability, by the layer, its shift and the rows of a text's features."""
+    mean = weights @ rows
+    z = layer @ mean + shift
+    p = np.exp(z - z.max())
+    error = -p / p.sum()
+    error[label] += 1
+    return np.outer(error, mean), error, weights[:, None] * (layer.T @ error)
+
+
+def fit(rows: list[tuple[int, int, dict[int, int]]], seed: int = 4) -> Embeddings:
+    """Vectors and layer from (rank, label, counts of features) rows, in the order of their ranks."""
+    rows = sorted(rows, key=lambda r: r[:2])
+    share = {label: sum(1 for r in rows if r[1] == label) for label in (0, 1)}
+    if not share[0] or not share[1]:
+        return Embeddings(None, 0.0)
+    random = np.random.default_rng(seed)
+    docs = []
+    for _, label, counts in rows:
         n = max(1, sum(counts.values()))
         docs.append((label, np.fromiter(counts, np.int32, len(counts)), (np.fromiter(counts.values(), np.float32, len(counts)) / n)))
     vectors = ((random.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM)
@@ -125,16 +144,10 @@ def fit(rows: list[tuple[int, int, str]], seed: int = 4) -> Embeddings:
             label, ids, weights = docs[d]
             rate = RATE * (1 - done / steps)
             done += 1
-            mean = weights @ vectors[ids] if len(ids) else np.zeros(DIM, np.float32)
-            z = layer @ mean + shift
-            p = np.exp(z - z.max())
-            error = -p / p.sum()
-            error[label] += 1
-            back = layer.T @ error
-            layer += rate * np.outer(error, mean)
-            shift += 0.1 * rate * error
-            if len(ids):
-                vectors[ids] += rate * weights[:, None] * back
+            to_layer, to_shift, to_rows = gradients(vectors[ids], weights, layer, shift, label)
+            layer += rate * to_layer
+            shift += 0.1 * rate * to_shift
+            vectors[ids] += rate * to_rows
     direction = layer[1] - layer[0]
     return Embeddings((vectors @ direction).astype(np.float32), float(shift[1] - shift[0]))
 
@@ -144,10 +157,11 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> by
     rows = labelled.sample(documents, labels, label, SAMPLE)
 
     def run(parts):
-        got = [(r["rank"], r["label"], r["text"]) for batch in parts for r in batch.to_pylist()]
+        known: dict[bytes, list[int]] = {}
+        got = [(rank, label, counted(pieces, known)) for rank, label, pieces in labelled.documents_of(parts)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(fit(got)))], pa.binary())], names=["model"])
 
-    found = rows.select("rank", "label", "text").repartition(1).mapInArrow(small(run), "model binary").first()
+    found = labelled.in_pieces(rows).mapInArrow(small(run), "model binary").first()
     return found["model"] if found else pickle.dumps(tuple(fit([])))  # an empty sample has no task
 
 

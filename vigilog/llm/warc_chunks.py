@@ -1,14 +1,12 @@
 """WARC archives by way of a table of chunks.
 
-A payload is never read back or parsed as one piece, though the writer takes it whole, in
-batches of rows, before it cuts it: it becomes rows of record key and
-chunk number, each with at most ``CHUNK`` bytes, the bytes so far and the SHA-1 of the
-payload up to there, so that the last chunk carries the digest of the whole. Writers
-stream such rows into gzipped WARC/1.1 files (a member for each record), readers
-stream the files back into such rows.
+Spark cuts every payload into rows of record key and chunk number, each with at most ``CHUNK`` bytes. A
+pass over these rows adds the bytes so far and the SHA-1 of the payload up to there, so that the last chunk carries
+the digest of the whole, and they are stored: the chunk table. Writers stream it into gzipped WARC/1.1 files (a member for
+each record), readers stream the files back into such rows. Python holds a few chunks at a time, never a payload.
 
 Equal payloads are stored once: the record with the largest id is the response, the
-others are revisits that name it.
+others are revisits that name it. That is decided on digests and ids alone; no payload is shuffled.
 
 Files are written through ``pyarrow.fs`` to the shared folder, under names of their own
 for every attempt of a task; a stored manifest lists only those of attempts that
@@ -29,18 +27,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import TaskContext
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import byte_texts, small, shared_path, stored
+from vigilog.llm.common import shared_path, stored
 
 CHUNK = 1 << 20
 ROTATE = 64 << 20
 BATCH_BYTES = 8 << 20
 LEVEL = 2
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
-CHUNK_ROWS = "key bigint, record_id bigint, target string, chunk_no int, data binary, upto bigint, digest string, last boolean, whole_digest string, whole_bytes bigint"
+#: Chunk rows that a writer reads at once.
+READ_AT_ONCE = 32
+CHUNK_ROWS = "key bigint, record_id bigint, target string, chunk_no int, data binary, upto bigint, digest string, last boolean"
 MANIFEST = "file string, records bigint, bytes bigint"
 READ_ROWS = "record_id bigint, target string, record_type string, refers_to bigint, chunk_no int, data binary, upto bigint, digest string, last boolean, stated_digest string, stated_bytes bigint"
 
@@ -49,15 +49,6 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def pieces(payload: bytes, chunk: int) -> Iterator[tuple[int, memoryview, int, str, bool]]:
-    """Number, bytes, bytes so far, digest so far, whether last; an empty payload is one empty chunk."""
-    view, sha = memoryview(payload), hashlib.sha1()
-    for number, at in enumerate(range(0, max(len(view), 1), chunk)):
-        part = view[at:at + chunk]
-        sha.update(part)
-        yield number, part, at + len(part), base32(sha.digest()), at + chunk >= len(view)
-
-
 def batches(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:
     """Rows in Arrow batches of at most about BATCH_BYTES, measured by ``size(row)``."""
     held, total = [], 0
@@ -78,38 +69,50 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _KINDS[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def chunk_table(records: DataFrame, chunk: int = CHUNK, data: bool = True) -> DataFrame:
-    """The chunk rows of ``records(record_id, target, payload)``; ``key`` tells the input's rows apart.
-
-    Without ``data`` only each record's last chunk is given, and no bytes.
-    """
+def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``key, record_id, target, chunk_no, data, last``: payloads cut by Spark, chunk after chunk; ``key`` tells the input's rows apart."""
+    payload = F.coalesce(F.col("payload").cast("string"), F.lit("")).cast("binary")
+    plain = records.select(
+        F.monotonically_increasing_id().alias("key"), F.col("record_id").cast("bigint").alias("record_id"), F.col("target").cast("string").alias("target"), payload.alias("payload"))
+    count = F.greatest(F.ceil(F.octet_length("payload") / chunk), F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)))
+    cut = plain.select("key", "record_id", "target", count.alias("count"), F.posexplode(parts).alias("chunk_no", "data"))
+    return cut.select("key", "record_id", "target", "chunk_no", "data", (F.col("chunk_no") == F.col("count") - 1).alias("last"))
+
+
+def digested(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """CHUNK_ROWS of chunk rows in order: the bytes and the digest so far, one chunk at a time."""
+    sha, upto = hashlib.sha1(), 0
+    for batch in parts:
+        columns = [batch.column(c) for c in ("key", "record_id", "target", "chunk_no", "data", "last")]
+        for i in range(batch.num_rows):
+            key, record_id, target, number, data, last = (c[i].as_py() for c in columns)
+            if number == 0:
+                sha, upto = hashlib.sha1(), 0
+            sha.update(data)
+            upto += len(data)
+            yield key, record_id, target, number, data, upto, base32(sha.digest()), last
+
+
+def chunk_table(records: DataFrame, chunk: int = CHUNK) -> tuple[str, DataFrame]:
+    """The stored chunk rows of ``records(record_id, target, payload)`` with running digests: their folder, and the table."""
     schema = arrow_schema(CHUNK_ROWS)
+    path = shared_path(records.sparkSession, "chunks")
+    rows = chunk_rows(records, chunk).mapInArrow(lambda parts: batches(digested(parts), schema, lambda r: len(r[4])), CHUNK_ROWS)
+    return path, stored(rows, "chunks", path)
 
-    def run(parts):
-        first = TaskContext.get().partitionId() << 40
-
-        def rows():
-            n = 0
-            for batch in parts:
-                ids, targets = batch.column("record_id").to_pylist(), batch.column("target").to_pylist()
-                for record_id, target, payload in zip(ids, targets, byte_texts(batch.column("payload"))):
-                    whole = base32(hashlib.sha1(payload).digest())
-                    for number, part, upto, digest, last in pieces(payload, chunk):
-                        if data or last:
-                            yield first + n, record_id, target, number, bytes(part) if data else None, upto, digest, last, whole, len(payload)
-                    n += 1
-
-        yield from batches(rows(), schema, lambda r: len(r[4] or b""))
 
-    plain = records.select(F.col("record_id").cast("bigint"), F.col("target").cast("string"), F.col("payload").cast("string"))
-    return plain.mapInArrow(small(run), CHUNK_ROWS)
+def decisions(chunks: DataFrame, path: str, least: int = 0) -> None:
+    """Writes ``key, digest, bytes, refers_to`` of every record below ``path``, a folder for each task that cut the records.
 
-
-def duplicates(records: DataFrame) -> DataFrame:
-    """``whole_digest, whole_bytes, keeper``: payloads that several rows have, and the largest id of each."""
-    last = chunk_table(records, data=False)
-    groups = last.groupBy("whole_digest", "whole_bytes").agg(F.max("record_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    return groups.filter("n > 1 AND keeper IS NOT NULL").drop("n")
+    Of payloads that several rows have, all but that of the largest id are revisits of it. Only digests and ids are shuffled.
+    """
+    whole = chunks.filter("last").select("key", "record_id", "digest", F.col("upto").alias("bytes"))
+    groups = whole.groupBy("digest", "bytes").agg(F.max("record_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    groups = groups.filter((F.col("n") > 1) & F.col("keeper").isNotNull() & (F.col("bytes") >= least)).drop("n")
+    other = F.col("keeper").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("keeper"))
+    found = whole.join(groups, ["digest", "bytes"], "left").select("key", "digest", "bytes", F.when(other, F.col("keeper")).alias("refers_to"), F.shiftright("key", 33).alias("part"))
+    found.repartition("part").write.partitionBy("part").parquet(path, compression="zstd")
 
 
 def header(record_id, target, kind, refers_to, digest: str, size: int) -> tuple[bytes, int]:
@@ -130,26 +133,34 @@ def header(record_id, target, kind, refers_to, digest: str, size: int) -> tuple[
     return ("\r\n".join(lines) + "\r\n\r\n" + http).encode(), length
 
 
+def _tables(path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    system, base = pyarrow.fs.FileSystem.from_uri(path)
+    for name in names:
+        yield from pq.ParquetFile(system.open_input_file(f"{base}/{name}")).iter_batches(READ_AT_ONCE)
+
+
+def _file_names(path: str) -> list[str]:
+    system, base = pyarrow.fs.FileSystem.from_uri(path)
+    found = system.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.base_name.endswith(".parquet"))
+
+
 def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK, rotate: int = ROTATE, least: int = 0) -> DataFrame:
     """Writes ``records(record_id, target, payload)`` below ``folder``; the stored manifest of the files.
 
-    Payloads under ``least`` bytes are never revisits.
+    Payloads under ``least`` bytes are never revisits. A task writes the records of one or more chunk files, which it reads chunk by chunk.
     """
-    keepers = duplicates(records).filter(F.col("whole_bytes") >= least)
-    rows = chunk_table(records, chunk).join(keepers, ["whole_digest", "whole_bytes"], "left")
-    other = F.col("keeper").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("keeper"))
-    rows = rows.withColumn("refers_to", F.when(other, F.col("keeper"))).filter(~other | (F.col("chunk_no") == 0))
-    ordered = rows.select(
-        "key", "chunk_no", "record_id", "target", "refers_to", "whole_digest", "whole_bytes", "last",
-        F.when(~other, F.col("data")).alias("data"), other.alias("revisit"),
-    ).sortWithinPartitions("key", "chunk_no")
+    spark = records.sparkSession
+    chunks, table = chunk_table(records, chunk)
+    decided = shared_path(spark, "decisions")
+    decisions(table, decided, least)
 
     def run(parts):
         out = path = None
         records_in = size = 0
         made = []
         system, base = pyarrow.fs.FileSystem.from_uri(folder)
-        packer = None
+        packer, known, part = None, {}, None
 
         def close():
             nonlocal out
@@ -159,28 +170,41 @@ def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK, rotate:
                 out = None
 
         for batch in parts:
-            for row in batch.to_pylist():
-                if row["chunk_no"] == 0:
-                    if out is None or size >= rotate:
-                        close()
-                        path, records_in, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
-                        out = system.open_output_stream(f"{base}/{path}", compression=None)
-                    kind = "revisit" if row["revisit"] else "response"
-                    head, _ = header(row["record_id"], row["target"], kind, row["refers_to"], row["whole_digest"], row["whole_bytes"])
-                    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    size += out.write(packer.compress(head))
-                    records_in += 1
-                if row["data"]:
-                    size += out.write(packer.compress(row["data"]))
-                if row["last"] or row["revisit"]:
-                    size += out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+            for names in batch.column("files").to_pylist():
+                for rows in _tables(chunks, names):
+                    columns = [rows.column(c) for c in ("key", "record_id", "target", "chunk_no", "data", "last")]
+                    for i in range(rows.num_rows):
+                        key, number = columns[0][i].as_py(), columns[3][i].as_py()
+                        if number == 0:
+                            if key >> 33 != part:
+                                part = key >> 33
+                                own = f"{decided}/part={part}"
+                                known = {k: v for t in _tables(own, _file_names(own)) for k, *v in zip(*(t.column(c).to_pylist() for c in ("key", "digest", "bytes", "refers_to")))}
+                            if out is None or size >= rotate:
+                                close()
+                                path, records_in, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
+                                out = system.open_output_stream(f"{base}/{path}", compression=None)
+                            digest, total, refers_to = known[key]
+                            kind = "response" if refers_to is None else "revisit"
+                            head, _ = header(columns[1][i].as_py(), columns[2][i].as_py(), kind, refers_to, digest, total)
+                            packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                            size += out.write(packer.compress(head))
+                            records_in += 1
+                        if refers_to is None:
+                            size += out.write(packer.compress(columns[4][i].as_buffer()))
+                        if columns[5][i].as_py():
+                            size += out.write(packer.compress(b"\r\n\r\n") + packer.flush())
         close()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names=["file", "records", "bytes"])
 
     system, base = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
-    return stored(ordered.mapInArrow(run, MANIFEST), "manifest")
+    by_task: dict[str, list[str]] = {}
+    for name in _file_names(chunks):  # files of one task belong together, in order
+        by_task.setdefault("-".join(name.split("-")[:2]), []).append(name)
+    units = spark.createDataFrame([(names,) for names in by_task.values()], "files array<string>")
+    return stored(units.repartition(max(1, len(by_task))).mapInArrow(run, MANIFEST), "manifest")
 
 
 class Inflated:

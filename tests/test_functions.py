@@ -204,3 +204,29 @@ def test_tfidf_of_two_texts(spark):
     found = {r["k"]: r["lexical"] for r in similarity.tfidf_similarity(pairs, "a", "b").collect()}
     weight = 1 + __import__("math").log(1.5)
     assert found[1] == pytest.approx(1) and found[2] == 0 and found[3] == pytest.approx(1 / (1 + weight * weight))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcé", max_size=30), st.text(alphabet="abcé", max_size=30), st.floats(0, 1))
+def test_ratio_with_a_threshold(a, b, least):
+    total = len(a) + len(b)
+    expected = 2 * longest_common(a, b) / total if total else 1.0
+    assert similarity.ratio(a, b) == expected
+    assert similarity.ratio_at_least(a, b, least) == (expected if expected >= least else None)
+
+
+def test_ratio_of_long_texts():
+    """100,000 characters: linear where the ends agree, and left early where nothing can come of it."""
+    import random
+    import time
+
+    r = random.Random(1)
+    a = "".join(r.choice("abcdefghij ") for _ in range(100_000))
+    b = a[:60_000] + "xyz" * 40 + a[60_050:]
+    start = time.time()
+    assert similarity.common_subsequence(a, b) == 99_950
+    c = "".join(r.choice("klmnopqrstuv") for _ in range(100_000))
+    assert similarity.ratio_at_least(a, c, 0.5) is None
+    d = "".join(r.choice("abcdefghij ") for _ in range(100_000))
+    assert similarity.ratio_at_least(a, d, 0.95) is None
+    assert time.time() - start < 10

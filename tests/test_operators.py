@@ -144,9 +144,9 @@ def test_prototype_phrases_and_options():
     phrases = scoring.prototype_phrases()
     assert phrases["successful_login"][0] == "user authenticated" and phrases["non_login"][-1] == "user running"
     assert all(len(p) == 7 for p in phrases.values())
-    merged = scoring.scoring_options({"thresholds": {"classification": 0.9}}, {"max_length": 5})
+    merged = scoring.scoring_options({"thresholds": {"classification": 0.9}}, {"phrases_per_category": 5})
     assert merged["thresholds"]["classification"] == 0.9 and merged["thresholds"]["login_detection"] == 0.15
-    assert merged["max_length"] == 5 and fixed.SCORING_OPTIONS["max_length"] == 128
+    assert merged["phrases_per_category"] == 5 and fixed.SCORING_OPTIONS["phrases_per_category"] == 7
 
 
 @pytest.mark.parametrize(

@@ -59,8 +59,6 @@ CAPITAL_AFTER_LETTER = r"(?<=[a-zA-Z])(?=[A-Z])"
 
 SCORING_OPTIONS = {
     "class_names": ["Non-login event", "Failed login", "Successful login"],
-    "embedding_dim": 768,
-    "max_length": 128,
     "thresholds": {
         "login_detection": 0.15,
         "classification": 0.3,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,19 +95,57 @@ def tfidf_similarity(pairs: DataFrame, first: str, second: str, out: str = "lexi
     return summed.withColumn(out, cosine).drop("_w", "_at", "_groups", "_weights", "_dot", "_n1", "_n2")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word per 64 positions."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+#: Characters after which a comparison with a threshold looks whether it can still be met.
+LOOK_AFTER = 256
+
+
+def _common_ends(a: str, b: str) -> tuple[int, int]:
+    """Lengths of the common beginning and of the common end behind it; some longest common subsequence holds both."""
+    n = min(len(a), len(b))
+    low, high = 0, n
+    while low < high:  # slices compare at machine speed
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    begin, left = low, n - low
+    low, high = 0, left
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[len(a) - middle:len(a) - low] == b[len(b) - middle:len(b) - low] else (low, middle - 1)
+    return begin, low
+
+
+def _places(text: str, wanted: set[str]) -> dict[str, int]:
+    """For every wanted character of the text the bits of its places, 64 to a machine word; made a byte at a time, so in linear time."""
+    bits: dict[str, bytearray] = {}
+    size = len(text) // 8 + 1
+    for ch in wanted.intersection(text):
+        own = bits[ch] = bytearray(size)
+        at = text.find(ch)
+        while at >= 0:
+            own[at >> 3] |= 1 << (at & 7)
+            at = text.find(ch, at + 1)
+    return {ch: int.from_bytes(own, "little") for ch, own in bits.items()}
+
+
+def common_subsequence(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence; where it is under ``least``, any smaller length may come instead.
+
+    One pass over the shorter text, each step a few operations on a bit for every character of the longer one.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    begin, end = _common_ends(a, b)
+    done, a, b = begin + end, a[begin:len(a) - end], b[begin:len(b) - end]
+    if not b or done + sum((Counter(a) & Counter(b)).values()) < least:
+        return done
+    places, full = _places(a, set(b)), (1 << len(a)) - 1
     row = full
-    for ch in b:
+    for i, ch in enumerate(b):
         hit = row & places.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        if least and i % LOOK_AFTER == LOOK_AFTER - 1 and done + len(a) - row.bit_count() + len(b) - 1 - i < least:
+            break
+    return done + len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -112,6 +153,18 @@ def ratio(a: str, b: str) -> float:
     return 2.0 * common_subsequence(a, b) / total if total else 1.0
 
 
+def ratio_at_least(a: str, b: str, least: float) -> float | None:
+    """The ratio where it is ``least`` or more, else None; hopeless pairs are left early."""
+    total = len(a) + len(b)
+    if not total:
+        return 1.0 if least <= 1 else None
+    needed = math.ceil(least * total / 2 - 1e-9)
+    if min(len(a), len(b)) < needed:
+        return None
+    found = 2.0 * common_subsequence(a, b, needed) / total
+    return found if found >= least else None
+
+
 def string_ratio(a: Column, b: Column) -> Column:
     """``2 * LCS / (len1 + len2)``, 1 for two empty texts.
 
@@ -127,5 +180,19 @@ def string_ratio(a: Column, b: Column) -> Column:
     return ratios(a, b)
 
 
+def string_ratio_at_least(a: Column, b: Column, least: float) -> Column:
+    """``string_ratio`` where it is ``least`` or more, else null.
+
+    A pair is dropped by its lengths, by the characters it has in common, or as soon as the rest cannot make up for what is missing.
+    """
+
+    @F.arrow_udf("double")
+    def ratios(left: pa.Array, right: pa.Array) -> pa.Array:
+        pairs = zip(left.to_pylist(), right.to_pylist())
+        return pa.array([None if x is None or y is None else ratio_at_least(x, y, least) for x, y in pairs], pa.float64())
+
+    return ratios(a, b)
+
+
 def combined_similarity(semantic: Column, lexical: Column, string: Column) -> Column:
     return semantic * 0.5 + lexical * 0.3 + string * 0.2

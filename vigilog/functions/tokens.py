@@ -116,40 +116,25 @@ def bio_tags(text: Column, patterns: Sequence[tuple[str, str]] = tuple(fixed.TAG
 def entity_spans(tagged: Column) -> Column:
     """Array of (ord, type, value): each B- tag with the I- tags of its type that follow.
 
-    One pass over the row's tags; the tokens of a span are joined by blanks. An
-    I- tag of another type closes the span and opens none.
+    The tags from one B- to the next are cut out and end where a tag is no I- of the type; the tokens of a span are joined
+    by blanks. Nothing is carried from span to span, so the work is linear in the number of tags.
     """
-    empty = F.struct(
-        F.lit("").alias("type"),
-        F.array().cast("array<string>").alias("tokens"),
-        F.array().cast("array<struct<type:string,value:string>>").alias("done"),
-    )
-
-    def closed(acc: Column) -> Column:
-        span = F.struct(acc["type"].alias("type"), F.array_join(acc["tokens"], " ").alias("value"))
-        return F.when(acc["type"] != "", F.array_append(acc["done"], span)).otherwise(acc["done"])
-
-    def step(acc: Column, t: Column) -> Column:
-        kind = F.substring(t["tag"], F.lit(3), F.length(t["tag"]))
-        begins = t["tag"].startswith("B-")
-        continues = t["tag"].startswith("I-") & (acc["type"] == kind)
-        opened = F.struct(kind.alias("type"), F.array(t["token"]).alias("tokens"), closed(acc).alias("done"))
-        longer = F.struct(
-            acc["type"].alias("type"),
-            F.array_append(acc["tokens"], t["token"]).alias("tokens"),
-            acc["done"].alias("done"),
-        )
-        outside = F.struct(
-            F.lit("").alias("type"), F.array().cast("array<string>").alias("tokens"), closed(acc).alias("done")
-        )
-        idle = (t["tag"] == "O") & (acc["type"] == "")
-        return F.when(idle, acc).when(begins, opened).when(continues, longer).otherwise(outside)
-
-    spans = F.aggregate(tagged, empty, step, closed)
-    return F.transform(
-        spans,
-        lambda s, i: F.struct(i.cast("int").alias("ord"), s["type"].alias("type"), s["value"].alias("value")),
-    )
+    n = F.size(tagged)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: F.element_at(tagged, i)["tag"].startswith("B-"))
+    ends = F.concat(F.slice(begins, F.lit(2), F.greatest(n, F.lit(0))), F.array(n + 1))
+    bounds = F.filter(F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("begin"), e.alias("end"))), lambda x: x["begin"].isNotNull())
+
+    def span(bound: Column, i: Column) -> Column:
+        part = F.slice(tagged, bound["begin"], bound["end"] - bound["begin"])
+        first = F.element_at(tagged, bound["begin"])["tag"]
+        kind = F.substring(first, F.lit(3), F.length(first))
+        other = F.array_position(F.transform(part, lambda t, k: (k > 0) & (t["tag"] != F.concat(F.lit("I-"), kind))), F.lit(True)).cast("int")
+        kept = F.when(other == 0, part).otherwise(F.slice(part, F.lit(1), other - 1))
+        value = F.array_join(F.transform(kept, lambda t: t["token"]), " ")
+        return F.struct(i.cast("int").alias("ord"), kind.alias("type"), value.alias("value"))
+
+    return F.transform(bounds, span)
 
 
 def last_span_per_type(spans: Column) -> Column:

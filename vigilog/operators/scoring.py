@@ -312,14 +312,33 @@ def similarity_to_vectors(
     return df.mapInArrow(score, StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))]))
 
 
-def collected_prototypes(prototypes: DataFrame) -> tuple[list, list[list[float]]]:
-    """Prototype table (category, vec) as ordered lists.
+def similarity_to_table(df: DataFrame, column: str, prototypes: DataFrame, path: str, encoder: Encoder | None = None, out: str = "sims") -> DataFrame:
+    """Adds an array of ``(category, similarity)``, in the order of the categories, for ``prototypes(category, vec)``.
 
-    Categories are settings: the later expressions hold a term for each of them. A list that grows with the data is
-    an example bank, for ``nearest_example``.
+    The table is stored in the new folder ``path`` and read by the tasks, so neither the driver nor the plan holds the categories.
+    A task holds all of them, as every row gets a number for each.
     """
-    rows = prototypes.orderBy("category").collect()
-    return [r["category"] for r in rows], [list(r["vec"]) for r in rows]
+    kind = prototypes.schema["category"]
+    prototypes.select("category", F.col("vec").cast("array<double>").alias("vec")).write.parquet(path)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = pyarrow.fs.FileSystem.from_uri(path)
+        files = [f.path for f in system.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
+        table = pa.concat_tables(pq.ParquetFile(system.open_input_file(f)).read() for f in files).sort_by("category").combine_chunks()
+        categories, vectors = (table.column(n).combine_chunks() if table.num_rows else pa.array([], table.schema.field(n).type) for n in ("category", "vec"))
+        sizes = pc.list_value_length(vectors).drop_null().to_pylist()
+        matrix = _unit_rows(_vector_rows(vectors, max(sizes, default=0)))
+        for batch in batches:
+            found, rows = _batch_vectors(batch, column, encoder, matrix.shape[1])
+            similarity = _cosines(found, matrix)
+            similarity = similarity if rows is None else similarity[rows]
+            offsets = np.arange(0, similarity.size + 1, max(len(matrix), 1), dtype=np.int32) if len(matrix) else np.zeros(batch.num_rows + 1, np.int32)
+            names = categories.take(pa.array(np.tile(np.arange(len(matrix)), batch.num_rows)))
+            pairs = pa.StructArray.from_arrays([names, pa.array(similarity.ravel(), pa.float64())], names=["category", "similarity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=[*batch.schema.names, out])
+
+    pair = StructType([StructField("category", kind.dataType), StructField("similarity", DoubleType())])
+    return df.mapInArrow(score, StructType([*df.schema.fields, StructField(out, ArrayType(pair))]))
 
 
 def is_login(sims: Column, categories: Sequence[str], threshold: float) -> Column:

@@ -65,17 +65,36 @@ def class_quotas(rows: DataFrame, total: Column, factor: int = fixed.CORRECTION_
 def fill_quotas(pool: DataFrame, quotas: DataFrame, id_col: str, seed: int = SHUFFLE_SEED) -> DataFrame:
     """Pool rows picked in pseudo-random order up to their class's quota.
 
-    The order is that of a hash. Rows are counted by class and the first digits of the hash, 65,536 places, which gives
-    the place up to which a class's quota reaches; only rows up to there are put in order, and the pool is not shuffled.
-    The quota table has a row for each class, so it and the table of places are broadcast.
+    The order is that of a hash of the id. Rows are counted by class and the first digits of the hash, 65,536 places, which gives
+    the place in which a class's quota is reached; the rows of that place are put in order, which gives its last row. With these
+    three rows at hand (one for each class), picking is a filter, and the pool is neither shuffled nor sorted.
     """
-    limited = pool.join(F.broadcast(quotas.select("Label", "quota")), "Label")
-    placed = limited.withColumn("_place", F.substring(shuffle_key(id_col, seed), 1, 4))
-    counts = placed.groupBy("Label", "quota", "_place").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("Label").orderBy("_place")) - F.col("_n")
-    last = counts.withColumn("_before", before).filter("_before < quota").groupBy("Label").agg(F.max("_place").alias("_last"))
-    near = placed.join(F.broadcast(last), "Label").filter("_place <= _last").drop("_place", "_last")
-    return sample_per_group(near, "Label", id_col, F.col("quota"), seed).drop("quota")
+    wanted = {r["Label"]: r["quota"] for r in quotas.select("Label", "quota").collect()}
+    key, label = shuffle_key(id_col, seed), F.col("Label")
+    place = F.substring(key, 1, 4)
+    counts = pool.filter(label.isin(list(wanted))).groupBy("Label", place.alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("Label").orderBy("_place")))
+    reached = F.lit(False)
+    for c, quota in wanted.items():
+        reached = reached | ((label == c) & (F.col("_upto") >= quota))
+    found = upto.filter(reached).groupBy("Label").agg(F.min(F.struct("_place", "_n", "_upto")).alias("_last")).select("Label", "_last.*").collect()
+    near, left = F.lit(False), F.lit(0)
+    for r in found:
+        near = near | ((label == r["Label"]) & (place == r["_place"]))
+        left = F.when(label == r["Label"], wanted[r["Label"]] - (r["_upto"] - r["_n"])).otherwise(left)
+    in_place = pool.filter(near).select("Label", key.alias("_key"), F.col(id_col).alias("_id"))
+    ranked = in_place.withColumn("_rank", F.row_number().over(Window.partitionBy("Label").orderBy("_key", "_id")))
+    last = {r["Label"]: r for r in ranked.filter(F.col("_rank") == left).collect()} if found else {}
+    whole = [c for c, quota in wanted.items() if quota > 0 and c not in last]  # fewer rows than the quota
+    picked = label.isin(whole) if whole else F.lit(False)
+    for c, r in last.items():
+        picked = picked | ((label == c) & ((key < r["_key"]) | ((key == r["_key"]) & (F.col(id_col) <= r["_id"]))))
+    rows = pool.filter(picked)
+    # Rows that share the last id would all pass: then, and only then, they are numbered.
+    tied = rows.filter(F.col(id_col).isin([r["_id"] for r in last.values()])).groupBy("Label", id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1") if last else None
+    if tied is None or tied.isEmpty():
+        return rows
+    return sample_per_group(rows.join(F.broadcast(quotas.select("Label", "quota")), "Label"), "Label", id_col, F.col("quota"), seed).drop("quota")
 
 
 def enhanced_dataset(

@@ -71,6 +71,11 @@ oracle("normalize_documents", f"SELECT doc_id, {normalize('text')} AS normalized
 oracle("preprocess_text", AUTH_LINES, f"SELECT line_id, {preprocess('line')} AS normalized_log FROM auth_lines")
 FIELDS = ", ".join(f"{first_match('line', p, 0)} AS {n}" for n, p in fixed.LINE_FIELDS.items())
 oracle("log_fields", AUTH_LINES, f"SELECT line_id, {FIELDS} FROM auth_lines")
+for name, key, column, rows in (("document_log_fields", "doc_id", "text", "documents"), ("page_log_fields", "page_id", "html", "pages")):
+    oracle(name, f"SELECT {key}, {', '.join(f'{first_match(column, p, 0)} AS {n}' for n, p in fixed.LINE_FIELDS.items())} FROM {rows}")
+oracle("page_rule_labels", f"""
+  SELECT line_id, {rule_case('line', fixed.SSH_RULES, 'Other')} AS ssh_label, {rule_case('line', fixed.LINUX_RULES, 'Other')} AS linux_label
+  FROM (SELECT page_id AS line_id, html AS line FROM pages UNION ALL SELECT -doc_id - 1, text FROM documents)""")
 oracle("search_filter", """
   SELECT doc_id, source, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview
   FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e|copyright')""")
@@ -124,6 +129,12 @@ oracle("entity_top10", AUTH_LINES, entity_table("auth_lines"), """
     SELECT type, entity, count(*) AS events,
       row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, min({'l': line_id, 'o': ord}))::INTEGER AS rank
     FROM entities GROUP BY type, entity) WHERE rank <= 10""")
+ORACLES["entity_top10_two_pass"] = ORACLES["entity_top10"]
+ORACLES["top_users_two_pass"] = ORACLES["top_users"]
+ORACLES["failed_sources_two_pass"] = ORACLES["failed_sources"]
+oracle("entity_sketch_counts", AUTH_LINES, entity_table("auth_lines"), """
+  SELECT type, count(DISTINCT date_trunc('hour', ts)) AS hours, count(DISTINCT entity) AS exact, true AS near
+  FROM entities JOIN auth_lines USING (line_id) GROUP BY type""")
 HOURS = f"hours AS (SELECT unnest(regexp_extract_all(line, {q(fixed.CLOCK_HOUR)}, 1))::INTEGER AS hour FROM auth_lines)"
 oracle("events_by_hour", AUTH_LINES, HOURS, """
   SELECT d.hour::INTEGER AS hour, count(h.hour) AS events FROM range(24) AS d(hour) LEFT JOIN hours h ON h.hour = d.hour GROUP BY d.hour""")
@@ -272,6 +283,11 @@ oracle(
     CASE WHEN login THEN explanation ELSE 'Semantically not login-related' END AS explanation
   FROM (SELECT line_id, {preprocess('line')} AS norm FROM auth_lines) l JOIN final USING (norm)""")
 
+CHANGED = ORACLES["analyze_logs"]
+for before, after in (("best > 0.6", "best > 0.5"), ("inside > 0.15", "inside > 0.35")):
+    CHANGED = CHANGED.replace(before, after)
+ORACLES["analyze_logs_options"] = CHANGED
+
 oracle("score_metrics", *FIRST_LINES, LINE_SCORES, """
   SELECT count(*) AS total_lines, count(*) FILTER (WHERE score >= 0.6) AS above_threshold, round(avg(score), 6) AS mean_score,
     max(score) AS max_score FROM scores""")
@@ -321,6 +337,8 @@ RATIO = "CASE WHEN length(first) + length(second) = 0 THEN 1.0 ELSE 2.0 * coales
 LCS = common_subsequences("common", "turn_pairs")
 ORACLES["string_ratio"] = f"""WITH RECURSIVE {TURN_PAIRS}, {LCS}
   SELECT conv_id, turn, round({RATIO}, 6) AS ratio FROM turn_pairs LEFT JOIN common USING (first, second)"""
+ORACLES["similar_turns"] = f"""WITH RECURSIVE {TURN_PAIRS}, {LCS}
+  SELECT conv_id, turn, round(r, 6) AS ratio FROM (SELECT conv_id, turn, {RATIO} AS r FROM turn_pairs LEFT JOIN common USING (first, second)) WHERE r >= 0.5"""
 LEXICAL = ORACLES["tfidf_pair"].removeprefix(f"WITH {TURN_PAIRS}, ").replace(
     "coalesce(round(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa * bb) END, 6), 0)", "coalesce(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa * bb) END, 0)")
 ORACLES["enhanced_similarity"] = f"""WITH RECURSIVE {TURN_PAIRS}, {LCS},

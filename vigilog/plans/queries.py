@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
+from vigilog.functions import entities as entities_of
 from vigilog.functions import fields, similarity, text, tokens, vectors
-from vigilog.operators import corrections, example_index, pattern_scan, ranking, reports, scoring, searches, totals, training, vocabulary
+from vigilog.operators import corrections, example_index, pattern_scan, ranking, reports, scoring, searches, sketches, totals, training, vocabulary
 from vigilog.session import scratch_path
 from vigilog.sources import banks, files
 from vigilog.sources.tables import auth_lines, derived_corrections, document_lines, table, turn_pairs
@@ -152,6 +153,23 @@ def log_fields(spark: SparkSession, folder: str) -> DataFrame:
     return logs(spark, folder).select("line_id", *fields.log_fields(F.col("line")))
 
 
+@query
+def document_log_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Log fields of free text: whole documents."""
+    return table(spark, folder, "documents").select("doc_id", *fields.log_fields(F.col("text")))
+
+
+@query
+def page_log_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("page_id", *fields.log_fields(F.col("html")))
+
+
+@query
+def page_rule_labels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = page_lines(spark, folder).unionAll(table(spark, folder, "documents").select((-F.col("doc_id") - 1).alias("line_id"), F.col("text").alias("line")))
+    return rows.select("line_id", fields.ssh_label(F.col("line")).alias("ssh_label"), fields.linux_label(F.col("line")).alias("linux_label"))
+
+
 @query
 def search_filter(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "documents").filter(text.matches_search(F.col("text"), "licen[cs]e|copyright"))
@@ -238,6 +256,43 @@ def entity_top10(spark: SparkSession, folder: str) -> DataFrame:
     return reports.top_entities(reports.entity_rows(logs(spark, folder)))
 
 
+def typed_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of the log lines with their line, place and hour."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")
+    return logs(spark, folder).select("line_id", hour, F.inline(entities_of.entity_array(F.col("line"), ())))
+
+
+@query
+def entity_sketch_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct entities per type from stored hourly sketches: their number of hours, and whether the union is within 2 % of the exact count."""
+    found, path = typed_entities(spark, folder), scratch_path(spark, "sketches")
+    sketches.write_sketches(found, path)
+    stored_sketches = spark.read.parquet(path)
+    hours = stored_sketches.groupBy("type").agg(F.count(F.lit(1)).alias("hours"))
+    exact = reports.unique_entities(found).withColumnRenamed("unique_entities", "exact")
+    both = sketches.distinct_from_sketches(stored_sketches, "type").join(exact, "type").join(hours, "type")
+    return both.select("type", "hours", "exact", (F.abs(F.col("unique_entities") - F.col("exact")) <= 0.02 * F.col("exact")).alias("near"))
+
+
+@query
+def entity_top10_two_pass(spark: SparkSession, folder: str) -> DataFrame:
+    rows = reports.entity_rows(logs(spark, folder)).select(F.col("type").alias("grp"), F.col("entity").alias("value"), F.struct("line_id", "ord").alias("seen"))
+    return sketches.most_frequent(rows, 10, F.col("seen"), 1000).select(F.col("grp").alias("type"), F.col("value").alias("entity"), "events", "rank")
+
+
+@query
+def top_users_two_pass(spark: SparkSession, folder: str) -> DataFrame:
+    rows = logs(spark, folder).select(F.lit("user").alias("grp"), fields.search_field(F.col("line"), "user").alias("value"))
+    return sketches.most_frequent(rows, 10).select(F.col("value").alias("user"), "events")
+
+
+@query
+def failed_sources_two_pass(spark: SparkSession, folder: str) -> DataFrame:
+    failed = searches.category_search(logs(spark, folder), searches.FAILURE)
+    rows = failed.select(F.lit("source").alias("grp"), fields.search_field(F.col("line"), "src_ip").alias("value"))
+    return sketches.most_frequent(rows, 20).select(F.col("value").alias("src_ip"), "events")
+
+
 @query
 def events_by_hour(spark: SparkSession, folder: str) -> DataFrame:
     return reports.events_by_hour(logs(spark, folder))
@@ -322,11 +377,10 @@ def label_means(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.mean_vectors(embeddings(spark, folder), "label", "embedding")
 
 
-def label_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, list]:
-    """Similarity of every vector to each label's mean vector."""
-    categories, means = scoring.collected_prototypes(label_means(spark, folder))
-    scored = scoring.similarity_to_vectors(embeddings(spark, folder), "embedding", means)
-    return scored.select("vec_id", "label", "sims"), categories
+def label_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity of every vector to each label's mean vector, by label."""
+    scored = scoring.similarity_to_table(embeddings(spark, folder), "embedding", label_means(spark, folder), scratch_path(spark, "prototypes"))
+    return scored.select("vec_id", "label", "sims")
 
 
 def rounded_line_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -336,9 +390,10 @@ def rounded_line_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_scores(spark: SparkSession, folder: str) -> DataFrame:
-    scored, categories = label_scores(spark, folder)
-    best = F.element_at(F.array(*[F.lit(c) for c in categories]), vectors.first_argmax(F.col("sims")))
-    return scored.select("vec_id", "label", best.alias("category"), F.round(F.array_max("sims"), 6).alias("score"))
+    sims = F.transform("sims", lambda s: s["similarity"])
+    scored = label_scores(spark, folder)
+    best = F.get("sims", vectors.first_argmax(sims) - 1)["category"]
+    return scored.select("vec_id", "label", best.alias("category"), F.round(F.array_max(sims), 6).alias("score"))
 
 
 @query
@@ -361,8 +416,8 @@ def prototype_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def softmax_scores(spark: SparkSession, folder: str) -> DataFrame:
-    scored, _ = label_scores(spark, folder)
-    spread = scored.select("vec_id", F.posexplode(vectors.softmax(F.col("sims"))).alias("pos", "probability"))
+    sims = F.transform("sims", lambda s: s["similarity"])
+    spread = label_scores(spark, folder).select("vec_id", F.posexplode(vectors.softmax(sims)).alias("pos", "probability"))
     return spread.withColumns(rounded("probability"))
 
 
@@ -440,6 +495,16 @@ def analyze_logs(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns(rounded("max_similarity_score")).drop("original_log_line", "model")
 
 
+@query
+def analyze_logs_options(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with options of a file and of a user merged over the defaults."""
+    of_file = {"thresholds": {"high_confidence": 0.5, "login_detection": 0.3}}
+    of_user = {"thresholds": {"login_detection": 0.35}, "phrases_per_category": 7}
+    options = scoring.scoring_options(of_file, of_user)
+    found = scoring.analyze_lines(logs(spark, folder), scoring.hashed_words(ENCODER_SIZE), options)
+    return found.withColumns(rounded("max_similarity_score")).drop("original_log_line", "model")
+
+
 @query
 def score_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return reports.score_metrics(rounded_line_scores(spark, folder), "score").withColumns(rounded("mean_score"))
@@ -506,6 +571,13 @@ def tfidf_pair(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("conv_id", "turn", F.round("lexical", 6).alias("lexical"))
 
 
+@query
+def similar_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbouring turns whose string ratio is 0.5 or more."""
+    scored = pairs(spark, folder).select("conv_id", "turn", similarity.string_ratio_at_least(F.col("first"), F.col("second"), 0.5).alias("ratio"))
+    return scored.filter(F.col("ratio").isNotNull()).withColumns(rounded("ratio"))
+
+
 @query
 def string_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return pairs(spark, folder).select("conv_id", "turn", F.round(similarity.string_ratio(F.col("first"), F.col("second")), 6).alias("ratio"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
-from vigilog.functions.text import is_filled, row_text, strip
+from vigilog.functions.text import is_filled, strip
 from vigilog.operators.ranking import head, numbered_in_ranges
+from vigilog.session import scratch_path
+from vigilog.sources.csv_ranges import csv_rows
 
 SPLIT = ["source", "_start"]
 
@@ -54,46 +58,83 @@ def _raw_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def decode_lines(raw: DataFrame, encoding: str = "auto") -> DataFrame:
-    """Lines as UTF-8, or ISO-8859-1 for files that are not valid UTF-8.
+def text_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto", number: bool = True) -> DataFrame:
+    """``source, line_number, line``: stripped, non-blank lines of text files.
 
-    ``auto`` finds the files with invalid bytes first, which reads the input twice;
-    a known encoding avoids that.
+    Lines are UTF-8, or ISO-8859-1 in files that are not valid UTF-8 (``auto``), or in the given encoding. They are numbered from 1 per file.
+    What that takes, the number of lines and the validity of each file range, comes from one aggregate
+    over the input; lines are then counted on in their range, and neither shuffled nor sorted.
     """
-    latin = F.decode(F.col("raw").cast("binary"), "ISO-8859-1")
+    raw = _raw_lines(spark, path)
+    auto = encoding.lower() not in ("utf-8", "utf8", "iso-8859-1", "latin-1")
+    if not (auto or number):
+        return _stripped(_decoded(raw, encoding)).select("source", "line")
+    ranges = _ranges(raw, encoding, auto)
+    if auto:
+        # Spark checks the size of both tables: a row for each file that is not UTF-8, and for each range.
+        latin = ranges.filter("NOT utf8").select("source").distinct().withColumn("_latin", F.lit(True))
+        raw = raw.join(latin, "source", "left")
+        raw = raw.withColumn("raw", F.when(F.col("_latin"), F.decode(F.col("raw").cast("binary"), "ISO-8859-1")).otherwise(F.col("raw"))).drop("_latin")
+    else:
+        raw = _decoded(raw, encoding)
+    lines = _stripped(raw)
+    if not number:
+        return lines.select("source", "line")
+    before = Window.partitionBy("source").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(*SPLIT, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    counted = lines.sortWithinPartitions(*SPLIT, "_at", "_sub").select(*SPLIT, "line").mapInArrow(_count_on, "source string, _start bigint, line string, _place bigint")
+    return counted.join(offsets, SPLIT).select("source", (F.col("_offset") + F.col("_place")).alias("line_number"), "line")
+
+
+def _decoded(raw: DataFrame, encoding: str) -> DataFrame:
     if encoding.lower() in ("utf-8", "utf8"):
         return raw
-    if encoding.lower() in ("iso-8859-1", "latin-1"):
-        return raw.withColumn("raw", latin)
-    invalid = raw.filter(~F.is_valid_utf8("raw")).select("source").distinct().withColumn("_latin", F.lit(True))
-    return raw.join(invalid, "source", "left").withColumn("raw", F.when(F.col("_latin"), latin).otherwise(F.col("raw"))).drop("_latin")
+    return raw.withColumn("raw", F.decode(F.col("raw").cast("binary"), "ISO-8859-1"))
 
 
-def text_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto", number: bool = True) -> DataFrame:
-    """``source, line_number, line``: stripped, non-blank lines of text files.
-
-    Lines are numbered from 1 per file. A file split is read in order by one task,
-    so a line's number is its place in the split plus the lines of earlier splits.
-    """
-    lines = decode_lines(_raw_lines(spark, path), encoding)
-    # Line separators that the text reader does not know are split here.
+def _stripped(raw: DataFrame) -> DataFrame:
+    """Lines without the white space around them, blank ones left out; separators that the text reader does not know are split here."""
     pieces = F.posexplode(F.split("raw", fixed.EXTRA_LINE_BREAKS, -1)).alias("_sub", "raw")
-    lines = lines.select(*SPLIT, "_at", pieces).filter(is_filled(F.col("raw")))
-    lines = lines.select(*SPLIT, "_at", "_sub", strip(F.col("raw")).alias("line"))
-    return number_split_lines(lines) if number else lines.select("source", "line")
+    lines = raw.select(*SPLIT, "_at", pieces).filter(is_filled(F.col("raw")))
+    return lines.select(*SPLIT, "_at", "_sub", strip(F.col("raw")).alias("line"))
 
 
-def number_split_lines(lines: DataFrame) -> DataFrame:
-    """Line numbers per file for rows that still carry their file split and place in it."""
-    counts = lines.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("source").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*SPLIT, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    in_split = F.row_number().over(Window.partitionBy(*SPLIT).orderBy("_at", "_sub"))
-    return (
-        lines.withColumn("_in_split", in_split)
-        .join(offsets, SPLIT)
-        .select("source", (F.col("_offset") + F.col("_in_split")).alias("line_number"), "line")
-    )
+def _ranges(raw: DataFrame, encoding: str, auto: bool) -> DataFrame:
+    """``source, _start, n, utf8``: non-blank lines of every file range and whether its file is UTF-8; a range's facts are stored.
+
+    While it is not known what a file is, its lines are counted both ways.
+    """
+    filled = lambda text: F.sum(F.size(F.filter(F.split(text, fixed.EXTRA_LINE_BREAKS, -1), is_filled)))
+    plain, latin = F.col("raw"), F.decode(F.col("raw").cast("binary"), "ISO-8859-1")
+    if not auto:
+        plain = latin = plain if encoding.lower() in ("utf-8", "utf8") else latin
+    utf8 = F.every(F.is_valid_utf8("raw")) if auto else F.every(F.lit(True))
+    counts = [filled(plain).alias("_n_utf8"), (filled(latin) if auto else F.sum(F.lit(0))).alias("_n_latin")]
+    facts = raw.groupBy(*SPLIT).agg(*counts, utf8.alias("utf8"))
+    kept = scratch_path(raw.sparkSession, "ranges")
+    facts.write.parquet(kept)
+    facts = raw.sparkSession.read.schema(facts.schema).parquet(kept)
+    whole = facts.withColumn("utf8", F.every("utf8").over(Window.partitionBy("source")))
+    return whole.select(*SPLIT, F.when(F.col("utf8"), F.col("_n_utf8")).otherwise(F.col("_n_latin")).alias("n"), "utf8")
+
+
+def _count_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the place of every line in its range; a range comes in order, in one task."""
+    key, upto = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column("source").dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = batch.column("_start").to_numpy()
+        edges = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), batch.num_rows]
+        places = []
+        for begin, end in zip(edges, edges[1:]):
+            now = (batch.column("source")[begin].as_py(), int(starts[begin]))
+            upto = upto if now == key else 0
+            key = now
+            places.append(np.arange(upto + 1, upto + 1 + end - begin))
+            upto += end - begin
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(places))], names=[*batch.schema.names, "_place"])
 
 
 def text_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -104,59 +145,28 @@ def text_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
     return lines.filter(is_filled(F.col("raw"))).select("source", strip(F.col("raw")).alias("line"))
 
 
-def _files_by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
-    """First line -> files that begin with it. The driver lists the files of any scan, so it can hold their names."""
-    first = _raw_lines(spark, path).filter(F.col("_start") == 0).groupBy("source").agg(F.min_by("raw", "_at").alias("header"))
-    found: dict[str, list[str]] = {}
-    for row in first.orderBy("source").toLocalIterator():
-        found.setdefault(row["header"], []).append(row["source"])
-    return found
-
-
-def csv_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto", multi_line: bool = True) -> DataFrame:
+def csv_lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto") -> DataFrame:
     """``source, line``: the last column of CSV files, each by its own header.
 
     A file with a row wider than its header is no proper CSV and is read as text
-    instead. Quoted line breaks need ``multi_line``, which reads each file in one
-    task. Without such breaks pass False. Files are read together as far as they share a header.
+    instead. Large files are read in ranges, also where quoted cells hold line breaks.
     """
-    groups = _files_by_header(spark, path)
-    if not groups:
-        return text_lines(spark, path, encoding, number=False)
-    parts = [_last_column(spark, files, encoding, multi_line) for files in groups.values()]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def _last_column(spark: SparkSession, path: list[str], encoding: str, multi_line: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    header = reader.csv(path).schema
-    if not header.fields:
-        return text_lines(spark, path, encoding, number=False)
-    last = header.fields[-1].name
-    rows = (
-        reader.schema(header.add("_broken", "string"))
-        .option("columnNameOfCorruptRecord", "_broken")
-        .csv(path)
-        .select(F.col("_metadata.file_path").alias("source"), F.col(f"`{last}`").alias("line"), "_broken")
-    )
-    # A short row also counts as broken but leaves the last cell empty.
-    wide = rows.filter(F.col("_broken").isNotNull() & F.col("line").isNotNull()).select("source").distinct()
+    rows = csv_rows(spark, path, encoding).select("source", F.get("cells", F.size("names") - 1).alias("line"), "wide")
+    wide = rows.filter("wide").select("source").distinct()
     kept = rows.filter(is_filled(F.col("line")) & ~F.col("line").isin(fixed.MISSING_CELLS)).select("source", "line")
+    if wide.isEmpty():
+        return kept
     as_text = text_lines(spark, path, encoding, number=False).join(wide, "source", "left_semi")
     return kept.join(wide, "source", "left_anti").unionByName(as_text)
 
 
 def structured_csv(spark: SparkSession, path: str | Sequence[str], drop: Sequence[str] = ("LineId", "EventId", "EventTemplate")) -> DataFrame:
-    """``line_id, text``: a structured log CSV with its cells joined to one text.
-
-    Cells may hold line breaks, so a file is read by one task.
-    """
-    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    kept = [c for c in rows.columns if c not in drop]
-    return rows.select(F.col("LineId").cast("bigint").alias("line_id"), row_text(kept).alias("text"))
+    """``line_id, text``: structured log CSVs, each by its own header, with their cells joined to one text."""
+    rows = csv_rows(spark, path).withColumn("_named", F.arrays_zip("names", "cells"))
+    ident = F.get(F.filter("_named", lambda x: x["names"] == "LineId"), F.lit(0))["cells"]
+    kept = F.filter("_named", lambda x: ~x["names"].isin(list(drop)))
+    text = F.array_join(F.transform(kept, lambda x: F.coalesce(x["cells"], F.lit("nan"))), " ")
+    return rows.select(ident.cast("bigint").alias("line_id"), text.alias("text"))
 
 
 def preview_lines(lines: DataFrame, id_col: str = "line_id", n: int = fixed.PREVIEW_LINES) -> DataFrame:

@@ -12,11 +12,11 @@ Pairs that meet are confirmed on their full sets. Not every pair needs to be loo
 know who is connected:
 
 1. texts with equal sets are one class, found by a hash of the set;
-2. in each of ROUNDS rounds, every class that shares a key with a class of another component is compared with one such class,
-   the leader of one of its keys; links are confirmed and components formed before the next round. So a round makes
-   at most one comparison for a class, however large a group of copies;
-3. keys with several components are looked at again, and of their classes only those that have a class
-   of another component near them, by the lowest bits of their signatures;
+2. every class is compared with the least class of each key it is in, and with the greatest where more than SMALL_KEY
+   classes meet; of more than CENTRES such classes with those that come first by a hash, which are the same for
+   classes that meet often. So a class has at most CENTRES comparisons, however large a group of copies;
+3. components of these links are formed. Only keys with several components are looked at again, and of their
+   classes only those that have a class of another component near them, by the lowest bits of their signatures;
 4. of the classes left, a pair is compared if it lies in different components and passes the prefix filter: of a link's two
    sets, the rarest ninth of the smaller one and the rarest fifth of the larger one share a shingle,
    rarity being counted over the classes left. Many copies that differ too much from each other
@@ -48,7 +48,10 @@ SYMBOLS = CHUNKS * WIDTH
 MOST_DIFFERENT = 50
 #: The same for the lowest bits of the symbols.
 MOST_BITS = 32
-ROUNDS = 3
+#: In a key of so few classes one centre links what can be linked nearly as well as two.
+SMALL_KEY = 4
+#: Centres that a class is compared with at first; a class of a large group of near copies has one in every key.
+CENTRES = 8
 BLOCK = 1 << 14
 MULTIPLIERS = np.random.default_rng(2).integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
 SIGNED = "doc_id bigint, n bigint, whole binary, signature binary, bits1 bigint, bits2 bigint"
@@ -168,23 +171,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("whole_a", "whole_b", "grams_a", "grams_b").mapInArrow(small(run), "whole_a binary, whole_b binary")
 
 
-def to_leaders(met: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: each class that shares a key with another component, and the leader of one such key; a pair for a class at most.
-
-    A key's leader is its first class in an order by hash that changes with ``turn``; classes of the leader's component take
-    the first class of any other. Of the leaders of its keys a class takes the first again, so classes that meet often share few leaders.
-    """
-    place = lambda x: F.struct(F.xxhash64(x, F.lit(turn)).alias("place"), F.col(x).alias("leader"))
-    rows = met.join(nodes.select("short", "root"), "short")
-    firsts = rows.groupBy("key", "root").agg(F.min(place("short")).alias("first"))
-    lead = firsts.groupBy("key").agg(F.min(F.struct("first", "root")).alias("lead"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    other = firsts.join(lead, "key").filter(F.col("root") != F.col("lead.root")).groupBy("key").agg(F.min("first").alias("other"))
-    led = rows.join(lead.select("key", "lead"), "key").join(other, "key")
-    mine = F.when(F.col("root") == F.col("lead.root"), F.col("other")).otherwise(F.col("lead.first"))
-    chosen = led.groupBy("short").agg(F.min(mine)["leader"].alias("b"))
-    return chosen.select(F.least("short", "b").alias("a"), F.greatest("short", "b").alias("b")).distinct()
-
-
 def in_mixed_groups(rows: DataFrame, group: str) -> DataFrame:
     """Those ``rows(group, root, ...)`` whose group has several roots, with ``main``, the root of most rows of the group."""
     sizes = rows.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n_root"))
@@ -250,23 +236,26 @@ def near_duplicates(documents: DataFrame, size: int) -> DataFrame:
     classes = stored(classes.withColumn("short", F.xxhash64("whole")), "classes")
 
     index = classes.select("short", F.explode(index_keys("signature")).alias("key"))
-    shared = index.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low < high")
-    met = stored(index.join(shared.select("key"), "key"), "met")
-    sets = stored(full_sets(met.select("short").distinct().join(classes.select("short", "whole"), "short").select("whole"), classes, documents, size), "sets")
-
-    nodes, links, near = classes.select("whole", "short", "n", "bits1", "bits2", F.col("short").alias("root")), None, None
-    for turn in range(ROUNDS):
-        found = stored(similar_enough(to_leaders(met, nodes, turn), classes), "near")
-        if turn and not found.limit(1).count():
-            break
-        near = found if near is None else near.unionAll(found)
-        linked = stored(confirmed(found, sets), "confirmed")
-        links = linked if links is None else links.unionAll(linked)
-        root = components(links.select(F.col("whole_a").alias("a"), F.col("whole_b").alias("b"))).withColumnRenamed("node", "whole")
-        nodes = classes.select("whole", "short", "n", "bits1", "bits2").join(root, "whole", "left")
-        nodes = stored(nodes.withColumn("root", F.xxhash64(F.coalesce("root", "whole"))), "nodes")
-    nodes = nodes.drop("whole")
+    shared = index.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high"), F.count(F.lit(1)).alias("n_key"))
+    centres = F.array_distinct(F.array("low", F.when(F.col("n_key") > SMALL_KEY, F.col("high")).otherwise(F.col("low"))))
+    met = stored(index.join(shared.filter("low < high").select("key", centres.alias("centres")), "key").select("key", "short", "centres"), "met")
+
+    star = met.select("short", F.explode("centres").alias("b")).filter("short <> b")
+    # At most two centres for each of a class's keys, so the sets are bounded; of more than CENTRES the first by hash are taken.
+    asked = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("b").alias("place"), "b"))), 1, CENTRES)
+    star = star.groupBy("short").agg(asked.alias("c")).select("short", F.explode("c.b").alias("b"))
+    star = star.select(F.least("short", "b").alias("a"), F.greatest("short", "b").alias("b")).distinct()
+    near = stored(similar_enough(star, classes), "near")
+    sets = stored(full_sets(_ends(near), classes, documents, size), "sets")
+    links = stored(confirmed(near, sets), "confirmed")
+
+    root = components(links.select(F.col("whole_a").alias("a"), F.col("whole_b").alias("b"))).withColumnRenamed("node", "whole")
+    nodes = classes.select("whole", "short", "n", "bits1", "bits2").join(root, "whole", "left")
+    nodes = stored(nodes.withColumn("root", F.xxhash64(F.coalesce("root", "whole"))).drop("whole"), "nodes")
     left = stored(classes.select("whole", "short").join(still_open(met, nodes), "short"), "open")
+    missing = stored(left.select("whole").join(sets.select("whole"), "whole", "left_anti"), "missing")
+    if missing.limit(1).count():  # only then all texts are read once more
+        sets = sets.unionAll(stored(full_sets(missing, classes, documents, size), "sets"))
     left_sets = left.join(nodes, "short").join(sets, "whole").select("short", "root", "n", "grams")
     rest = stored(similar_enough(pairs_left(left_sets), classes), "near").join(near, ["whole_a", "whole_b"], "left_anti")
     whole = stored(links.unionAll(confirmed(rest, sets)), "links")

@@ -337,7 +337,9 @@ RATIO = "CASE WHEN length(first) + length(second) = 0 THEN 1.0 ELSE 2.0 * coales
 LCS = common_subsequences("common", "turn_pairs")
 ORACLES["string_ratio"] = f"""WITH RECURSIVE {TURN_PAIRS}, {LCS}
   SELECT conv_id, turn, round({RATIO}, 6) AS ratio FROM turn_pairs LEFT JOIN common USING (first, second)"""
-ORACLES["similar_turns"] = f"""WITH RECURSIVE {TURN_PAIRS}, {LCS}
+# Only pairs whose lengths allow half of their characters to be common are stepped through.
+LIKE_LONG = TURN_PAIRS.replace("b.turn = a.turn + 1)", "b.turn = a.turn + 1 WHERE 4 * least(length(a.text), length(b.text)) >= length(a.text) + length(b.text))")
+ORACLES["similar_turns"] = f"""WITH RECURSIVE {LIKE_LONG}, {LCS}
   SELECT conv_id, turn, round(r, 6) AS ratio FROM (SELECT conv_id, turn, {RATIO} AS r FROM turn_pairs LEFT JOIN common USING (first, second)) WHERE r >= 0.5"""
 LEXICAL = ORACLES["tfidf_pair"].removeprefix(f"WITH {TURN_PAIRS}, ").replace(
     "coalesce(round(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa * bb) END, 6), 0)", "coalesce(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa * bb) END, 0)")

@@ -51,7 +51,7 @@ MOST_BITS = 32
 #: In a key of so few classes one centre links what can be linked nearly as well as two.
 SMALL_KEY = 4
 #: Centres that a class is compared with at first; a class of a large group of near copies has one in every key.
-CENTRES = 8
+CENTRES = 48
 BLOCK = 1 << 14
 MULTIPLIERS = np.random.default_rng(2).integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
 SIGNED = "doc_id bigint, n bigint, whole binary, signature binary, bits1 bigint, bits2 bigint"

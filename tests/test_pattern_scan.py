@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
 from vigilog.operators import pattern_scan as ps

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import Accumulator, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.operators.scoring import DECIMALS, LAST, Encoder, _distinct_rows, _unit_rows, _vector_rows, nearest_example
@@ -235,7 +235,7 @@ def build_index(bank: DataFrame, column: str, path: str, encoder: Encoder | None
     dealt = sliced.hint("rebalance", "cell", "slice").sortWithinPartitions("cell", "slice", "distance", "idx")
     blocks = dealt.mapInArrow(cut, BLOCKS)
     blocks.write.partitionBy("block").parquet(f"{path}/blocks")
-    written = spark.read.schema(f"cell int, least array<double>, greatest array<double>, block bigint").parquet(f"{path}/blocks")
+    written = spark.read.schema("cell int, least array<double>, greatest array<double>, block bigint").parquet(f"{path}/blocks")
     written.select("block", "cell", "least", "greatest").write.parquet(f"{path}/directory")
     return index
 

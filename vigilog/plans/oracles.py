@@ -7,7 +7,7 @@ from vigilog.operators import scoring, training
 from vigilog.plans import queries
 from vigilog.plans.sql_parts import (
     AUTH_LINES, CHOSEN, CORRECTIONS, DOC_LINES, MEANS, PAGE_LINES, SIMS, SPACE, TURN_PAIRS,
-    asset, case, category, common_subsequences, contains_case, first_match, gsub, hashed_vectors, normalize,
+    asset, category, common_subsequences, contains_case, first_match, gsub, hashed_vectors, normalize,
     offset_table, preprocess, q, rule_case, search_field, span_table, split_words, squeeze, tag_table, token_table,
     vocabulary_table,
 )

@@ -44,6 +44,17 @@ def test_a_bank_without_blank_examples_and_opposite_targets(spark, folder):
     same(ei.search_index(targets, index, "vec"), scoring.nearest_example(targets, bank, "vec", folder()), "line_id")
 
 
+def test_vectors_that_nearly_agree(spark, folder):
+    """Distances near zero are known to the root of the rounding only; no bound may cut a tie off."""
+    r = np.random.default_rng(8)
+    middle = r.normal(size=(6, 8))
+    near = lambda n, seed: [(middle[i % 6] + 1e-8 * np.random.default_rng(seed + i).normal(size=8)).tolist() for i in range(n)]
+    bank = spark.createDataFrame([(i, v) for i, v in enumerate(near(200, 1))], "idx bigint, vec array<double>")
+    targets = spark.createDataFrame([(i, v) for i, v in enumerate(near(60, 999))], "line_id bigint, vec array<double>")
+    index = ei.build_index(bank, "vec", folder(), cell_rows=10, block_rows=4)
+    same(ei.search_index(targets, index, "vec"), scoring.nearest_example(targets, bank, "vec", folder()), "line_id")
+
+
 def test_few_pairs_are_compared_and_no_task_reads_all_blocks(spark, folder):
     targets, bank = clustered(spark, 300, 3, "line_id", centres=40), clustered(spark, 4000, 4, "idx", centres=40)
     index = ei.build_index(bank, "vec", folder(), cell_rows=64)

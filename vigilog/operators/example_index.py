@@ -36,8 +36,9 @@ CELL_ROWS = 256
 MOST_CELLS = 1024
 BLOCK_ROWS = 8192
 REFERENCES = 16
-#: Bounds are kept this much too wide, for rounding.
+#: Bounds are kept this much too wide, for rounding: those of cosines, and those of distances, whose square is what is exact.
 MARGIN = 1e-9
+SLACK = 2e-6
 #: Bounds worked out at once.
 BOUNDS = 1 << 22
 
@@ -116,7 +117,7 @@ class Directory:
             d = distances[:, self.cell] if k == self.least.shape[1] - 1 else distances[:, k:k + 1]
             np.maximum(out, d - self.greatest[:, k], out=out)
             np.maximum(out, self.least[:, k] - d, out=out)
-        return out
+        return np.maximum(out - SLACK, 0.0)
 
     def homes(self, units: np.ndarray) -> np.ndarray:
         """The block that promises most: the nearest one of the nearest pivot's cell."""

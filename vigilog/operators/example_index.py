@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vigilog.operators.scoring import DECIMALS, LAST, Encoder, _distinct_rows, _unit_rows, _vector_rows, nearest_example
 
 SCAN_ROWS = 4096
-CELL_ROWS = 256
+CELL_ROWS = 64
 MOST_CELLS = 1024
 BLOCK_ROWS = 8192
 REFERENCES = 16

@@ -175,6 +175,23 @@ def test_spans_close_at_another_type(spark):
     assert [(s["ord"], s["type"], s["value"]) for s in found] == [(0, "X", "a b"), (1, "X", "e"), (2, "Y", "f")]
 
 
+def test_spans_of_many_rows_in_one_pass(spark):
+    """Rows end spans; missing tags go on with a span, missing tokens are left out; all of it leaves Python once."""
+    kind = "i int, t array<struct<pos:int,start:int,end:int,token:string,tag:string>>"
+    tag = lambda words: [(i, i, i + 1, w, t) for i, (w, t) in enumerate(words)]
+    rows = [(0, tag([("a", "B-X")])), (1, tag([("b", "I-X"), ("c", "O"), ("d", "B-X"), (None, "I-X"), ("e", None), ("f", "I-X")])), (2, None), (3, []),
+            (4, tag([("g", "B-Y"), ("h", "B-X"), ("i", "I-Y"), ("j", "B-Y")]))]
+    df = spark.createDataFrame(rows, kind).coalesce(1)
+    found = df.select("i", tokens.entity_spans(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [[tuple(s) for s in r["s"]] for r in found] == [
+        [(0, "X", "a")], [(0, "X", "d e f")], [], [], [(0, "Y", "g"), (1, "X", "h"), (2, "Y", "j")]]
+    lines = spark.createDataFrame([(0, "Failed login for bob from 10.0.0.1 port 22"), (1, None)], "i int, v string")
+    last = lines.select("i", tokens.bio_tags(F.col("v")).alias("t")).select("i", tokens.last_span_per_type(tokens.entity_spans(F.col("t"))).alias("m"))
+    plan = last._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("ArrowEvalPython" in x for x in plan.splitlines()) == 1
+    assert {r["i"]: r["m"] for r in last.collect()} == {0: {"STATUS": "Failed", "USERNAME": "bob", "IP_ADDRESS": "10 . 0 . 0 . 1", "PORT": "22"}, 1: {}}
+
+
 def test_cosine_guard_and_softmax(spark):
     row = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0], [3.0, 4.0])], "z array<double>, a array<double>, b array<double>")
     zero, some, soft, best = row.select(

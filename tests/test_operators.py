@@ -342,3 +342,12 @@ def test_records_with_one_short_id_are_told_apart(spark):
     assert picked == rows.filter(F.col("log_text") == text_of).count() < rows.count()
     assert corrections.remaining(rows, one).count() == rows.count() - picked
     assert corrections.mark_used(rows, one, "t").filter("training_timestamp = 't'").count() == picked
+
+
+def test_tagging_runs_once_for_its_rows(lines):
+    """A list column that is exploded as it is has its size tested first, by a second run of the function."""
+    tagged = vocabulary.tagged_lines(lines(["Failed login for bob from 10.0.0.1", "", "x"]))
+    for df in (vocabulary.token_tags(tagged), vocabulary.span_rows(tagged), vocabulary.last_spans(tagged)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("ArrowEvalPython" in x for x in plan.splitlines()) == 1
+    assert {(r["type"], r["value"]) for r in vocabulary.last_spans(tagged).collect()} == {("STATUS", "Failed"), ("USERNAME", "bob"), ("IP_ADDRESS", "10 . 0 . 0 . 1")}

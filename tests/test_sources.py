@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vigilog.operators import corrections, searches
 from vigilog.plans.queries import log_stream, logs
 from vigilog.session import scratch_path
-from vigilog.sources import banks, files
+from vigilog.sources import banks, files, tables
 from vigilog.streaming import searches as streams
 
 
@@ -147,3 +147,32 @@ def test_text_stream(spark, tmp_path):
     path = scratch_path(spark, "textstream")
     streams.start_to_files(files.text_stream(spark, str(tmp_path)), path, path + "-checkpoint").awaitTermination()
     assert sorted(r["line"] for r in spark.read.parquet(path).collect()) == ["x", "y", "z"]
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    """On a cluster too, and where Spark cuts the file by bytes into splits of which one has all rows."""
+    path = str(tmp_path / "one")
+    spark.range(200_000).selectExpr("id", "md5(cast(id AS string)) AS text").coalesce(1).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setitem(vars(spark.sparkContext), "master", "yarn")
+    for size in ("128m", "512k"):
+        monkeypatch.setattr(tables, "SPLITS_A_CORE", 10)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = spark.read.parquet(path)
+        try:
+            splits = df.rdd.getNumPartitions()
+            dealt = tables.spread(df)
+            sizes = [len(x) for x in dealt.select("id").rdd.glom().collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert (splits < cores) == (size == "128m")
+        assert len(sizes) == tables.TASKS_A_CORE * cores and min(sizes) > 0 and sum(sizes) == 200_000
+    many = str(tmp_path / "many")
+    spark.range(1000).repartition(2 * cores).write.parquet(many)
+    df = spark.read.parquet(many)
+    monkeypatch.setattr(tables, "SPLITS_A_CORE", 0)
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        assert tables.spread(df) is df
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

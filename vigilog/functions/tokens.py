@@ -6,7 +6,9 @@ import bisect
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from vigilog import fixed_values as fixed
 
 TOKEN_PATTERN = rf"[{fixed.WORD_CLASS}]+|[^{fixed.WORD_CLASS}{fixed.WHITESPACE_CLASS}]"
 SPAN_TYPE = "array<struct<pos:int,start:int,end:int,token:string>>"
+SPANS_TYPE = "array<struct<ord:int,type:string,value:string>>"
 TAGGED_TYPE = "array<struct<pos:int,start:int,end:int,token:string,tag:string>>"
 
 _PYTHON_TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -68,8 +71,12 @@ def _token_lists(texts: pa.Array, patterns: list[tuple[str, re.Pattern]], with_t
     for text in texts.to_pylist():
         if text:
             found = _PYTHON_TOKEN.findall(text)
-            starts = [m.start() for m in _PYTHON_TOKEN.finditer(text)]
-            ends = [s + len(t) for s, t in zip(starts, found)]
+            starts, at = [], 0
+            for t in found:  # between tokens there is white space only, so the next place that reads alike is the token's
+                at = text.index(t, at)
+                starts.append(at)
+                at += len(t)
+            ends = list(map(int.__add__, starts, map(len, found)))
             pos.extend(range(len(found)))
             start.extend(starts)
             end.extend(ends)
@@ -113,35 +120,84 @@ def bio_tags(text: Column, patterns: Sequence[tuple[str, str]] = tuple(fixed.TAG
     return tags(text)
 
 
+def _list_parts(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The offsets and the elements of a list column; a null list has no elements."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths)]), pc.list_flatten(lists)
+
+
+def _span_lists(tagged: pa.Array) -> pa.Array:
+    """The spans of every list of tagged tokens, all of a batch at once."""
+    offsets, elements = _list_parts(tagged)
+    tags = pc.struct_field(elements, "tag").dictionary_encode()
+    names = [t or "" for t in tags.dictionary.to_pylist()]
+    kinds = {}
+    number = [kinds.setdefault(t[2:], len(kinds)) if t[:2] in ("B-", "I-") else -1 for t in names] + [-1]
+    begins, inside = (np.array([t.startswith(x) for t in names] + [False]) for x in ("B-", "I-"))
+    known = tags.indices.is_valid().to_numpy(zero_copy_only=False)
+    code = np.where(known, tags.indices.fill_null(0).to_numpy(zero_copy_only=False), len(names))
+    number = np.array(number)[code]
+    places = np.arange(len(code))
+    begin = begins[code]
+    last = np.maximum.accumulate(np.where(begin, places, -1))  # the begin before each tag, of any row
+    goes_on = ~known | (inside[code] & (last >= 0) & (number == number[last]))
+    ending = ~goes_on
+    ending[offsets[:-1][offsets[:-1] < len(code)]] = True  # no span goes on in the next row
+    stops = np.append(np.flatnonzero(ending), len(code))
+    starts = np.flatnonzero(begin)
+    ends = stops[np.searchsorted(stops, starts, "right")]
+
+    held = np.zeros(len(code) + 1, np.int64)
+    np.add.at(held, starts, 1)
+    np.add.at(held, ends, -1)
+    words = pc.struct_field(elements, "token")
+    kept = (np.cumsum(held[:-1]) > 0) & words.is_valid().to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(kept)])
+    pieces = pa.ListArray.from_arrays(pa.array(np.append(before[starts], before[-1]), pa.int32()), words.filter(pa.array(kept)))
+    rows = np.searchsorted(starts, offsets)
+    order = np.arange(len(starts)) - np.repeat(rows[:-1], np.diff(rows))
+    columns = {
+        "ord": pa.array(order, pa.int32()),
+        "type": pa.array([t[2:] for t in names] + [""], pa.string()).take(pa.array(code[starts])),
+        "value": pc.binary_join(pieces, " "),
+    }
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
 def entity_spans(tagged: Column) -> Column:
     """Array of (ord, type, value): each B- tag with the I- tags of its type that follow.
 
-    The tags from one B- to the next are cut out and end where a tag is no I- of the type; the tokens of a span are joined
-    by blanks. Nothing is carried from span to span, so the work is linear in the number of tags.
+    A span ends where a tag is no I- of its type; its tokens are joined by blanks. An Arrow function over whole batches: behind
+    ``bio_tags`` Spark runs both in one pass, and only the spans leave it.
     """
-    n = F.size(tagged)
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    begins = F.filter(places, lambda i: F.element_at(tagged, i)["tag"].startswith("B-"))
-    ends = F.concat(F.slice(begins, F.lit(2), F.greatest(n, F.lit(0))), F.array(n + 1))
-    bounds = F.filter(F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("begin"), e.alias("end"))), lambda x: x["begin"].isNotNull())
 
-    def span(bound: Column, i: Column) -> Column:
-        part = F.slice(tagged, bound["begin"], bound["end"] - bound["begin"])
-        first = F.element_at(tagged, bound["begin"])["tag"]
-        kind = F.substring(first, F.lit(3), F.length(first))
-        other = F.array_position(F.transform(part, lambda t, k: (k > 0) & (t["tag"] != F.concat(F.lit("I-"), kind))), F.lit(True)).cast("int")
-        kept = F.when(other == 0, part).otherwise(F.slice(part, F.lit(1), other - 1))
-        value = F.array_join(F.transform(kept, lambda t: t["token"]), " ")
-        return F.struct(i.cast("int").alias("ord"), kind.alias("type"), value.alias("value"))
+    @F.arrow_udf(SPANS_TYPE)
+    def spans(lists: pa.Array) -> pa.Array:
+        return _span_lists(lists)
+
+    return spans(tagged)
 
-    return F.transform(bounds, span)
+
+def _last_lists(spans: pa.Array) -> pa.Array:
+    offsets, elements = _list_parts(spans)
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    kinds = pc.struct_field(elements, "type")
+    codes = kinds.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    mixed = rows * (codes.max(initial=0) + 2) + codes + 1
+    first = np.sort(np.unique(mixed, return_index=True)[1])
+    last = len(mixed) - 1 - np.unique(mixed[::-1], return_index=True)[1]
+    place = dict(zip(mixed[last].tolist(), last.tolist()))
+    taken = pa.array([place[x] for x in mixed[first].tolist()], pa.int64())
+    columns = {"key": kinds.take(taken), "value": pc.struct_field(elements, "value").take(taken)}
+    sizes = pa.array(np.searchsorted(first, offsets), pa.int32())
+    return pa.ListArray.from_arrays(sizes, pa.StructArray.from_arrays(list(columns.values()), list(columns)), mask=spans.is_null())
 
 
 def last_span_per_type(spans: Column) -> Column:
     """Map type -> value; of several spans of a type the last one stays."""
-    kinds = F.array_distinct(F.transform(spans, lambda s: s["type"]))
-    last = F.transform(
-        kinds,
-        lambda k: F.struct(k.alias("key"), F.element_at(F.filter(spans, lambda s: s["type"] == k), -1)["value"].alias("value")),
-    )
-    return F.map_from_entries(last)
+
+    @F.arrow_udf("array<struct<key:string,value:string>>")
+    def last(lists: pa.Array) -> pa.Array:
+        return _last_lists(lists)
+
+    return F.map_from_entries(last(spans))

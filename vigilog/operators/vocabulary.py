@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
-from vigilog.functions.tokens import bio_tags, entity_spans, tokenize
+from vigilog.functions.tokens import SPANS_TYPE, TAGGED_TYPE, bio_tags, entity_spans, last_span_per_type, tokenize
 from vigilog.operators import dictionary
 from vigilog.operators.ranking import numbered_in_ranges
 from vigilog.session import scratch_path
@@ -34,9 +34,27 @@ def _with_tokens(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").rlike(f"[^{fixed.WHITESPACE_CLASS}]"))
 
 
+def once(column: str, empty: str) -> Column:
+    """A list for ``explode`` or ``inline``. Of a bare column Spark tests the size first, and for that runs the Python function behind it twice."""
+    return F.coalesce(F.col(column), F.expr(empty))
+
+
+def token_tags(tagged: DataFrame) -> DataFrame:
+    """``line_id, pos, token, tag``."""
+    rows = tagged.select("line_id", F.inline(once("tagged", f"CAST(array() AS {TAGGED_TYPE})")))
+    return rows.select("line_id", "pos", "token", "tag")
+
+
 def span_rows(tagged: DataFrame) -> DataFrame:
-    """``line_id, ord, type, value`` of the tagged entities."""
-    return tagged.select("line_id", F.inline(entity_spans(F.col("tagged"))))
+    """``line_id, ord, type, value`` of the tagged entities. Spans are a column first, so that Spark makes them in the pass that tags."""
+    spans = tagged.select("line_id", entity_spans(F.col("tagged")).alias("spans"))
+    return spans.select("line_id", F.inline(once("spans", f"CAST(array() AS {SPANS_TYPE})")))
+
+
+def last_spans(tagged: DataFrame) -> DataFrame:
+    """``line_id, type, value``: of several spans of a type the last one."""
+    last = tagged.select("line_id", last_span_per_type(entity_spans(F.col("tagged"))).alias("last"))
+    return last.select("line_id", F.explode(once("last", "CAST(map() AS map<string,string>)")).alias("type", "value"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:

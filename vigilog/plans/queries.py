@@ -804,8 +804,7 @@ def tagger_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def bio_tags(spark: SparkSession, folder: str) -> DataFrame:
-    tagged = tagger_corpus(spark, folder).select("line_id", F.inline("tagged"))
-    return tagged.select("line_id", "pos", "token", "tag")
+    return vocabulary.token_tags(tagger_corpus(spark, folder))
 
 
 @query
@@ -815,9 +814,7 @@ def bio_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def last_entities(spark: SparkSession, folder: str) -> DataFrame:
-    spans = tokens.entity_spans(F.col("tagged"))
-    lines = vocabulary.tagged_lines(logs(spark, folder))
-    return lines.select("line_id", F.explode(tokens.last_span_per_type(spans)).alias("type", "value"))
+    return vocabulary.last_spans(tagger_corpus(spark, folder))
 
 
 @query
@@ -838,7 +835,7 @@ def tag_index(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def decoded_tags(spark: SparkSession, folder: str) -> DataFrame:
     numbers = vocabulary.tag_numbers()
-    tags = tagger_corpus(spark, folder).select(F.explode("tagged.tag").alias("tag"))
+    tags = tagger_corpus(spark, folder).select(F.explode(vocabulary.once("tagged.tag", "CAST(array() AS array<string>)")).alias("tag"))
     coded = tags.withColumn("idx", vocabulary.tag_to_number(F.col("tag"), numbers))
     decoded = coded.withColumn("decoded", vocabulary.number_to_tag(F.col("idx"), numbers))
     return decoded.groupBy("tag", "decoded").agg(F.count(F.lit(1)).alias("tokens"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vigilog.functions.text import is_filled, strip
 
 MOST_SPREAD = 32
+TASKS_A_CORE = 2
+SPLITS_A_CORE = 4
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,15 +17,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, most: int = MOST_SPREAD) -> DataFrame:
-    """In a local session, a table in fewer file splits than cores is dealt out over the cores.
+    """A table in fewer files or splits than cores is dealt out over the cores.
 
-    One small file is one split, and regexes over it would keep one core busy. On a
-    cluster a table is read as it is.
+    Spark cuts a file by bytes, but a row group is read by one task whatever the cuts, so a file can be the work of one core, on a
+    cluster as in a local session, and regexes over it would leave the others idle. A table in many files, or in more splits than
+    a few a core, is read as it is.
     """
-    if not df.sparkSession.sparkContext.master.startswith("local["):
-        return df
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    context = df.sparkSession.sparkContext
+    cores, local = context.defaultParallelism, context.master.startswith("local[")
+    cores, wanted = (min(cores, most),) * 2 if local else (cores, TASKS_A_CORE * cores)
+    splits = df.rdd.getNumPartitions()
+    few = splits < cores or (splits < SPLITS_A_CORE * cores and len(df.inputFiles()) < cores)
+    return df.repartition(wanted) if few else df
 
 
 AUTH_LINE = """

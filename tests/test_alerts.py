@@ -67,3 +67,10 @@ def test_equals_the_batch_search_and_goes_on_after_a_restart(spark, limit):
 def test_windows_must_be_multiples(spark):
     with pytest.raises(ValueError):
         alerts.alert_state_stream(spark.createDataFrame([], SCHEMA), window=3600, slide=1000)
+
+
+def test_no_python_for_keys_slots_and_timers(spark):
+    """A call for each key and timer made the run grow to hours; Spark's own aggregations keep the state."""
+    stream = alerts.alert_state_stream(streams.parquet_stream(spark, scratch_path(spark, "nothing") + "*", spark.createDataFrame([], SCHEMA).schema, 1))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and plan.count("Aggregate [") == 2

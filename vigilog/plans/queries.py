@@ -13,7 +13,7 @@ from vigilog.functions import fields, similarity, text, tokens, vectors
 from vigilog.operators import corrections, example_index, pattern_scan, ranking, reports, scoring, searches, sketches, totals, training, vocabulary
 from vigilog.session import scratch_path
 from vigilog.sources import banks, files
-from vigilog.sources.tables import auth_lines, derived_corrections, document_lines, table, turn_pairs
+from vigilog.sources.tables import auth_lines, derived_corrections, document_lines, spread_stream, table, turn_pairs
 from vigilog.streaming import alerts
 from vigilog.streaming import searches as streams
 
@@ -980,7 +980,7 @@ def tagged_file_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
-    return auth_lines(streams.parquet_stream(spark, f"{folder}/events.parque[t]", schema))
+    return auth_lines(spread_stream(streams.parquet_stream(spark, f"{folder}/events.parque[t]", schema).select("event_id", "ts", "user_id", "event_type")))
 
 
 def streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -1010,7 +1010,7 @@ def stream_alert(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_alert_state(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of an hour, every half hour, from a state of half-hour counts; every window that ended before the last watermark."""
-    own = spark.newSession()  # the state store is a setting of the session
+    own = spark.newSession()  # the state store is a setting of the session; this one keeps state outside the JVM's heap
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     path = scratch_path(spark, "alerts")
     found = alerts.alert_state_stream(log_stream(own, folder), limit=0)

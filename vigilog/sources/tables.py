@@ -31,6 +31,11 @@ def spread(df: DataFrame, most: int = MOST_SPREAD) -> DataFrame:
     return df.repartition(wanted) if few else df
 
 
+def spread_stream(df: DataFrame) -> DataFrame:
+    """A stream whose files may be fewer than the cores, dealt out over them; how many files a batch has is not known before."""
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 AUTH_LINE = """
   concat(substring(cast(ts AS string), 1, 19), ' host-', event_id % 7, ' ', CASE
     WHEN event_type = 'error' AND event_id % 3 = 0 THEN concat(

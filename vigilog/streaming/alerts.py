@@ -1,12 +1,14 @@
-"""The failed-login alert with a state of its own.
+"""The failed-login alert with a state of half-hour counts.
 
-``searches.alert_stream`` leaves windows to Spark, which counts a failure once for every window it is in. Here each address and user keeps
+``searches.alert_stream`` counts a failure once for every window it is in. Here each address and user keeps
 counts for slots of one slide (half an hour), and an hour's window is the sum of the slots in it:
 
 * Lines are counted by slot in each task before the shuffle, so one noisy address moves a row a task and slot.
-* A slot sets timers at the ends of the windows it is in. When the watermark passes such an end, the window's slots are
-  added up, an alert is given if the sum is above the limit, once, and the slot that no later window holds is dropped.
-* A key without recent failures has no slots, no timers, and so no state.
+* When the watermark passes the end of a slot, its count goes, once, to a second aggregation, which adds it to the windows that the
+  slot is in. A window comes out when the watermark has passed its end, and is dropped; an alert is given if the sum is above the limit.
+* A key without recent failures has no slots and no windows, and so no state.
+
+Both aggregations are Spark's own: no Python process is called for a key, a slot or a timer.
 
 With the watermark behind the last line, alerts equal those of the batch search for all windows that ended before it.
 Lines that come so late that their slot has been dropped no longer count.
@@ -14,79 +16,30 @@ Lines that come so late that their slot has been dropped no longer count.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vigilog.functions.fields import search_field
 from vigilog.operators.searches import FAILURE, category_search
 from vigilog.streaming.searches import WATERMARK
 
-COUNTS = "src_ip string, user string, slot bigint, ts timestamp, failures bigint"
-ALERTS = "src_ip string, user string, first_slot bigint, failures bigint"
-SECOND = 1_000_000
-
 
-def slot_counts(lines: DataFrame, slide: int) -> DataFrame:
-    """``src_ip, user, slot, ts, failures``: failures by slot of ``slide`` seconds as each task sees them, and the latest of their times."""
-    ts = F.col("ts").cast("timestamp")
+def slot_counts(lines: DataFrame, slide: int, watermark: str = WATERMARK) -> DataFrame:
+    """``slot, src_ip, user, failures``: failures by slot of ``slide`` seconds, each slot once, when the watermark has passed it."""
     failed = category_search(lines, FAILURE).select(
-        search_field(F.col("line"), "src_ip"), search_field(F.col("line"), "user"), F.floor(F.unix_micros(ts) / (slide * SECOND)).alias("slot"), ts.alias("ts"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = pa.Table.from_batches([batch]).group_by(["src_ip", "user", "slot"]).aggregate([("ts", "max"), ("ts", "count")])
-            ordered = sums.select(["src_ip", "user", "slot", "ts_max", "ts_count"]).rename_columns(["src_ip", "user", "slot", "ts", "failures"])
-            yield from ordered.to_batches()
-
-    return failed.filter("src_ip IS NOT NULL AND user IS NOT NULL AND ts IS NOT NULL").mapInArrow(run, COUNTS)
-
-
-class WindowAlerts(StatefulProcessor):
-    """Counts by slot for one address and user; alerts as their windows end."""
-
-    def __init__(self, slide: int, slots: int, limit: int):
-        self.slide, self.slots, self.limit = slide * 1000, slots, limit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.counts = handle.getMapState("counts", "slot bigint", "failures bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for slot, failures in part.groupby("slot")["failures"].sum().items():
-                slot = int(slot)
-                before = self.counts.getValue((slot,)) if self.counts.containsKey((slot,)) else (0,)
-                self.counts.updateValue((slot,), (int(before[0]) + int(failures),))
-                for end in range(slot + 1, slot + self.slots + 1):
-                    self.handle.registerTimer(end * self.slide)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first = expiredTimerInfo.getExpiryTimeInMs() // self.slide - self.slots
-        total = sum(int(self.counts.getValue((s,))[0]) for s in range(first, first + self.slots) if self.counts.containsKey((s,)))
-        if self.counts.containsKey((first,)):
-            self.counts.removeKey((first,))
-        if total > self.limit:
-            yield pd.DataFrame({"src_ip": [key[0]], "user": [key[1]], "first_slot": [first], "failures": [total]})
-
-    def close(self) -> None:
-        pass
+        search_field(F.col("line"), "src_ip"), search_field(F.col("line"), "user"), F.col("ts").cast("timestamp").alias("ts"))
+    named = failed.filter("src_ip IS NOT NULL AND user IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", watermark)
+    return named.groupBy(F.window("ts", f"{slide} seconds").alias("slot"), "src_ip", "user").agg(F.count(F.lit(1)).alias("failures"))
 
 
 def alert_state_stream(lines: DataFrame, watermark: str = WATERMARK, window: int = 3600, slide: int = 1800, limit: int = 5) -> DataFrame:
     """``window_start, window_end, src_ip, user, failures``: each window of ``window`` seconds, every ``slide`` seconds, with more than ``limit`` failures.
 
-    The window is a multiple of the slide. Times without zone are taken in the session's. Needs the RocksDB state store.
+    The window is a multiple of the slide. Times without zone are taken in the session's.
     """
     if window % slide:
         raise ValueError("the window must be a multiple of the slide")
-    counts = slot_counts(lines, slide).withWatermark("ts", watermark)
-    found = counts.groupBy("src_ip", "user").transformWithStateInPandas(WindowAlerts(slide, window // slide, limit), ALERTS, "Append", "EventTime")
-    start = F.col("first_slot") * (slide * SECOND)
-    return found.select(
-        F.timestamp_micros(start).alias("window_start"), F.timestamp_micros(start + window * SECOND).alias("window_end"), "src_ip", "user", "failures")
+    windows = F.window(F.window_time("slot"), f"{window} seconds", f"{slide} seconds").alias("window")
+    found = slot_counts(lines, slide, watermark).groupBy(windows, "src_ip", "user").agg(F.sum("failures").alias("failures"))
+    return found.filter(F.col("failures") > limit).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "src_ip", "user", "failures")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vigilog.operators import example_index as ei
 from vigilog.operators import scoring
@@ -96,3 +97,23 @@ def test_small_banks_are_scanned(spark, folder):
     targets, bank = clustered(spark, 20, 5, "line_id"), clustered(spark, 60, 6, "idx")
     scanned = ei.nearest(targets, bank, "vec", folder())
     same(ei.nearest(targets, bank, "vec", folder(), scan_rows=0), scanned, "line_id")
+
+
+def test_a_large_bank_is_not_scanned_for_log_lines(spark, folder, monkeypatch):
+    """``similarity_results`` compared every line with every known text, whatever their number."""
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    texts = [f"{words[i % 64]} {words[i // 64 % 64]} {words[7 * i % 61]}" for i in range(4200)] + ["x y"] * 100
+    bank = spark.createDataFrame([(i, t, "Failed login") for i, t in enumerate(texts)], "idx bigint, example string, label string")
+    log = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[::97], "", "zz zz"])], "line_id bigint, line string")
+    encoder = scoring.hashed_words(32)
+    normal = lambda df, c: df.withColumn("normalized_log", scoring.normalize_text(F.col(c)))
+    expected = scoring.nearest_example(normal(log, "line"), normal(bank, "example"), "normalized_log", folder(), encoder=encoder)
+    expected = sorted((r["line_id"], r["max_similarity_score"], r["most_similar_positive_idx"]) for r in expected.collect())
+
+    def scan(*_, **__):
+        raise AssertionError("scanned")
+
+    monkeypatch.setattr(scoring, "nearest_example", scan)
+    monkeypatch.setattr(ei, "nearest_example", scan)
+    found = scoring.similarity_results(log, bank, encoder, folder())
+    assert sorted((r["line_id"], r["max_similarity_score"], r["most_similar_positive_idx"]) for r in found.collect()) == expected

@@ -243,14 +243,16 @@ def with_example(scored: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def similarity_results(lines: DataFrame, bank: DataFrame, encoder: Encoder, path: str) -> DataFrame:
-    """The similarity analysis of log lines against known examples.
+    """The similarity analysis of log lines against known examples, by one scan of a small bank, else by a stored index.
 
     ``bank``: ``idx, example, label``. The label of the matched example is the
     prediction; without a label it reads ``Failed login``.
     """
     prepared = lines.withColumn("normalized_log", normalize_text(F.col("line")))
     texts = bank.withColumn("normalized_log", normalize_text(F.col("example")))
-    scored = nearest_example(prepared, texts, "normalized_log", path, encoder=encoder)
+    from vigilog.operators.example_index import nearest  # which builds on this module
+
+    scored = nearest(prepared, texts, "normalized_log", path, encoder=encoder)
     named = with_example(scored, bank)
     label = F.coalesce(F.col("label"), F.lit("Failed login")) if "label" in bank.columns else F.lit("Failed login")
     return named.select(

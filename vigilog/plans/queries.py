@@ -456,7 +456,7 @@ def nearest_known_line(spark: SparkSession, folder: str) -> DataFrame:
     lines = logs(spark, folder)
     others = lines.filter(F.col("line_id") % 20 != 0).withColumn("norm", text.normalize_text(F.col("line")))
     bank = others.groupBy("norm").agg(F.min("line_id").alias("idx"), F.min_by("line", "line_id").alias("example"))
-    bank = bank.select("idx", "example", fields.event_category(F.col("example")).alias("label"))
+    bank = stored(spark, bank.select("idx", "example", fields.event_category(F.col("example")).alias("label")), "known")
     found = scoring.similarity_results(
         lines.filter(F.col("line_id") % 20 == 0), bank, scoring.hashed_words(ENCODER_SIZE), scratch_path(spark, "bank"))
     return found.withColumns(rounded("max_similarity_score")).drop("model", "original_log_line")

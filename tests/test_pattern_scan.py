@@ -76,3 +76,26 @@ def test_without_patterns(spark, lines, folder):
     (r"(abc){2}d", ["abc"]), (r"é", None), (r"\Qx\E", None), (r"[ab]+cd", ["cd"])])
 def test_needed_literals(pattern, literals):
     assert ps.needed(pattern) == literals
+
+
+def test_words_behind_each_other_are_one_literal(tmp_path):
+    """Both words somewhere in a line are no candidate; any white space between them is."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    patterns = [r"lorem\s+ipsum", r"a\s*b", r"x  y", r"(?:one\s+two|six\s{2,}ten)!", r"\s+"]
+    assert [ps.needed_squeezed(p) for p in patterns] == [["lorem ipsum"], ["a"], ["x  y"], ["one two", "six ten"], [" "]]
+    assert ps.needed(patterns[0]) == ["lorem"]
+    pq.write_table(pa.table({"category": ["c"] * 5, "ord": [0] * 5, "pattern": patterns}), str(tmp_path / "p.parquet"))
+    scan = ps.Automaton(str(tmp_path), ps.needed_squeezed)
+    assert scan.candidates("lorem-dolor-ipsum") == set()
+    for blank in (" ", "\n", "\t \u00a0", "\u2003\u180e"):
+        assert 0 in scan.candidates(f"LOREM{blank}Ipsum")
+    assert 2 in scan.candidates("x  y") and 3 in scan.candidates("six \t ten!")
+
+
+def test_a_line_is_not_copied_for_each_pattern(spark, lines, folder):
+    table = spark.createDataFrame([("c", 0, f"w{i}\\s+w{i + 1}") for i in range(50)], "category string, ord int, pattern string")
+    text = " ".join(f"w{i}" for i in range(40))
+    found = ps.candidate_lists(lines([text, "nothing", None]), table, folder()).collect()
+    assert len(found) == 1 and len(found[0]["candidates"]) == 39

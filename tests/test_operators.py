@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilog import fixed_values as fixed
+from vigilog.functions import similarity
 from vigilog.operators import corrections, ranking, reports, scoring, searches, training, vocabulary
 from vigilog.sources.tables import turn_pairs
 
@@ -351,3 +352,20 @@ def test_tagging_runs_once_for_its_rows(lines):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert sum("ArrowEvalPython" in x for x in plan.splitlines()) == 1
     assert {(r["type"], r["value"]) for r in vocabulary.last_spans(tagged).collect()} == {("STATUS", "Failed"), ("USERNAME", "bob"), ("IP_ADDRESS", "10 . 0 . 0 . 1")}
+
+
+def test_pairs_become_python_objects_in_parts(spark):
+    """A batch of Spark's may hold 10,000 long texts; their vectors and strings are made a part at a time."""
+    seen = spark.sparkContext.accumulator(0)
+    words = scoring.hashed_words(8)
+
+    def encoder(texts):
+        if len(texts) > similarity.PAIR_ROWS:
+            seen.add(1)
+        return words(texts)
+
+    rows = [(f"a{i} b", f"a{i} c") for i in range(1000)]
+    df = spark.createDataFrame(rows, "first string, second string").coalesce(1)
+    found = scoring.enhanced_similarity(df, "first", "second", encoder).collect()
+    assert [(r["first"], r["second"]) for r in found] == rows and seen.value == 0
+    assert all(r["string"] == similarity.ratio(r["first"], r["second"]) for r in found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -97,6 +98,8 @@ def tfidf_similarity(pairs: DataFrame, first: str, second: str, out: str = "lexi
 
 #: Characters after which a comparison with a threshold looks whether it can still be met.
 LOOK_AFTER = 256
+#: Pairs of texts that a Python pass takes at once; Spark's own batches have 10,000 rows.
+PAIR_ROWS = 256
 
 
 def _common_ends(a: str, b: str) -> tuple[int, int]:
@@ -165,6 +168,12 @@ def ratio_at_least(a: str, b: str, least: float) -> float | None:
     return found if found >= least else None
 
 
+def text_pairs(left: pa.Array, right: pa.Array) -> Iterator[tuple]:
+    """The rows of two text columns, of which PAIR_ROWS at a time become Python objects."""
+    for at in range(0, len(left), PAIR_ROWS):
+        yield from zip(left.slice(at, PAIR_ROWS).to_pylist(), right.slice(at, PAIR_ROWS).to_pylist())
+
+
 def string_ratio(a: Column, b: Column) -> Column:
     """``2 * LCS / (len1 + len2)``, 1 for two empty texts.
 
@@ -174,7 +183,7 @@ def string_ratio(a: Column, b: Column) -> Column:
 
     @F.arrow_udf("double")
     def ratios(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(left.to_pylist(), right.to_pylist())
+        pairs = text_pairs(left, right)
         return pa.array([None if x is None or y is None else ratio(x, y) for x, y in pairs], pa.float64())
 
     return ratios(a, b)
@@ -188,7 +197,7 @@ def string_ratio_at_least(a: Column, b: Column, least: float) -> Column:
 
     @F.arrow_udf("double")
     def ratios(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(left.to_pylist(), right.to_pylist())
+        pairs = text_pairs(left, right)
         return pa.array([None if x is None or y is None else ratio_at_least(x, y, least) for x, y in pairs], pa.float64())
 
     return ratios(a, b)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from vigilog import fixed_values as fixed
-from vigilog.functions.similarity import combined_similarity, string_ratio, tfidf_similarity
+from vigilog.functions.similarity import PAIR_ROWS, combined_similarity, string_ratio, tfidf_similarity
 from vigilog.functions.text import normalize_text, preprocess_text
 from vigilog.functions.vectors import NEAR_ZERO, first_argmax, softmax
 
@@ -452,7 +452,7 @@ def semantic_similarity(pairs: DataFrame, first: str, second: str, encoder: Enco
     dim = encoder(["x"]).shape[1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, PAIR_ROWS) for whole in batches for at in range(0, whole.num_rows, PAIR_ROWS)):
             sides = []
             for column in (first, second):
                 vectors, rows = _distinct_rows(batch.column(batch.schema.get_field_index(column)), encoder, dim)

@@ -369,3 +369,17 @@ def test_pairs_become_python_objects_in_parts(spark):
     found = scoring.enhanced_similarity(df, "first", "second", encoder).collect()
     assert [(r["first"], r["second"]) for r in found] == rows and seen.value == 0
     assert all(r["string"] == similarity.ratio(r["first"], r["second"]) for r in found)
+
+
+def test_words_are_counted_without_sorting_all_tokens(spark, monkeypatch):
+    """A hash table of words, also with ids at both ends of the range or none; equal counts come by first appearance."""
+    ids = [5, -(1 << 63), (1 << 63) - 1, None, -1, 0]
+    rows = spark.createDataFrame([(i, f"x w{k} x v{k}") for k, i in enumerate(ids)], "line_id bigint, line string")
+    seen = []
+    whole = vocabulary.numbered_in_ranges
+    monkeypatch.setattr(vocabulary, "numbered_in_ranges", lambda df, *rest: seen.append(df) or whole(df, *rest))
+    words = vocabulary.vocabulary(vocabulary.token_rows(rows)).orderBy("idx").collect()
+    order = [3, 1, 4, 5, 0, 2]
+    assert [(r["word"], r["occurrences"]) for r in words] == [("x", 12)] + [(f"{c}{k}", 1) for k in order for c in "wv"]
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vigilog import fixed_values as fixed
 from vigilog.functions.tokens import SPANS_TYPE, TAGGED_TYPE, bio_tags, entity_spans, last_span_per_type, tokenize
@@ -16,6 +17,7 @@ from vigilog.session import scratch_path
 PADDING, UNKNOWN, FIRST_WORD = 0, 1, 2
 HEAD_WORDS = 50_000
 HEAD_WORD_CHARS = 64
+PLACE_BITS = 31
 
 
 def token_rows(lines: DataFrame) -> DataFrame:
@@ -57,6 +59,18 @@ def last_spans(tagged: DataFrame) -> DataFrame:
     return last.select("line_id", F.explode(once("last", "CAST(map() AS map<string,string>)")).alias("type", "value"))
 
 
+def _place_of(tokens: DataFrame) -> Column:
+    """A value that orders tokens by line and place.
+
+    Of whole-number ids it is one decimal, whose minimum Spark keeps in a hash table, a row for each word; a minimum of structs
+    has all tokens of a task sorted first. Lines without an id come first in both.
+    """
+    if not isinstance(tokens.schema["line_id"].dataType, IntegralType):
+        return F.struct("line_id", "pos")
+    line = F.coalesce(F.col("line_id").cast("decimal(19,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(19,0)"))
+    return line * F.lit(1 << PLACE_BITS).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """``word, idx, occurrences``: lower-cased words by falling count, then first appearance.
 
@@ -64,7 +78,7 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     by the sizes of the ranges: a shuffle for the counts and one for the order.
     """
     counts = tokens.groupBy(F.lower("token").alias("word")).agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("line_id", "pos")).alias("first_seen")
+        F.count(F.lit(1)).alias("occurrences"), F.min(_place_of(tokens)).alias("first_seen")
     )
     placed = numbered_in_ranges(counts, [F.desc("occurrences"), "first_seen", "word"], "_place", "vocabulary")
     return placed.select("word", (F.col("_place") + (FIRST_WORD - 1)).cast("bigint").alias("idx"), "occurrences")

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from helpers_llm import docs, prose  # noqa: F401
 
@@ -66,6 +67,39 @@ def test_many_copies_that_are_not_linked(docs, prose):
     assert sorted(found) == sorted(expected)
 
 
+def test_copies_beside_a_large_group_make_no_pairs(docs, prose, monkeypatch):
+    """Copies with too many changes to be linked are not listed with every member of the group they stem from."""
+    r, made = random.Random(3), []
+    base, rows = prose(150, 78, 4000), []
+    for k in range(90):
+        words = list(base)
+        for at in r.sample(range(len(words)), 8 if k % 3 == 0 else 3):
+            words[at] = f"{words[at]}{k}x{at}"
+        rows.append((k, " ".join(words)))
+    listed = hj.pairs_left
+
+    def counted(sets):
+        pairs = listed(sets)
+        made.append((sets.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(hj, "pairs_left", counted)
+    found = [tuple(x) for x in hj.near_duplicates(docs(rows), 2).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(found) == sorted(brute(rows, 2))
+    assert made[0][0] > 80 and made[0][1] < 90
+
+
+def test_sketches_differ_in_no_more_places_than_sets():
+    r = random.Random(6)
+    for n in (1, 40, 150, 5000):
+        one = [r.randrange(1 << 64) for _ in range(n)]
+        other = one[: n - n // 9] + [r.randrange(1 << 64) for _ in range(n // 9)]
+        a, b = (hj.parity_sketch(np.unique(np.array(x, np.uint64))) for x in (one, other))
+        apart = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+        assert len(a) == hj.SKETCH and apart <= len(set(one) ^ set(other))
+        assert n != 150 or apart > 25
+
+
 @pytest.mark.parametrize("size, seed", [(2, 1), (2, 2), (5, 3)])
 def test_equals_all_pairs(docs, prose, size, seed):
     rows = copies(prose, seed)

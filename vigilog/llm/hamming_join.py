@@ -12,15 +12,17 @@ Pairs that meet are confirmed on their full sets. Not every pair needs to be loo
 know who is connected:
 
 1. texts with equal sets are one class, found by a hash of the set;
-2. every class is compared with the least class of each key it is in, and with the greatest where more than SMALL_KEY
-   classes meet; of more than CENTRES such classes with those that come first by a hash, which are the same for
-   classes that meet often. So a class has at most CENTRES comparisons, however large a group of copies;
+2. every class is compared with the centre of each key it is in: the class that meets most others, over all its keys. In a
+   group of copies that is the one with the fewest changes, so most classes have the same few centres and are linked with
+   one; of more than CENTRES those that come first by a hash are taken, so a class has a bounded number of comparisons;
 3. components of these links are formed. Only keys with several components are looked at again, and of their
    classes only those that have a class of another component near them, by the lowest bits of their signatures;
 4. of the classes left, a pair is compared if it lies in different components and passes the prefix filter: of a link's two
    sets, the rarest ninth of the smaller one and the rarest fifth of the larger one share a shingle,
    rarity being counted over the classes left. Many copies that differ too much from each other
-   to be linked, each in shingles of its own, are so told apart without looking at their pairs.
+   to be linked, each in shingles of its own, are so told apart without looking at their pairs. Copies that share most of one
+   text pass it; of these, the join itself drops a pair whose parity sketches differ in more bits than a link's sets do in
+   shingles, which no link can. Sets of many times SKETCH x 64 shingles fill the sketch, which then drops less.
 
 So two connected texts end in one component just as if all pairs that meet had been compared. Keys and shingles are
 grouped with sums made in every task; where a large component meets others in a key, the others are
@@ -48,14 +50,14 @@ SYMBOLS = CHUNKS * WIDTH
 MOST_DIFFERENT = 50
 #: The same for the lowest bits of the symbols.
 MOST_BITS = 32
-#: In a key of so few classes one centre links what can be linked nearly as well as two.
-SMALL_KEY = 4
-#: Centres that a class is compared with at first; a class of a large group of near copies has one in every key.
+#: Centres that a class is compared with at first.
 CENTRES = 48
+#: Numbers of 64 bits in a parity sketch.
+SKETCH = 16
 BLOCK = 1 << 14
 MULTIPLIERS = np.random.default_rng(2).integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
 SIGNED = "doc_id bigint, n bigint, whole binary, signature binary, bits1 bigint, bits2 bigint"
-SETS = "whole binary, grams array<bigint>"
+SETS = "whole binary, grams array<bigint>, sketch array<bigint>"
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -74,6 +76,15 @@ def lowest_bits(sign: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(packed, np.int64).tolist())
 
 
+def parity_sketch(grams: np.ndarray) -> np.ndarray:
+    """For each of SKETCH x 64 places whether an odd number of shingles falls there.
+
+    A place differs between two sets only if a shingle there is in one of them alone, so no more places differ than shingles.
+    """
+    odd = np.bincount((grams >> np.uint64(32)).astype(np.int64) % (SKETCH * 64), minlength=SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def distinct_shingles(text: bytes, size: int, cache: WordHash) -> np.ndarray:
     return np.unique(shingle_hashes64(text.lower().split(), cache, size))
 
@@ -144,12 +155,12 @@ def full_sets(wanted: DataFrame, classes: DataFrame, documents: DataFrame, size:
             for whole, text in zip(batch.column("whole").to_pylist(), byte_texts(batch.column("text"))):
                 distinct = distinct_shingles(text, size, cache)
                 if xxhash.xxh3_128_digest(distinct.tobytes()) == whole:
-                    rows.append((whole, distinct.view(np.int64)))
+                    rows.append((whole, distinct.view(np.int64), parity_sketch(distinct)))
             if rows:
-                whole, grams = zip(*rows)
-                offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(grams)))
-                yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary()), lists], names=["whole", "grams"])
+                whole, *lists = zip(*rows)
+                offsets = [np.concatenate([[0], np.cumsum([len(x) for x in each])]) for each in lists]
+                arrays = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(each))) for at, each in zip(offsets, lists)]
+                yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary()), *arrays], names=["whole", "grams", "sketch"])
 
     return texts.mapInArrow(small(run), SETS).dropDuplicates(["whole"])
 
@@ -196,7 +207,7 @@ def still_open(met: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def pairs_left(sets: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different components that pass the prefix filter, of ``sets(short, root, n, grams)``."""
+    """``a, b``: pairs of different components that pass the prefix filter and the sketches, of ``sets(short, root, n, grams, sketch)``."""
     rows = sets.select("short", F.explode("grams").alias("gram"))
     counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = rows.join(counts, "gram").groupBy("short").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("shared"))
@@ -209,10 +220,13 @@ def pairs_left(sets: DataFrame) -> DataFrame:
     each = ready.select("short", "root", "n", "alone", F.posexplode("more").alias("at", "p"), F.size("few").alias("few"))
     rest = (F.col("n") - F.col("alone") - F.col("at")).alias("rest")  # shingles from this one on, in the order of rarity
     each = each.select("short", "root", "n", F.col("p.gram").alias("gram"), (F.col("at") < F.col("few")).alias("leads"), rest)
-    mixed = stored(in_mixed_groups(each, "gram"), "mixed")
+    mixed = stored(in_mixed_groups(each, "gram").join(sets.select("short", "sketch"), "short"), "mixed")
     leading = mixed.filter("leads")
     # Behind the first shared shingle both sets must have enough left to share four ninths of their sizes' sum.
     enough = F.least("x.rest", "y.rest") * 9 >= (F.col("x.n") + F.col("y.n")) * 4
+    # A link's sets have at most a ninth of their sizes' sum outside of what they share.
+    apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    enough = enough & (apart * 9 <= F.col("x.n") + F.col("y.n"))
     fits = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) & _sizes_fit("x", "y") & enough
     one = leading.filter("root <> main").alias("x").join(mixed.alias("y"), fits)
     two = leading.filter("root = main").alias("x").join(mixed.filter("root <> main").alias("y"), fits)
@@ -237,11 +251,12 @@ def near_duplicates(documents: DataFrame, size: int) -> DataFrame:
 
     index = classes.select("short", F.explode(index_keys("signature")).alias("key"))
     shared = index.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high"), F.count(F.lit(1)).alias("n_key"))
-    centres = F.array_distinct(F.array("low", F.when(F.col("n_key") > SMALL_KEY, F.col("high")).otherwise(F.col("low"))))
-    met = stored(index.join(shared.filter("low < high").select("key", centres.alias("centres")), "key").select("key", "short", "centres"), "met")
+    met = stored(index.join(shared.filter("low < high").select("key", "n_key"), "key"), "met")
 
-    star = met.select("short", F.explode("centres").alias("b")).filter("short <> b")
-    # At most two centres for each of a class's keys, so the sets are bounded; of more than CENTRES the first by hash are taken.
+    known = met.groupBy("short").agg(F.sum("n_key").alias("others"))
+    centres = met.select("key", "short").join(known, "short").groupBy("key").agg(F.max(F.struct("others", "short")).alias("centre"))
+    star = met.select("key", "short").join(centres.select("key", F.col("centre.short").alias("b")), "key").filter("short <> b")
+    # One centre for each of a class's keys, so the sets are bounded.
     asked = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("b").alias("place"), "b"))), 1, CENTRES)
     star = star.groupBy("short").agg(asked.alias("c")).select("short", F.explode("c.b").alias("b"))
     star = star.select(F.least("short", "b").alias("a"), F.greatest("short", "b").alias("b")).distinct()
@@ -256,13 +271,17 @@ def near_duplicates(documents: DataFrame, size: int) -> DataFrame:
     missing = stored(left.select("whole").join(sets.select("whole"), "whole", "left_anti"), "missing")
     if missing.limit(1).count():  # only then all texts are read once more
         sets = sets.unionAll(stored(full_sets(missing, classes, documents, size), "sets"))
-    left_sets = left.join(nodes, "short").join(sets, "whole").select("short", "root", "n", "grams")
+    left_sets = left.join(nodes, "short").join(sets, "whole").select("short", "root", "n", "grams", "sketch")
     rest = stored(similar_enough(pairs_left(left_sets), classes), "near").join(near, ["whole_a", "whole_b"], "left_anti")
-    whole = stored(links.unionAll(confirmed(rest, sets)), "links")
-
-    found = components(whole.select(F.col("whole_a").alias("a"), F.col("whole_b").alias("b")))
-    of_class = classes.select("whole", "rep").join(found.withColumnRenamed("node", "whole"), "whole", "left")
-    of_class = of_class.withColumn("root", F.coalesce("root", "whole"))
+    more = confirmed(rest, sets)  # between components, so only these are connected once more
+    for x in ("a", "b"):
+        end = root.select(F.col("whole").alias(f"whole_{x}"), F.col("root").alias(x))
+        more = more.join(end, f"whole_{x}", "left").withColumn(x, F.coalesce(x, f"whole_{x}"))
+    joined = components(more.select("a", "b"))
+
+    of_class = classes.select("whole", "rep").join(root, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
+    of_class = of_class.join(joined.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    of_class = of_class.select("whole", "rep", F.coalesce("last", "root").alias("root"))
     named = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = of_class.join(named, "root").select("whole", "component_id")
     out = rows.select("doc_id", "n", "whole").join(labels, "whole", "left")

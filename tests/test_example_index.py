@@ -117,3 +117,19 @@ def test_a_large_bank_is_not_scanned_for_log_lines(spark, folder, monkeypatch):
     monkeypatch.setattr(ei, "nearest_example", scan)
     found = scoring.similarity_results(log, bank, encoder, folder())
     assert sorted((r["line_id"], r["max_similarity_score"], r["most_similar_positive_idx"]) for r in found.collect()) == expected
+
+
+def test_vectors_that_no_bound_rules_out_go_to_groups_of_blocks(spark, tmp_path):
+    """A target is sent once for each group of blocks, not once for each block, and to the same blocks."""
+    random = np.random.default_rng(8)
+    bank = spark.createDataFrame([(i, random.normal(size=16).tolist()) for i in range(1500)], "idx bigint, v array<double>")
+    index = ei.build_index(bank, "v", str(tmp_path / "index"), cell_rows=16)
+    directory = ei.Directory(index)
+    units = random.normal(size=(20, 16))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    rows, blocks = directory.left(units, directory.homes(units), np.full(20, -1.0))
+    assert len(rows) == 20 * (len(directory.block) - 1) and len(directory.block) > 90
+    sent, groups, marks = directory.grouped(rows, blocks)
+    assert len(sent) <= len(rows) // 10
+    again = [(row, block) for row, group, mark in zip(sent, groups, marks) for block, _ in directory.marked(int(group), np.array([mark]))]
+    assert sorted(again) == sorted(zip(rows, blocks))

@@ -7,9 +7,9 @@ A directory holds, for every block, the least and the greatest distance from its
 
 Search. By the triangle inequality an example in a block is at least max(d - greatest, least - d) away from a target at
 distance d from a pivot, which bounds the cosine. Distinct targets first go to the block that promises most; the best
-cosine found there rules out all blocks whose bound is below it. The target then goes once to each block that is left. Both
-times the shuffle is by block, so a task reads the blocks of its targets only, one at a time, and Spark splits
-the targets of a hot block. The best by (cosine, lowest index) is merged per target and joined back.
+cosine found there rules out all blocks whose bound is below it. The target then goes once to each group of GROUP
+blocks of which some are left, with the marks of these, so vectors that no bound rules out are not sent once for every block. A task
+reads the blocks of its targets only, one at a time, and Spark splits the targets of a hot block or group. The best by (cosine, lowest index) is merged per target and joined back.
 
 Rows equal those of ``scoring.nearest_example``, which reads all examples in one narrow pass. ``nearest`` takes that
 one for banks of up to SCAN_ROWS examples, where a shuffle would cost more than it saves.
@@ -36,6 +36,8 @@ CELL_ROWS = 64
 MOST_CELLS = 1024
 BLOCK_ROWS = 8192
 REFERENCES = 16
+#: Blocks that a target is sent to at once.
+GROUP = 16
 #: Bounds are kept this much too wide, for rounding: those of cosines, and those of distances, whose square is what is exact.
 MARGIN = 1e-9
 SLACK = 2e-6
@@ -45,7 +47,7 @@ BOUNDS = 1 << 22
 VECTORS = "idx bigint, vector binary"
 PLACED = "idx bigint, vector binary, cell int, distance double"
 BLOCKS = "block bigint, cell int, ids array<bigint>, vectors binary, least array<double>, greatest array<double>"
-FOUND = "vector binary, block bigint, score double, idx bigint"
+FOUND = "vector binary, block bigint, which bigint, score double, idx bigint"
 
 
 @dataclass(frozen=True)
@@ -141,6 +143,22 @@ class Directory:
             blocks.append(self.block[b])
         return np.concatenate(rows), np.concatenate(blocks)
 
+    def grouped(self, rows: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group, marks of its blocks) of (row, block)."""
+        order = np.argsort(self.block)
+        group, bit = np.divmod(order[np.searchsorted(self.block, blocks, sorter=order)], GROUP)
+        groups = -(-len(self.block) // GROUP)
+        keys, of = np.unique(rows * groups + group, return_inverse=True)
+        which = np.bincount(of, np.left_shift(1, bit), minlength=len(keys)).astype(np.int64)
+        return keys // groups, keys % groups, which
+
+    def marked(self, group: int, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each block of a group and the places of ``which`` that have its mark."""
+        for bit, block in enumerate(self.block[group * GROUP:(group + 1) * GROUP].tolist()):
+            places = np.flatnonzero(which >> bit & 1)
+            if len(places):
+                yield block, places
+
 
 class Blocks:
     """Reads blocks by number and keeps the last one."""
@@ -259,6 +277,7 @@ def search_index(targets: DataFrame, index: ExampleIndex, column: str, encoder:
     keys = targets.select(F.col(column).alias("_key")).distinct()
     found = keys.schema.simpleString()[len("struct<_key:"):-1]
     shape = f"_key {found}, {FOUND}"
+    names = ["_key", *(x.split()[0] for x in FOUND.split(", "))]
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directory = Directory(index) if index.dim else None
@@ -276,34 +295,38 @@ def search_index(targets: DataFrame, index: ExampleIndex, column: str, encoder:
                 homes[turned] = directory.homes(units[turned])
             block = pa.array(homes[rows], pa.int64(), mask=homes[rows] < 0)
             yield pa.RecordBatch.from_arrays(
-                [values, _binary(units).take(pa.array(rows)), block, pa.array(score[rows]), pa.array(idx[rows])], names=["_key", "vector", "block", "score", "idx"])
+                [values, _binary(units).take(pa.array(rows)), block, pa.nulls(len(block), pa.int64()), pa.array(score[rows]), pa.array(idx[rows])], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch], follow: bool) -> Iterator[pa.RecordBatch]:
-        directory, blocks = Directory(index) if follow and index.dim else None, Blocks(index)
-        for batch, key, vector, block, score, idx in _tables(batches, "_key", "vector", "block", "score", "idx"):
+        directory, blocks = Directory(index) if index.dim else None, Blocks(index)
+        for batch, key, vector, block, which, score, idx in _tables(batches, *names):
             score, idx = score.to_numpy(zero_copy_only=False).copy(), idx.to_numpy(zero_copy_only=False).copy()
             asked = np.flatnonzero(block.is_valid().to_numpy(zero_copy_only=False))
-            numbers = block.fill_null(-1).to_numpy(zero_copy_only=False)
+            numbers, marks = (x.fill_null(0).to_numpy(zero_copy_only=False)[asked] for x in (block, which))
             units = _rows_of(vector.take(pa.array(asked)), index.dim) if len(asked) else np.empty((0, index.dim))
-            for number in np.unique(numbers[asked]):
-                mine = np.flatnonzero(numbers[asked] == number)
-                for at in range(0, len(mine), 512):
-                    part = mine[at:at + 512]
-                    top, first = blocks.best(int(number), units[part])
-                    rows = asked[part]
-                    better = (top > score[rows]) | ((top == score[rows]) & (first < idx[rows]))
-                    score[rows], idx[rows] = np.where(better, top, score[rows]), np.where(better, first, idx[rows])
-                    if pairs is not None:
-                        pairs.add(len(part) * len(blocks.ids))
-            nothing = pa.nulls(len(key), pa.binary())
-            names = ["_key", "vector", "block", "score", "idx"]
-            yield pa.RecordBatch.from_arrays([key, nothing, pa.nulls(len(key), pa.int64()), pa.array(score), pa.array(idx)], names=names)
+            for number in np.unique(numbers).tolist():
+                here = np.flatnonzero(numbers == number)
+                # A home is a block, what follows is a group with marks.
+                for one, places in [(number, np.arange(len(here)))] if follow else directory.marked(number, marks[here]):
+                    mine = here[places]
+                    for at in range(0, len(mine), 512):
+                        part = mine[at:at + 512]
+                        top, first = blocks.best(one, units[part])
+                        rows = asked[part]
+                        better = (top > score[rows]) | ((top == score[rows]) & (first < idx[rows]))
+                        score[rows], idx[rows] = np.where(better, top, score[rows]), np.where(better, first, idx[rows])
+                        if pairs is not None:
+                            pairs.add(len(part) * len(blocks.ids))
+            nothing = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([key, pa.nulls(len(key), pa.binary()), nothing, nothing, pa.array(score), pa.array(idx)], names=names)
             if follow and len(asked):
-                rows, more = directory.left(units, numbers[asked], score[asked])
+                rows, groups, marks = directory.grouped(*directory.left(units, numbers, score[asked]))
                 for at in range(0, len(rows), 10_000):
-                    part, where = rows[at:at + 10_000], pa.array(asked[rows[at:at + 10_000]])
+                    part = rows[at:at + 10_000]
+                    where = pa.array(asked[part])
                     yield pa.RecordBatch.from_arrays(
-                        [key.take(where), vector.take(where), pa.array(more[at:at + 10_000]), pa.array(score[asked[part]]), pa.array(idx[asked[part]])], names=names)
+                        [key.take(where), vector.take(where), pa.array(groups[at:at + 10_000]), pa.array(marks[at:at + 10_000]),
+                         pa.array(score[asked[part]]), pa.array(idx[asked[part]])], names=names)
 
     def by_block(rows: DataFrame, follow: bool) -> DataFrame:
         dealt = rows.hint("rebalance", "block").sortWithinPartitions("block")

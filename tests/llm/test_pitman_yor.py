@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from helpers_llm import docs, prose  # noqa: F401
 
+from vigilog.llm import common as py_common
 from vigilog.llm import pitman_yor as py
 
 
@@ -167,3 +168,25 @@ def test_every_customer_is_a_draw():
     for i in range(1, n):
         t += random.random(4000) < opening / (opening + i - discount * t)
     assert abs(fixed.var() / t.var() - 1) < 0.15
+
+
+def test_numbers_are_packed_without_loss():
+    random = np.random.default_rng(4)
+    hashes = random.integers(-(1 << 63), (1 << 63) - 1, 50)
+    for x in (np.empty(0, np.int64), hashes, np.sort(hashes), hashes[random.integers(0, 50, 3000)], np.array([-(1 << 63), (1 << 63) - 1, 0]), np.arange(5, dtype=np.int32), random.random(70).astype(np.float32)):
+        for way in (py.PLANES, py.RUNS, *[py.STEPS, py.DISTINCT] * (x.dtype.kind == "i")):
+            back = py.unpack(py.pack(x, way), x.dtype)
+            assert back.dtype == x.dtype and (back == x).all()
+    many = hashes[np.sort(random.integers(0, 50, 3000))]
+    assert len(py.pack(many, py.DISTINCT)) < 800
+
+
+def test_disk_is_not_left_taken(spark, docs, prose, tmp_path, monkeypatch):
+    """What the steps store goes when it is read: only what the result reads stays in the shared folder."""
+    rows = [(i, " ".join(prose(40, i))) for i in range(40)]
+    names = iter(range(1000))
+    monkeypatch.setattr(py_common, "shared_path", lambda spark, name: f"{tmp_path}/{name}-{next(names)}")
+    found = py.scores(docs(rows))
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["blocks", "known", "replies"]
+    check(found.collect(), rows)
+    assert spark.conf.get(py_common.CLEANUP, "false") == "false"

@@ -36,11 +36,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/vigilog-{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it cuts the lineage and survives lost executors."""
-    path = path or shared_path(df.sparkSession, name)
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back: it cuts the lineage and survives lost executors.
+
+    Its shuffle files go with the write, as nothing reads them again; the session's setting is put back.
+    """
+    spark = df.sparkSession
+    path = path or shared_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of ``stored`` that nothing reads any more from the shared folder."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -19,8 +19,9 @@ The predictive probabilities of the sweeps after BURN_IN are averaged. The words
 their sweeps are given the parent of that start, and the parent that scores is sampled from the tables of their last sweep.
 
 The pairs of neighbours in each block are dealt out to buckets, whose number grows with the training texts: by their context, so that a
-restaurant is seated in one task, and those of the FREQUENT contexts by the whole pair, with their numbers of tables
-summed up after every sweep. Pairs are told apart by 64-bit hashes of their words' hashes.
+restaurant is seated in one task, and those of the FREQUENT contexts by their word, with their numbers of tables
+summed up after every sweep; a word has at most FREQUENT such pairs. Pairs are told apart by 64-bit hashes of their words' hashes.
+Within a bucket they are ordered by context and word, so that places rise, and packed with each word's hash once.
 
 All counts are over all training texts. Texts are encoded in blocks of at most BLOCK tokens; for
 each block and each of its distinct words one row is counted, and resolved by a join, so that no shuffle has a row for every token and
@@ -44,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, held_out, small, mixed, stored
+from vigilog.llm.common import WordHash, byte_texts, dropped, held_out, small, mixed, stored
 
 FOLDS = 10
 FREQUENT = 1000
@@ -107,12 +108,36 @@ class WordIndex(dict):
         return number
 
 
-def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+#: How numbers are packed: bytes by their place in the number, steps from one number to the next, each distinct one once and
+#: places among these, or as they are, which is best where one stands many times in a row.
+PLANES, STEPS, DISTINCT, RUNS = range(4)
+
+
+def pack(x: np.ndarray, way: int = PLANES) -> bytes:
+    """The way, then the numbers, compressed."""
+    if way == DISTINCT:
+        found, at = np.unique(x, return_inverse=True)
+        head, at = pack(found, STEPS), at.astype(np.int32)
+        rises = bool((at[1:] >= at[:-1]).all())
+        return bytes([way]) + len(head).to_bytes(4, "little") + head + pack(at, STEPS if rises else PLANES)
+    if way == STEPS:
+        x = np.diff(x, prepend=x.dtype.type(0))  # may wrap, as the sum does
+    x = np.ascontiguousarray(x)
+    if way != RUNS:
+        x = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return bytes([way]) + zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
 
 def unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    way, x = x[0], x[1:]
+    if way == DISTINCT:
+        end = 4 + int.from_bytes(x[:4], "little")
+        return unpack(x[4:end], kind)[unpack(x[end:], np.int32)]
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    if way == RUNS:
+        return values.view(kind)
+    values = np.ascontiguousarray(values.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    return np.cumsum(values, dtype=kind) if way == STEPS else values
 
 
 def encoded(documents: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -220,6 +245,7 @@ def context_sweeps(cells: DataFrame, size: int) -> np.ndarray:
                 yield pd.DataFrame(rows, columns=["context", "cells", "tables", "opened"])
 
         seated = stored(state.select("context", "cells", "tables", "opened").mapInPandas(run, schema), "seated")
+        dropped(state)
         customers = np.zeros(size, np.int64)
         sums = seated.select(F.explode(F.arrays_zip(F.col("cells.dish").alias("dish"), "opened")).alias("c"))
         for dish, n in sums.groupBy("c.dish").agg(F.sum("c.opened")).collect():
@@ -235,6 +261,7 @@ def context_sweeps(cells: DataFrame, size: int) -> np.ndarray:
                 sample[row["context"], dish] = n - discount * np.array(row["opened"])
             mean += (sample + (strength + discount * tables)[:, None] * parent) / (strength + totals)[:, None]
         state = seated
+    dropped(state)
     return (mean / (SWEEPS - BURN_IN)).astype(np.float32)
 
 
@@ -322,13 +349,16 @@ SEATED = "bucket int, own binary, share binary, " + TALLIES
 
 
 def block_pairs(words: bytes, vocabulary: np.ndarray, classes: Classes, buckets: int) -> tuple[np.ndarray, ...]:
-    """The distinct pairs of a block by bucket: contexts and words in its vocabulary, buckets, and the pair of each token."""
-    tokens = unpack(words, np.int32).astype(np.int64)
+    """The distinct pairs of a block by bucket, context and word: both in its vocabulary, buckets, and the pair of each token."""
     size = len(vocabulary)
+    by_hash = np.argsort(vocabulary)
+    rank = np.empty_like(by_hash)
+    rank[by_hash] = np.arange(size)
+    tokens = rank[unpack(words, np.int32)]
     pairs, of = np.unique(_before(tokens) * size + tokens, return_inverse=True)
-    context, word = np.divmod(pairs, size)
-    whole = classes.of(vocabulary)[context] < len(classes.words)
-    bucket = (mixed(np.where(whole, pair_keys(vocabulary[context], vocabulary[word]), vocabulary[context].view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+    context, word = (by_hash[x] for x in np.divmod(pairs, size))
+    frequent = classes.of(vocabulary)[context] < len(classes.words)
+    bucket = (mixed(vocabulary[np.where(frequent, word, context)].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
@@ -346,13 +376,13 @@ def tallies(contexts: np.ndarray, words: np.ndarray, tables: np.ndarray, classes
     rare = kind >= len(classes.words)
     found, which = np.unique(words[rare], return_inverse=True)
     sums = (np.bincount(i, w, minlength=len(x)).astype(np.int64) for i, w, x in ((of, tables, cells), (which, tables[rare], found)))
-    return tuple(pack(x) for x in (cells, next(sums), found, next(sums)))
+    return pack(cells, STEPS), pack(next(sums)), pack(found, STEPS), pack(next(sums))
 
 
 def merged_pairs(blocks: DataFrame, classes: Classes, buckets: int) -> DataFrame:
-    """MERGED: a bucket's pairs in training texts, and the place among them of each pair that a block has there.
+    """MERGED: a bucket's pairs in training texts, and twice the place among them of each pair that a block has there.
 
-    A pair that no training text has gets -2 less the place of one with its context, or -1 without any.
+    A pair that no training text has gets 3 more than twice the place of one with its context, or 1 without any.
     """
 
     def deal(parts):
@@ -363,7 +393,7 @@ def merged_pairs(blocks: DataFrame, classes: Classes, buckets: int) -> DataFrame
                 n = np.bincount(of[np.repeat(~np.array(held, bool), sizes)], minlength=len(context))
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
                 for i, j in zip(cuts[:-1], cuts[1:]):
-                    values = (int(bucket[i]), block, pack(vocabulary[context[i:j]]), pack(vocabulary[word[i:j]]), pack(n[i:j].astype(np.int32)))
+                    values = (int(bucket[i]), block, pack(vocabulary[context[i:j]], DISTINCT), pack(vocabulary[word[i:j]], DISTINCT), pack(n[i:j].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int64(), *[pa.binary()] * 3))],
                                                      names=["bucket", "block", "contexts", "words", "n"])
 
@@ -374,16 +404,16 @@ def merged_pairs(blocks: DataFrame, classes: Classes, buckets: int) -> DataFrame
         total = np.bincount(of, n, minlength=len(keys)).astype(np.int64)
         contexts, words = contexts[first], words[first]
         seen = np.flatnonzero(total)
-        seen = seen[np.argsort(contexts[seen], kind="stable")]  # a context's pairs stand together, which packs well
-        place = np.full(len(keys), -1, np.int32)
-        place[seen] = np.arange(len(seen))
+        seen = seen[np.lexsort((words[seen], contexts[seen]))]
+        place = np.ones(len(keys), np.int32)
         if len(seen):
             near = np.minimum(np.searchsorted(contexts[seen], contexts), len(seen) - 1)
-            place = np.where((place < 0) & (contexts[seen][near] == contexts), -2 - near, place).astype(np.int32)
+            place = np.where(contexts[seen][near] == contexts, 2 * near + 3, 1).astype(np.int32)
+        place[seen] = 2 * np.arange(len(seen))
         ends = np.cumsum([len(unpack(x, np.int32)) for x in found["n"]])[:-1]
         contexts, words, total = contexts[seen], words[seen], total[seen]
-        places = [pack(x) for x in np.split(place[of], ends)]
-        row = (int(found["bucket"].iloc[0]), pack(contexts), pack(words), pack(total), list(found["block"]), places,
+        places = [pack(x, STEPS) for x in np.split(place[of], ends)]
+        row = (int(found["bucket"].iloc[0]), pack(contexts, DISTINCT), pack(words, DISTINCT), pack(total), list(found["block"]), places,
                *tallies(contexts, words, np.ones(len(seen), np.int64), classes))
         return pd.DataFrame([row], columns=[x.split()[0] for x in MERGED.split(", ")])
 
@@ -423,9 +453,9 @@ def resolved(rows: DataFrame, number: str, rooms: RareRestaurants) -> DataFrame:
         for batch in parts:
             word, c, seated, at, place = (batch.column(x).to_numpy() for x in ("word", "c", "seated", number, "place"))
             p = np.log10(rooms.probability(word, seated)).astype(np.float32)
-            order = np.argsort(at, kind="stable")
+            order = np.lexsort((place, at))
             cuts = np.flatnonzero(np.diff(at[order])) + 1
-            out = [(int(at[o[0]]), pack(place[o]), pack(c[o]), pack(p[o])) for o in np.split(order, cuts) if len(o)]
+            out = [(int(at[o[0]]), pack(place[o], STEPS), pack(c[o]), pack(p[o])) for o in np.split(order, cuts) if len(o)]
             if out:
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[number, "place", "c", "p"])
@@ -472,13 +502,13 @@ def with_parents(merged: DataFrame, classes: Classes, following, rooms: RareRest
 class Bucket:
     """The pairs of a bucket and their seating."""
 
-    def __init__(self, classes: Classes, contexts: bytes, words: bytes, n: bytes, parent: bytes):
-        self.contexts, self.words, self.n = (unpack(x, np.int64) for x in (contexts, words, n))
+    def __init__(self, classes: Classes, contexts: np.ndarray, words: np.ndarray, n: np.ndarray, parent: np.ndarray):
+        self.contexts, self.words, self.n = contexts, words, n
         self.kind = classes.of(self.contexts)
         self.frequent = self.kind < len(classes.words)
         self.rooms, self.room = np.unique(self.contexts, return_inverse=True)
         self.several = np.flatnonzero(self.n > 1)
-        self.parent = unpack(parent, np.float32).astype(float)
+        self.parent = parent.astype(float)
         self.keys = pair_keys(self.contexts, self.words)
 
     def summed(self, values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -512,7 +542,7 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
                 for row in zip(*(batch.column(c).to_pylist() for c in columns)):
                     contexts, words, n = (unpack(x, np.int64) for x in row[:3])
                     frequent = classes.of(contexts) < len(classes.words)
-                    part = Bucket(classes, pack(contexts[frequent]), pack(words[frequent]), pack(n[frequent]), pack(unpack(row[3], np.float32)[frequent[n > 1]]))
+                    part = Bucket(classes, contexts[frequent], words[frequent], n[frequent], unpack(row[3], np.float32)[frequent[n > 1]])
                     opened = np.ones(len(part.n), np.int64)
                     for s, tables in enumerate(history):
                         opened = part.seated(tables[part.kind], opened, s)
@@ -527,7 +557,7 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
     def run(parts):
         for batch in parts:
             for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns))):
-                part = Bucket(classes, *row)
+                part = Bucket(classes, *(unpack(x, np.int64) for x in row[:3]), unpack(row[3], np.float32))
                 total = strength + part.summed(part.n, customers)
                 opened = np.ones(len(part.n), np.int64)
                 own, share = np.zeros(len(part.n)), np.zeros(len(part.n))
@@ -537,7 +567,7 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
                         own += (part.n - discount * opened) / total
                         share += (strength + discount * part.summed(opened, history[sweep + 1])) / total
                 sweeps = SWEEPS - BURN_IN
-                values = (bucket, *(pack((x / sweeps).astype(np.float32)) for x in (own, share)), *tallies(part.contexts, part.words, opened, classes))
+                values = (bucket, *(pack((x / sweeps).astype(np.float32), RUNS) for x in (own, share)), *tallies(part.contexts, part.words, opened, classes))
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), *[pa.binary()] * 6))], names=[x.split()[0] for x in SEATED.split(", ")])
 
     left = np.mean([(strength + discount * t) / (strength + customers) for t in history[BURN_IN + 1:]], axis=0)
@@ -553,8 +583,8 @@ def pair_replies(merged: DataFrame, seated: DataFrame) -> DataFrame:
             own, share = unpack(t.own, np.float32), unpack(t.share, np.float32)
             own, share = (np.append(x, np.float32(y)) for x, y in ((own, 0), (share, 1)))  # the last one: a context never seen
             for block, place in zip(r.blocks, r.places):
-                at = unpack(place, np.int32)
-                rows.append((block, r.bucket, pack(own[np.where(at < 0, -1, at)]), pack(share[np.where(at < -1, -2 - at, at)])))
+                at, new = np.divmod(unpack(place, np.int32), 2)
+                rows.append((block, r.bucket, pack(own[np.where(new, -1, at)], RUNS), pack(share[at - new], RUNS)))
         return pd.DataFrame(rows, columns=["block", "bucket", "own", "share"])
 
     left = merged.select("bucket", "blocks", "places").groupBy("bucket")
@@ -564,7 +594,11 @@ def pair_replies(merged: DataFrame, seated: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- scores
 
 def scores(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """SCORED and ``train_tokens`` for ``documents(doc_id, text)``, a row for each row."""
+    """SCORED and ``train_tokens`` for ``documents(doc_id, text)``, a row for each row.
+
+    What a step has stored goes as soon as the steps that read it have stored their own; the blocks, their words and the
+    replies to their pairs stay, as the result reads them.
+    """
     spark = documents.sparkSession
     blocks = stored(encoded(documents, block), "blocks")
     rows = placed_words(blocks)
@@ -586,20 +620,26 @@ def scores(documents: DataFrame, block: int = BLOCK) -> DataFrame:
             tables[kind] = n
         rare = stored(rare_customers(tallied), "rare")
         following = spark.sparkContext.broadcast(np.log10(context_sweeps(cells, len(classes))))
-        return following, rare_sweeps(rare, classes), rare, tables
+        rooms = rare_sweeps(rare, classes)
+        dropped(cells)
+        return following, rooms, rare, tables
 
     buckets = LEAST_BUCKETS + trained // BUCKET
     merged = stored(merged_pairs(blocks, classes, buckets), "pairs")
     following, rooms, rare, tables = parent(merged)
     state = stored(with_parents(merged, classes, following, rooms, rare), "parents")
+    dropped(rare)
     seated, share_left = word_sweeps(state, classes, customers, tables)
     seated = stored(seated, "seated")
+    dropped(state)
     following, rooms, rare, _ = parent(seated)
+    replies = stored(pair_replies(merged, seated).withColumnRenamed("own", "c").withColumnRenamed("share", "p"), "replies")
+    dropped(merged, seated)
     base = trained + 0.1 * (types + 1)
 
-    counts = counts.join(rare.withColumnRenamed("c", "seated"), "word", "left").fillna(0, ["seated"])
-    known = resolved(rows.select("word", "block", "place").join(counts, "word"), "block", rooms)
-    replies = pair_replies(merged, seated).withColumnRenamed("own", "c").withColumnRenamed("share", "p")
+    seen = counts.join(rare.withColumnRenamed("c", "seated"), "word", "left").fillna(0, ["seated"])
+    known = stored(resolved(rows.select("word", "block", "place").join(seen, "word"), "block", rooms), "known")
+    dropped(counts, rare)
     known = known.withColumn("bucket", F.lit(-1)).unionByName(replies.withColumn("place", F.lit(None).cast("binary")))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

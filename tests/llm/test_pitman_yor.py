@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers_llm import docs, prose  # noqa: F401
 
@@ -190,3 +191,14 @@ def test_disk_is_not_left_taken(spark, docs, prose, tmp_path, monkeypatch):
     assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["blocks", "known", "replies"]
     check(found.collect(), rows)
     assert spark.conf.get(py_common.CLEANUP, "false") == "false"
+
+
+def test_words_are_split_at_the_six_spaces_only():
+    random = np.random.default_rng(6)
+    parts = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\0", "a", "B", "\xc9", "\u00df", "Z\u0130"]
+    texts = ["".join(random.choice(parts, random.integers(0, 12))) for _ in range(2000)] + [None, "", " ", "a ", " a"]
+    for kind in (pa.string(), pa.large_string()):
+        words, sizes = py.split_words(pa.array(texts, kind))
+        wanted = [(x or "").encode().lower().split() for x in texts]
+        assert sizes.tolist() == [len(w) for w in wanted]
+        assert [w.encode() for w in words.to_pylist()] == [w for each in wanted for w in each]

@@ -36,16 +36,19 @@ all probabilities are the bases'; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import WordHash, byte_texts, dropped, held_out, small, mixed, stored
+from vigilog.llm.common import WordHash, dropped, held_out, small, mixed, stored
 
 FOLDS = 10
 FREQUENT = 1000
@@ -56,6 +59,8 @@ SWEEPS, BURN_IN = 4, 2
 BUCKET, LEAST_BUCKETS = 2_000_000, 64
 #: Discount and strength of the restaurants of words, of classes, of their parent and of the rare classes.
 WORDS, CONTEXT, PARENT, TOKENS = (0.75, 1.0), (0.5, 2.0), (0.5, 2.0), (0.75, 1.0)
+#: Rows that are packed at once.
+PACKED = 1 << 18
 END = b"\n"  # no word
 ENCODED = "block bigint, ids array<bigint>, sizes array<int>, held array<boolean>, words binary, vocabulary binary, trained binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -97,15 +102,13 @@ def seat(counts: np.ndarray, opening: np.ndarray, discount: float, keys: np.ndar
 
 # ---------------------------------------------------------------- blocks
 
-class WordIndex(dict):
-    """Words numbered in the order they come; the end is 0."""
-
-    def __init__(self):
-        super().__init__({END: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one text after the other, and the number of words of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # space at an end of a text leaves an empty word
+    row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+    return words.filter(full), np.bincount(row[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 #: How numbers are packed: bytes by their place in the number, steps from one number to the next, each distinct one once and
@@ -116,10 +119,7 @@ PLANES, STEPS, DISTINCT, RUNS = range(4)
 def pack(x: np.ndarray, way: int = PLANES) -> bytes:
     """The way, then the numbers, compressed."""
     if way == DISTINCT:
-        found, at = np.unique(x, return_inverse=True)
-        head, at = pack(found, STEPS), at.astype(np.int32)
-        rises = bool((at[1:] >= at[:-1]).all())
-        return bytes([way]) + len(head).to_bytes(4, "little") + head + pack(at, STEPS if rises else PLANES)
+        return pack_distinct(*np.unique(x, return_inverse=True))
     if way == STEPS:
         x = np.diff(x, prepend=x.dtype.type(0))  # may wrap, as the sum does
     x = np.ascontiguousarray(x)
@@ -128,11 +128,26 @@ def pack(x: np.ndarray, way: int = PLANES) -> bytes:
     return bytes([way]) + zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
 
+def pack_distinct(found: np.ndarray, at: np.ndarray) -> bytes:
+    """The numbers ``found[at]``, of rising ``found``; what no place names is left out."""
+    named = np.zeros(len(found), bool)
+    named[at] = True
+    at = (np.cumsum(named, dtype=np.int32) - np.int32(1))[at]
+    head, rises = pack(found[named], STEPS), bool((at[1:] >= at[:-1]).all())
+    return bytes([DISTINCT]) + len(head).to_bytes(4, "little") + head + pack(at, STEPS if rises else PLANES)
+
+
+def unpack_distinct(x: bytes, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, rising, and the places among them."""
+    end = 5 + int.from_bytes(x[1:5], "little")
+    return unpack(x[5:end], kind), unpack(x[end:], np.int32)
+
+
 def unpack(x: bytes, kind) -> np.ndarray:
+    if x[0] == DISTINCT:
+        found, at = unpack_distinct(x, kind)
+        return found[at]
     way, x = x[0], x[1:]
-    if way == DISTINCT:
-        end = 4 + int.from_bytes(x[:4], "little")
-        return unpack(x[4:end], kind)[unpack(x[end:], np.int32)]
     values = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
     if way == RUNS:
         return values.view(kind)
@@ -145,34 +160,38 @@ def encoded(documents: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(parts):
         number = TaskContext.get().partitionId() << 32
-        index, ids, held, each = WordIndex(), [], [], []
-        total = 0
-
-        def row():
-            tokens = np.concatenate(each)
-            sizes = np.array([len(x) for x in each], np.int32)
-            learned = np.repeat(~np.array(held, bool), sizes)
-            trained = np.bincount(tokens[learned], minlength=len(index)).astype(np.int64)
-            cache = WordHash()
-            words = np.fromiter(map(cache.__getitem__, index), np.uint64, len(index))
-            values = (number, ids, sizes, held, pack(tokens), words.tobytes(), pack(trained))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())
+        each: list[tuple] = []  # ids, held, sizes, words
+
+        def row(number):
+            ids, held, sizes, words = zip(*each)
+            held, sizes = np.concatenate(held), np.concatenate(sizes) + 1
+            coded = pa.chunked_array(words).dictionary_encode().unify_dictionaries().chunks  # none without words
+            found = coded[0].dictionary.cast(pa.large_binary()).to_pylist() if coded else []
+            tokens = np.ones(int(sizes.sum()), np.int32)
+            tokens[np.cumsum(sizes) - 1] = 0  # the end is the first of the vocabulary
+            tokens[tokens > 0] = 1 + np.concatenate([np.empty(0, np.int32), *(x.indices.to_numpy() for x in coded)])
+            trained = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(found) + 1).astype(np.int64)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [END, *found]), np.uint64, len(found) + 1)
+            values = (number, [i for part in ids for i in part], sizes.astype(np.int32), held, pack(tokens), hashes.tobytes(), pack(trained))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in ENCODED.split(", ")])
 
+        total = 0
         for batch in parts:
-            for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), byte_texts(batch.column("text"))):
-                words = text.lower().split()
-                words.append(END)
-                each.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-                ids.append(doc)
-                held.append(out)
-                total += len(words)
+            ids, held = (batch.column(c).to_pylist() for c in ("doc_id", "held"))
+            words, sizes = split_words(batch.column("text"))
+            starts, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while at < len(ids):
+                tokens = total + np.cumsum(sizes[at:] + 1)
+                to = min(len(ids), at + int(np.searchsorted(tokens, block)) + 1)  # a block ends with the text that fills it
+                each.append((ids[at:to], np.array(held[at:to], bool), sizes[at:to], words.slice(starts[at], starts[to] - starts[at])))
+                total, at = int(tokens[to - at - 1]), to
                 if total >= block:
-                    yield row()
-                    number += 1
-                    index, ids, held, each, total = WordIndex(), [], [], [], 0
+                    yield row(number)
+                    number, total = number + 1, 0
+                    each.clear()
         if each:
-            yield row()
+            yield row(number)
 
     chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", FOLDS).alias("held"), "text")
     return chosen.mapInArrow(small(run), ENCODED)
@@ -184,13 +203,13 @@ def placed_words(blocks: DataFrame) -> DataFrame:
     def run(parts):
         for batch in parts:
             for block, words, trained in zip(*(batch.column(c).to_pylist() for c in ("block", "vocabulary", "trained"))):
-                words = np.frombuffer(words, np.int64)
+                words, trained = np.frombuffer(words, np.int64), unpack(trained, np.int64)
                 for at in range(0, len(words), 1 << 16):
                     part = slice(at, at + (1 << 16))
                     n = len(words[part])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(words[part]), pa.array(np.full(n, block, np.int64)), pa.array(np.arange(at, at + n, dtype=np.int32)),
-                         pa.array(unpack(trained, np.int64)[part])], names=["word", "block", "place", "n"])
+                         pa.array(trained[part])], names=["word", "block", "place", "n"])
 
     return blocks.select("block", "vocabulary", "trained").mapInArrow(run, "word bigint, block bigint, place int, n bigint")
 
@@ -352,15 +371,25 @@ def block_pairs(words: bytes, vocabulary: np.ndarray, classes: Classes, buckets:
     """The distinct pairs of a block by bucket, context and word: both in its vocabulary, buckets, and the pair of each token."""
     size = len(vocabulary)
     by_hash = np.argsort(vocabulary)
-    rank = np.empty_like(by_hash)
+    rank = np.empty(size, np.int32)
     rank[by_hash] = np.arange(size)
     tokens = rank[unpack(words, np.int32)]
-    pairs, of = np.unique(_before(tokens) * size + tokens, return_inverse=True)
-    context, word = (by_hash[x] for x in np.divmod(pairs, size))
+    pairs = _before(tokens).astype(np.int64)  # as np.unique does it, with half of its memory
+    pairs *= size
+    pairs += tokens
+    del tokens
+    order = pairs.argsort()
+    pairs = pairs[order]
+    first = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    del order
+    context, word = (by_hash[x] for x in np.divmod(pairs[first], size))
+    del pairs
     frequent = classes.of(vocabulary)[context] < len(classes.words)
     bucket = (mixed(vocabulary[np.where(frequent, word, context)].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    place = np.empty_like(order)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
     return context[order], word[order], bucket[order], place[of]
 
@@ -369,14 +398,20 @@ def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(mixed(contexts.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + words.view(np.uint64))
 
 
-def tallies(contexts: np.ndarray, words: np.ndarray, tables: np.ndarray, classes: Classes) -> tuple[bytes, ...]:
-    """TALLIES: the tables by classes of context and word, and by rare word."""
-    kind = classes.of(words)
-    cells, of = np.unique(classes.of(contexts) * len(classes) + kind, return_inverse=True)
-    rare = kind >= len(classes.words)
-    found, which = np.unique(words[rare], return_inverse=True)
-    sums = (np.bincount(i, w, minlength=len(x)).astype(np.int64) for i, w, x in ((of, tables, cells), (which, tables[rare], found)))
-    return pack(cells, STEPS), pack(next(sums)), pack(found, STEPS), pack(next(sums))
+def tallies(contexts: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], tables: np.ndarray, classes: Classes) -> tuple[bytes, ...]:
+    """TALLIES: the tables by classes of context and word, and by rare word; contexts and words as distinct ones and places."""
+    (found, word), kind = words, classes.of(words[0])
+    cells, of = np.unique((classes.of(contexts[0]) * len(classes))[contexts[1]] + kind[word], return_inverse=True)
+    sums = np.bincount(word, tables, minlength=len(found)).astype(np.int64)
+    rare = (kind >= len(classes.words)) & (sums > 0)
+    return pack(cells, STEPS), pack(np.bincount(of, tables, minlength=len(cells)).astype(np.int64)), pack(found[rare], STEPS), pack(sums[rare])
+
+
+def gathered(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed distinct numbers of several parts as those of all, and the places one part after the other."""
+    parts = [unpack_distinct(x, np.int64) for x in parts]
+    found = np.unique(np.concatenate([f for f, _ in parts]))
+    return found, np.concatenate([np.searchsorted(found, f)[at] for f, at in parts])
 
 
 def merged_pairs(blocks: DataFrame, classes: Classes, buckets: int) -> DataFrame:
@@ -399,22 +434,19 @@ def merged_pairs(blocks: DataFrame, classes: Classes, buckets: int) -> DataFrame
 
     def merge(found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("block")
-        contexts, words, n = (np.concatenate([unpack(x, k) for x in found[c]]) for c, k in (("contexts", np.int64), ("words", np.int64), ("n", np.int32)))
-        keys, first, of = np.unique(pair_keys(contexts, words), return_index=True, return_inverse=True)
-        total = np.bincount(of, n, minlength=len(keys)).astype(np.int64)
-        contexts, words = contexts[first], words[first]
-        seen = np.flatnonzero(total)
-        seen = seen[np.lexsort((words[seen], contexts[seen]))]
-        place = np.ones(len(keys), np.int32)
-        if len(seen):
-            near = np.minimum(np.searchsorted(contexts[seen], contexts), len(seen) - 1)
-            place = np.where(contexts[seen][near] == contexts, 2 * near + 3, 1).astype(np.int32)
-        place[seen] = 2 * np.arange(len(seen))
-        ends = np.cumsum([len(unpack(x, np.int32)) for x in found["n"]])[:-1]
-        contexts, words, total = contexts[seen], words[seen], total[seen]
-        places = [pack(x, STEPS) for x in np.split(place[of], ends)]
-        row = (int(found["bucket"].iloc[0]), pack(contexts, DISTINCT), pack(words, DISTINCT), pack(total), list(found["block"]), places,
-               *tallies(contexts, words, np.ones(len(seen), np.int64), classes))
+        contexts, words = gathered(found["contexts"]), gathered(found["words"])
+        n = [unpack(x, np.int32) for x in found["n"]]
+        keys, of = np.unique(contexts[1] * len(words[0]) + words[1], return_inverse=True)
+        total = np.bincount(of, np.concatenate(n), minlength=len(keys)).astype(np.int64)
+        seen = total > 0
+        context, word = np.divmod(keys, max(1, len(words[0])))
+        before = np.cumsum(np.bincount(context[seen] + 1, minlength=len(contexts[0]) + 1))  # pairs of the contexts before each
+        place = np.where(before[context + 1] > before[context], 2 * before[context] + 3, 1).astype(np.int32)
+        context, word, total = context[seen], word[seen], total[seen]
+        place[seen] = 2 * np.arange(len(total))
+        places = [pack(x, STEPS) for x in np.split(place[of], np.cumsum([len(x) for x in n])[:-1])]
+        row = (int(found["bucket"].iloc[0]), pack_distinct(contexts[0], context), pack_distinct(words[0], word), pack(total), list(found["block"]), places,
+               *tallies((contexts[0], context), (words[0], word), np.ones(len(total), np.int64), classes))
         return pd.DataFrame([row], columns=[x.split()[0] for x in MERGED.split(", ")])
 
     dealt = blocks.select("block", "sizes", "held", "words", "vocabulary").mapInArrow(deal, "bucket int, block bigint, contexts binary, words binary, n binary")
@@ -446,34 +478,59 @@ def rare_customers(rows: DataFrame) -> DataFrame:
     return _unpacked_rows(rows, ("rare", "rare_tables"), "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def resolved(rows: DataFrame, number: str, rooms: RareRestaurants) -> DataFrame:
-    """``rows(word, c, seated, place)`` and ``number``, packed by number with the probabilities of the words in their classes."""
+def word_probabilities(words: DataFrame, rooms: RareRestaurants) -> DataFrame:
+    """``word, c, p`` of ``words(word, c, seated)``: the decimal logarithm of a word's probability in its class."""
+
+    def run(parts):
+        for batch in parts:
+            p = np.log10(rooms.probability(batch.column("word").to_numpy(), batch.column("seated").to_numpy())).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], names=["word", "c", "p"])
+
+    return words.select("word", "c", "seated").mapInArrow(run, "word bigint, c bigint, p float")
+
+
+def resolved(rows: DataFrame, number: str) -> DataFrame:
+    """``rows(place, c, p)`` and ``number``, packed by number."""
+
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+    def row(found):
+        c, p, at, place = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((place, at))
+        cuts = np.flatnonzero(np.diff(at[order])) + 1
+        out = [(int(at[o[0]]), pack(place[o], STEPS), pack(c[o]), pack(p[o])) for o in np.split(order, cuts)]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[number, "place", "c", "p"])
 
     def run(parts):
+        found, total = [], 0
         for batch in parts:
-            word, c, seated, at, place = (batch.column(x).to_numpy() for x in ("word", "c", "seated", number, "place"))
-            p = np.log10(rooms.probability(word, seated)).astype(np.float32)
-            order = np.lexsort((place, at))
-            cuts = np.flatnonzero(np.diff(at[order])) + 1
-            out = [(int(at[o[0]]), pack(place[o], STEPS), pack(c[o]), pack(p[o])) for o in np.split(order, cuts) if len(o)]
-            if out:
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[number, "place", "c", "p"])
+            if batch.num_rows:
+                found.append([batch.column(x).to_numpy() for x in ("c", "p", number, "place")])
+                total += batch.num_rows
+            if total >= PACKED:
+                yield row(found)
+                found, total = [], 0
+        if found:
+            yield row(found)
 
-    return rows.select("word", "c", "seated", number, "place").mapInArrow(run, f"{number} bigint, place binary, c binary, p binary")
+    return rows.select("c", "p", number, "place").mapInArrow(run, f"{number} bigint, place binary, c binary, p binary")
 
 
 def with_parents(merged: DataFrame, classes: Classes, following, rooms: RareRestaurants, customers: DataFrame) -> DataFrame:
     """``bucket, contexts, words, n, parent``: with the parent's probability of each pair that comes twice or more."""
 
-    def wanted(words: bytes, n: bytes) -> np.ndarray:
-        words = np.unique(unpack(words, np.int64)[unpack(n, np.int64) > 1])
-        return words[classes.of(words) >= len(classes.words)]
+    def wanted(words: bytes, n: bytes) -> tuple[np.ndarray, ...]:
+        """The distinct words and their classes, the word of each pair that comes twice or more, and which words of these are rare."""
+        found, at = unpack_distinct(words, np.int64)
+        at, kind, rare = at[unpack(n, np.int64) > 1], classes.of(found), np.zeros(len(found), bool)
+        rare[at] = True
+        return found, kind, at, rare & (kind >= len(classes.words))
 
     def ask(parts):
         for batch in parts:
             for bucket, words, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "n"))):
-                words = wanted(words, n)
+                found, _, _, rare = wanted(words, n)
+                words = found[rare]
                 for at in range(0, len(words), 1 << 16):
                     part = words[at:at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), bucket, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32))],
@@ -482,19 +539,19 @@ def with_parents(merged: DataFrame, classes: Classes, following, rooms: RareRest
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in left.itertuples():
-            contexts, words, n = (unpack(x, np.int64) for x in (r.contexts, r.words, r.n))
-            rare = wanted(r.words, r.n)
-            p = np.zeros(len(rare) + 1)
+            found, kind, at, rare = wanted(r.words, r.n)
+            p = np.zeros(int(rare.sum()))
             for place, ps in zip(right["place"], right["p"]):
                 p[unpack(place, np.int32)] = unpack(ps, np.float32)
-            contexts, words = contexts[n > 1], words[n > 1]
-            kind = classes.of(words)
-            own = np.where(kind < len(classes.words), 0.0, p[np.searchsorted(rare, words)])
-            rows.append((r.bucket, r.contexts, r.words, r.n, pack((10.0 ** (following.value[classes.of(contexts), kind] + own)).astype(np.float32))))
+            own = np.zeros(len(found))
+            own[rare] = p
+            contexts, of = unpack_distinct(r.contexts, np.int64)
+            of = classes.of(contexts)[of[unpack(r.n, np.int64) > 1]]
+            rows.append((r.bucket, r.contexts, r.words, r.n, pack((10.0 ** (following.value[of, kind[at]] + own[at])).astype(np.float32))))
         return pd.DataFrame(rows, columns=["bucket", "contexts", "words", "n", "parent"])
 
     asked = merged.select("bucket", "words", "n").mapInArrow(ask, "word bigint, bucket bigint, place int")
-    found = resolved(asked.join(customers, "word").withColumn("seated", F.col("c")), "bucket", rooms)
+    found = resolved(asked.join(word_probabilities(customers.withColumn("seated", F.col("c")), rooms), "word"), "bucket")
     left = merged.select(F.col("bucket").cast("bigint").alias("bucket"), "contexts", "words", "n")
     return left.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(answer, "bucket bigint, contexts binary, words binary, n binary, parent binary")
 
@@ -502,18 +559,31 @@ def with_parents(merged: DataFrame, classes: Classes, following, rooms: RareRest
 class Bucket:
     """The pairs of a bucket and their seating."""
 
-    def __init__(self, classes: Classes, contexts: np.ndarray, words: np.ndarray, n: np.ndarray, parent: np.ndarray):
-        self.contexts, self.words, self.n = contexts, words, n
-        self.kind = classes.of(self.contexts)
-        self.frequent = self.kind < len(classes.words)
-        self.rooms, self.room = np.unique(self.contexts, return_inverse=True)
+    def __init__(self, classes: Classes, contexts: bytes, words: bytes, n: bytes, parent: bytes):
+        (self.contexts, self.room), (self.words, self.word) = (unpack_distinct(x, np.int64) for x in (contexts, words))
+        self.n = unpack(n, np.int64)
+        kind = classes.of(self.contexts)
+        self.kind, self.frequent = kind[self.room], (kind < len(classes.words))[self.room]
         self.several = np.flatnonzero(self.n > 1)
-        self.parent = parent.astype(float)
-        self.keys = pair_keys(self.contexts, self.words)
+        self.parent = unpack(parent, np.float32).astype(float)
+
+    def only_frequent(self) -> np.ndarray:
+        """Leaves only the pairs of frequent contexts that come twice or more; gives the number of the others of those contexts by class."""
+        frequent = self.frequent[self.several]
+        others = np.bincount(self.kind[self.frequent & (self.n == 1)])
+        self.several, self.parent = self.several[frequent], self.parent[frequent]
+        for name in ("room", "word", "n", "kind", "frequent"):
+            setattr(self, name, getattr(self, name)[self.several])
+        self.several = np.arange(len(self.n))
+        return others
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return pair_keys(self.contexts[self.room[self.several]], self.words[self.word[self.several]])
 
     def summed(self, values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         """For each pair the sum over its context; frequent contexts lie in many buckets, and their sums are given."""
-        own = np.bincount(self.room, values, minlength=len(self.rooms))[self.room]
+        own = np.bincount(self.room, values, minlength=len(self.contexts))[self.room]
         return np.where(self.frequent, frequent[self.kind], own)
 
     def seated(self, tables: np.ndarray, before: np.ndarray, sweep: int) -> np.ndarray:
@@ -522,7 +592,7 @@ class Bucket:
         opened = np.ones(len(self.n), np.int64)
         at = self.several
         opening = (strength + discount * (tables[at] - before[at])) * self.parent
-        opened[at] = seat(self.n[at], opening, discount, self.keys[at], sweep, discount * self.parent)
+        opened[at] = seat(self.n[at], opening, discount, self.keys, sweep, discount * self.parent)
         return opened
 
 
@@ -540,9 +610,9 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
             total = np.zeros(len(classes), np.int64)
             for batch in parts:
                 for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                    contexts, words, n = (unpack(x, np.int64) for x in row[:3])
-                    frequent = classes.of(contexts) < len(classes.words)
-                    part = Bucket(classes, contexts[frequent], words[frequent], n[frequent], unpack(row[3], np.float32)[frequent[n > 1]])
+                    part = Bucket(classes, *row)
+                    others = part.only_frequent()
+                    total[:len(others)] += others
                     opened = np.ones(len(part.n), np.int64)
                     for s, tables in enumerate(history):
                         opened = part.seated(tables[part.kind], opened, s)
@@ -557,7 +627,7 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
     def run(parts):
         for batch in parts:
             for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns))):
-                part = Bucket(classes, *(unpack(x, np.int64) for x in row[:3]), unpack(row[3], np.float32))
+                part = Bucket(classes, *row)
                 total = strength + part.summed(part.n, customers)
                 opened = np.ones(len(part.n), np.int64)
                 own, share = np.zeros(len(part.n)), np.zeros(len(part.n))
@@ -567,7 +637,7 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
                         own += (part.n - discount * opened) / total
                         share += (strength + discount * part.summed(opened, history[sweep + 1])) / total
                 sweeps = SWEEPS - BURN_IN
-                values = (bucket, *(pack((x / sweeps).astype(np.float32), RUNS) for x in (own, share)), *tallies(part.contexts, part.words, opened, classes))
+                values = (bucket, *(pack((x / sweeps).astype(np.float32), RUNS) for x in (own, share)), *tallies((part.contexts, part.room), (part.words, part.word), opened, classes))
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), *[pa.binary()] * 6))], names=[x.split()[0] for x in SEATED.split(", ")])
 
     left = np.mean([(strength + discount * t) / (strength + customers) for t in history[BURN_IN + 1:]], axis=0)
@@ -638,7 +708,7 @@ def scores(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     base = trained + 0.1 * (types + 1)
 
     seen = counts.join(rare.withColumnRenamed("c", "seated"), "word", "left").fillna(0, ["seated"])
-    known = stored(resolved(rows.select("word", "block", "place").join(seen, "word"), "block", rooms), "known")
+    known = stored(resolved(rows.select("word", "block", "place").join(word_probabilities(seen, rooms), "word"), "block"), "known")
     dropped(counts, rare)
     known = known.withColumn("bucket", F.lit(-1)).unionByName(replies.withColumn("place", F.lit(None).cast("binary")))
 
@@ -656,10 +726,10 @@ def scores(documents: DataFrame, block: int = BLOCK) -> DataFrame:
             context, word, _, of = block_pairs(row["words"], vocabulary, classes, buckets)
             own, share = (np.concatenate([unpack(x, np.float32) for x in pairs[k]]).astype(float) for k in ("c", "p"))
             share = np.where(kind[context] < len(classes.words), share_left[kind[context]], share)
-            model = np.log10(own + share * 10.0 ** (following.value[kind[context], kind[word]].astype(float) + p[word]))[of]
+            model = np.log10(own + share * 10.0 ** (following.value[kind[context], kind[word]].astype(float) + p[word]))
             tokens, sizes = unpack(row["words"], np.int32), np.asarray(row["sizes"], np.int64)
             first = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64)[tokens], np.log10((c + 0.1) / base)[tokens], model)]
+            sums = [np.add.reduceat(x[at], first) for x, at in (((c > 0).astype(np.int64), tokens), (np.log10((c + 0.1) / base), tokens), (model, of))]
             found.append(pd.DataFrame({
                 "doc_id": pd.array(list(row["ids"]), dtype="Int64"), "held_out": list(row["held"]), "n_tokens": sizes,
                 "n_known": sums[0], "base_score": sums[1], "score": sums[2],

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from helpers_llm import docs, prose  # noqa: F401
 
-from vigilog.llm import hamming_join as hj
+from vigilog.llm import common, hamming_join as hj
 from vigilog.llm.components import components
 from vigilog.llm.containment import shingles
 
@@ -145,3 +145,12 @@ def test_one_of_each_keeps_columns(docs):
     left = hj.one_of_each(frame, 5)
     assert left.columns == frame.columns
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("links,tables", [([], 1), ([(1, 0), (0, 2)], 2), ([(1, 1)], 1)])
+def test_components_do_no_round_more_than_needed(spark, tmp_path, monkeypatch, links, tables):
+    names = iter(range(100))
+    monkeypatch.setattr(common, "shared_path", lambda spark, name: f"{tmp_path}/{name}-{next(names)}")
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {x: 0 for pair in links for x in pair if pair[0] != pair[1]}
+    assert next(names) == tables

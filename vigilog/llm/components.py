@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from vigilog.llm.common import stored
 
 
+def _summary(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for the nodes of ``links(a, b)``; the root is the least node of a component.
 
@@ -16,15 +20,15 @@ def components(links: DataFrame) -> DataFrame:
     task first, so a node with very many links does no harm.
     """
     links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    before = None
-    while True:
+    before = _summary(links)
+    while before[0]:  # without links nothing is left to do
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = stored(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = _summary(links)
         if now == before:
             break
         before = now

@@ -202,3 +202,82 @@ def test_words_are_split_at_the_six_spaces_only():
         wanted = [(x or "").encode().lower().split() for x in texts]
         assert sizes.tolist() == [len(w) for w in wanted]
         assert [w.encode() for w in words.to_pylist()] == [w for each in wanted for w in each]
+
+
+class Frame:
+    """Batches in place of a table, for the functions of a step without Spark."""
+
+    sparkSession = None
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return Frame(list(run(iter(self.batches))))
+
+    def groupBy(self, name):
+        return self
+
+    def agg(self, *sums):
+        return self
+
+    def collect(self):
+        rows = [x for b in self.batches for x in zip(b["kind"].to_pylist(), b["n"].to_pylist())]
+        return [(kind, sum(n for k, n in rows if k == kind)) for kind in {k for k, _ in rows}]
+
+
+def test_sweep_seats_frequent_contexts_once(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    words = np.sort(r.integers(-(2**62), 2**62, 50))
+    classes = py.Classes(list(words[::2]))
+    context, word = (x.reshape(-1) for x in np.meshgrid(np.arange(50), np.arange(50), indexing="ij"))
+    n = r.integers(1, 30, 2500)
+    row = (py.pack_distinct(words, context), py.pack_distinct(words, word), py.pack(n), py.pack(np.full((n > 1).sum(), 0.02, np.float32)))
+    state = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["bucket", "contexts", "words", "n", "parent"])
+    customers, tables = (np.bincount(classes.of(words)[context], x, minlength=len(classes)) for x in (n, np.ones(2500)))
+
+    seated, seat = [], py.seat
+    monkeypatch.setattr(py, "stored", lambda frame, name: frame)
+    monkeypatch.setattr(py, "dropped", lambda *frames: None)
+    monkeypatch.setattr(py, "seat", lambda counts, *rest: seated.append(len(counts)) or seat(counts, *rest))
+    found, left = py.word_sweeps(Frame([state]), classes, customers, tables)
+    pairs = int(((n > 1) & (context % 2 == 0)).sum())
+    assert seated == [pairs] * py.SWEEPS + [int((n > 1).sum())] * py.SWEEPS  # the last ones for all pairs
+
+    monkeypatch.setattr(py, "seat", seat)
+    part, discount, strength, history = py.Bucket(classes, *row), *py.WORDS, [tables]
+    for _ in range(py.SWEEPS):  # the same sweeps, each from the start
+        opened = np.ones(2500, np.int64)
+        for sweep, before in enumerate(history):
+            opened = part.seated(part.summed(opened, before), opened, sweep)
+        history.append(np.bincount(part.kind, opened * part.frequent, minlength=len(classes)))
+    assert np.allclose(left, np.mean([(strength + discount * t) / (strength + customers) for t in history[py.BURN_IN + 1:]], axis=0))
+    kind = classes.of(words)
+    of = py.unpack(found.batches[0]["cells"][0].as_py(), np.int64), py.unpack(found.batches[0]["cell_tables"][0].as_py(), np.int64)
+    cells = np.bincount(kind[context] * len(classes) + kind[word], opened, minlength=len(classes) ** 2)
+    assert (cells[of[0]] == of[1]).all() and cells.sum() == of[1].sum()
+
+
+@pytest.mark.parametrize("size, tokens", [(1, 1), (5, 40), (300, 5000), (2**22 + 2, 2**18 + 1)])  # the last one is too large for one number
+def test_block_pairs(size, tokens):
+    r = np.random.default_rng(size)
+    vocabulary = np.unique(r.integers(-(2**62), 2**62, size))
+    r.shuffle(vocabulary)
+    at = r.integers(0, min(len(vocabulary), 300), tokens).astype(np.int32)
+    classes = py.Classes(list(vocabulary[:3]))
+    context, word, bucket, of = py.block_pairs(py.pack(at), vocabulary, classes, 70)
+    assert (word[of] == at).all() and (context[of] == np.roll(at, 1)).all()
+    assert len(context) == len(set(zip(np.roll(at, 1).tolist(), at.tolist())))
+    order = list(zip(bucket.tolist(), vocabulary[context].tolist(), vocabulary[word].tolist()))
+    assert order == sorted(order)
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.int64, np.float32])
+@pytest.mark.parametrize("values", [[], [0], [0, 0, 1], [3, 200, 70_000, 2], [-1, 5, 2**31 - 1]])
+def test_packed_numbers_come_back(kind, values):
+    x = np.array(values, kind)
+    for way in (py.PLANES, py.RUNS) if kind is np.float32 else (py.PLANES, py.STEPS, py.DISTINCT, py.RUNS):
+        assert py.unpack(py.pack(x, way), kind).tolist() == x.tolist()

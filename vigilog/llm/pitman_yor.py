@@ -68,11 +68,10 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base
 
 # ---------------------------------------------------------------- seating
 
-def uniform(keys: np.ndarray, sweep: int, customer: int) -> np.ndarray:
-    """Numbers in [0, 1) that depend on nothing but the arguments."""
-    with np.errstate(over="ignore"):
-        seed = np.uint64((sweep * 0x9E3779B97F4A7C15 + customer * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
-        return (mixed(keys.view(np.uint64) + seed) >> np.uint64(11)).astype(float) * 2.0**-53
+def uniform(keys: np.ndarray, sweep: int, *customers: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on nothing but the arguments, a row for each customer."""
+    seeds = [(sweep * 0x9E3779B97F4A7C15 + customer * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF for customer in customers]
+    return (mixed(np.add.outer(np.array(seeds, np.uint64), keys.view(np.uint64))) >> np.uint64(11)).astype(float) * 2.0**-53
 
 
 def seat(counts: np.ndarray, opening: np.ndarray, discount: float, keys: np.ndarray, sweep: int, growth: np.ndarray | float = 0.0) -> np.ndarray:
@@ -83,20 +82,24 @@ def seat(counts: np.ndarray, opening: np.ndarray, discount: float, keys: np.ndar
     one are found by geometric leaps at the present chance, and open it with what is left of theirs: a draw for every customer.
     """
     tables = (counts > 0).astype(np.int64)
-    growth = np.broadcast_to(growth, counts.shape)
     at = np.flatnonzero(counts > 1)
-    seated, step = np.ones(len(at), np.int64), 0
+    # Of the dishes that still have customers to seat; as floats, which hold such numbers exactly.
+    opening, growth, keys, total = (np.broadcast_to(x, counts.shape)[at] for x in (opening, growth, keys, counts.astype(float)))
+    own, seated, step = np.ones(len(at)), np.ones(len(at)), 0
     while len(at):
-        weight = opening[at] + growth[at] * tables[at]
-        rest = weight - discount * tables[at]
+        leaps, draws = uniform(keys, sweep, step, step + 1)
+        weight = opening + growth * own
+        rest = weight - discount * own
         chance = weight / (seated + rest)
-        leap = np.floor(np.log1p(-uniform(keys[at], sweep, step)) / np.log1p(-chance))
-        seated = seated + np.minimum(leap, counts[at] - seated).astype(np.int64)
-        opens = uniform(keys[at], sweep, step + 1) < weight / (seated + rest) / chance
-        tables[at] += opens & (seated < counts[at])
+        leap = np.floor(np.log1p(-leaps) / np.log1p(-chance))
+        seated += np.minimum(leap, total - seated)
+        own += (draws < weight / (seated + rest) / chance) & (seated < total)
         seated += 1
-        more = seated < counts[at]
-        at, seated, step = at[more], seated[more], step + 2
+        step += 2
+        more = seated < total
+        if not more.all():
+            tables[at[~more]] = own[~more]
+            at, opening, growth, keys, total, own, seated = (x[more] for x in (at, opening, growth, keys, total, own, seated))
     return tables
 
 
@@ -124,8 +127,12 @@ def pack(x: np.ndarray, way: int = PLANES) -> bytes:
         x = np.diff(x, prepend=x.dtype.type(0))  # may wrap, as the sum does
     x = np.ascontiguousarray(x)
     if way != RUNS:
-        x = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T
-    return bytes([way]) + zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+        size, most = x.dtype.itemsize, int(x.view(f"u{x.dtype.itemsize}").max(initial=0))
+        planes = np.zeros((size, len(x)), np.uint8)
+        for i in range((most.bit_length() + 7) // 8):  # those above are empty
+            planes[i] = x.view(np.uint8)[i::size]
+        x = planes
+    return bytes([way]) + zstandard.ZstdCompressor(level=1).compress(x.data if x.size else b"")
 
 
 def pack_distinct(found: np.ndarray, at: np.ndarray) -> bytes:
@@ -151,7 +158,12 @@ def unpack(x: bytes, kind) -> np.ndarray:
     values = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
     if way == RUNS:
         return values.view(kind)
-    values = np.ascontiguousarray(values.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    size = np.dtype(kind).itemsize
+    planes = values.reshape(size, -1)
+    values = np.zeros(planes.shape[1], kind)
+    for i, plane in enumerate(planes):
+        if plane.any():
+            values.view(np.uint8)[i::size] = plane
     return np.cumsum(values, dtype=kind) if way == STEPS else values
 
 
@@ -364,31 +376,43 @@ def rare_sweeps(counts: DataFrame, classes: Classes) -> RareRestaurants:
 
 TALLIES = "cells binary, cell_tables binary, rare binary, rare_tables binary"
 MERGED = "bucket int, contexts binary, words binary, n binary, blocks array<bigint>, places array<binary>, " + TALLIES
+#: Of a bucket's pairs of frequent contexts that come twice or more; the tables of all pairs of these contexts by class, and of those that come once.
+FREQUENT_PAIRS = "keys binary, parent binary, n binary, kind binary, opened binary, kinds binary, tables binary, others binary"
 SEATED = "bucket int, own binary, share binary, " + TALLIES
 
 
 def block_pairs(words: bytes, vocabulary: np.ndarray, classes: Classes, buckets: int) -> tuple[np.ndarray, ...]:
     """The distinct pairs of a block by bucket, context and word: both in its vocabulary, buckets, and the pair of each token."""
     size = len(vocabulary)
-    by_hash = np.argsort(vocabulary)
+    by_hash = np.argsort(vocabulary).astype(np.int32)
     rank = np.empty(size, np.int32)
     rank[by_hash] = np.arange(size)
     tokens = rank[unpack(words, np.int32)]
-    pairs = _before(tokens).astype(np.int64)  # as np.unique does it, with half of its memory
-    pairs *= size
-    pairs += tokens
+    wide, far = (max(1, (x - 1).bit_length()) for x in (size, len(tokens)))
+    pairs = _before(tokens).astype(np.uint64)
+    pairs <<= wide
+    pairs |= tokens.view(np.uint32)
     del tokens
-    order = pairs.argsort()
-    pairs = pairs[order]
+    if 2 * wide + far <= 64:  # sorting numbers that end with their places is several times faster than argsort
+        pairs <<= far
+        pairs |= np.arange(len(pairs), dtype=np.uint32)
+        pairs.sort()
+        order = (pairs & ((1 << far) - 1)).astype(np.uint32)
+        pairs >>= far
+    else:
+        order = pairs.argsort()
+        pairs = pairs[order]
     first = np.concatenate([[True], pairs[1:] != pairs[:-1]])
     of = np.empty(len(order), np.int32)
     of[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
     del order
-    context, word = (by_hash[x] for x in np.divmod(pairs[first], size))
+    pairs = pairs[first]
+    context, word = by_hash[pairs >> wide], by_hash[pairs & ((1 << wide) - 1)]
     del pairs
-    frequent = classes.of(vocabulary)[context] < len(classes.words)
-    bucket = (mixed(vocabulary[np.where(frequent, word, context)].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
+    # Both for each word of the vocabulary, which are far fewer than the pairs.
+    frequent = (classes.of(vocabulary) < len(classes.words))[context]
+    bucket = (mixed(vocabulary.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[np.where(frequent, word, context)]
+    order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")  # of 16 bits at most, this is a radix sort
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
     return context[order], word[order], bucket[order], place[of]
@@ -567,15 +591,13 @@ class Bucket:
         self.several = np.flatnonzero(self.n > 1)
         self.parent = unpack(parent, np.float32).astype(float)
 
-    def only_frequent(self) -> np.ndarray:
-        """Leaves only the pairs of frequent contexts that come twice or more; gives the number of the others of those contexts by class."""
-        frequent = self.frequent[self.several]
-        others = np.bincount(self.kind[self.frequent & (self.n == 1)])
-        self.several, self.parent = self.several[frequent], self.parent[frequent]
-        for name in ("room", "word", "n", "kind", "frequent"):
-            setattr(self, name, getattr(self, name)[self.several])
-        self.several = np.arange(len(self.n))
-        return others
+    def of_frequent(self) -> tuple[bytes, ...]:
+        """FREQUENT_PAIRS of the bucket, at the start: those that come twice or more, and the number of the others by class."""
+        others = np.bincount(self.kind[self.frequent & (self.n == 1)]).astype(np.int64)
+        chosen = self.frequent[self.several]
+        at = self.several[chosen]
+        own = pack(self.parent[chosen].astype(np.float32)), pack(self.n[at]), pack(self.kind[at].astype(np.int32))
+        return (self.keys[chosen].tobytes(), *own, pack(np.ones(len(at), np.int64)), pack(np.arange(len(others))), pack(others), pack(others))
 
     @cached_property
     def keys(self) -> np.ndarray:
@@ -604,25 +626,37 @@ def word_sweeps(state: DataFrame, classes: Classes, customers: np.ndarray, table
     discount, strength = WORDS
     history = [tables]
     columns = ("contexts", "words", "n", "parent")
-    for _ in range(SWEEPS):
+    kept = [x.split()[0] for x in FREQUENT_PAIRS.split(", ")]
 
-        def count(parts, history=list(history)):
-            total = np.zeros(len(classes), np.int64)
+    def record(values):
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=kept)
+
+    def start(parts):
+        for batch in parts:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                yield record(Bucket(classes, *row).of_frequent())
+
+    pairs = stored(state.select(*columns).mapInArrow(start, FREQUENT_PAIRS), "frequent")
+    for sweep in range(SWEEPS):
+
+        def seat_again(parts, sweep=sweep, tables=tables):
             for batch in parts:
-                for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                    part = Bucket(classes, *row)
-                    others = part.only_frequent()
+                for row in zip(*(batch.column(c).to_pylist() for c in kept)):
+                    keys, parent, n, kind, opened = (f(x, k) for f, x, k in zip((np.frombuffer, *[unpack] * 4), row, (np.uint64, np.float32, np.int64, np.int32, np.int64)))
+                    parent, others = parent.astype(float), unpack(row[7], np.int64)
+                    opened = seat(n, (strength + discount * (tables[kind] - opened)) * parent, discount, keys, sweep, discount * parent)
+                    total = np.bincount(kind, opened, minlength=len(classes)).astype(np.int64)
                     total[:len(others)] += others
-                    opened = np.ones(len(part.n), np.int64)
-                    for s, tables in enumerate(history):
-                        opened = part.seated(tables[part.kind], opened, s)
-                    total += np.bincount(part.kind, opened, minlength=len(classes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(classes), dtype=np.int32)), pa.array(total)], names=["kind", "n"])
+                    kinds = np.flatnonzero(total)
+                    yield record((*row[:4], pack(opened), pack(kinds), pack(total[kinds]), row[7]))
 
-        after = np.zeros(len(classes))
-        for kind, n in state.select(*columns).mapInArrow(count, "kind int, n bigint").groupBy("kind").agg(F.sum("n")).collect():
-            after[kind] = n
-        history.append(after)
+        after = stored(pairs.mapInArrow(seat_again, FREQUENT_PAIRS), "frequent")
+        dropped(pairs)
+        pairs, tables = after, np.zeros(len(classes))
+        for kind, n in _unpacked_rows(pairs, ("kinds", "tables"), "kind bigint, n bigint").groupBy("kind").agg(F.sum("n")).collect():
+            tables[kind] = n
+        history.append(tables)
+    dropped(pairs)
 
     def run(parts):
         for batch in parts:
@@ -725,8 +759,13 @@ def scores(documents: DataFrame, block: int = BLOCK) -> DataFrame:
             kind = classes.of(vocabulary)
             context, word, _, of = block_pairs(row["words"], vocabulary, classes, buckets)
             own, share = (np.concatenate([unpack(x, np.float32) for x in pairs[k]]).astype(float) for k in ("c", "p"))
-            share = np.where(kind[context] < len(classes.words), share_left[kind[context]], share)
-            model = np.log10(own + share * 10.0 ** (following.value[kind[context], kind[word]].astype(float) + p[word]))
+            model = np.empty(len(own))
+            for i in range(0, len(own), PACKED):  # else each step of the formula holds all pairs
+                part = slice(i, i + PACKED)
+                before, after = kind[context[part]], kind[word[part]]
+                left_over = np.where(before < len(classes.words), share_left[before], share[part])
+                model[part] = np.log10(own[part] + left_over * 10.0 ** (following.value[before, after].astype(float) + p[word[part]]))
+            del context, word, own, share
             tokens, sizes = unpack(row["words"], np.int32), np.asarray(row["sizes"], np.int64)
             first = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x[at], first) for x, at in (((c > 0).astype(np.int64), tokens), (np.log10((c + 0.1) / base), tokens), (model, of))]

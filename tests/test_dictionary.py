@@ -72,6 +72,59 @@ def test_encoding_moves_no_tokens(spark, lines):
     assert found == {0: ([number["b"], number["a"], number["a"]], 3), 1: ([number["c"], number["b"], number["d"]], 3), 2: ([vocabulary.UNKNOWN] * 1000, 1000), 5: ([vocabulary.UNKNOWN], 1)}
 
 
+def test_blocks_are_fetched_once_however_many_lines_ask(spark, folder, monkeypatch):
+    """Lines whose words lie in all blocks, more of them than a task remembers: the work was lines times blocks."""
+    fetched, block = spark.sparkContext.accumulator(0), di.Dictionary._block
+
+    def counted(self, number):
+        before = self.fetched
+        found = block(self, number)
+        fetched.add(self.fetched - before)
+        return found
+
+    monkeypatch.setattr(di.Dictionary, "_block", counted)
+    monkeypatch.setattr(di, "KNOWN", 100)
+    monkeypatch.setattr(di, "LINES", 10)
+    monkeypatch.setattr(di, "CHUNK_WORDS", 300, raising=False)
+    r = random.Random(5)
+    words = [f"w{i:04}" for i in range(2000)]
+    path = di.write_dictionary(spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, idx bigint"), folder(), 50)
+    rows = [(i, [r.choice(words) if r.random() < 0.9 else "none" for _ in range(r.randint(0, 20))]) for i in range(1000)]
+    found = di.encode(spark.createDataFrame(rows, "line_id bigint, tokens array<string>").repartition(4), path, "tokens", -1).collect()
+    number = {w: i for i, w in enumerate(words)}
+    assert {x["line_id"]: (x["ids"], x["length"]) for x in found} == {i: ([number.get(w, -1) for w in t], len(t)) for i, t in rows}
+    blocks = len(di.Dictionary(path).blocks)
+    assert blocks >= 40 and fetched.value <= blocks + 8  # a block that two tasks share
+
+
+def test_lines_keep_their_other_columns(spark, folder):
+    path = di.write_dictionary(spark.createDataFrame([("a", 5)], "word string, idx bigint"), folder())
+    rows = [((1, None), "x", ["a", "b"]), (None, None, []), ((2, "k"), "", None)]
+    found = di.encode(spark.createDataFrame(rows, "line_id struct<doc:bigint,pos:string>, source string, line array<string>"), path, "line", 1)
+    assert found.columns == ["line_id", "source", "ids", "length"]
+    assert sorted(str((x["line_id"] and tuple(x["line_id"]), x["source"], x["ids"], x["length"])) for x in found.collect()) == [
+        "((1, None), 'x', [5, 1], 2)", "((2, 'k'), '', [], 0)", "(None, None, [], 0)"]
+
+
+def test_lower_case_of_any_letters(spark, lines):
+    log = lines(["FAILED a.B", "\u00c9t\u00c9 \u0130X", "\u039f\u03a3 A\u03a3\u0392 \u01c5"])
+    rows = vocabulary.token_rows(log)
+    number = {r["word"]: r["idx"] for r in vocabulary.vocabulary(rows).collect()}
+    expected = {}
+    for r in rows.withColumn("word", F.lower("token")).orderBy("line_id", "pos").collect():
+        expected.setdefault(r["line_id"], []).append(number[r["word"]])
+    words = spark.createDataFrame(list(number.items()), "word string, idx bigint")
+    assert {r["line_id"]: r["ids"] for r in vocabulary.encode_lines(log, words).collect()} == expected
+
+
+def test_first_places_of_near_and_far_ids(spark):
+    """Ids on both sides of those that are compared as one long."""
+    ids = [(1 << 42) - 1, 1 << 42, 0, -1, None, (1 << 42) + 1, 7]
+    rows = spark.createDataFrame([(i, f"w{k} both{min(k, 1)}") for k, i in enumerate(ids)], "line_id bigint, line string")
+    words = vocabulary.vocabulary(vocabulary.token_rows(rows)).orderBy("idx").collect()
+    assert [r["word"] for r in words] == ["both1", "w4", "w3", "w2", "w6", "w0", "both0", "w1", "w5"]
+
+
 def test_an_empty_vocabulary_and_no_lines(spark, lines):
     nothing = spark.createDataFrame([], "word string, idx bigint")
     assert [r["ids"] for r in vocabulary.encode_lines(lines(["a b"]), nothing).collect()] == [[vocabulary.UNKNOWN] * 2]

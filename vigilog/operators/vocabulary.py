@@ -18,6 +18,7 @@ PADDING, UNKNOWN, FIRST_WORD = 0, 1, 2
 HEAD_WORDS = 50_000
 HEAD_WORD_CHARS = 64
 PLACE_BITS = 31
+NEAR_BITS = 21
 
 
 def token_rows(lines: DataFrame) -> DataFrame:
@@ -59,16 +60,27 @@ def last_spans(tagged: DataFrame) -> DataFrame:
     return last.select("line_id", F.explode(once("last", "CAST(map() AS map<string,string>)")).alias("type", "value"))
 
 
-def _place_of(tokens: DataFrame) -> Column:
-    """A value that orders tokens by line and place.
+def _place(line: Column, pos: Column) -> Column:
+    """Line and place as one decimal; lines without an id come first."""
+    line = F.coalesce(line.cast("decimal(19,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(19,0)"))
+    return line * F.lit(1 << PLACE_BITS).cast("decimal(10,0)") + pos.cast("decimal(10,0)")
 
-    Of whole-number ids it is one decimal, whose minimum Spark keeps in a hash table, a row for each word; a minimum of structs
-    has all tokens of a task sorted first. Lines without an id come first in both.
+
+def _counts(tokens: DataFrame) -> DataFrame:
+    """``word, occurrences, first_seen``, the last a value that orders tokens by line and place.
+
+    Of whole-number ids it is a number, whose minimum Spark keeps in a hash table, a row for each word; a minimum of structs
+    has all tokens of a task sorted first. Ids and places that fit together in 63 bits are compared so, all others as decimals.
     """
+    words, number = tokens.groupBy(F.lower("token").alias("word")), F.count(F.lit(1)).alias("occurrences")
     if not isinstance(tokens.schema["line_id"].dataType, IntegralType):
-        return F.struct("line_id", "pos")
-    line = F.coalesce(F.col("line_id").cast("decimal(19,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(19,0)"))
-    return line * F.lit(1 << PLACE_BITS).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+        return words.agg(number, F.min(F.struct("line_id", "pos")).alias("first_seen"))
+    line, pos = F.col("line_id").cast("bigint"), F.col("pos")
+    fits = line.between(0, (1 << (63 - NEAR_BITS)) - 1) & (pos < 1 << NEAR_BITS)
+    near = F.when(fits, F.shiftleft(line, NEAR_BITS).bitwiseOR(pos.cast("bigint")))
+    found = words.agg(number, F.min(near).alias("_near"), F.min(F.when(near.isNull(), _place(line, pos))).alias("_far"))
+    first = F.when(F.col("_near").isNotNull(), _place(F.shiftright("_near", NEAR_BITS), F.col("_near").bitwiseAND((1 << NEAR_BITS) - 1)))
+    return found.select("word", "occurrences", F.least(first, "_far").alias("first_seen"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -77,10 +89,7 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     0 and 1 are kept for padding and unknown words. The counted words are sorted in ranges, written once, and numbered
     by the sizes of the ranges: a shuffle for the counts and one for the order.
     """
-    counts = tokens.groupBy(F.lower("token").alias("word")).agg(
-        F.count(F.lit(1)).alias("occurrences"), F.min(_place_of(tokens)).alias("first_seen")
-    )
-    placed = numbered_in_ranges(counts, [F.desc("occurrences"), "first_seen", "word"], "_place", "vocabulary")
+    placed = numbered_in_ranges(_counts(tokens), [F.desc("occurrences"), "first_seen", "word"], "_place", "vocabulary")
     return placed.select("word", (F.col("_place") + (FIRST_WORD - 1)).cast("bigint").alias("idx"), "occurrences")
 
 
@@ -138,11 +147,13 @@ def encoded_lines(encoded: DataFrame, keys: Sequence[str] = ("line_id",)) -> Dat
 def encode_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
     """The lines that hold a token, with ``ids, length`` in place of ``line``.
 
-    ``words`` is written as a block dictionary, from which every task fetches what its lines need; no token is
+    ``words`` is written as a block dictionary, which the distinct words of every chunk of lines are looked up in; no token is
     shuffled. Of a word that comes twice the smallest index counts. Lines with the same id stay lines of their own.
     """
     path = dictionary.write_dictionary(words, scratch_path(lines.sparkSession, "dictionary"))
-    tokens = F.transform(tokenize(F.col("line")), lambda t: F.lower(t))
+    line = F.col("line")
+    # Of ASCII letters, which have a byte each, lower case leaves all tokens where they are.
+    tokens = F.when(F.octet_length(line) == F.length(line), tokenize(F.lower(line))).otherwise(F.transform(tokenize(line), lambda t: F.lower(t)))
     return dictionary.encode(_with_tokens(lines).withColumn("line", tokens), path, "line", UNKNOWN)
 
 
